@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.session import join_checked
-from threadloom.llm.text import LETTER_WORD, ascii_lower, gram_hashes, let, no_longs, words
+from threadloom.llm.text import LETTER_WORD, LETTER_WORD_ANY_CASE, ascii_lower, gram_hashes, let, words
 
 WINDOW = 10
 GRAM = 5
@@ -21,10 +21,11 @@ def winnow(hashes: Column, window: int) -> Column:
         return hashes
     return let(
         hashes,
-        lambda h: F.when(
-            F.size(h) >= window,
-            F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.array_min(F.slice(h, i, window))),
-        ).otherwise(no_longs()),
+        lambda h: F.slice(
+            F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + d) for d in range(1, window)])),
+            1,
+            F.greatest(F.size(h) - (window - 1), F.lit(0)),
+        ),
     )
 
 
@@ -130,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "items",
         )
     )
-    counted = keyed.select("doc_id", "text_hash", F.regexp_count(F.coalesce(ascii_lower(F.col("text")), F.lit("")), F.lit(LETTER_WORD)).cast("long").alias("n_words"))
+    counted = keyed.select("doc_id", "text_hash", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(LETTER_WORD_ANY_CASE)).cast("long").alias("n_words"))
     joined = counted.join(found, counted.doc_id.eqNullSafe(found.k_id) & (counted.text_hash == found.k_hash), "left")
     return joined.select(
         "doc_id", "text_hash", "n_words",

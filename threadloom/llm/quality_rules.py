@@ -11,9 +11,10 @@ from threadloom.llm.text import SPACE_WORD, gram_hashes, let, words
 SYMBOLS = "#*$%&|<>"
 LINE_ENDS = ".!?:;,)\"'…”’»]"
 BOILERPLATE = (
-    r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign in|log in|"
-    r"subscribe now|enable javascript|skip to (main )?content|share this|read more)"
-)
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here",
+    "sign in", "log in", "subscribe now", "enable javascript", "skip to content", "skip to main content",
+    "share this", "read more",
+)
 SYMBOL_PERCENT = 10
 NAV_BARS = 3
 SHOUT_WORDS = 4
@@ -22,22 +23,25 @@ BOILERPLATE_CHARS = 200
 LOST_PERCENT = 50
 
 
-def line_fails(line: Column) -> Column:
+def has_phrase(text: Column) -> Column:
+    return let(F.lower(text), lambda s: F.greatest(*[s.contains(p) for p in BOILERPLATE]))
+
+
+def line_fails(line: Column, symbols: Column, phrases: Column) -> Column:
     """True for a line that is navigation, symbols, shouting, boilerplate, or long prose without punctuation.
 
-    Blank lines never fail."""
+    symbols, phrases: whether its document has any symbol or boilerplate phrase, so that most documents need no
+    further look for them. Blank lines never fail."""
 
     def verdict(s: Column) -> Column:
         bars = F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
-        symbols = F.length(s) - F.length(F.translate(s, SYMBOLS, ""))
-        n_spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-        bare = (n_spaces + 1 >= BARE_WORDS) & ~s.rlike(r"[.!?:;,…]")
+        marks = F.length(s) - F.length(F.translate(s, SYMBOLS, ""))
+        n_words = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1
         return (F.length(s) > 0) & (
-            (bars >= NAV_BARS)
-            | (symbols * 100 > SYMBOL_PERCENT * F.length(s))
-            | ((n_spaces + 1 >= SHOUT_WORDS) & ~s.rlike(r"\p{Ll}") & s.rlike(r"\p{Lu}"))
-            | bare
-            | ((F.length(s) <= BOILERPLATE_CHARS) & s.rlike(BOILERPLATE))
+            (symbols & ((bars >= NAV_BARS) | (marks * 100 > SYMBOL_PERCENT * F.length(s))))
+            | (~s.rlike(r"\p{Ll}") & s.rlike(r"\p{Lu}") & (n_words >= SHOUT_WORDS))
+            | (~s.rlike(r"[.!?:;,…]") & (n_words >= BARE_WORDS))
+            | (phrases & (F.length(s) <= BOILERPLATE_CHARS) & has_phrase(s))
         )
 
     return let(F.trim(line), verdict)
@@ -85,11 +89,11 @@ def assess_quality(docs: DataFrame, text: str = "text", out: str = "quality_repo
         return F.struct(
             F.size(x.words).cast("long").alias("n_words"),
             F.aggregate(x.words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-            (F.length(raw) - F.length(F.translate(raw, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            x.symbols.cast("long").alias("n_symbols"),
             let(filled, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("n_dup_lines"),
             repeated_window_words(x.words).cast("long").alias("n_repeat_words"),
             let(
-                F.transform(x.lines, lambda s: F.struct(s.alias("s"), line_fails(s).alias("bad"))),
+                F.transform(x.lines, lambda s: F.struct(s.alias("s"), line_fails(s, x.symbols > 0, x.phrases).alias("bad"))),
                 lambda marked: F.struct(
                     F.aggregate(F.filter(marked, lambda m: m.bad), F.lit(0).cast("long"), lambda a, m: a + F.length(m.s)).alias("lost_chars"),
                     F.array_join(F.transform(F.filter(marked, lambda m: ~m.bad), lambda m: m.s), "\n").alias("clean_text"),
@@ -98,7 +102,9 @@ def assess_quality(docs: DataFrame, text: str = "text", out: str = "quality_repo
         )
 
     q = "__quality"
-    measured = docs.withColumn(q, let(F.struct(words(raw, SPACE_WORD).alias("words"), lines.alias("lines")), counted))
+    n_symbols = F.regexp_count(raw, F.lit(f"[{SYMBOLS}]"))
+    parts = F.struct(words(raw, SPACE_WORD).alias("words"), lines.alias("lines"), n_symbols.alias("symbols"), has_phrase(raw).alias("phrases"))
+    measured = docs.withColumn(q, let(parts, counted))
     c = F.col(q)
     failed = (c.n_words < 20) | (c.n_repeat_words * 100 > c.n_words * 30)
     return measured.withColumn(

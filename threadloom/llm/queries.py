@@ -54,7 +54,7 @@ lv AS (SELECT doc_id, line, s, length(s) > 0 AND (
     OR (length(s) - length(translate(s, '#*$%&|<>', ''))) * 100 > 10 * length(s)
     OR (length(s) - length(replace(s, ' ', '')) + 1 >= 4 AND NOT regexp_matches(s, '\p{Ll}') AND regexp_matches(s, '\p{Lu}'))
     OR (length(s) - length(replace(s, ' ', '')) + 1 >= 12 AND NOT regexp_matches(s, '[.!?:;,…]'))
-    OR (length(s) <= 200 AND regexp_matches(s, '(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign in|log in|subscribe now|enable javascript|skip to (main )?content|share this|read more)'))
+    OR (length(s) <= 200 AND (contains(lower(s), 'cookie policy') OR contains(lower(s), 'privacy policy') OR contains(lower(s), 'terms of use') OR contains(lower(s), 'terms of service') OR contains(lower(s), 'all rights reserved') OR contains(lower(s), 'click here') OR contains(lower(s), 'sign in') OR contains(lower(s), 'log in') OR contains(lower(s), 'subscribe now') OR contains(lower(s), 'enable javascript') OR contains(lower(s), 'skip to content') OR contains(lower(s), 'skip to main content') OR contains(lower(s), 'share this') OR contains(lower(s), 'read more')))
   ) AS bad FROM lt),
 la AS (SELECT doc_id, CAST(coalesce(sum(length(line)) FILTER (bad), 0) AS BIGINT) AS lost_chars,
   count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) - count(DISTINCT line) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_dup_lines FROM lv GROUP BY 1),
