@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontamination, quality_rules
+from threadloom.llm import decontamination, kneser_ney, language_id, line_dedup, mixing, near_dup, quality_rules, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,50 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.learn_grammar(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, grammar).select("doc_id", "held_out", "score", "predicted")
+
+
+#: Target weights of the mix: four domains 4:3:2:1, and within each English three times any other language.
+MIX_WEIGHTS = [(f"d{i}", 4 - i) for i in range(4)] + [(f"d{i}/en", 3) for i in range(4)]
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=weights)
+    return mixed.select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.epoch", "mix.n_tokens", "mix.budget")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    p = F.col("placement")
+    return placed.select("doc_id", p["size"].alias("size"), p["text_crc32"].alias("text_crc32"), F.lit("bytes").alias("law"), p["shard"].alias("shard"), p["slot"].alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_language(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return kneser_ney.classify_quality(table(spark, sf_dir, "documents"), trusted)
+
+
 OP1_SQL = r"""
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -68,5 +112,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_quality_rules": op3_quality_rules}
-SQL = {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL}
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM sh JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) m ON m.id = w.doc_id
+"""
+
+OP4_SQL = r"""
+WITH w(path, weight) AS (VALUES ('d0', 4), ('d1', 3), ('d2', 2), ('d3', 1), ('d0/en', 3), ('d1/en', 3), ('d2/en', 3), ('d3/en', 3)),
+d AS (SELECT doc_id, 'd' || ((instr('0123456789abcdef', md5(coalesce(source, ''))[1]) - 1) // 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens, text FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3),
+t AS (SELECT CAST(sum(tokens) * 50 // 100 AS BIGINT) AS total FROM leaf),
+l1 AS (SELECT domain, CAST(sum(tokens) * 4 AS BIGINT) AS cap, any_value(coalesce(w.weight, 1)) AS wt FROM leaf LEFT JOIN w ON w.path = domain GROUP BY 1),
+l1o AS (SELECT *, (SELECT total FROM t) - coalesce(sum(cap) OVER (ORDER BY cap / wt, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft, sum(wt) OVER (ORDER BY cap / wt, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sh FROM l1),
+l1r AS (SELECT arg_min(lft, cap / wt) AS lft, arg_min(sh, cap / wt) AS sh FROM l1o WHERE NOT cap * sh <= lft * wt),
+b1 AS (SELECT domain, CAST(CASE WHEN cap * l1o.sh <= l1o.lft * wt THEN cap ELSE wt * l1r.lft // l1r.sh END AS BIGINT) AS given FROM l1o LEFT JOIN l1r ON true),
+l2 AS (SELECT domain, lang, CAST(sum(tokens) * 4 AS BIGINT) AS cap, any_value(coalesce(w.weight, 1)) AS wt FROM leaf LEFT JOIN w ON w.path = domain || '/' || lang GROUP BY 1, 2),
+l2o AS (SELECT l2.*, given - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / wt, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft, sum(wt) OVER (PARTITION BY domain ORDER BY cap / wt, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sh FROM l2 JOIN b1 USING (domain)),
+l2r AS (SELECT domain, arg_min(lft, cap / wt) AS lft, arg_min(sh, cap / wt) AS sh FROM l2o WHERE NOT cap * sh <= lft * wt GROUP BY 1),
+b2 AS (SELECT domain, lang, CAST(CASE WHEN cap * l2o.sh <= l2o.lft * wt THEN cap ELSE wt * l2r.lft // l2r.sh END AS BIGINT) AS given FROM l2o LEFT JOIN l2r USING (domain)),
+l3 AS (SELECT domain, lang, source, tokens, tokens * 4 AS cap, 1 AS wt FROM leaf),
+l3o AS (SELECT l3.*, given - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / wt, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft, sum(wt) OVER (PARTITION BY domain, lang ORDER BY cap / wt, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sh FROM l3 JOIN b2 USING (domain, lang)),
+l3r AS (SELECT domain, lang, arg_min(lft, cap / wt) AS lft, arg_min(sh, cap / wt) AS sh FROM l3o WHERE NOT cap * sh <= lft * wt GROUP BY 1, 2),
+b3 AS (SELECT domain, lang, source, tokens, CAST(CASE WHEN cap * l3o.sh <= l3o.lft * wt THEN cap ELSE wt * l3r.lft // l3r.sh END AS BIGINT) AS budget FROM l3o LEFT JOIN l3r USING (domain, lang)),
+p AS (SELECT d.*, budget, CAST(budget // tokens AS BIGINT) AS whole, budget % tokens AS rest,
+  md5('mix-1:' || (budget // tokens) || ':' || doc_id || ':' || md5(coalesce(text, ''))) AS spot FROM d JOIN b3 USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, n_tokens, budget FROM (
+  SELECT *, unnest(range(0, whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY spot) <= rest THEN 1 ELSE 0 END)) AS e FROM p)
+"""
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, source, g.i AS i, string_split(text, chr(10))[g.i] AS line FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) g WHERE text IS NOT NULL),
+b AS (SELECT trim(line, ' ') AS s FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.*, b.s IS NOT NULL AS gone FROM l LEFT JOIN b ON b.s = trim(line, ' '))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256 FROM m GROUP BY 1
+"""
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op6_minhash_near_dup": op6_minhash_near_dup,
+    "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
+}
+SQL = {
+    "op1_decontamination": OP1_SQL,
+    "op3_quality_rules": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op6_minhash_near_dup": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
