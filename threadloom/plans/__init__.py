@@ -1 +1 @@
-
+"""Iterative plans: loops over DataFrames that cut their lineage in the shared folder."""
