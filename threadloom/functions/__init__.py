@@ -1 +1 @@
-
+"""Column expressions that the operators share."""

@@ -1 +1 @@
-
+"""DataFrame operators over the canonical tables."""

@@ -1 +1 @@
-
+"""Readers: canonical tables from files of each kind."""
