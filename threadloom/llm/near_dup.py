@@ -92,24 +92,57 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", shingle_set(F.col("text")).alias("s")).mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def _sized(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= PERCENT * union."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of what these share."""
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.select("a", "b").join(sa, "a").join(sb, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * PERCENT).select("a", "b")
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+
+
+def _linked() -> Column:
+    return F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * PERCENT
+
+
+def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the pairs of members of one center that may be linked and are not in one component yet.
+
+    tried: (a, b, na, nb, shared) of centers a and members b. Let D be what a member's set and its center's do
+    not share. Two members x, y differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, and are linked if and only if
+    that is at most (|x| + |y|) / 9 (for PERCENT = 80). If x is not linked to the center this asks for at least
+    one common element of Dx and Dy, and mostly for many: with G = 9 |D| - size, for (Gx + Gy) / 18. So the
+    D are joined by prefixes: ordered from rare to common, sets with o common elements share one among the first
+    |D| - o + 1 of both. Near copies with edits of their own thus never meet, however many they are, and no pair
+    that could be linked is left out."""
+    slack = (100 - PERCENT) / (100 + PERCENT)  # of both sizes together, what may differ
+    per = round(1 / slack)
+    assert abs(per * slack - 1) < 1e-9
+    c = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    marked = tried.join(c, "b", "left").join(c.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a", "left")
+    marked = stash(marked.withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a")), "marked")
+    centers = marked.groupBy("a").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi")).filter("lo <> hi").select("a")
+    open_ = marked.join(centers, "a").withColumn("g", (per * (F.col("na") + F.col("nb") - 2 * F.col("shared")) - F.col("nb")).cast("long")).withColumn("linked", _linked())
+    bounds = open_.groupBy("a").agg(F.min("g").alias("g_any"), F.min(F.when(~F.col("linked"), F.col("g"))).alias("g_out")).filter("g_out is not null")
+    open_ = stash(open_.join(bounds, "a").select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
+    sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    differing = stash(open_.join(sa, "a").join(sb, "b").withColumn("d", apart).drop("sa", "sb"), "differing")
+    items = differing.select("a", "b", F.explode("d").alias("item"))
+    common = items.groupBy("a", "item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # elements of one member alone come first in the order and can't match: only their number is needed
+    ranked = items.join(common, ["a", "item"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
+    ranked = stash(differing.select("a", "b", "cb", "g", "linked", "g_any", "g_out", F.size("d").alias("nd")).join(ranked, ["a", "b"]), "ranked")
 
+    def prefix(df: DataFrame, partner: str) -> DataFrame:
+        o = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(partner)) / (2 * per)))
+        keep = F.col("nd") - o + 1 - (F.col("nd") - F.size("r"))
+        return df.select("a", "b", "cb", "g", "nd", F.explode(F.slice("r", 1, F.greatest(F.lit(0), keep).cast("int"))).alias("x")).select("a", "b", "cb", "g", "nd", "x.item")
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (key, rep, component, ...) of the keys whose members are in more than one component."""
-    keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return members.join(keys, "key")
+    x, y = prefix(ranked.filter(~F.col("linked")), "g_any").alias("x"), prefix(ranked, "g_out").alias("y")
+    need = F.ceil((F.col("x.g") + F.col("y.g")) / (2 * per))
+    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.cb") != F.col("y.cb")) & (need <= F.least("x.nd", "y.nd"))
+    return x.join(y, met).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,51 +155,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. Rows with equal sets collapse to one class, named by its least id, so copies never meet one another.
     2. Classes meet by key. Each key's most central member (the one with the most company over all keys, so
        that near copies agree on it) is compared with all others: as many pairs as members, not their square.
-    3. Confirmed links give components. A key whose members are all in one component is settled.
-    4. In the others, what is left are pairs between components. A set with u shingles that no other such set
-       has can share at most n - u, which rules out most without a comparison; all that remain are compared.
-    So no pair of a shared key is left out unless it is already connected or cannot be similar enough."""
+    3. Confirmed links give components. A center whose members are all in one component is settled.
+    4. Of the others, unsettled_pairs() gives the pairs of members that can still be linked; all are compared.
+    So no pair of a shared key is left out unless it is already connected or can't be similar enough."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = stash(signatures(base), "signatures")
     usable = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    classes = stash(classes, "classes")
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key")).distinct()
+    classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    keyed = classes.select("rep", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
     live = keyed.join(shared, "key")
     central = live.groupBy("rep").agg(F.sum("company").alias("weight"))
-    live = stash(live.select("key", "rep", "n").join(central, "rep"), "keys")
+    live = stash(live.select("key", "rep").join(central, "rep"), "keys")
 
     reps = live.select(F.col("rep").alias("id")).distinct()
     wanted = join_checked(base.withColumnRenamed("doc_id", "id"), reps, "id", "left_semi", ID_ROWS)
     sets = stash(wanted.select("id", shingle_set(F.col("text")).alias("s")), "sets")
 
-    pivots = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"), "n")).alias("p")).select("key", (-F.col("p.neg")).alias("a"), F.col("p.n").alias("an"))
-    tried = stash(live.join(pivots, "key").filter((F.col("rep") != F.col("a")) & _sized(F.col("n"), F.col("an"))).select("a", F.col("rep").alias("b")).distinct(), "tried")
-    links = stash(confirmed(tried, sets), "links")
+    pivots = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("a"))
+    pairs = live.join(pivots, "key").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
+    tried = stash(compared(pairs, sets), "tried")
+    links = tried.filter(_linked()).select("a", "b")
     parts = connected_components(links)
-
-    def labelled(components: DataFrame) -> DataFrame:
-        c = components.select(F.col("id").alias("rep"), "component")
-        return live.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    open_ = stash(_mixed(labelled(parts)), "open")
-    if open_.limit(1).count():
-        ids = open_.select(F.col("rep").alias("id")).distinct()
-        lone = sets.join(ids, "id", "left_semi").select("id", F.explode("s").alias("h")).distinct()
-        lone = lone.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
-        least = open_.groupBy("key").agg(F.min("n").alias("least"))
-        bounded = open_.join(lone, "rep", "left").join(least, "key").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0)))
-        able = _mixed(bounded.filter(F.col("m") * 100 >= (F.col("n") + F.col("least") - F.col("m")) * PERCENT))
-        able = stash(able.select("key", "rep", "n", "m", "component"), "able")
-        x, y = able.alias("x"), able.alias("y")
-        top = F.least(F.col("x.m"), F.col("y.m"))
-        rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (top * 100 >= (F.col("x.n") + F.col("y.n") - top) * PERCENT))
-        rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = stash(confirmed(rest.join(done, ["a", "b"], "left_anti"), sets), "links")
-        if more.limit(1).count():
-            parts = connected_components(links.unionByName(more))
+    more = stash(compared(unsettled_pairs(tried, parts, sets), sets).filter(_linked()).select("a", "b"), "links")
+    if more.limit(1).count():
+        parts = connected_components(links.unionByName(more))
 
     named = classes.select("print", "rep").join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("found"))
     lonely = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
