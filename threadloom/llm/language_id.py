@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.text import id_crc
+from threadloom.session import ship
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -20,7 +21,8 @@ WIDTH = 24
 SAMPLE_PER_LANG = 600
 MAX_LANGS = 200
 EPOCHS = 30
-REJECT_QUANTILE = 0.005
+#: Answers are rejected below the least level at which held-out rows above it are wrong this often at most.
+MAX_WRONG = 0.01
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
@@ -90,8 +92,9 @@ def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> LanguageModel
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
     p = _softmax(z / temperature)
-    right = p.max(1)[p.argmax(1) == y[held]]
-    reject = float(np.quantile(right, REJECT_QUANTILE)) if len(right) else 0.0
+    best, wrong = p.max(1), p.argmax(1) != y[held]
+    levels = [0.0, *np.sort(best[wrong]) + 1e-9]
+    reject = next((float(t) for t in levels if wrong[best >= t].mean() <= MAX_WRONG), 1.0) if not wrong.all() else 1.0
     return LanguageModel(langs, (embed @ out).astype(np.float64), bias.astype(np.float64), float(temperature), reject)
 
 
@@ -108,6 +111,7 @@ def fit_language_model(docs: DataFrame) -> LanguageModel | None:
 
     Of each language about SAMPLE_PER_LANG documents are used, chosen by a hash of their ids, whole; the driver
     gets their bucket counts (16 KB each), not their texts."""
+    ship(docs.sparkSession)
     usable = docs.filter((id_crc(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not sizes:
@@ -126,8 +130,9 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
 
     Reads doc_id, text, and lang for training only; other columns don't matter. A text that is null or has no
     letter gets 'und' with score 0; so does every text if there is nothing to learn from. A null id is not
-    held out (and not learned from). rejected: the calibrated probability of the best language is below what
-    all but REJECT_QUANTILE of right answers reach; lang_pred is still the best guess."""
+    held out (and not learned from). rejected: the calibrated probability of the best language is below the level
+    at which MAX_WRONG of held-out answers are wrong; lang_pred is still the best guess."""
+    ship(docs.sparkSession)
     model = model or fit_language_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

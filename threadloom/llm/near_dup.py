@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.text import SPACE_WORD, ascii_lower, let, no_longs, words
 from threadloom.plans.components import connected_components
-from threadloom.session import join_checked, stash
+from threadloom.session import join_checked, ship, stash
 
 CHUNKS, CHUNK_SLOTS = 8, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -89,6 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, print, keys) of documents (doc_id, text); print names the shingle set."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", shingle_set(F.col("text")).alias("s")).mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 

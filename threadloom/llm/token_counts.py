@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import ship
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Characters of text that are encoded at once, and beyond which one text is split.
@@ -136,6 +138,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     Reads doc_id and text; other columns don't matter. A null text counts as empty: 0 bytes, 0 tokens. Only
     lengths leave the Python workers. vocabulary: a file name of the public tokenizers, or a path that all
     executors have."""
+    ship(docs.sparkSession)
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = sized.mapInArrow(_counting(vocabulary), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")

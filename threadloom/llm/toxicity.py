@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.text import id_crc
-from threadloom.session import join_checked
+from threadloom.session import join_checked, ship
 
 #: Fixed word lists of the grammar.
 THREATS = frozenset("kill hurt destroy murder beat stab shoot burn crush strangle".split())
@@ -128,10 +128,11 @@ def learn_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Insult entries and calibration from labelled rows whose crc32(id) mod 3 is not 1.
 
     At most about SAMPLE_ROWS rows are used, chosen by a hash of the id. A word or beginning of a word is an
-    entry if it stands in MIN_SUPPORT different toxic texts or more and its smoothed odds of being toxic are
-    MIN_ODDS times or more the sample's, in logarithm its weight, scaled so that a sure entry weighs 1. Without toxic training rows there are no entries
-    and every score is the base rate's."""
+    entry if it stands in MIN_SUPPORT toxic texts or more, four times as many as others, and the logarithm of its
+    smoothed odds against the sample's is MIN_ODDS or more; its weight is what goes beyond that, on a scale where
+    the surest entry weighs 1. Without toxic training rows there are no entries and every score is the base rate's."""
     spark = docs.sparkSession
+    ship(spark)
     labelled = labels.filter((id_crc(F.col("doc_id")) % 3 != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labelled.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003.0
@@ -154,7 +155,7 @@ def learn_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
     kept = seen.withColumn("odds", odds).filter((F.col("odds") >= MIN_ODDS) & (F.col("pos") >= 4 * F.col("neg")))
     found = kept.orderBy(F.desc("odds"), "entry").limit(MAX_ENTRIES).collect()
     top = max((r["odds"] for r in found), default=1.0)
-    value = {r["entry"]: min(1.0, r["odds"] / top) for r in found}
+    value = {r["entry"]: max(0.05, (r["odds"] - MIN_ODDS) / max(1.0, top - MIN_ODDS)) for r in found}
     words = {k: v for k, v in value.items() if not k.endswith("*")}
     begins = {k[:-1]: v for k, v in value.items() if k.endswith("*")}
     rough = Grammar(words, begins, 1.0, 0.0)
@@ -173,6 +174,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     Reads doc_id and text; other columns don't matter, and nothing but the text enters a score. A null or
     empty text scores as one without matches. A null id is not held out."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
     run = _weights(grammar, docs.sparkSession.sparkContext.broadcast)
