@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,17 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for k in keys:
         cond = cond & left[k].eqNullSafe(right[k])
     return cond
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_threadloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="threadloom-ship-")) / "threadloom_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path("threadloom") / f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._threadloom_shipped = True
