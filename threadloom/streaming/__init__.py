@@ -1 +1 @@
-
+"""Incremental ingest on Structured Streaming."""
