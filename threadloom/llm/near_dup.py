@@ -122,7 +122,13 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     marked = tried.join(c, "b", "left").join(c.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a", "left")
     marked = stash(marked.withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a")), "marked")
     centers = marked.groupBy("a").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi")).filter("lo <> hi").select("a")
-    open_ = marked.join(centers, "a").withColumn("g", (per * (F.col("na") + F.col("nb") - 2 * F.col("shared")) - F.col("nb")).cast("long")).withColumn("linked", _linked())
+    apart_by = F.col("na") + F.col("nb") - 2 * F.col("shared")
+    open_ = marked.join(centers, "a").select("a", "b", "cb", _linked().alias("linked"), (per * apart_by - F.col("nb")).cast("long").alias("g"), (per * apart_by + F.col("nb")).cast("long").alias("h"), "na")
+    # linked sets have |D| so near one another that their ranges g to h overlap: only members that share a stretch
+    # of such ranges with one of another component, one of both not linked to the center, can still matter
+    ranged = open_.withColumn("bin", F.explode(F.sequence(F.floor(F.col("g") / F.col("na")), F.floor(F.col("h") / F.col("na")))))
+    mixed = ranged.groupBy("a", "bin").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.min("linked").alias("all_linked")).filter("lo <> hi and not all_linked").select("a", "bin")
+    open_ = stash(ranged.join(mixed, ["a", "bin"]).select("a", "b", "cb", "linked", "g").distinct(), "ranges")
     bounds = open_.groupBy("a").agg(F.min("g").alias("g_any"), F.min(F.when(~F.col("linked"), F.col("g"))).alias("g_out")).filter("g_out is not null")
     open_ = stash(open_.join(bounds, "a").select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
