@@ -91,8 +91,9 @@ def strip_hidden_chars(col: Column) -> Column:
     return F.when(F.coalesce(col, F.lit("")).rlike(FLAGGED), kept).otherwise(F.coalesce(col, F.lit("")))
 
 
-def escape_html(col: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+def escape_html(col: Column, quotes: bool = False) -> Column:
+    marks = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")) + ((('"', "&quot;"), ("'", "&#x27;")) if quotes else ())
+    for a, b in marks:
         col = F.replace(col, F.lit(a), F.lit(b))
     return col
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import annotations as notes
 from threadloom.operators import copies, export, filters, graph, index, privacy, render, retention, search, stats
 from threadloom.session import stash
-from threadloom.sources import demo
+from threadloom.functions.scalars import is_safe_url
+from threadloom.sources import demo, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,9 +327,9 @@ def j9_cross_provider(spark: SparkSession, d: str) -> DataFrame:
     return graph.cross_provider_edges(demo.threads(spark, d), demo.edges(spark, d))
 
 
-@query("WITH e AS (SELECT epoch_ms(ts) AS e FROM events WHERE event_type = (SELECT min(event_type) FROM events)), t AS (SELECT DISTINCT epoch_ms(ts) AS t FROM events) SELECT t, (SELECT max(e) FROM e WHERE e <= t) AS event FROM t")
+@query("WITH e AS (SELECT epoch_us(ts) // 1000 AS e FROM events WHERE event_type = (SELECT min(event_type) FROM events)), t AS (SELECT DISTINCT epoch_us(ts) // 1000 AS t FROM events) SELECT t, (SELECT max(e) FROM e WHERE e <= t) AS event FROM t")
 def j8_floor_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ev = demo.read(spark, d, "events").select(F.unix_millis("ts").alias("ms") if dict(demo.read(spark, d, "events").dtypes)["ts"] == "timestamp" else F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type")
+    ev = demo.read(spark, d, "events").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_type")
     first = ev.agg(F.min("event_type").alias("first"))
     marks = ev.join(F.broadcast(first), F.col("event_type") == F.col("first")).select(F.col("ms").alias("e")).distinct()
     return graph.floor_lookup(ev.select(F.col("ms").alias("t")).distinct(), marks)
@@ -472,3 +473,104 @@ SELECT CAST(batch AS INTEGER) AS batch, md5('Summarise.' || chr(10) || chr(10) |
 def y2_research_prompt(spark: SparkSession, d: str) -> DataFrame:
     view = filters.metadata_view(_index(spark, d))
     return export.research_prompt(view, "Summarise.", (F.substring("conversation_id", 2, 20).cast("long") % 4).cast("int")).select("batch", F.md5("prompt").alias("prompt"))
+
+
+# ---- ingest, merging ----
+
+EVENTS = """
+ev AS (SELECT user_id, epoch_us(ts) // 1000 AS ts_ms, event_type AS gem, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id FROM events)"""
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    e = demo.read(spark, d, "events")
+    return e.select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("gem"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), "event_id")
+
+
+@query("WITH" + EVENTS + """, f AS (SELECT *, CASE WHEN pos = 1 OR ts_ms - lag(ts_ms) OVER w > 1800000 OR gem IS DISTINCT FROM lag(gem) OVER w THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+SELECT event_id, printf('grp%03d', CAST(sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS INTEGER)) AS grp FROM f""")
+def s13_group_by_gap(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.group_by_gap(_events(spark, d), "user_id").select("event_id", "grp")
+
+
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS pos, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS p, conv_id FROM conversations WHERE role = 'user'),
+a AS (SELECT pos, p, row_number() OVER (PARTITION BY p ORDER BY pos) AS k FROM r), h AS (SELECT 'h' || conv_id AS grp, p, row_number() OVER (PARTITION BY p ORDER BY 'h' || conv_id, pos) AS k FROM r WHERE conv_id % 2 = 0)
+SELECT pos, CASE WHEN a.p = '' THEN 'unmatched' ELSE coalesce(grp, 'unmatched') END AS grp FROM a LEFT JOIN h USING (p, k)""")
+def s14_group_by_harvest(spark: SparkSession, d: str) -> DataFrame:
+    u = demo.read(spark, d, "conversations").filter("role = 'user'")
+    pos = F.col("conv_id") * 1000 + F.col("turn")
+    records = u.select(pos.alias("pos"), F.col("text").alias("prompt"))
+    harvest = u.filter("conv_id % 2 = 0").select(F.concat(F.lit("h"), "conv_id").alias("id"), pos.alias("turn"), "text")
+    return ingest.group_by_harvest(records, harvest)[0].select("pos", "grp")
+
+
+@query("SELECT md5(text) AS conversation_id, min('s' || (doc_id % 4) || '|' || printf('%09d', doc_id)) AS first_copy FROM documents GROUP BY 1")
+def s16_dedup_across_shards(spark: SparkSession, d: str) -> DataFrame:
+    docs = demo.read(spark, d, "documents").select(F.md5("text").alias("conversation_id"), F.concat(F.lit("s"), F.col("doc_id") % 4).alias("path"), F.col("doc_id").alias("pos"), F.col("lang").alias("project"))
+    kept = ingest.dedup_across_shards(docs)[0]
+    return kept.select("conversation_id", F.concat("path", F.lit("|"), F.format_string("%09d", "pos")).alias("first_copy"))
+
+
+@query("""WITH a AS (SELECT md5(text) AS id, doc_id, doc_id % 3 AS p FROM documents), o AS (SELECT id, min(p) AS o FROM a GROUP BY 1) SELECT id AS conversation_id, doc_id, p = o AS admitted FROM a JOIN o USING (id)""")
+def s17_admit_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = demo.read(spark, d, "documents").select(F.md5("text").alias("conversation_id"), F.concat(F.lit("s"), F.col("doc_id") % 3).alias("source"), (F.col("doc_id") % 3).alias("priority"), F.col("doc_id").cast("string").alias("path"), "doc_id")
+    ok = ingest.admit_documents(docs)[0]
+    return docs.join(ok.select("doc_id", F.lit(True).alias("ok")), "doc_id", "left").select("conversation_id", "doc_id", F.coalesce("ok", F.lit(False)).alias("admitted"))
+
+
+@query("""WITH t AS (SELECT 'c' || conv_id AS conversation_id, turn % 3 AS leg, turn AS turn_idx, 'u' || (turn // 2) AS uuid, coalesce(text, '') AS text FROM conversations),
+g AS (SELECT conversation_id, leg, min(leg) OVER (PARTITION BY conversation_id) AS l0, row_number() OVER (PARTITION BY conversation_id, uuid ORDER BY leg, turn_idx) AS n FROM t)
+SELECT conversation_id, count(*) AS turns FROM g WHERE n = 1 OR leg = l0 GROUP BY 1""")
+def s18_fold_resumed_legs(spark: SparkSession, d: str) -> DataFrame:
+    c = demo.read(spark, d, "conversations")
+    legs = c.select(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), (F.col("turn") % 3).alias("leg"), F.col("turn").alias("turn_idx"), F.concat(F.lit("u"), F.floor(F.col("turn") / 2)).alias("uuid"), "role", F.lit("").alias("ts"), F.coalesce("text", F.lit("")).alias("text"))
+    return ingest.fold_resumed_legs(legs)[0].groupBy("conversation_id").agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query(GRAPH + " SELECT id, CASE WHEN c_custkey % 2 = 0 THEN title ELSE 'state' END AS title FROM th")
+def s19_merge_graph(spark: SparkSession, d: str) -> DataFrame:
+    t, e = demo.threads(spark, d).select("id", "title"), demo.edges(spark, d)
+    some = t.filter(F.substring("id", 2, 20).cast("long") % 2 == 0)
+    return ingest.merge_graph([(some, e), (t.withColumn("title", F.lit("state")), e.withColumn("status", F.lit("state")))])[0].select("id", "title")
+
+
+@query("WITH" + EVENTS + " SELECT CAST(user_id AS VARCHAR) AS conversation_id, count(*) + count(*) FILTER (gem = 'purchase') AS turns FROM ev GROUP BY 1")
+def s12_activity_turns(spark: SparkSession, d: str) -> DataFrame:
+    r = _events(spark, d).select(F.col("user_id").cast("string").alias("doc"), "pos", F.col("ts_ms").cast("string").alias("ts"), F.when(F.col("gem") == "purchase", "Prompted").otherwise(F.col("gem")).alias("verb"), F.lit("t").alias("title"), F.lit("").alias("detail"), F.lit("").alias("prompt"), F.lit("r").alias("response"))
+    return ingest.activity_turns(r).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query(GRAPH + " SELECT id, 'r' || c_custkey || '.jsonl' AS rollout_path FROM th")
+def p12_redact_paths(spark: SparkSession, d: str) -> DataFrame:
+    return filters.redact_paths(demo.threads(spark, d)).select("id", "rollout_path")
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '^https?://[^\\s/]') AS safe FROM pages")
+def p13_safe_urls(spark: SparkSession, d: str) -> DataFrame:
+    return demo.read(spark, d, "pages").select("page_id", is_safe_url(F.col("url")).alias("safe"))
+
+
+@query("SELECT doc_id, md5('&#x200B;' || text || '&#x00AD;') AS shown FROM documents")
+def p7_neutralize(spark: SparkSession, d: str) -> DataFrame:
+    docs = demo.read(spark, d, "documents")
+    return docs.select("doc_id", F.md5(privacy.neutralize_text(F.concat(F.lit("​"), "text", F.lit("­")), "ncr")).alias("shown"))
+
+
+@query(GRAPH + " SELECT parent || '>' || child AS key, 'removed' AS mark FROM (SELECT DISTINCT parent, child FROM ed) WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0")
+def g16_diff_overlay(spark: SparkSession, d: str) -> DataFrame:
+    t, e = demo.threads(spark, d), demo.edges(spark, d)
+    fewer = e.filter(F.substring("child", 2, 20).cast("long") % 10 != 0)
+    overlay = graph.diff_overlay(graph.diff((t, e), (t, fewer), ["title"]))
+    return overlay.filter(F.col("key").contains(">")).select("key", "mark")
+
+
+@query(GRAPH + """, tt AS (SELECT id FROM th WHERE created_at_ms IS NULL OR created_at_ms <= 1704100000000), te AS (SELECT DISTINCT parent, child FROM ed WHERE child NOT IN (SELECT id FROM th WHERE created_at_ms > 1704100000000))
+SELECT tt.id, count(te.child) AS child_count FROM tt LEFT JOIN te ON te.parent = tt.id GROUP BY 1""")
+def g10_snapshot_view(spark: SparkSession, d: str) -> DataFrame:
+    t, e = graph.as_of(demo.threads(spark, d), demo.edges(spark, d), 1704100000000)
+    return graph.thread_view(t, e, demo.conversations(spark, d)).select("id", "child_count")
+
+
+@query(GRAPH + " SELECT DISTINCT parent, child FROM ed WHERE parent IN (SELECT id FROM th WHERE c_custkey % 2 = 0) AND child IN (SELECT id FROM th WHERE c_custkey % 2 = 0)")
+def j5_induced_edges(spark: SparkSession, d: str) -> DataFrame:
+    t = demo.threads(spark, d).filter(F.substring("id", 2, 20).cast("long") % 2 == 0)
+    return graph.induced_edges(demo.edges(spark, d), t).select("parent", "child").distinct()
