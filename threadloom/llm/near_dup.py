@@ -26,6 +26,8 @@ SEED = 20240229
 PERCENT = 80
 #: Ids of up to so many documents (8 bytes each) may be broadcast.
 ID_ROWS = 500_000
+#: What so many members of a center have, and one in so many of them, comes late in the order of prefixes.
+MANY, MANY_SHARE = 4, 50
 #: Shingles that are hashed at once in a Python worker.
 BLOCK = 1 << 18
 
@@ -112,8 +114,8 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     not share. Two members x, y differ in |Dx| + |Dy| - 2 |Dx and Dy| shingles, and are linked if and only if
     that is at most (|x| + |y|) / 9 (for PERCENT = 80). If x is not linked to the center this asks for at least
     one common element of Dx and Dy, and mostly for many: with G = 9 |D| - size, for (Gx + Gy) / 18. So the
-    D are joined by prefixes: ordered from rare to common, sets with o common elements share one among the first
-    |D| - o + 1 of both. Near copies with edits of their own thus never meet, however many they are, and no pair
+    D are joined by prefixes: in any one order, sets with o common elements share one among the first |D| - o + 1
+    of both. Near copies with edits of their own thus never meet, however many they are, and no pair
     that could be linked is left out."""
     slack = (100 - PERCENT) / (100 + PERCENT)  # of both sizes together, what may differ
     per = round(1 / slack)
@@ -133,22 +135,28 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     open_ = stash(open_.join(bounds, "a").select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    apart = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
-    differing = stash(open_.join(sa, "a").join(sb, "b").withColumn("d", apart).drop("sa", "sb"), "differing")
-    items = differing.select("a", "b", F.explode("d").alias("item"))
-    common = items.groupBy("a", "item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # elements of one member alone come first in the order and can't match: only their number is needed
-    ranked = items.join(common, ["a", "item"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
-    ranked = stash(differing.select("a", "b", "cb", "g", "linked", "g_any", "g_out", F.size("d").alias("nd")).join(ranked, ["a", "b"]), "ranked")
+    split = open_.join(sa, "a").join(sb, "b").withColumn("own", F.array_except("sb", "sa")).withColumn("lack", F.array_except("sa", "sb")).drop("sa", "sb")
+    split = stash(split, "differing")
+    # the order: what few members have, what many have by how many, what the members lack. What many have is a
+    # short list for each center, as each entry takes a fair share of its members
+    n = split.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    often = split.select("a", F.explode("own").alias("item")).groupBy("a", "item").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= MANY)
+    often = often.join(n, "a").filter(F.col("df") * MANY_SHARE >= F.col("members"))
+    often = often.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x.item).alias("often"))
+    listed = split.join(often, "a", "left").withColumn("often", F.coalesce("often", no_longs()))
+    ordered = F.concat(F.sort_array(F.array_except("own", "often")), F.array_intersect("often", "own"), F.sort_array("lack"))
+    differing = stash(listed.withColumn("d", ordered).drop("own", "lack", "often").withColumn("nd", F.size("d")), "differing")
 
     def prefix(df: DataFrame, partner: str) -> DataFrame:
         o = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(partner)) / (2 * per)))
-        keep = F.col("nd") - o + 1 - (F.col("nd") - F.size("r"))
-        return df.select("a", "b", "cb", "g", "nd", F.explode(F.slice("r", 1, F.greatest(F.lit(0), keep).cast("int"))).alias("x")).select("a", "b", "cb", "g", "nd", "x.item")
+        first = F.slice("d", 1, F.greatest(F.lit(0), F.col("nd") - o + 1).cast("int"))
+        each = df.select("a", "b", "cb", "g", "nd", F.posexplode(first).alias("pos", "item"))
+        return each.select("a", "b", "cb", "g", "item", (F.col("nd") - F.col("pos")).alias("left"))
 
-    x, y = prefix(ranked.filter(~F.col("linked")), "g_any").alias("x"), prefix(ranked, "g_out").alias("y")
+    x, y = prefix(differing.filter(~F.col("linked")), "g_any").alias("x"), prefix(differing, "g_out").alias("y")
     need = F.ceil((F.col("x.g") + F.col("y.g")) / (2 * per))
-    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.cb") != F.col("y.cb")) & (need <= F.least("x.nd", "y.nd"))
+    # at the first element that two sets share, both must have enough left, it included
+    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.item") == F.col("y.item")) & (F.col("x.cb") != F.col("y.cb")) & (need <= F.least("x.left", "y.left"))
     return x.join(y, met).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
