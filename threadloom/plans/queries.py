@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import annotations as notes
 from threadloom.operators import copies, export, filters, graph, index, privacy, render, retention, search, stats
-from threadloom.session import stash
+from threadloom.session import shared_dir, stash
 from threadloom.functions.scalars import is_safe_url
 from threadloom.sources import demo, ingest
+from threadloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,3 +576,92 @@ def g10_snapshot_view(spark: SparkSession, d: str) -> DataFrame:
 def j5_induced_edges(spark: SparkSession, d: str) -> DataFrame:
     t = demo.threads(spark, d).filter(F.substring("id", 2, 20).cast("long") % 2 == 0)
     return graph.induced_edges(demo.edges(spark, d), t).select("parent", "child").distinct()
+
+
+# ---- files written from the tables, and read back by the adapters ----
+
+
+def _written(lines: DataFrame, name: str) -> str:
+    """Folder of text files, one for each value of the column c, lines in order."""
+    path = f"{shared_dir(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.repartition("c").sortWithinPartitions("c", "n").select("c", "value").write.partitionBy("c").text(path)
+    return path
+
+
+def _talk(spark: SparkSession, d: str) -> DataFrame:
+    c = demo.read(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+FOLDED = """WITH t AS (SELECT conv_id, turn, role = 'user' AS u, coalesce(text, '') AS text FROM conversations WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+n AS (SELECT *, CASE WHEN u OR coalesce(lag(u) OVER (PARTITION BY conv_id ORDER BY turn), true) THEN 1 ELSE 0 END AS new FROM t)
+SELECT {id} AS conversation_id, CAST(sum(new) AS BIGINT) AS turns, count(*) AS blocks, md5(string_agg(text, chr(10) ORDER BY turn)) AS body FROM n GROUP BY conv_id"""
+
+
+def _folded(blocks: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("turn_idx", "block_idx", "text")))
+    return blocks.groupBy("conversation_id").agg(F.countDistinct("turn_idx").alias("turns"), F.count(F.lit(1)).alias("blocks"), F.md5(F.array_join(F.transform(ordered, lambda x: x.text), "\n")).alias("body"))
+
+
+@query(FOLDED.format(id="'r' || conv_id"))
+def s3_ingest_rollouts(spark: SparkSession, d: str) -> DataFrame:
+    t = _talk(spark, d)
+    said = F.to_json(F.struct(F.lit("response_item").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.lit("message").alias("type"), F.col("role"), F.array(F.struct(F.lit("input_text").alias("type"), F.col("text"))).alias("content")).alias("payload")))
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("r"), "conv_id").alias("id")).alias("payload")))
+    lines = t.select(F.col("conv_id").alias("c"), F.col("turn").alias("n"), said.alias("value")).unionByName(t.select(F.col("conv_id").alias("c"), F.lit(-1).cast("long").alias("n"), head.alias("value")).distinct())
+    return _folded(ingest.ingest_rollouts(spark, _written(lines, "rollouts"), "*.txt").blocks)
+
+
+@query(FOLDED.format(id="'g' || conv_id"))
+def s8_ingest_chatgpt_export(spark: SparkSession, d: str) -> DataFrame:
+    t = _talk(spark, d)
+    node = F.to_json(
+        F.struct(
+            F.struct(F.concat(F.lit("n"), "turn").alias("id"), F.struct("role").alias("author"), F.col("turn").alias("create_time"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content")).alias("message"),
+            F.when(F.col("up").isNotNull(), F.concat(F.lit("n"), "up")).alias("parent"),
+        )
+    )
+    up = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    each = t.withColumn("up", up).select("conv_id", "turn", F.concat(F.lit('"n'), "turn", F.lit('":'), node).alias("j"))
+    doc = each.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("j")), ",").alias("m"), F.max("turn").alias("tip"))
+    text = F.concat(F.lit('{"id":"g'), "conv_id", F.lit('","current_node":"n'), "tip", F.lit('","mapping":{'), "m", F.lit("}}"))
+    lines = doc.select(F.col("conv_id").alias("c"), F.lit(0).alias("n"), text.alias("value"))
+    return _folded(ingest.ingest_chatgpt_export(spark, _written(lines, "tree-export"), "*.txt").blocks)
+
+
+@query("SELECT 'k' || conv_id AS conversation_id, count(*) AS turns, count(*) AS blocks, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS body FROM conversations GROUP BY conv_id")
+def s9_ingest_claude_export(spark: SparkSession, d: str) -> DataFrame:
+    t = _talk(spark, d).withColumn("up", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    message = F.struct(
+        F.format_string("n%09d", "turn").alias("uuid"), F.when(F.col("up").isNotNull(), F.format_string("n%09d", "up")).alias("parent_message_uuid"), F.when(F.col("role") == "user", "human").otherwise("assistant").alias("sender"),
+        F.format_string("%09d", "turn").alias("created_at"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"),
+    )
+    doc = t.groupBy("conv_id").agg(F.collect_list(message).alias("chat_messages"))
+    lines = doc.select(F.col("conv_id").alias("c"), F.lit(0).alias("n"), F.to_json(F.struct(F.concat(F.lit("k"), "conv_id").alias("uuid"), "chat_messages")).alias("value"))
+    return _folded(ingest.ingest_claude_export(spark, _written(lines, "link-export"), "*.txt").blocks)
+
+
+@query("SELECT 'i' || conv_id AS conversation_id, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def s22_incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """A stream over files written from the table; a second run over the same files changes nothing."""
+    c = demo.read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    lines = c.select((F.col("conv_id") % 16).alias("c"), F.col("conv_id").alias("n"), F.to_json(F.struct(F.concat(F.lit("i"), "conv_id").alias("id"), "n")).alias("value"))
+    source = _written(lines, "stream-in")
+    target = f"{shared_dir(spark)}/stream-out-{uuid.uuid4().hex}"
+    schema = "conversation_id string, n long"
+
+    def parse(files: DataFrame) -> DataFrame:
+        each = files.select("path", F.explode(F.split("value", "\n")).alias("j")).filter("trim(j) <> ''")
+        return each.select("path", F.get_json_object("j", "$.id").alias("conversation_id"), F.get_json_object("j", "$.n").cast("long").alias("n"))
+
+    for _ in range(2):
+        incremental.incremental_ingest(spark, source, target, parse, schema, ["conversation_id"], "*.txt").awaitTermination()
+    return incremental.read_table(spark, f"{target}/rows", schema)
+
+
+@query("SELECT page_id, 'chatgpt|claude' AS provider FROM pages WHERE false")
+def s23_source_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Page addresses as a listing hold no chat source: nothing may be found."""
+    p = demo.read(spark, d, "pages")
+    found = ingest.source_inventory(p.select(F.col("url").alias("path"), F.length("html").alias("bytes"), F.col("page_id").alias("mtime")))
+    return found.select(F.col("newest").alias("page_id"), "provider")

@@ -42,12 +42,12 @@ def _numbered(rows: DataFrame, doc: str) -> DataFrame:
 # ---- agent rollouts: {type, timestamp, payload} ----
 
 
-def ingest_rollouts(spark: SparkSession, path: str) -> Ingested:
+def ingest_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl*") -> Ingested:
     """A user message is a turn of its own; what the assistant side does up to the next one is one turn.
 
     Developer messages are counted only; reasoning shows its visible summaries; the last cumulative token total
     counts; the id is session_id, id, the UUID in the file name or ''. A parent id is an edge."""
-    records, errors = read_json_lines(spark, path, "rollout-*.jsonl*")
+    records, errors = read_json_lines(spark, path, glob)
     r = records.select("path", "line", "json", at("type").alias("rtype"), at("timestamp").alias("ts"), at("payload.type").alias("ptype"), at("payload.role").alias("prole"), F.get_json_object("json", "$.payload").alias("payload"))
     meta = r.filter("rtype = 'session_meta'").groupBy("path").agg(F.min_by("json", "line").alias("meta"))
     tokens = F.when((F.col("rtype") == "event_msg") & (F.col("ptype") == "token_count"), F.expr("try_cast(get_json_object(json, '$.payload.info.total_token_usage.total_tokens') as bigint)"))
@@ -276,11 +276,11 @@ def _active_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(chain), "node": chain, "place": list(range(len(chain)))})
 
 
-def ingest_chatgpt_export(spark: SparkSession, path: str) -> Ingested:
+def ingest_chatgpt_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
     """Message trees: the path that ends at current_node; hidden and system messages drop; assistant messages that
     follow one another are one turn; epoch times become ISO texts."""
     ship(spark)
-    docs = export_records(spark, path, "conversations*.json").withColumn("doc", F.concat_ws("#", "path", "pos"))
+    docs = export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos"))
     mapping = F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.mapping")), "$", "map<string,variant>")
     node = docs.select("doc", F.get_json_object("json", "$.current_node").alias("current"), F.explode(F.map_entries(mapping)).alias("e")).select("doc", "current", F.col("e.key").alias("node"), F.to_json("e.value").alias("j"))
     info = node.select("doc", "current", "node", "j", F.get_json_object("j", "$.parent").alias("parent"), F.coalesce(F.get_json_object("j", "$.message").startswith("{"), F.lit(False)).alias("has_message"), F.expr("try_cast(get_json_object(j, '$.message.create_time') as double)").alias("time"), (F.coalesce(F.get_json_object("j", "$.children"), F.lit("[]")) == "[]").alias("leaf"))
@@ -362,10 +362,10 @@ def _live_path(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(doc=pdf["doc"].iloc[0], place=range(len(out)))[["doc", "uuid", "place", "index", "total"]].astype({"index": "Int32", "total": "Int32"})
 
 
-def ingest_claude_export(spark: SparkSession, path: str) -> Ingested:
+def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
     """Messages linked by parent; blocks also carry branch {index, total} where a message has siblings."""
     ship(spark)
-    docs = export_records(spark, path, "conversations*.json").withColumn("doc", F.concat_ws("#", "path", "pos"))
+    docs = export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos"))
     content = "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string,display_content:string,is_error:boolean,citations:array<struct<title:string,url:string>>>>"
     message = f"array<struct<uuid:string,parent_message_uuid:string,sender:string,created_at:string,content:{content},attachments:array<struct<file_name:string,file_type:string,file_size:string,extracted_content:string>>,files:array<struct<file_name:string,file_uuid:string>>>>"
     msgs = docs.select("doc", F.posexplode(F.from_json(F.get_json_object("json", "$.chat_messages"), message)).alias("pos", "m"))
