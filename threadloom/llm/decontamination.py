@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import join_checked
+from threadloom.session import join_checked, stash
 from threadloom.llm.text import LETTER_WORD, LETTER_WORD_ANY_CASE, ascii_lower, gram_hashes, let, words
 
 WINDOW = 10
@@ -147,4 +147,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens = words(ascii_lower(F.col("text")), LETTER_WORD)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens.alias("tokens"))
     hits = contaminated_spans(keyed, item_classes(benchmark)).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits.k_id) & (F.xxhash64(docs["text"]) == hits.k_hash), "left_anti")
+    hits = stash(hits, "contaminated")  # ids alone: the texts stay where they are unless there are very many
+    return join_checked(docs, hits, docs.doc_id.eqNullSafe(hits.k_id) & (F.xxhash64(docs["text"]) == hits.k_hash), "left_anti")
