@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dup.drop_near_duplicates(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates by five-word shingles."""
+    return near_dup.drop_near_duplicates(docs.select(*COLUMNS), n=near_dup.STAGE_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ CHUNKS, CHUNK_SLOTS = 8, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
 SEED = 20240229
 PERCENT = 80
+#: Words of a shingle where a corpus is cleaned; op6's contract has 2, the default of the functions below it.
+STAGE_WORDS = 5
 #: Ids of up to so many documents (8 bytes each) may be broadcast.
 ID_ROWS = 500_000
 #: What so many members of a center have, and one in so many of them, comes late in the order of prefixes.
@@ -89,10 +91,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, keys) of documents (doc_id, text); print names the shingle set."""
+def signatures(docs: DataFrame, n: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, print, keys) of documents (doc_id, text); print names the set of n-word shingles."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", shingle_set(F.col("text")).alias("s")).mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.select("doc_id", shingle_set(F.col("text"), n).alias("s")).mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -160,8 +162,8 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     return x.join(y, met).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept; by shingles of n words.
 
     Reads doc_id and text; other columns don't matter. Texts without words have no set, stay alone and are
     kept. Rows that share an id count as one document, linked by any of its texts. A null id is linked with
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     4. Of the others, unsettled_pairs() gives the pairs of members that can still be linked; all are compared.
     So no pair of a shared key is left out unless it is already connected or can't be similar enough."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = stash(signatures(base), "signatures")
+    sigs = stash(signatures(base, n), "signatures")
     usable = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("rep", F.explode("keys").alias("key")).distinct()
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     reps = live.select(F.col("rep").alias("id")).distinct()
     wanted = join_checked(base.withColumnRenamed("doc_id", "id"), reps, "id", "left_semi", ID_ROWS)
-    sets = stash(wanted.select("id", shingle_set(F.col("text")).alias("s")), "sets")
+    sets = stash(wanted.select("id", shingle_set(F.col("text"), n).alias("s")), "sets")
 
     pivots = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("a"))
     pairs = live.join(pivots, "key").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
@@ -203,11 +205,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = STAGE_WORDS) -> DataFrame:
     """docs with one document of each group of near-duplicates, the one with the least id; columns as they were.
 
-    Of rows that share a kept id one stays. Rows without an id are kept."""
-    verdict = near_duplicates(docs)
+    Documents are compared by shingles of n words. Of rows that share a kept id one stays. Rows without an id are
+    kept."""
+    verdict = near_duplicates(docs, n)
     gone = stash(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     kept = join_checked(docs, gone, docs["doc_id"].cast("long") == gone.gone_id, "left_anti", ID_ROWS)
     repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null")
