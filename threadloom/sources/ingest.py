@@ -421,25 +421,58 @@ def ingest_task_export(spark: SparkSession, path: str) -> Ingested:
     turns = docs.select(at("id").alias("conversation_id"), at("title").alias("title"), at("created_at").alias("created_at"), F.posexplode(F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.turns")), "$", "array<variant>")).alias("turn_idx", "v")).withColumn("json", F.to_json("v")).drop("v")
     items = F.coalesce(F.try_variant_get(F.try_parse_json(F.coalesce(F.get_json_object("json", "$.input_items"), F.get_json_object("json", "$.output_items"))), "$", "array<variant>"), F.array().cast("array<variant>"))
     user = at("role") == "user"
-    one = lambda kind, text, data: F.struct(F.lit(kind).alias("type"), F.coalesce(text, F.lit("")).alias("text"), data.alias("data"))
+    cites = "array<struct<title:string,url:string>>"
+    one = lambda kind, text, data, c=None: F.struct(F.lit(kind).alias("type"), F.coalesce(text, F.lit("")).alias("text"), data.alias("data"), (F.lit(None) if c is None else c).cast(cites).alias("citations"))
     none = F.lit(None).cast("string")
 
+    def part_blocks(raw: Column) -> Column:
+        """Blocks of a message's parts (array<variant>): a citation goes to the last text before it, or stays as a
+        file where there is none; blank texts are left out, what is not known is kept whole."""
+        fields = "struct<content_type:string,text:string,path:string,line_range_start:string,line_range_end:string,terminal_chunk_id:string,asset_pointer:string,width:long,height:long,size_bytes:long>"
+        bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+        parts = F.transform(F.filter(F.transform(raw, lambda v: F.to_json(v)), lambda j: j.startswith("{")), lambda j: F.struct(F.from_json(j, fields).alias("f"), j.alias("j")))
+        is_text = lambda x: F.coalesce(x.f.content_type == "text", F.lit(False))
+        is_said = lambda x: is_text(x) & F.coalesce(x.f.text.rlike(r"\S"), F.lit(False))
+        span = lambda x: F.concat(F.lit(":L"), F.coalesce(x.f.line_range_start, F.lit("None")), F.lit("-L"), F.coalesce(x.f.line_range_end, F.lit("None")))
+        label = lambda x: F.when(x.f.content_type == "repo_file_citation", F.concat(F.coalesce(x.f.path, F.lit("")), span(x))).when(x.f.content_type == "terminal_chunk_citation", F.concat(F.lit("terminal "), F.coalesce(x.f.terminal_chunk_id, F.lit("")), span(x)))
+        media = lambda x: F.to_json(F.struct(x.f.asset_pointer.alias("path"), x.f.width.alias("width"), x.f.height.alias("height"), x.f.size_bytes.alias("size_bytes")))
+
+        def marked(ps: Column) -> Column:
+            said = F.filter(F.transform(ps, lambda x, i: F.when(is_said(x), i)), lambda i: i.isNotNull())
+            return bind(said, lambda at_: F.transform(ps, lambda x, i: F.struct(x.f.alias("f"), x.j.alias("j"), label(x).alias("label"), F.array_max(F.filter(at_, lambda t: t < i)).alias("to"))))
+
+        def block(ps: Column) -> Column:
+            own = lambda i: F.transform(F.filter(ps, lambda c: c.label.isNotNull() & (c.to == i)), lambda c: F.struct(c.label.alias("title"), F.lit(None).cast("string").alias("url")))
+            each = F.transform(ps, lambda x, i: (
+                F.when(is_said(x), one("text", x.f.text, none, own(i)))
+                .when(is_text(x) | (x.label.isNotNull() & x.to.isNotNull()), F.lit(None))
+                .when(x.label.isNotNull(), one("file", x.label, F.to_json(F.struct(x.label.alias("file_name")))))
+                .when(x.f.content_type == "image_asset_pointer_citation", one("media", x.f.asset_pointer, media(x)))
+                .otherwise(one("unknown", F.lit(""), F.to_json(F.struct(x.f.content_type.alias("orig_type"), x.j.alias("x_raw")))))
+            ))
+            return F.filter(each, lambda y: y.isNotNull())
+
+        return bind(bind(parts, marked), block)
+
     def item(v: Column) -> Column:
         j = F.to_json(v)
         t = F.get_json_object(j, "$.type")
-        parts = F.from_json(F.get_json_object(j, "$.content"), "array<struct<content_type:string,text:string>>")
-        text = F.coalesce(F.array_join(F.transform(F.filter(parts, lambda p: p.text.isNotNull()), lambda p: p.text), "\n"), F.get_json_object(j, "$.text"), F.get_json_object(j, "$.content"))
-        return (
+        raw = F.try_variant_get(F.try_parse_json(F.get_json_object(j, "$.content")), "$", "array<variant>")
+        text = F.coalesce(F.get_json_object(j, "$.text"), F.get_json_object(j, "$.content"))
+        rest = (
             F.when(t == "message", one("text", text, none))
             .when(t == "pr", one("event", F.get_json_object(j, "$.pr_title"), F.to_json(F.struct(F.lit("pull request").alias("name"), F.get_json_object(j, "$.pr_message").alias("detail")))))
             .when(t.contains("diff"), one("code", F.coalesce(F.get_json_object(j, "$.output_diff.diff"), F.get_json_object(j, "$.diff")), F.to_json(F.struct(F.lit("diff").alias("language")))))
             .otherwise(one("unknown", F.lit(""), F.to_json(F.struct(t.alias("orig_type"), j.alias("x_raw")))))
         )
+        return F.when((t == "message") & raw.isNotNull(), part_blocks(raw)).otherwise(F.array(rest))
 
     status = at("turn_status")
     flag = F.when(~user & (status != "") & (F.upper(status) != "COMPLETED"), F.array(one("event", F.concat(F.lit("status: "), status), none))).otherwise(F.slice(F.array(one("event", F.lit(""), none)), 1, 0))
-    each = turns.select("conversation_id", "turn_idx", user.alias("user"), at("created_at").alias("ts"), at("id").alias("uuid"), F.posexplode_outer(F.concat(F.transform(items, item), flag)).alias("block_idx", "blk")).filter("blk is not null or not user")
-    blocks = _blocks(each.withColumn("block_idx", F.coalesce("block_idx", F.lit(0))).withColumn("blk", F.coalesce("blk", one("text", F.lit(""), none))))
+    each = turns.select("conversation_id", "turn_idx", user.alias("user"), at("created_at").alias("ts"), at("id").alias("uuid"), F.posexplode_outer(F.concat(F.flatten(F.transform(items, item)), flag)).alias("block_idx", "blk")).filter("blk is not null or not user")
+    full = each.withColumn("block_idx", F.coalesce("block_idx", F.lit(0))).withColumn("blk", F.coalesce("blk", one("text", F.lit(""), none)))
+    role = F.when(F.col("user"), "human").otherwise("assistant")
+    blocks = full.select("conversation_id", "turn_idx", role.alias("role"), "block_idx", "blk.type", "blk.text", "blk.data", "uuid", "ts", "blk.citations")
     conv = turns.groupBy("conversation_id").agg(F.first("title").alias("title"), F.first("created_at").alias("created_at")).select("conversation_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")).alias("title"), F.lit("codex-tasks").alias("provider"), F.lit("").alias("account"), F.lit("").alias("thread_id"), "created_at", F.col("created_at").alias("updated_at"))
     return Ingested(conv, blocks)
 
