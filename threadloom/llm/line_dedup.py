@@ -16,16 +16,16 @@ BAND = 6 * 1.04 / 2 ** (LOG_K / 2)
 LINE_ROWS = 500_000
 
 
-def line_key(line: Column) -> Column:
-    """Hash of a line without outer blanks; null for one too short to be told apart from chance repeats."""
-    return let(F.trim(line), lambda s: F.when(F.length(s) >= MIN_CHARS, F.xxhash64(s)))
+def line_key(line: Column, min_chars: int = MIN_CHARS) -> Column:
+    """Hash of a line without outer blanks; null for one under min_chars (1: for blank ones only)."""
+    return let(F.trim(line), lambda s: F.when(F.length(s) >= max(1, min_chars), F.xxhash64(s)))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h): keys of the lines that stand on min_sites distinct sites or more. docs: text, site.
 
     A line of a single site, the usual case, is told by its least and greatest site and needs no sketch."""
-    lines = docs.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_key))).alias("h")).filter("h is not null and site is not null")
+    lines = docs.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: line_key(x, min_chars)))).alias("h")).filter("h is not null and site is not null")
     s = F.xxhash64("site")
     several = lines.groupBy("h").agg(F.min(s).alias("lo"), F.max(s).alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") >= min_sites)).select("h")
     several = stash(several, "lines")
@@ -38,25 +38,26 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return stash(sure.unionByName(exact), "boilerplate")
 
 
-def strip_boilerplate(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of boilerplate lines, for the rows of docs that have any.
 
     site: source by default; a null site counts for no spread, but its lines are removed alike."""
     own = docs.select("doc_id", "text", (F.col("source") if site is None else site).alias("site")).filter(F.col("text").isNotNull())
-    found = boilerplate_lines(own.select("text", "site"), min_sites)
-    keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(F.split("text", "\n"), line_key)).alias("pos", "h")).filter("h is not null")
+    found = boilerplate_lines(own.select("text", "site"), min_sites, min_chars)
+    keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: line_key(x, min_chars))).alias("pos", "h")).filter("h is not null")
     hits = join_checked(keyed, found, "h", "left_semi", LINE_ROWS)
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, clean_text.
 
     Reads doc_id, text and source; other columns don't matter. Lines are split at \\n and compared without outer
-    blanks; lines under MIN_CHARS characters are never removed. A null text stays null and has no line; an
+    blanks; lines under min_chars characters are never removed (1: all lines but blank ones count; MIN_CHARS is the cut of
+    op9's SQL). A null text stays null and has no line; an
     empty one has one. Rows that share an id are cleaned by their own texts; repeated rows each. Empty input
     gives no rows."""
-    removed = strip_boilerplate(docs, site, min_sites).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "removed")
+    removed = strip_boilerplate(docs, site, min_sites, min_chars).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "removed")
     left = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     joined = left.join(removed, left.doc_id.eqNullSafe(removed.k_id) & (left.h == removed.k_hash), "left")
     kept = let(F.array_sort("removed"), lambda r: F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(r, i)))
