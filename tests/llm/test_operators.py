@@ -389,7 +389,7 @@ def test_toxicity(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(bad))
         rows.append((i, " ".join(words), "en", "s"))
         labels.append((i, 1, toxic))
-    rows += [(1000, None, None, None), (1001, "", "en", "s"), (1002, "idiot moron " * 20_000, "en", "s"), (None, "moron idiot trash", "en", "s")]
+    rows += [(1000, None, None, None), (1001, "", "en", "s"), (1002, "idiot moron " * 20_000, "en", "s"), (None, "moron idiot trash", "en", "s")] + [rows[7]] * 3
     lab = spark.createDataFrame([*labels, (1001, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     docs = frame(spark, rows, extra=True)
     got = toxicity.score_toxicity(docs, toxicity.learn_grammar(docs, lab)).collect()
@@ -399,20 +399,12 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     by = {r.doc_id: r.predicted for r in got}
     assert (by[1000], by[1001], by[1002]) == (0, 0, 1)
+    assert len(got) == len(rows) and toxicity.score_toxicity(docs.limit(0), toxicity.Grammar({})).count() == 0
     none = toxicity.learn_grammar(docs, lab.limit(0))
+    assert not toxicity.learn_grammar(docs.limit(0), lab).entries
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
 
 
-def test_grammar_weighs_clauses():
-    toxicity._known.clear()
-    g = toxicity.Grammar({"idiot": 1.0}, {"scum": 0.8}, 1.0, 0.0)
-    plain, negated = g.weight("what an idiot"), g.weight("he is not an idiot")
-    assert g.weight("you are an idiot") > plain > negated > 0
-    assert g.weight("the paper said idiot") < plain
-    assert g.weight("we kill time") == 0 < g.weight("i will kill you")
-    assert g.weight("scumbags all") == pytest.approx(0.8)
-
-
 def test_kneser_ney_is_a_distribution_and_matches_brute_force(spark):
     rng = random.Random(11)
     texts = [speech(rng, "en", 60) for _ in range(30)]

@@ -1,18 +1,19 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by a weighted finite-state grammar: five transducers, composed, that score matched clauses.
 
-Five small transducers read a clause's words from left to right: insult and threat emit weights, target,
-negation and reported speech change the state in which later weights are emitted. Their composition is one
-automaton whose state says how many words negation still reaches, whether speech is reported and whether a
-target was named. A text's score comes from its clauses' weights, not from isolated words; the insult
-transducer's entries and the final calibration are learned from labelled training rows.
+A clause is read as a string of classes, one for each word (`classify`). The insult transducer writes HIT for a
+learned insult with the learned weight, the threat transducer writes MENACE; the target transducer lets a threat
+through only in a clause that names a target, before or after it, and rewards hits that have one; negation and
+reported speech take weight off the hits that they reach. Weights add up along a path and a clause is worth its
+best accepting path. Every match may also be passed over for nothing, so no clause is worth less than 0.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,165 +21,333 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.text import id_crc
-from threadloom.session import join_checked, ship
+from threadloom.session import join_checked, ship, stash
 
 #: Fixed word lists of the grammar.
-THREATS = frozenset("kill hurt destroy murder beat stab shoot burn crush strangle".split())
-TARGETS = frozenset("you your yours he she they him her them his their du dich dir ihr tu toi vous usted tú ustedes".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't nicht kein keine nie pas jamais nunca".split())
+THREATS = frozenset("kill hurt destroy murder beat stab shoot burn crush strangle töten umbringen tuer frapper matar golpear".split())
+TARGETS = frozenset("you your yours he she they him her them his their du dich dir ihr tu te toi vous usted tú ustedes".split())
+NEGATIONS = frozenset("not no never nicht kein keine nie pas jamais nunca".split())
 REPORTS = frozenset("said says wrote quoted claimed alleged called sagte schrieb dit écrit dijo escribió".split())
 NEGATION_REACH = 3
-NEGATED, REPORTED, TARGETED = 0.3, 0.6, 1.25
-THREAT_WEIGHT = 1.0
+#: What a hit loses under negation and in reported speech, gains with a target, and what a threat is worth.
+NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = -4.0, -1.5, 1.0, 5.0
+#: Insult weights are rounded to this step, so that the alphabet stays small.
+STEP = 0.25
 #: Labelled training rows that the lexicon and the calibration are learned from, at most about so many.
 SAMPLE_ROWS = 20_000
-PREFIXES = (3, 4, 5, 6)
-MIN_SUPPORT, MIN_ODDS, MAX_ENTRIES = 3, 3.0, 20_000
+#: Lengths of word beginnings that can be entries.
+PREFIXES = range(3, 9)
+MIN_SUPPORT, MIN_ODDS = 3, 3.0
+#: Parts of the sample; each is calibrated on with entries that the others gave.
+FOLDS = 4
 CLAUSE = re.compile(r"[.!?;:\n]+")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CUT = 0.7
 
-
-#: Weights of words met before, of the grammar in use; emptied when it is full or the grammar changes.
-_known: dict[str, float] = {}
-KNOWN_WORDS = 200_000
+ANY, OTHER, HIT, MENACE, THREAT, TARGET, NEGATION, REPORT = "any", "other", "hit", "menace", "threat", "target", "negation", "report"
+#: One arc: what is written, its weight, the next state.
+Arc = tuple[str, float, str]
 
 
 @dataclass(frozen=True)
+class Transducer:
+    """arcs[state][symbol] are the moves; a symbol that a state doesn't name takes its ANY arcs, which copy it."""
+
+    start: str
+    finals: frozenset[str]
+    arcs: dict[str, dict[str, tuple[Arc, ...]]]
+
+    def moves(self, state: str, symbol: str) -> list[Arc]:
+        here = self.arcs[state]
+        if symbol in here:
+            return list(here[symbol])
+        return [(symbol if out == ANY else out, w, to) for out, w, to in here.get(ANY, ())]
+
+    def best(self, symbols: Iterable[str]) -> float:
+        """The greatest weight of an accepting path; -inf where there is none."""
+        reached = {self.start: 0.0}
+        for s in symbols:
+            after: dict[str, float] = {}
+            for state, total in reached.items():
+                for _, w, to in self.moves(state, s):
+                    if total + w > after.get(to, -math.inf):
+                        after[to] = total + w
+            reached = after
+        return max((v for q, v in reached.items() if q in self.finals), default=-math.inf)
+
+
+def compose(first: Transducer, second: Transducer, alphabet: Iterable[str]) -> Transducer:
+    """The transducer that reads what first reads and writes what second writes for what first writes."""
+    alphabet = list(alphabet)
+    name = lambda a, b: f"{a}+{b}"
+    arcs: dict[str, dict[str, tuple[Arc, ...]]] = {}
+    finals, todo, seen = set(), [(first.start, second.start)], {(first.start, second.start)}
+    while todo:
+        a, b = todo.pop()
+        if a in first.finals and b in second.finals:
+            finals.add(name(a, b))
+        own: dict[str, tuple[Arc, ...]] = {}
+        for s in alphabet:
+            found = []
+            for mid, w1, to_a in first.moves(a, s):
+                for out, w2, to_b in second.moves(b, mid):
+                    found.append((out, w1 + w2, name(to_a, to_b)))
+                    if (to_a, to_b) not in seen:
+                        seen.add((to_a, to_b))
+                        todo.append((to_a, to_b))
+            own[s] = tuple(found)
+        arcs[name(a, b)] = own
+    return Transducer(name(first.start, second.start), frozenset(finals), arcs)
+
+
+def insult_symbol(weight: float) -> str:
+    return f"insult{max(1, round(weight / STEP))}"
+
+
+def insults(levels: Iterable[str]) -> Transducer:
+    """Writes HIT for an insult, with its weight, or passes it over."""
+    arcs = {s: ((HIT, int(s.removeprefix("insult")) * STEP, "q"), (OTHER, 0.0, "q")) for s in levels}
+    return Transducer("q", frozenset("q"), {"q": {ANY: ((ANY, 0.0, "q"),), **arcs}})
+
+
+def threats() -> Transducer:
+    """Writes MENACE for a threat, with its weight, or passes it over."""
+    return Transducer("q", frozenset("q"), {"q": {ANY: ((ANY, 0.0, "q"),), THREAT: ((MENACE, THREAT_WEIGHT, "q"), (OTHER, 0.0, "q"))}})
+
+
+def targets() -> Transducer:
+    """A menace needs a target in the clause, a hit gains by one: a path may owe a target, but not at the end."""
+    stay = lambda q: {ANY: ((ANY, 0.0, q),), HIT: ((HIT, TARGETED, q),), MENACE: ((HIT, 0.0, q),)}
+    return Transducer(
+        "free",
+        frozenset({"free", "named"}),
+        {
+            "free": {ANY: ((ANY, 0.0, "free"),), TARGET: ((TARGET, 0.0, "named"),), HIT: ((HIT, 0.0, "free"), (HIT, TARGETED, "owing")), MENACE: ((HIT, 0.0, "owing"),)},
+            "owing": {**stay("owing"), TARGET: ((TARGET, 0.0, "named"),)},
+            "named": stay("named"),
+        },
+    )
+
+
+def negations(reach: int = NEGATION_REACH) -> Transducer:
+    """Hits among the next words after a negation lose weight."""
+    arcs: dict[str, dict[str, tuple[Arc, ...]]] = {"0": {ANY: ((ANY, 0.0, "0"),), NEGATION: ((NEGATION, 0.0, str(reach)),)}}
+    for left in range(1, reach + 1):
+        down = str(left - 1)
+        arcs[str(left)] = {ANY: ((ANY, 0.0, down),), HIT: ((HIT, NEGATED, down),), NEGATION: ((NEGATION, 0.0, str(reach)),)}
+    return Transducer("0", frozenset(arcs), arcs)
+
+
+def reports() -> Transducer:
+    """Hits after a word of reported speech lose weight."""
+    return Transducer(
+        "own",
+        frozenset({"own", "told"}),
+        {"own": {ANY: ((ANY, 0.0, "own"),), REPORT: ((REPORT, 0.0, "told"),)}, "told": {ANY: ((ANY, 0.0, "told"),), HIT: ((HIT, REPORTED, "told"),)}},
+    )
+
+
+def grammar_of(levels: Iterable[str]) -> Transducer:
+    """The five transducers as one."""
+    alphabet = [OTHER, THREAT, TARGET, NEGATION, REPORT, *sorted(set(levels))]
+    whole = insults(levels)
+    for step in (threats(), targets(), negations(), reports()):
+        whole = compose(whole, step, alphabet)
+    return whole
+
+
+def tokens(text: str) -> list[str]:
+    return WORD.findall(text)
+
+
+def plain(text: str) -> str:
+    return text.lower().replace("’", "'")
+
+
+@dataclass
 class Grammar:
-    """Insult entries: whole words and word beginnings with their weights; slope and offset of the calibration."""
+    """Insult entries (whole words, and beginnings that end in *) with weights; coefficients of the calibration."""
+
+    entries: dict[str, float]
+    coefficients: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    _machine: Transducer | None = field(default=None, repr=False)
+    _classes: dict[str, str] = field(default_factory=dict, repr=False)
 
-    words: dict[str, float]
-    starts: dict[str, float]
-    slope: float
-    offset: float
+    #: Words whose class is remembered; forgotten together beyond that.
+    KNOWN_WORDS = 200_000
 
     def insult(self, word: str) -> float:
-        w = _known.get(word)
-        if w is None:
-            w = self.words.get(word, 0.0) or next((v for n in PREFIXES if len(word) > n and (v := self.starts.get(word[:n]))), 0.0)
-            if len(_known) >= KNOWN_WORDS:
-                _known.clear()
-            _known[word] = w
-        return w
-
-    def clause(self, tokens: list[str]) -> float:
-        """The weight that the composed automaton emits for one clause."""
-        negated, reported, targeted, total = 0, False, False, 0.0
-        pending = 0.0  # threats count once a target has been named, before or after
-        for t in tokens:
-            negated = max(0, negated - 1)
-            if t in NEGATIONS or t.endswith("n't"):
-                negated = NEGATION_REACH + 1
-            elif t in REPORTS:
-                reported = True
-            elif t in TARGETS:
-                targeted = True
+        """The greatest weight of an entry that fits the word; 0 if none does."""
+        return max([self.entries.get(word, 0.0), *(self.entries.get(word[:n] + "*", 0.0) for n in PREFIXES if n < len(word))])
+
+    def classify(self, word: str) -> str:
+        known = self._classes.get(word)
+        if known is None:
+            if w := self.insult(word):
+                known = insult_symbol(w)
+            elif word in THREATS:
+                known = THREAT
+            elif word in TARGETS:
+                known = TARGET
+            elif word in NEGATIONS or word.endswith("n't"):
+                known = NEGATION
             else:
-                factor = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-                if w := self.insult(t):
-                    total += w * factor
-                elif t in THREATS:
-                    pending += THREAT_WEIGHT * factor
-        return (total + (pending if targeted else 0.0)) * (TARGETED if targeted else 1.0)
-
-    def weight(self, text: str) -> float:
-        """Total of a text's matched clauses; clauses in which no transducer can emit are passed over."""
-        low = text.lower()
-        if not any(t in THREATS or self.insult(t) for t in set(WORD.findall(low))):
-            return 0.0
-        total = 0.0
-        for part in CLAUSE.split(low):
-            tokens = WORD.findall(part)
-            if any(t in THREATS or self.insult(t) for t in tokens):
-                total += self.clause(tokens)
-        return total
-
-    def probability(self, weight: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(weight) + self.offset))))
-
-
-def _calibrated(weights: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression on log(1 + weight), by Newton steps with a little ridge."""
-    x = np.column_stack([np.log1p(weights), np.ones(len(weights))])
-    b = np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
-        b += np.linalg.solve(h, x.T @ (y - p) - 0.05 * b)
-    return float(b[0]), float(b[1])
-
-
-def _weights(grammar: Grammar, broadcast_of) -> object:
+                known = REPORT if word in REPORTS else OTHER
+            if len(self._classes) >= self.KNOWN_WORDS:
+                self._classes.clear()
+            self._classes[word] = known
+        return known
+
+    def machine(self) -> Transducer:
+        if self._machine is None:
+            self._machine = grammar_of({insult_symbol(w) for w in self.entries.values()})
+        return self._machine
+
+    def clause(self, words: list[str]) -> float:
+        return self.machine().best(map(self.classify, words))
+
+    def features(self, text: str | None) -> tuple[float, float, int]:
+        """Of a text's clauses the greatest weight and the sum; how many words the text has."""
+        low = plain(text or "")
+        words = tokens(low)
+        bites = {w for w in set(words) if self.classify(w) == THREAT or self.classify(w).startswith("insult")}
+        top = total = 0.0
+        if bites:
+            for part in CLAUSE.split(low):
+                own = tokens(part)
+                if not bites.isdisjoint(own):
+                    w = self.clause(own)
+                    top, total = max(top, w), total + w
+        return top, total, len(words)
+
+    def score(self, text: str | None) -> float:
+        z = float(np.dot(_inputs(*(np.array([v], float) for v in self.features(text)))[0], self.coefficients))
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def _inputs(top: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Inputs of the calibration: strongest clause, all clauses, and length, as long texts match more by chance."""
+    return np.column_stack([top, np.log1p(total), -np.log1p(words) * (total > 0), np.ones(len(top))])
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a little ridge; coefficients below 0 are left out, but for the offset."""
+    use = list(range(x.shape[1]))
+    while True:
+        b = np.zeros(len(use))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x[:, use] @ b, -30, 30)))
+            h = (x[:, use] * (p * (1 - p))[:, None]).T @ x[:, use] + 0.05 * np.eye(len(use))
+            b += np.linalg.solve(h, x[:, use].T @ (y - p) - 0.05 * b)
+        bad = [u for u, v in zip(use[:-1], b, strict=False) if v < 0]
+        if not bad:
+            out = np.zeros(x.shape[1])
+            out[use] = b
+            return tuple(float(v) for v in out)
+        use = [u for u in use if u not in bad]
+
+
+def entries_of(text: str) -> set[str]:
+    """What of a text could become an entry: its words and their beginnings."""
+    words = set(tokens(plain(text)))
+    return words | {w[:n] + "*" for w in words for n in PREFIXES if n < len(w)}
+
+
+def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fold, toxic, text) -> (fold, entry, pos, neg): in how many of a fold's texts an entry stands, by their labels."""
+    for batch in batches:
+        counts: Counter[tuple[int, str, int]] = Counter()
+        for fold, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts.update((fold, e, toxic) for e in entries_of(text))
+        keys = sorted({(fold, e) for fold, e, _ in counts})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([counts[*k, t] for k in keys], pa.int64()) for t in (1, 0))],
+            names=["fold", "entry", "pos", "neg"],
+        )
+
+
+def _measured(grammar: Grammar, broadcast_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(..., text) -> (..., top, total, words)."""
     shared = broadcast_of(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
-        _known.clear()
         for batch in batches:
             texts, out = batch.column(batch.num_columns - 1), []
-            for at in range(0, len(batch), 256):
-                out += [g.weight(t) if t else 0.0 for t in texts.slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "weight"])
+            for at in range(0, len(batch), 256):  # as Python strings, few at a time
+                out += [g.features(t) for t in texts.slice(at, 256).to_pylist()]
+            columns = [pa.array([f[i] for f in out], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "top", "total", "words"])
 
     return run
 
 
+def learn_entries(counted: DataFrame, sizes: dict[int, tuple[int, int]], without: int | None = None) -> dict[str, float]:
+    """Entries and weights from counts (fold, entry, pos, neg) and the folds' numbers of texts, one fold left out.
+
+    A word or beginning of a word is an entry if it stands in MIN_SUPPORT toxic texts or more, four times as many as
+    others, and the logarithm of its smoothed odds against the sample's is MIN_ODDS or more, which is its weight; one
+    that a beginning of its own outweighs can never be used and is left out, so what the driver gets is short."""
+    pos, neg = (sum(n[i] for fold, n in sizes.items() if fold != without) for i in (0, 1))
+    used = counted if without is None else counted.filter(F.col("fold") != without)
+    sums = used.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
+    strong = sums.withColumn("odds", odds).filter((F.col("pos") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS) & (F.col("pos") >= 4 * F.col("neg")))
+    stem = F.regexp_replace("entry", r"\*$", "")
+    begins = F.filter(F.array(*[F.when(F.length(stem) > k, F.concat(F.substring(stem, 1, k), F.lit("*"))) for k in PREFIXES]), lambda b: b.isNotNull())
+    own = strong.select("entry", "odds", F.explode_outer(begins).alias("begin"))
+    shorter = strong.select(F.col("entry").alias("begin"), F.col("odds").alias("shorter"))
+    kept = own.join(shorter, "begin", "left").groupBy("entry", "odds").agg(F.max("shorter").alias("shorter")).filter("shorter is null or shorter < odds")
+    return {r["entry"]: r["odds"] for r in kept.collect()}
+
+
 def learn_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Insult entries and calibration from labelled rows whose crc32(id) mod 3 is not 1.
 
-    At most about SAMPLE_ROWS rows are used, chosen by a hash of the id. A word or beginning of a word is an
-    entry if it stands in MIN_SUPPORT toxic texts or more, four times as many as others, and the logarithm of its
-    smoothed odds against the sample's is MIN_ODDS or more; its weight is what goes beyond that, on a scale where
-    the surest entry weighs 1. Without toxic training rows there are no entries and every score is the base rate's."""
+    At most about SAMPLE_ROWS rows are used, chosen by a hash of the id; equal texts count once, toxic if any of
+    their rows is. The calibration sees each text through entries learned from the other folds, so that it
+    isn't misled by entries that only fit the text itself. Without toxic training rows there are no entries and every
+    score is the base rate's."""
     spark = docs.sparkSession
     ship(spark)
-    labelled = labels.filter((id_crc(F.col("doc_id")) % 3 != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = labels.filter((id_crc(F.col("doc_id")) % 3 != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = labelled.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003.0
     chosen = labelled.filter(drawn < min(1.0, SAMPLE_ROWS / max(1, n)))
-    rows = join_checked(docs.select("doc_id", "text"), chosen, "doc_id").filter(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
-    rows = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}'’]+"), F.lit(0)))
-    starts = [F.transform(F.filter(F.col("w"), lambda t, n=n: F.length(t) > n), lambda t, n=n: F.concat(F.substring(t, 1, n), F.lit("*"))) for n in PREFIXES]
-    seen = (
-        rows.withColumn("w", tokens)
-        .select("toxic", F.explode(F.array_distinct(F.concat(F.col("w"), *starts))).alias("entry"))
-        .groupBy("entry")
-        .agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-        .filter(F.col("pos") >= MIN_SUPPORT)
-    )
-    base = rows.agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = base["pos"] or 0, (base["n"] or 0) - (base["pos"] or 0)
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    # a beginning must be nearly always toxic; a few hundred entries in practice, and MAX_ENTRIES bounds what the driver gets
-    kept = seen.withColumn("odds", odds).filter((F.col("odds") >= MIN_ODDS) & (F.col("pos") >= 4 * F.col("neg")))
-    found = kept.orderBy(F.desc("odds"), "entry").limit(MAX_ENTRIES).collect()
-    top = max((r["odds"] for r in found), default=1.0)
-    value = {r["entry"]: max(0.05, (r["odds"] - MIN_ODDS) / max(1.0, top - MIN_ODDS)) for r in found}
-    words = {k: v for k, v in value.items() if not k.endswith("*")}
-    begins = {k[:-1]: v for k, v in value.items() if k.endswith("*")}
-    rough = Grammar(words, begins, 1.0, 0.0)
-    fitted = rows.select("toxic", "text").mapInArrow(_weights(rough, spark.sparkContext.broadcast), "toxic int, weight double").groupBy("toxic", F.round("weight", 2).alias("weight")).count().collect()
-    if not fitted or not pos:
-        rate = (pos + 0.5) / (pos + neg + 1.0)
-        return Grammar(words, begins, 0.0, math.log(rate / (1 - rate)))
-    w = np.repeat([r["weight"] for r in fitted], [r["count"] for r in fitted])
-    y = np.repeat([float(r["toxic"]) for r in fitted], [r["count"] for r in fitted])
-    slope, offset = _calibrated(w, y)
-    return Grammar(words, begins, max(0.0, slope), offset)
+    rows = join_checked(docs.select("doc_id", "text"), chosen, "doc_id").filter(F.col("text").isNotNull())
+    rows = stash(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select((F.crc32("text") % FOLDS).cast("int").alias("fold"), "toxic", "text"), "toxicity-sample")
+    sizes = {r["fold"]: (r["pos"], r["neg"]) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).collect()}
+    counted = stash(rows.mapInArrow(_count_entries, "fold int, entry string, pos long, neg long").groupBy("fold", "entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity-entries")
+    grammar = Grammar(learn_entries(counted, sizes))
+
+    seen = []
+    for fold in sizes:
+        apart = Grammar(learn_entries(counted, sizes, without=fold))
+        run = _measured(apart, spark.sparkContext.broadcast)
+        seen.append(rows.filter(F.col("fold") == fold).select("toxic", "text").mapInArrow(run, "toxic int, top double, total double, words long").toArrow())
+    y = np.concatenate([np.asarray(t["toxic"], float) for t in seen]) if seen else np.zeros(0)
+    if not grammar.entries:
+        rate = (y.sum() + 0.5) / (len(y) + 1.0)
+        grammar.coefficients = (0.0, 0.0, 0.0, math.log(rate / (1 - rate)))
+    else:
+        columns = (np.concatenate([np.asarray(t[c], float) for t in seen]) for c in ("top", "total", "words"))
+        grammar.coefficients = calibrated(_inputs(*columns), y)
+    return grammar
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted, weight.
+    """One row per row of docs: doc_id, held_out, score, predicted, top, total (weights of its clauses), words.
 
     Reads doc_id and text; other columns don't matter, and nothing but the text enters a score. A null or
-    empty text scores as one without matches. A null id is not held out."""
-    ship(docs.sparkSession)
+    empty text scores as one without matches. A null id is not held out. Repeated rows score alike. Very long texts
+    are read whole, clause by clause. Empty input gives no rows."""
+    spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
-    run = _weights(grammar, docs.sparkSession.sparkContext.broadcast)
-    weighed = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, weight double")
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.log1p("weight") * grammar.slope + grammar.offset))
-    score = 1.0 / (1.0 + F.exp(-z))
-    return weighed.select("doc_id", "held_out", score.alias("score"), F.when(score >= CUT, 1).otherwise(0).alias("predicted"), "weight")
+    run = _measured(Grammar(grammar.entries, grammar.coefficients), spark.sparkContext.broadcast)
+    weighed = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, top double, total double, words long")
+    a, b, c, d = grammar.coefficients
+    z = F.col("top") * a + F.log1p("total") * b - F.when(F.col("total") > 0, F.log1p("words")).otherwise(0.0) * c + d
+    score = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return weighed.select("doc_id", "held_out", score.alias("score"), F.when(score >= CUT, 1).otherwise(0).alias("predicted"), "top", "total", "words")
