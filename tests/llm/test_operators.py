@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,73 +406,100 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
 
 
-def test_kneser_ney_is_a_distribution_and_matches_brute_force(spark):
-    rng = random.Random(11)
-    texts = [speech(rng, "en", 60) for _ in range(30)]
-    model = kneser_ney.fit_trigram_model(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))
-    import numpy as np
-
-    p = np.exp(-model.cost.astype(float)).reshape(64, 64, 64)
-    assert np.allclose(p.sum(2), 1, atol=1e-3)
-    tri = Counter()
-    for t in texts:
-        for g in kneser_ney.trigrams(t):
-            tri.update((int(x) // 4096, int(x) // 64 % 64, int(x) % 64) for x in g)
-
-    def discounts(values):
-        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        if not (n[0] and n[1] and n[2]):
-            return [0.5, 0.75, 0.9]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-        return [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
-
-    pair = Counter((v, w) for _, v, w in tri)
-    one = Counter(w for _, w in pair)
-    kinds = sum(one.values())
-    d3, d2 = discounts(tri.values()), discounts(pair.values())
-
-    def p1(w):
-        return 0.99 * one[w] / kinds + 0.01 / 64
-
-    def level(counts, d, key, ctx, lower):
-        here = {k: c for k, c in counts.items() if k[:-1] == ctx}
-        if not here:
-            return lower
-        total = sum(here.values())
-        taken = sum(d[min(c, 3) - 1] for c in here.values())
-        c = here.get(key, 0)
-        return max(c - (d[min(c, 3) - 1] if c else 0), 0) / total + taken / total * lower
-
-    for u, v, w in [*list(tri)[:25], (1, 2, 3), (60, 61, 62), (1, 60, 2)]:
-        want = level(tri, d3, (u, v, w), (u, v), level(pair, d2, (v, w), (v,), p1(w)))
-        assert p[u, v, w] == pytest.approx(want, rel=1e-3)
-
-
-def test_quality_classifier(spark):
-    rng = random.Random(12)
-    rows = [(i, speech(rng, lang := rng.choice(["en", "fr"]), rng.randint(20, 90)), lang, "s") for i in range(300)]
-    junk = [(500 + i, "".join(rng.choice("@#%!{}qxzXW ") for _ in range(300)), "en", "s") for i in range(20)]
-    rows += [*junk, (900, None, None, None), (901, "", "en", "s"), (902, speech(rng, "fr", 30_000), "xx", None)]
-    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)] * 2, "doc_id long")
-    got = {r.doc_id: r for r in kneser_ney.classify_quality(frame(spark, rows, extra=True), trusted).collect()}
+def brute_quality(rows, trusted, quantile):
+    """{(id, lang, text): (perplexity, kept)} with a model of dictionaries, recursively."""
+    n, start = kneser_ney.ORDER, chr(kneser_ney.START)
+    grams_of = lambda t: [(start * (n - 1) + t)[i : i + n] for i in range(len(t))]
+    calibrates = lambda i: zlib.crc32(str(i).encode()) % kneser_ney.CALIBRATION == 0
+    out, by_lang = {}, defaultdict(list)
+    for i, t, lang, _ in rows:
+        by_lang[lang].append((i, (t or "").replace("\0", chr(kneser_ney.MARK)), t))
+    for lang, own in by_lang.items():
+        counts = {n: Counter(g for i, t, _ in own if i in trusted and not calibrates(i) for g in grams_of(t))}
+        for k in range(n - 1, 0, -1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        cuts, sums, taken = {}, {}, {}
+        for k, c in counts.items():
+            m = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
+            cuts[k] = [0.5, 0.75, 0.9]
+            if m[0] and m[1] and m[2]:
+                y = m[0] / (m[0] + 2 * m[1])
+                cuts[k] = [min(max(j - (j + 1) * y * m[j] / m[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+            sums[k], taken[k] = Counter(), Counter()
+            for g, v in c.items():
+                sums[k][g[:-1]] += v
+                taken[k][g[:-1]] += cuts[k][min(v, 3) - 1]
+
+        def p(g):
+            k = len(g)
+            if not k:
+                return 1 / (len(counts[1]) + 1)
+            if not sums[k][g[:-1]]:
+                return p(g[1:])
+            v = counts[k][g]
+            return ((v - cuts[k][min(v, 3) - 1] if v else 0) + taken[k][g[:-1]] * p(g[1:])) / sums[k][g[:-1]]
+
+        steps, judged = [], {}
+        for i, t, raw in own:
+            cost = [-math.log(p(g)) for g in grams_of(t)] if counts[1] else []
+            if cost:
+                mean = sum(cost) / len(cost)
+                sd = math.sqrt(max(0.0, sum(x * x for x in cost) / len(cost) - mean * mean) / len(cost))
+                judged[i, lang, raw] = mean, math.ceil((mean - kneser_ney.MARGIN * sd) * kneser_ney.STEPS)
+                if i in trusted and calibrates(i):
+                    steps.append(judged[i, lang, raw][1])
+        rank = math.ceil((len(steps) + 1) * quantile - 1e-9)
+        top = sorted(steps)[rank - 1] if 0 < rank <= len(steps) else math.inf
+        for i, t, raw in own:
+            mean, step = judged.get((i, lang, raw), (None, -math.inf))
+            out[i, lang, raw] = (mean, bool(t) and step <= top)
+    return out
+
+
+def quality_corpus(rng):
+    rows = [(i, speech(rng, lang := rng.choice(["en", "fr"]), rng.randint(6, 30)), lang, "s") for i in range(300)]
+    junk = [(500 + i, "".join(rng.choice("@#%!{}qxzXW ") for _ in range(200)), "en", "s") for i in range(20)]
+    rows += [*junk, (900, None, None, None), (901, "", "en", "s"), (902, speech(rng, "fr", 3_000), "xx", None), (903, "in the \\0 zero", "en", "s"), (904, "no language", None, "s")]
+    return rows + [rows[3], rows[3], (7, "another text of seven", "en", "s"), (None, "no id", "en", "s")], junk
+
+
+@pytest.mark.parametrize(("hot", "piece"), [(1 << 20, 1 << 20), (200, 50), (0, 1 << 20)])
+def test_quality_classifier_equals_brute_force(spark, monkeypatch, hot, piece):
+    """Also with grams that are not broadcast, with texts in pieces, and with both."""
+    rows, junk = quality_corpus(random.Random(12))
+    monkeypatch.setattr(kneser_ney, "HOT_GRAMS", hot)
+    if piece < 1 << 20:  # the workers import the module anew, so pieces are tried in this process
+        whole = [g for t in ("", "a", "ab" * 300, rows[322][1]) for g in [np.concatenate([*(kneser_ney.gram_keys(p, np.uint64(5)) for p in kneser_ney.code_points(t)), np.zeros(0, np.uint64)])]]
+        monkeypatch.setattr(kneser_ney, "PIECE", piece)
+        cut = [g for t in ("", "a", "ab" * 300, rows[322][1]) for g in [np.concatenate([*(kneser_ney.gram_keys(p, np.uint64(5)) for p in kneser_ney.code_points(t)), np.zeros(0, np.uint64)])]]
+        assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+    trusted = set(range(0, 300))
+    ids = spark.createDataFrame([(i,) for i in trusted] * 2, "doc_id long")
+    got = kneser_ney.classify_quality(frame(spark, rows, extra=True), ids, quantile=0.9).collect()
+    want = brute_quality(rows, trusted, 0.9)
     assert len(got) == len(rows)
-    assert not any(got[i].kept for i, *_ in junk)
-    assert sum(got[i].kept for i in range(300)) >= 290
-    assert (got[900].kept, got[901].kept, got[902].kept) == (False, False, True)
-    assert got[900].perplexity is None
-    free = kneser_ney.classify_quality(frame(spark, rows), trusted.limit(0)).collect()
-    assert all(r.kept == bool(r.n_grams) for r in free)
-    assert kneser_ney.classify_quality(frame(spark, rows).limit(0), trusted).count() == 0
-
-
-def test_trigrams_do_not_depend_on_pieces(monkeypatch):
-    import numpy as np
-
-    text = speech(random.Random(3), "de", 500)
-    whole = np.concatenate(list(kneser_ney.trigrams(text)))
-    monkeypatch.setattr(kneser_ney, "PIECE", 101)
-    assert (np.concatenate(list(kneser_ney.trigrams(text))) == whole).all() and len(whole) == len(text)
+    seen = defaultdict(list)
+    for r in got:
+        seen[r.doc_id, r.lang].append((r.perplexity, r.kept, r.n_grams))
+    for (i, lang, text), (mean, kept) in want.items():
+        assert any(k == kept and n == len(text or "") and (p is None) == (mean is None) and (p is None or p == pytest.approx(math.exp(mean), rel=1e-6)) for p, k, n in seen[i, lang]), (i, lang)
+    assert not any(k for i, *_ in junk for _, k, _ in seen[i, "en"])
+    by = {k: v[0][:2] for k, v in seen.items()}
+    assert (by[900, None], by[901, "en"], by[902, "xx"], by[904, None]) == ((None, False), (None, False), (None, True), (None, True))
+
+
+def test_quality_classifier_without_trust_or_rows(spark):
+    rows, _ = quality_corpus(random.Random(13))
+    none = spark.createDataFrame([], "doc_id long")
+    free = kneser_ney.classify_quality(frame(spark, rows), none).collect()
+    assert len(free) == len(rows) and all(r.kept == bool(r.n_grams) for r in free)
+    assert kneser_ney.classify_quality(frame(spark, rows).limit(0), none).count() == 0
+
+
+def test_thresholds_need_enough_rows(spark):
+    rows = [("a", s) for s in range(1, 100)] + [("b", s) for s in range(1, 99)]
+    got = kneser_ney.thresholds(spark.createDataFrame(rows, "lang string, step long"), 0.99).collect()
+    assert [(r.lang, r.threshold) for r in got] == [("a", 99)]
 
 
 # ---- 9 ----
