@@ -9,9 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, MapType, NumericType, StringType, StructType, TimestampType
 
-#: Rows up to which a side with narrow rows of known width may be broadcast.
+#: Rows, and bytes of their values, up to which a side may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int = 8, app: str = "threadloom", **conf: str) -> SparkSession:
@@ -34,9 +36,11 @@ def local_session(cpus: int = 8, app: str = "threadloom", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset on a single machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,16 +51,51 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._stashed_at = path
+    return kept
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def discard(*stashed: DataFrame) -> None:
+    """Delete tables made by stash() that nothing will read again."""
+    for df in stashed:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many more underscores as it takes to differ from all columns of df, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def width(df: DataFrame) -> Column:
+    """Bytes of a row's values, about."""
+    fixed = sum(8 for f in df.schema.fields if isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType)))
+    texts = [F.coalesce(F.octet_length(named(f.name)), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    other = [named(f.name) for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    nested = [F.octet_length(F.to_json(F.struct(*other)))] if other else []
+    total = F.lit(fixed)
+    for part in texts + nested:
+        total = total + part
+    return total.cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and about so many bytes; looks no further than that many rows."""
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= rows and seen["bytes"] <= size
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts the right side only after counting it; beyond the limit it shuffles."""
+    """Join that broadcasts the right side only after counting its rows and bytes; beyond the limits it shuffles."""
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 
