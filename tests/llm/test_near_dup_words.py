@@ -47,3 +47,13 @@ def test_stage_compares_five_words(spark):
     assert two < five
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == five
     assert {r.doc_id for r in near_dup.near_duplicates(docs, n=2).filter("kept").collect()} == two
+
+
+def test_string_ids_and_several_texts_of_one_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [("b", text), ("a", text + " end"), ("c", "quite another text here and there"), ("c", "and a third one"), ("c", "and a third one"), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect() if r.doc_id)
+    assert got == [("a", "a"), ("b", "a"), ("c", "c"), ("c", "c"), ("c", "c")]
+    kept = sorted((r.doc_id or "", r.text) for r in near_dup.drop_near_duplicates(docs).collect())
+    assert kept == [("", text), ("", text), ("a", text + " end"), ("c", "and a third one")]

@@ -90,6 +90,18 @@ def test_contamination_equals_brute_force(spark):
     assert kept.count() == sum(n for k, n in found.items() if not k[5])
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_contamination_by_repeating_and_long_items(spark, monkeypatch, broadcast):
+    """Items that repeat themselves or are very long, in bounded time; also when fingerprints are too many to broadcast."""
+    monkeypatch.setattr(decontamination, "FINGERPRINT_ROWS", broadcast)
+    rng = random.Random(51)
+    own = [rng.choice(VOCAB) + str(rng.randrange(400)) for _ in range(20_000)]
+    items = [(1, "ha " * 1_000), (2, " ".join(own)), (3, "short one"), (4, "ha " * 9 + "ho")]
+    rows = [(1, "ha " * 20_000, "en", "a"), (2, "x " * 50 + " ".join(own[5_000:5_040]) + " y", "en", "a"), (3, "clean text", "en", "a"), (4, "so ha ha ha", "en", "a"), (None, " ".join(own[:12]), "en", "a"), (6, "a short one " + "ha " * 9 + "ho ha", "en", "a")]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (20_000, 1), 2: (40, 1), 3: (0, 0), 4: (0, 0), None: (12, 1), 6: (2 + 10, 2)}
+
+
 def test_contamination_empty_tables(spark):
     docs, bench = frame(spark, AWKWARD), spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
@@ -194,16 +206,42 @@ def brute_mix(rows, percent, epochs, weights, domain):
     return out
 
 
-@pytest.mark.parametrize("percent, weights", [(50, {}), (100, {"d1": 5}), (30, {"d0": 3, "d0/en": 7, "d2/en/b": 4}), (150, {"d3": 9}), (0, {})])
+@pytest.mark.parametrize("percent, weights", [(50, {}), (100, {"y": 5}), (30, {"x": 3, "x/en": 7, "y/en/b": 4}), (150, {"other": 9}), (0, {})])
 def test_mix_equals_brute_force(spark, percent, weights):
     rng = random.Random(percent)
     rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)] + AWKWARD
     w = spark.createDataFrame(list(weights.items()), "path string, weight long") if weights else None
-    got = mixing.mix_sources(frame(spark, rows, extra=True), weights=w, budget_percent=percent).select("doc_id", "mix.*")
-    domain = lambda s: f"d{int(hashlib.md5(s.encode()).hexdigest()[0], 16) // 4}"
+    domains = {"a": "x", "b": "y"}
+    got = mixing.mix_sources(frame(spark, rows, extra=True), mixing.domain_of(F.col("source"), domains), w, budget_percent=percent).select("doc_id", "mix.*")
+    domain = lambda s: domains.get(s, "other")
     assert Counter(tuple(r) for r in got.collect()) == brute_mix(rows, percent, 4, weights, domain)
 
 
+def test_mix_deals_to_very_many_sources(spark):
+    """Also where many children run dry at one ratio, or within one step of ratios."""
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.choice([1, 2, 3, 40, 41, 42])), "en", f"s{i % 90}") for i in range(400)]
+    weights = {f"other/en/s{i}": rng.choice([1, 2, 3]) for i in range(0, 90, 2)}
+    w = spark.createDataFrame(list(weights.items()), "path string, weight long")
+    got = mixing.mix_sources(frame(spark, rows), weights=w, budget_percent=55, max_epochs=1).select("doc_id", "mix.*")
+    assert Counter(tuple(r) for r in got.collect()) == brute_mix(rows, 55, 1, weights, lambda s: "other")
+
+
+CLASHING = ["budget", "whole", "rest", "buckets", "end_bucket", "last_spot", "leaf", "domain", "epoch", "tokens", "spot", "bucket", "label", "n_tokens", "at", "left", "share"]
+CLASHING += ["bytes_before", "rows_before", "__piece", "__mix", "__limits", "__Epoch", "__shard", "__place", "piece", "bytes", "rows", "row", "to", "r", "sub", "size", "crc", "id", "key", "gone_id", "k_id", "k_hash", "a.b"]
+
+
+@pytest.mark.parametrize("operator", [lambda d: mixing.mix_sources(d, budget_percent=100, max_epochs=1), sharding.shard_documents, near_dup.drop_near_duplicates, lambda d: decontamination.drop_contaminated(d, d.select(F.lit(1).alias("item_id"), F.lit("no such words").alias("text")))])
+def test_columns_of_any_name_keep_their_values(spark, operator):
+    docs = frame(spark, [(i, f"text number {i}", "en", "s") for i in range(20)] + [(3, "text number 3", "en", "s"), (3, "another", "en", "s")])
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id")))
+    got = operator(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    assert rows and all(r[name] == f"{name}{r.doc_id}" for r in rows for name in CLASHING)
+
+
 def test_mix_does_not_depend_on_buckets(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(1, 30)), "en", "hot" if i % 3 else "b") for i in range(300)]
@@ -233,6 +271,25 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_token_counts_of_whole_tables_equal_the_library(spark):
+    """Every document of a driver's table, counted by the library of the .json file too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(texts, (len(e.ids) for e in library.encode_batch([t or "" for t in texts.values()], add_special_tokens=False)), strict=True))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()} == want
+
+
+def test_batches_are_balanced_by_bytes():
+    sizes = [10, 10, 10, 100, 1, 1, 1, 30]
+    runs = list(token_counts.balanced(sizes, 30))
+    assert [i for r in runs for i in r] == list(range(8)) and all(len(r) == 1 or sum(sizes[i] for i in r) <= 30 for r in runs)
+    assert list(token_counts.balanced([], 30)) == []
+
+
 @pytest.mark.parametrize("vocabulary", ["byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts_of_other_vocabularies(spark, vocabulary):
     import public_tokenizers
@@ -350,10 +407,11 @@ def test_shards_of_awkward_rows(spark):
 # ---- 2, 8, 10: held-out accuracy ----
 
 SYLLABLES = {"en": "the ing tion er and", "fr": "eau oux ré que ent", "de": "sch ung ber ein ü"}
+RARE = {"xx": "zla kvo pry dž ňa"}
 
 
 def speech(rng, lang, n):
-    return " ".join("".join(rng.choice(SYLLABLES[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
+    return " ".join("".join(rng.choice((SYLLABLES | RARE)[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
 
 
 def test_language_id(spark):
@@ -372,6 +430,20 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify_language(frame(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 
 
+def test_language_rejection(spark):
+    """Texts of a language never seen and noise are rejected, nearly all known ones are not; rare languages are learned."""
+    rng = random.Random(18)
+    rows = [(i, speech(rng, lang := rng.choice(list(SYLLABLES)), rng.randint(20, 80)), lang, "s") for i in range(900)]
+    rows += [(2000 + i, speech(rng, "xx", 40), "xx", "s") for i in range(40)]
+    strange = [(5000 + i, " ".join("".join(rng.choice("wakizumo") for _ in range(6)) for _ in range(40)), None, "s") for i in range(40)]
+    noise = [(6000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(100)), None, "s") for i in range(40)]
+    rows += strange + noise + [rows[0]] * 2
+    got = {r.doc_id: r for r in language_id.identify_language(frame(spark, rows)).collect()}
+    assert sum(got[i].rejected for i in range(900)) <= 30
+    assert sum(got[i].rejected for i, *_ in strange + noise) >= 72
+    assert sum(got[2000 + i].lang_pred == "xx" for i in range(40)) >= 38
+
+
 def test_subword_counts_do_not_depend_on_pieces(monkeypatch):
     text = speech(random.Random(1), "fr", 3000)
     whole = language_id.subword_counts(text)
@@ -406,7 +478,7 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_toxicity(docs, none).collect()} == {0}
 
 
-def brute_quality(rows, trusted, quantile):
+def brute_perplexity(rows, trusted, quantile):
     """{(id, lang, text): (perplexity, kept)} with a model of dictionaries, recursively."""
     n, start = kneser_ney.ORDER, chr(kneser_ney.START)
     grams_of = lambda t: [(start * (n - 1) + t)[i : i + n] for i in range(len(t))]
@@ -476,7 +548,7 @@ def test_quality_classifier_equals_brute_force(spark, monkeypatch, hot, piece):
     trusted = set(range(0, 300))
     ids = spark.createDataFrame([(i,) for i in trusted] * 2, "doc_id long")
     got = kneser_ney.classify_quality(frame(spark, rows, extra=True), ids, quantile=0.9).collect()
-    want = brute_quality(rows, trusted, 0.9)
+    want = brute_perplexity(rows, trusted, 0.9)
     assert len(got) == len(rows)
     seen = defaultdict(list)
     for r in got:

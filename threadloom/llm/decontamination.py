@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import join_checked, stash
+from threadloom.session import fresh, join_checked, small, stash
 from threadloom.llm.text import LETTER_WORD, LETTER_WORD_ANY_CASE, ascii_lower, gram_hashes, let, words
 
 WINDOW = 10
 GRAM = 5
 CHUNK = 96
-#: A fingerprint row with its item's words is about 1 KB.
-FINGERPRINT_ROWS = 100_000
+#: Rows up to which fingerprints, each with the words around it, may be broadcast; their bytes are checked too.
+FINGERPRINT_ROWS = 1_000_000
 
 
 def winnow(hashes: Column, window: int) -> Column:
@@ -66,15 +66,23 @@ def contaminated_spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
     item_prints = None
     for m in lengths:
         k, w = _scheme(m)
+        # a fingerprint comes with the words that a window around it can reach, not with its whole item; places that
+        # look alike, as in an item that repeats itself, are one row
+        words_, q = F.col("words"), F.col("q")
+        start = F.greatest(F.lit(0), q - (m - k))
+        at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(CHUNK))).alias("at")
         own = (
             sized.filter(F.col("m") == m)
-            .withColumn("g", gram_hashes(F.col("words"), k))
-            .withColumn("f", F.array_distinct(winnow(F.col("g"), w)))
-            .select("cls", F.col("words").alias("item_words"), "m", F.lit(k).alias("k"), "f", F.posexplode("g").alias("q", "h"))
+            .select("cls", "words", at)
+            .select("cls", F.slice(F.col("words"), F.col("at") + 1, CHUNK + 2 * WINDOW).alias("words"))  # every window lies whole in a chunk
+            .select("cls", "words", gram_hashes(words_, k).alias("g"))
+            .select("cls", "words", F.array_distinct(winnow(F.col("g"), w)).alias("f"), F.posexplode("g").alias("q", "h"))
             .filter(F.array_contains("f", F.col("h")))
-            .drop("f")
+            .select("cls", F.lit(m).alias("m"), F.lit(k).alias("k"), "h", (q - start).alias("q"), F.slice(words_, start + 1, q - start + m).alias("item_words"))
+            .distinct()
         )
         item_prints = own if item_prints is None else item_prints.unionByName(own)
+    item_prints = stash(item_prints, "fingerprints")
 
     step = F.lit(CHUNK)
     chunks = docs.select(
@@ -83,7 +91,16 @@ def contaminated_spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
             F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / step).cast("int")), lambda c: F.struct((c * step).alias("at"), F.slice("tokens", c * step + 1, CHUNK + WINDOW - 1).alias("t"))))
         ).alias("c"),
     ).select(*keys, "c.at", F.col("c.t").alias("t"))
-    doc_prints = chunks.select(*keys, "at", F.array_join("t", " ").alias("chunk"), F.explode(F.concat(*[prints(F.col("t"), m) for m in lengths])).alias("p"))
+    prints_of = F.explode(F.concat(*[prints(F.col("t"), m) for m in lengths])).alias("p")
+    if not small(item_prints, FINGERPRINT_ROWS):
+        # too many to broadcast: first find, by fingerprints alone, the few chunks that have any; only these are shuffled with their words
+        met = chunks.select(*keys, "at", prints_of).select(*keys, "at", "p.m", "p.h").join(item_prints.select("m", "h").distinct(), ["m", "h"], "left_semi").select(*keys, "at").distinct()
+        met = stash(met.select(F.struct(*keys, "at").alias("met")), "met-chunks")
+        same = F.lit(True)
+        for c in (*keys, "at"):
+            same = same & F.col(c).eqNullSafe(F.col(f"met.{c}"))
+        chunks = join_checked(chunks, met, same, "left_semi")
+    doc_prints = chunks.select(*keys, "at", F.array_join("t", " ").alias("chunk"), prints_of)
     met = join_checked(doc_prints.select(*keys, "at", "chunk", "p.m", "p.h"), item_prints, ["m", "h"], rows=FINGERPRINT_ROWS)
 
     t, iw = F.col("t"), F.col("item_words")
@@ -112,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     Reads doc_id, text and item_id, text; other columns don't matter. A null or empty text has no words; an
-    item without words or id is no item. Rows that share an id are judged by their own texts; repeated rows
+    very long text is read in overlapping chunks; an item without words or id is no item. Rows that share an id are judged by their own texts; repeated rows
     each get the same result. An empty benchmark finds nothing. Items with equal words are joined as one
     class, so copies in the benchmark do not multiply the matches."""
     tokens = words(ascii_lower(F.col("text")), LETTER_WORD)
@@ -143,9 +160,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a window of a benchmark item; columns as they were."""
+    """docs without the rows that hold a window of a benchmark item; columns as they were.
+
+    Rows are judged by their own texts, repeated rows alike; null and empty texts hold nothing and stay, very long ones
+    are read in overlapping chunks. An empty benchmark drops nothing; an empty table stays empty."""
     tokens = words(ascii_lower(F.col("text")), LETTER_WORD)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens.alias("tokens"))
-    hits = contaminated_spans(keyed, item_classes(benchmark)).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    k_id, k_hash = fresh(docs, "k_id"), fresh(docs, "k_hash")
+    hits = contaminated_spans(keyed, item_classes(benchmark)).select(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash)).distinct()
     hits = stash(hits, "contaminated")  # ids alone: the texts stay where they are unless there are very many
-    return join_checked(docs, hits, docs.doc_id.eqNullSafe(hits.k_id) & (F.xxhash64(docs["text"]) == hits.k_hash), "left_anti")
+    return join_checked(docs, hits, docs.doc_id.eqNullSafe(hits[k_id]) & (F.xxhash64(docs["text"]) == hits[k_hash]), "left_anti")

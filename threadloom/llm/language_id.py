@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.text import id_crc
-from threadloom.session import ship
+from threadloom.session import join_checked, ship, stash
 
 UNKNOWN = "und"
 BUCKETS = 4096
 WIDTH = 24
-#: The sample that trains the model: about so many documents of each language, and languages at most.
+#: The sample that trains the model: about so many documents of each language, and of all languages together; with
+#: very many languages each gives fewer.
 SAMPLE_PER_LANG = 600
-MAX_LANGS = 200
+SAMPLE_ROWS = 12_000
 EPOCHS = 30
-#: Answers are rejected below the least level at which held-out rows above it are wrong this often at most.
+#: Answers are rejected below a level above which held-out rows are wrong this often at most, and below which this
+#: share of the right ones lies: what scores less than nearly all text of the known languages is none of them.
 MAX_WRONG = 0.01
+RIGHT_REJECTED = 0.005
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
@@ -95,6 +98,8 @@ def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> LanguageModel
     best, wrong = p.max(1), p.argmax(1) != y[held]
     levels = [0.0, *np.sort(best[wrong]) + 1e-9]
     reject = next((float(t) for t in levels if wrong[best >= t].mean() <= MAX_WRONG), 1.0) if not wrong.all() else 1.0
+    if not wrong.all():
+        reject = max(reject, float(np.quantile(best[~wrong], RIGHT_REJECTED, method="lower")))
     return LanguageModel(langs, (embed @ out).astype(np.float64), bias.astype(np.float64), float(temperature), reject)
 
 
@@ -102,27 +107,29 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for at in range(0, len(batch), 128):
             part = batch.slice(at, 128)
-            rows = [subword_counts(t).astype(np.float32).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["lang", "counts"])
+            rows = [subword_counts(t).astype(np.float32).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["h", "lang", "counts"])
 
 
 def fit_language_model(docs: DataFrame) -> LanguageModel | None:
     """Train on documents whose crc32(id) mod 4 is not 2, with a language and a letter; None if there are none.
 
-    Of each language about SAMPLE_PER_LANG documents are used, chosen by a hash of their ids, whole; the driver
-    gets their bucket counts (16 KB each), not their texts."""
+    Of each language about SAMPLE_PER_LANG documents are used, and about SAMPLE_ROWS of all, chosen by a hash
+    of their ids, whole; every language takes part. The driver gets their bucket counts (16 KB each), not their texts."""
     ship(docs.sparkSession)
     usable = docs.filter((id_crc(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
+    sizes = stash(usable.groupBy(F.col("lang").alias("of")).count(), "language-sizes")
+    langs = sizes.count()
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, SAMPLE_PER_LANG / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_003)) / 1_000_003.0
-    sample = usable.withColumn("share", F.element_at(share, F.col("lang"))).filter(drawn < F.col("share")).select("lang", "text")
-    got = sample.mapInArrow(_count_batches, "lang string, counts binary").orderBy("lang", "counts").collect()
-    if not got:
+    each = min(float(SAMPLE_PER_LANG), SAMPLE_ROWS / langs)
+    h = F.xxhash64("doc_id", "text", F.lit("language sample"))
+    drawn = F.pmod(h, F.lit(1_000_003)) / 1_000_003.0
+    sample = join_checked(usable.select(h.alias("h"), drawn.alias("drawn"), "lang", "text"), sizes, F.col("lang") == F.col("of")).filter(F.col("drawn") < each / F.col("count"))
+    got = sample.select("h", "lang", "text").mapInArrow(_count_batches, "h long, lang string, counts binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    if not len(got):
         return None
-    return train(np.stack([np.frombuffer(r["counts"], np.float32) for r in got]), [r["lang"] for r in got])
+    return train(np.stack([np.frombuffer(c.as_buffer(), np.float32) for c in got["counts"]]), got["lang"].to_pylist())
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
@@ -130,8 +137,9 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
 
     Reads doc_id, text, and lang for training only; other columns don't matter. A text that is null or has no
     letter gets 'und' with score 0; so does every text if there is nothing to learn from. A null id is not
-    held out (and not learned from). rejected: the calibrated probability of the best language is below the level
-    at which MAX_WRONG of held-out answers are wrong; lang_pred is still the best guess."""
+    held out (and not learned from). rejected: the calibrated probability of the best language is below the rejection
+    level (MAX_WRONG, RIGHT_REJECTED), as it mostly is for noise and for languages never seen; lang_pred is still the
+    best guess. Very long texts are read whole, in pieces; repeated rows are answered alike; an empty table stays empty."""
     ship(docs.sparkSession)
     model = model or fit_language_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -9,19 +9,18 @@ from threadloom.llm.text import let
 from threadloom.session import join_checked, stash
 
 MIN_SITES = 10
-MIN_CHARS = 20
 LOG_K = 11
 #: Six standard errors of a sketch with 2^LOG_K registers: beyond this band around MIN_SITES the estimate decides.
 BAND = 6 * 1.04 / 2 ** (LOG_K / 2)
 LINE_ROWS = 500_000
 
 
-def line_key(line: Column, min_chars: int = MIN_CHARS) -> Column:
+def line_key(line: Column, min_chars: int = 1) -> Column:
     """Hash of a line without outer blanks; null for one under min_chars (1: for blank ones only)."""
     return let(F.trim(line), lambda s: F.when(F.length(s) >= max(1, min_chars), F.xxhash64(s)))
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """(h): keys of the lines that stand on min_sites distinct sites or more. docs: text, site.
 
     A line of a single site, the usual case, is told by its least and greatest site and needs no sketch."""
@@ -38,7 +37,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: in
     return stash(sure.unionByName(exact), "boilerplate")
 
 
-def strip_boilerplate(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """(doc_id, text_hash, removed): the positions of boilerplate lines, for the rows of docs that have any.
 
     site: source by default; a null site counts for no spread, but its lines are removed alike."""
@@ -49,13 +48,12 @@ def strip_boilerplate(docs: DataFrame, site: Column | None = None, min_sites: in
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: Column | None = None, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, clean_text.
 
     Reads doc_id, text and source; other columns don't matter. Lines are split at \\n and compared without outer
-    blanks; lines under min_chars characters are never removed (1: all lines but blank ones count; MIN_CHARS is the cut of
-    op9's SQL). A null text stays null and has no line; an
-    empty one has one. Rows that share an id are cleaned by their own texts; repeated rows each. Empty input
+    blanks; blank lines, and lines under min_chars characters where that is asked for, are never removed. A null
+    text stays null and has no line; an empty one has one. Very long texts and lines are read whole, by their hashes. Rows that share an id are cleaned by their own texts; repeated rows each. Empty input
     gives no rows."""
     removed = strip_boilerplate(docs, site, min_sites, min_chars).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "removed")
     left = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))

@@ -6,19 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.text import SPACE_WORD
-from threadloom.session import join_checked, stash
+from threadloom.session import fresh, join_checked, named, stash
 
 LEVELS = ("domain", "lang", "source")
 SEED = "mix-1"
 BUDGET_PERCENT = 50
 MAX_EPOCHS = 4
+OTHER = "other"
+#: Steps of a doubling of cap / weight by which the children of a node are grouped.
+RATIO_STEPS = 16
 #: Documents of a leaf in one bucket of its seeded order, about.
 BUCKET_ROWS = 2_000
 
 
-def default_domain(source: Column) -> Column:
-    """A stand-in for tables without a domain: the source's name in one of four groups."""
-    return F.concat(F.lit("d"), F.floor(F.conv(F.substring(F.md5(source), 1, 1), 16, 10).cast("int") / 4))
+def domain_of(source: Column, domains: dict[str, str] | None = None) -> Column:
+    """The domain that a declared mapping gives a source; 'other' for a source that it doesn't name."""
+    if not domains:
+        return F.lit(OTHER)
+    declared = F.create_map(*[F.lit(v) for pair in domains.items() for v in pair])
+    return F.coalesce(F.element_at(declared, F.coalesce(source, F.lit(""))), F.lit(OTHER))
+
+
+def _ratio() -> Column:
+    return F.col("cap") / F.col("weight")
+
+
+def dry_rates(children: DataFrame) -> DataFrame:
+    """(parent, at, left, share): where a parent's budget stops to cover its children (parent, cap, weight, given).
+
+    Children run dry in the order of cap / weight. The first that does not, at that ratio, fixes the rate for itself
+    and all after it: what is left, over their share of weights. No row for a parent whose children all run dry. A
+    parent may have very many children, so they are added up by ratio, and the ratios by steps; only the sums of the steps,
+    and the ratios within the step where the budget ends, are put in order."""
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    step = F.floor(F.log2(_ratio()) * RATIO_STEPS).cast("int")
+    ratios = children.groupBy("parent", _ratio().alias("at"), step.alias("step")).agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max("given").alias("given"))
+    steps = ratios.groupBy("parent", "step").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.max("given").alias("given"), F.max(F.struct("at", "cap", "weight")).alias("top"))
+    order = Window.partitionBy("parent").orderBy("step")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.sum("weight").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    steps = steps.withColumn("before", before).withColumn("after", after)
+    at_top = exact("top.cap") * (F.col("after") + F.col("top.weight")) <= (F.col("given") - F.col("before") - F.col("cap") + F.col("top.cap")) * exact("top.weight")
+    ends = steps.filter(~at_top).groupBy("parent").agg(F.min(F.struct("step", "before", "after")).alias("end"))
+    inside = join_checked(ratios, ends, "parent").filter("step = end.step")
+    line = Window.partitionBy("parent").orderBy("at")
+    left = F.col("given") - F.col("end.before") - F.coalesce(F.sum("cap").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.col("end.after") + F.sum("weight").over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    inside = inside.withColumn("left", left).withColumn("share", share)
+    first = inside.filter(~(exact("cap") * F.col("share") <= F.col("left") * exact("weight"))).groupBy("parent").agg(F.min(F.struct("at", "left", "share")).alias("r"))
+    return stash(first.select("parent", "r.at", "r.left", "r.share"), "mix-rates")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = None, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -41,20 +77,11 @@ def leaf_budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = N
         else:
             w = weights.select(F.col("path"), F.col("weight").cast("long").alias("given_weight"))
             here = here.join(w, "path", "left").withColumn("weight", F.coalesce("given_weight", F.lit(1).cast("long"))).drop("given_weight")
-        here = here.join(parents, "parent")
-        # children in the order in which they run dry; before each, what is left for it and those after it
-        order = Window.partitionBy("parent").orderBy((F.col("cap") / F.col("weight")), "path")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        here = here.withColumn("left", F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("share", F.sum("weight").over(rest))
-        here = here.withColumn("dry", F.col("cap") * F.col("share") <= F.col("left") * F.col("weight"))
-        # the first that does not run dry fixes the rate for all after it
-        family = Window.partitionBy("parent")
-        rate = F.min(F.when(~F.col("dry"), F.struct(F.col("cap") / F.col("weight"), F.col("path"), F.col("left").alias("left"), F.col("share").alias("share")))).over(family)
-        here = here.withColumn("rate", rate)
-        after = F.col("rate").isNotNull() & ~F.col("dry")
-        budget = F.when(after, F.expr("(weight * rate.left) div rate.share")).otherwise(F.col("cap"))
-        here = here.withColumn("budget", F.greatest(F.lit(0).cast("long"), budget))
+        here = join_checked(here, parents, "parent")
+        rates = dry_rates(here)
+        here = join_checked(here, rates, "parent", "left")
+        budget = F.when(_ratio() < F.col("at"), F.col("cap")).otherwise(F.expr("(cast(weight as decimal(38, 0)) * left) div share"))
+        here = here.withColumn("budget", F.greatest(F.lit(0).cast("long"), F.when(F.col("at").isNull(), F.col("cap")).otherwise(budget)))
         if level != LEVELS[-1]:
             parents = here.select(F.col("path").alias("parent"), F.col("budget").alias("given"))
     return leaves.join(here.select(*LEVELS, "budget"), list(LEVELS))
@@ -73,40 +100,48 @@ def mix_sources(
     domain, lang, source, epoch, n_tokens, budget. A document comes once for each epoch that takes it.
 
     The total is budget_percent of all tokens (words between white space; a document has one at least, so null
-    and empty texts cost one). A null lang or source is a leaf named ''. In each epoch a leaf's documents stand
+    and empty texts cost one; a very long text costs all its words and is taken whole or not at all). A null lang or
+    source is a leaf named ''. An empty table stays empty. domain: a column of docs; without it all is one domain. In each epoch a leaf's documents stand
     in the order of md5(seed:epoch:id:md5 of text); whole epochs are taken while they fit, then the longest prefix
     within the rest. Rows that tie in all of that are repeated rows: they are taken together or not at all.
 
     The prefix needs running sums over a leaf that may hold a third of all rows: a leaf's order is cut into
     buckets by the leading digits of the md5, so that only sums per bucket are accumulated, and rows only in
     the one bucket of each leaf where the prefix ends. Bucket numbers grow with the leaf."""
-    dom = default_domain(F.coalesce(F.col("source"), F.lit(""))) if domain is None else domain
-    n_tokens = F.greatest(F.lit(1), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_WORD))).cast("long")
     key = ["domain", "lang", "source"]
-    x = "__mix"
+    n_tokens = F.greatest(F.lit(1), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_WORD))).cast("long")
+    # what is worked out for a row lies in structs whose names the table doesn't have
+    x, m, e = (fresh(docs, n) for n in ("__mix", "__limits", "__epoch"))
     rows = docs.withColumn(
         x,
         F.struct(
-            dom.alias("domain"),
-            F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-            F.coalesce(F.col("source"), F.lit("")).alias("source"),
+            F.struct(
+                (F.lit(OTHER) if domain is None else domain).alias("domain"),
+                F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
+                F.coalesce(F.col("source"), F.lit("")).alias("source"),
+            ).alias("leaf"),
             n_tokens.alias("n_tokens"),
             F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("label"),
         ),
     )
     # only ids, tokens and leaves are kept aside; the texts are read once more at the end
-    ids = stash(rows.select(f"{x}.*"), "mix-rows")
-    leaves = ids.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    ids = stash(rows.select(f"{x}.leaf.*", f"{x}.n_tokens", f"{x}.label"), "mix-rows")
+    leaves = stash(ids.groupBy(*key).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"] * budget_percent // 100
     plan = leaf_budgets(leaves, F.lit(total), weights, max_epochs).select(
         *key, "budget", F.expr("cast(budget div tokens as int)").alias("whole"), F.expr("budget % tokens").alias("rest"),
-        F.least(F.lit(1 << 20), F.ceil(F.col("docs") / BUCKET_ROWS)).cast("int").alias("buckets"),
+        F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets"),
     )
     plan = stash(plan, "mix-plan")
+
+    def spot(whole: Column, label: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(seed), whole, label))
+
+    def bucket(at: Column, buckets: Column) -> Column:
+        return F.floor(F.conv(F.substring(at, 1, 8), 16, 10).cast("double") / 4294967296.0 * buckets)
+
     planned = join_checked(ids, plan, key)
-    spot = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("label")))
-    bucket = F.floor(F.conv(F.substring(spot, 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("buckets")).cast("int")
-    last = planned.withColumn("spot", spot).withColumn("bucket", bucket)
+    last = planned.withColumn("spot", spot(F.col("whole"), F.col("label"))).withColumn("bucket", bucket(F.col("spot"), F.col("buckets")))
     sums = last.groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
@@ -119,17 +154,13 @@ def mix_sources(
     border = inside.withColumn("upto", F.col("end_before") + running).groupBy(*key).agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("spot"))).alias("last_spot"))
     border = stash(join_checked(ends, border, key, "left").select(*key, "end_bucket", F.coalesce("last_spot", F.lit("")).alias("last_spot")), "mix-border")
 
-    limits = join_checked(plan, border, key, "left").select(F.struct(*key).alias("leaf"), "budget", "whole", "buckets", "end_bucket", "last_spot")
-    at = rows.withColumn("leaf", F.struct(*[F.col(f"{x}.{k}") for k in key]))
-    own = [c for c in docs.columns if c != name]
-    at = join_checked(at.select(*[F.col(c) for c in own], F.col(x).alias(x), "leaf"), limits, "leaf")
-    spot = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col(f"{x}.label")))
-    bucket = F.floor(F.conv(F.substring(spot, 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("buckets")).cast("int")
-    partly = F.when(F.col("end_bucket").isNull(), F.lit(False)).otherwise((bucket < F.col("end_bucket")) | ((bucket == F.col("end_bucket")) & (spot <= F.col("last_spot"))))
-    taken = F.col("whole") + partly.cast("int")
-    each = at.withColumn("__epoch", F.explode(F.when(taken > 0, F.sequence(F.lit(0), taken - 1))))
-    chosen = F.struct(
-        F.col(f"{x}.domain").alias("domain"), F.col(f"{x}.lang").alias("lang"), F.col(f"{x}.source").alias("source"),
-        F.col("__epoch").alias("epoch"), F.col(f"{x}.n_tokens").alias("n_tokens"), F.col("budget").alias("budget"),
-    )
-    return each.withColumn(name, chosen).select(*own, name)
+    limits = join_checked(plan, border, key, "left").select(F.struct(F.struct(*key).alias("leaf"), "budget", "whole", "buckets", "end_bucket", "last_spot").alias(m))
+    own = [named(c) for c in docs.columns if c != name]
+    at = join_checked(rows.select(*own, x), limits, F.col(f"{x}.leaf") == F.col(f"{m}.leaf"))
+    here = spot(F.col(f"{m}.whole"), F.col(f"{x}.label"))
+    slot, end = bucket(here, F.col(f"{m}.buckets")), F.col(f"{m}.end_bucket")
+    partly = F.when(end.isNull(), F.lit(False)).otherwise((slot < end) | ((slot == end) & (here <= F.col(f"{m}.last_spot"))))
+    taken = F.col(f"{m}.whole") + partly.cast("int")
+    each = at.withColumn(e, F.explode(F.when(taken > 0, F.sequence(F.lit(0), taken - 1))))
+    chosen = F.struct(f"{x}.leaf.domain", f"{x}.leaf.lang", f"{x}.leaf.source", F.col(e).alias("epoch"), f"{x}.n_tokens", f"{m}.budget")
+    return each.select(*own, chosen.alias(name))

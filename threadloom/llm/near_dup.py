@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from threadloom.llm.text import SPACE_WORD, ascii_lower, let, no_longs, words
 from threadloom.plans.components import connected_components
-from threadloom.session import join_checked, ship, stash
+from threadloom.session import discard, fresh, join_checked, named, ship, stash
 
 CHUNKS, CHUNK_SLOTS = 8, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -94,7 +95,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame, n: int = 2) -> DataFrame:
     """(doc_id, n_shingles, print, keys) of documents (doc_id, text); print names the set of n-word shingles."""
     ship(docs.sparkSession)
-    return docs.select("doc_id", shingle_set(F.col("text"), n).alias("s")).mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", shingle_set(F.col("text"), n).alias("s")).mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, print binary, keys array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,7 +136,9 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     mixed = ranged.groupBy("a", "bin").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.min("linked").alias("all_linked")).filter("lo <> hi and not all_linked").select("a", "bin")
     open_ = stash(ranged.join(mixed, ["a", "bin"]).select("a", "b", "cb", "linked", "g").distinct(), "ranges")
     bounds = open_.groupBy("a").agg(F.min("g").alias("g_any"), F.min(F.when(~F.col("linked"), F.col("g"))).alias("g_out")).filter("g_out is not null")
+    ranged = open_
     open_ = stash(open_.join(bounds, "a").select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
+    discard(marked, ranged)
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     split = open_.join(sa, "a").join(sb, "b").withColumn("own", F.array_except("sb", "sa")).withColumn("lack", F.array_except("sa", "sb")).drop("sa", "sb")
@@ -148,6 +152,7 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     listed = split.join(often, "a", "left").withColumn("often", F.coalesce("often", no_longs()))
     ordered = F.concat(F.sort_array(F.array_except("own", "often")), F.array_intersect("often", "own"), F.sort_array("lack"))
     differing = stash(listed.withColumn("d", ordered).drop("own", "lack", "often").withColumn("nd", F.size("d")), "differing")
+    discard(open_, split)
 
     def prefix(df: DataFrame, partner: str) -> DataFrame:
         o = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col(partner)) / (2 * per)))
@@ -165,7 +170,7 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
 def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept; by shingles of n words.
 
-    Reads doc_id and text; other columns don't matter. Texts without words have no set, stay alone and are
+    Reads doc_id, of any type that has an order, and text, whole however long; other columns don't matter. Texts without words have no set, stay alone and are
     kept. Rows that share an id count as one document, linked by any of its texts. A null id is linked with
     nothing: component_id null, kept. Empty input gives no rows.
 
@@ -175,7 +180,7 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     3. Confirmed links give components. A center whose members are all in one component is settled.
     4. Of the others, unsettled_pairs() gives the pairs of members that can still be linked; all are compared.
     So no pair of a shared key is left out unless it is already connected or can't be similar enough."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select("doc_id", "text")
     sigs = stash(signatures(base, n), "signatures")
     usable = sigs.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stash(usable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
@@ -189,12 +194,15 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     wanted = join_checked(base.withColumnRenamed("doc_id", "id"), reps, "id", "left_semi", ID_ROWS)
     sets = stash(wanted.select("id", shingle_set(F.col("text"), n).alias("s")), "sets")
 
-    pivots = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("neg"))).alias("p")).select("key", (-F.col("p.neg")).alias("a"))
+    pivots = live.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("light"), "rep")).alias("p")).select("key", F.col("p.rep").alias("a"))
     pairs = live.join(pivots, "key").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
     tried = stash(compared(pairs, sets), "tried")
+    discard(live)
     links = tried.filter(_linked()).select("a", "b")
     parts = connected_components(links)
-    more = stash(compared(unsettled_pairs(tried, parts, sets), sets).filter(_linked()).select("a", "b"), "links")
+    maybe = stash(unsettled_pairs(tried, parts, sets), "unsettled")
+    more = stash(compared(maybe, sets).filter(_linked()).select("a", "b"), "links")
+    discard(sets, maybe)
     if more.limit(1).count():
         parts = connected_components(links.unionByName(more))
 
@@ -208,13 +216,20 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = STAGE_WORDS) -> DataFrame:
     """docs with one document of each group of near-duplicates, the one with the least id; columns as they were.
 
-    Documents are compared by shingles of n words. Of rows that share a kept id one stays. Rows without an id are
-    kept."""
+    Documents are compared by shingles of n words. Of rows that share a kept id one stays, the one whose text comes
+    first in order (of equal texts, the one with the least hash of all columns that can be hashed). Rows without an
+    id are kept, null and empty texts too. Empty input stays empty."""
     verdict = near_duplicates(docs, n)
-    gone = stash(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = join_checked(docs, gone, docs["doc_id"].cast("long") == gone.gone_id, "left_anti", ID_ROWS)
-    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null")
-    if repeats.limit(1).count() == 0:
+    gone_id = fresh(docs, "gone_id")
+    gone = stash(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    kept = join_checked(docs, gone, docs["doc_id"] == gone[gone_id], "left_anti", ID_ROWS)
+    again = stash(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null").select(F.col("doc_id").alias(gone_id)), "again")
+    if again.limit(1).count() == 0:
         return kept
-    named, unnamed = kept.filter(F.col("doc_id").isNotNull()), kept.filter(F.col("doc_id").isNull())
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    repeated = F.col(f"{gone_id}").isNotNull()
+    marked = join_checked(kept, again, kept["doc_id"] == again[gone_id], "left", ID_ROWS)
+    own = [named(c) for c in docs.columns]
+    plain = [named(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    first = F.min_by(F.struct(*own), F.struct(F.coalesce(F.col("text"), F.lit("")), F.xxhash64(*plain)))
+    single = marked.filter(repeated).groupBy(gone_id).agg(first.alias("row")).select("row.*")
+    return marked.filter(~repeated).select(*own).unionByName(single)

@@ -9,11 +9,13 @@ from threadloom.llm.text import SPACE_WORD, gram_hashes, let, words
 
 #: Fixed values of the line rules.
 SYMBOLS = "#*$%&|<>"
-LINE_ENDS = ".!?:;,)\"'…”’»]"
 BOILERPLATE = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here",
     "sign in", "log in", "subscribe now", "enable javascript", "skip to content", "skip to main content",
     "share this", "read more",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "weiterlesen", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "lire la suite", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "haga clic aquí", "leer más", "saltar al contenido",
 )
 SYMBOL_PERCENT = 10
 NAV_BARS = 3

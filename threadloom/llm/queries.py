@@ -36,13 +36,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, grammar).select("doc_id", "held_out", "score", "predicted")
 
 
-#: Target weights of the mix: four domains 4:3:2:1, and within each English three times any other language.
-MIX_WEIGHTS = [(f"d{i}", 4 - i) for i in range(4)] + [(f"d{i}/en", 3) for i in range(4)]
+#: The declared domains of the sources, and the target weights: domains 4:3:2:1, and within each English three
+#: times any other language. A source that is not named belongs to the domain 'other', with weight 1.
+MIX_DOMAINS = {f"src{i}": ("web", "news", "books", "forums")[i // 5] for i in range(20)}
+MIX_WEIGHTS = [("web", 4), ("news", 3), ("books", 2), ("forums", 1)] + [(f"{d}/en", 3) for d in ("web", "news", "books", "forums", mixing.OTHER)]
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=weights)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix_sources(docs, mixing.domain_of(F.col("source"), MIX_DOMAINS), mix_weights(spark))
     return mixed.select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.epoch", "mix.n_tokens", "mix.budget")
 
 
@@ -98,7 +104,7 @@ lv AS (SELECT doc_id, line, s, length(s) > 0 AND (
     OR (length(s) - length(translate(s, '#*$%&|<>', ''))) * 100 > 10 * length(s)
     OR (length(s) - length(replace(s, ' ', '')) + 1 >= 4 AND NOT regexp_matches(s, '\p{Ll}') AND regexp_matches(s, '\p{Lu}'))
     OR (length(s) - length(replace(s, ' ', '')) + 1 >= 12 AND NOT regexp_matches(s, '[.!?:;,…]'))
-    OR (length(s) <= 200 AND (contains(lower(s), 'cookie policy') OR contains(lower(s), 'privacy policy') OR contains(lower(s), 'terms of use') OR contains(lower(s), 'terms of service') OR contains(lower(s), 'all rights reserved') OR contains(lower(s), 'click here') OR contains(lower(s), 'sign in') OR contains(lower(s), 'log in') OR contains(lower(s), 'subscribe now') OR contains(lower(s), 'enable javascript') OR contains(lower(s), 'skip to content') OR contains(lower(s), 'skip to main content') OR contains(lower(s), 'share this') OR contains(lower(s), 'read more')))
+    OR (length(s) <= 200 AND (contains(lower(s), 'cookie policy') OR contains(lower(s), 'privacy policy') OR contains(lower(s), 'terms of use') OR contains(lower(s), 'terms of service') OR contains(lower(s), 'all rights reserved') OR contains(lower(s), 'click here') OR contains(lower(s), 'sign in') OR contains(lower(s), 'log in') OR contains(lower(s), 'subscribe now') OR contains(lower(s), 'enable javascript') OR contains(lower(s), 'skip to content') OR contains(lower(s), 'skip to main content') OR contains(lower(s), 'share this') OR contains(lower(s), 'read more') OR contains(lower(s), 'alle rechte vorbehalten') OR contains(lower(s), 'datenschutzerklärung') OR contains(lower(s), 'nutzungsbedingungen') OR contains(lower(s), 'hier klicken') OR contains(lower(s), 'weiterlesen') OR contains(lower(s), 'zum inhalt springen') OR contains(lower(s), 'tous droits réservés') OR contains(lower(s), 'politique de confidentialité') OR contains(lower(s), 'conditions d''utilisation') OR contains(lower(s), 'cliquez ici') OR contains(lower(s), 'lire la suite') OR contains(lower(s), 'aller au contenu') OR contains(lower(s), 'todos los derechos reservados') OR contains(lower(s), 'política de privacidad') OR contains(lower(s), 'términos de uso') OR contains(lower(s), 'haga clic aquí') OR contains(lower(s), 'leer más') OR contains(lower(s), 'saltar al contenido')))
   ) AS bad FROM lt),
 la AS (SELECT doc_id, CAST(coalesce(sum(length(line)) FILTER (bad), 0) AS BIGINT) AS lost_chars,
   count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) - count(DISTINCT line) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_dup_lines FROM lv GROUP BY 1),
@@ -125,8 +131,9 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1
 """
 
 OP4_SQL = r"""
-WITH w(path, weight) AS (VALUES ('d0', 4), ('d1', 3), ('d2', 2), ('d3', 1), ('d0/en', 3), ('d1/en', 3), ('d2/en', 3), ('d3/en', 3)),
-d AS (SELECT doc_id, 'd' || ((instr('0123456789abcdef', md5(coalesce(source, ''))[1]) - 1) // 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+WITH w(path, weight) AS (VALUES ('web', 4), ('news', 3), ('books', 2), ('forums', 1), ('web/en', 3), ('news/en', 3), ('books/en', 3), ('forums/en', 3), ('other/en', 3)),
+d AS (SELECT doc_id, CASE WHEN regexp_full_match(coalesce(source, ''), 'src[0-4]') THEN 'web' WHEN regexp_full_match(coalesce(source, ''), 'src[5-9]') THEN 'news'
+    WHEN regexp_full_match(coalesce(source, ''), 'src1[0-4]') THEN 'books' WHEN regexp_full_match(coalesce(source, ''), 'src1[5-9]') THEN 'forums' ELSE 'other' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CAST(greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens, text FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3),
 t AS (SELECT CAST(sum(tokens) * 50 // 100 AS BIGINT) AS total FROM leaf),
@@ -150,7 +157,7 @@ SELECT doc_id, domain, lang, source, CAST(e AS INTEGER) AS epoch, n_tokens, budg
 
 OP9_SQL = r"""
 WITH l AS (SELECT doc_id, source, g.i AS i, string_split(text, chr(10))[g.i] AS line FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) g WHERE text IS NOT NULL),
-b AS (SELECT trim(line, ' ') AS s FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+b AS (SELECT trim(line, ' ') AS s FROM l WHERE length(trim(line, ' ')) >= 1 GROUP BY 1 HAVING count(DISTINCT source) >= 10),
 m AS (SELECT l.*, b.s IS NOT NULL AS gone FROM l LEFT JOIN b ON b.s = trim(line, ' '))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256 FROM m GROUP BY 1
 """

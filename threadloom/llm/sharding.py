@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.session import stash
+from threadloom.session import fresh, named, stash
 
 SHARDS = 16
 #: Keys sampled with a chance proportional to size, about, and the ranges they are cut into.
@@ -45,16 +45,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, name: str = "placemen
     Law 'bytes': documents stand in the order of (key, id, size); a document goes to shard
     floor(bytes before it * shards / all bytes), so shards' sizes differ by one document at most, and each shard
     is one stretch of the order. slot counts from 0 within the shard. size is the text's bytes plus 1 (null: no
-    bytes). Copies stand together, except where a shard ends within a group of them. Rows equal in id and text
-    tie: which of them gets which place doesn't matter.
+    bytes; very long: that many). Copies stand together, except where a shard ends within a group of them. Rows equal in id and text
+    tie: which of them gets which place doesn't matter. An empty table stays empty.
 
     Splitters come from a sample whose chances are proportional to size; only RANGES quantiles of it reach the
     driver. A range over OVERFULL times the mean, or PIECE_ROWS, is cut evenly in key space. The exact places
     then need running sums within a piece only, plus the sums of the pieces before it, so the sample decides how
     the work is spread but not the result."""
-    x = "__shard"
+    x, y = fresh(docs, "__shard"), fresh(docs, "__place")  # all that is worked out for a row lies in these two structs
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    own = [c for c in docs.columns if c != name]
+    own = [named(c) for c in docs.columns if c != name]
     keyed = docs.select(
         *own,
         F.struct(
@@ -69,7 +69,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, name: str = "placemen
     total, n = totals["bytes"], totals["n"]
     if not n:
         empty = F.struct(F.col(f"{x}.size").alias("size"), F.col(f"{x}.crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-        return keyed.withColumn(name, empty).select(*own, name)
+        return keyed.select(*own, empty.alias(name))
     chance = F.col("size") * (SAMPLE_KEYS / total)
     drawn = F.pmod(F.xxhash64("key", "id", F.lit("splitters")), F.lit(1_000_003)) / 1_000_003.0
     marks = [i / RANGES for i in range(1, RANGES)]
@@ -90,20 +90,29 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, name: str = "placemen
         return F.struct(r.alias("r"), F.least(sub, parts - 1).alias("sub"))
 
     pieces = ranged.withColumn("piece", piece(F.col("r"), F.col("key"))).groupBy("piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    line = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
-    starts = pieces.select("piece", F.coalesce(F.sum("bytes").over(line), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(line), F.lit(0)).alias("rows_before"))
-    starts = stash(starts, "shard-pieces")
+    # a row for each piece; what lies before a range is known from the ranges' own sums
+    ahead, bytes_ahead, rows_ahead = {row["r"]: row for row in seen}, [0], [0]
+    for r in range(len(splitters) + 1):
+        bytes_ahead.append(bytes_ahead[-1] + (ahead[r]["bytes"] if r in ahead else 0))
+        rows_ahead.append(rows_ahead[-1] + (ahead[r]["n"] if r in ahead else 0))
+    line = Window.partitionBy("piece.r").orderBy("piece.sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, known: F.coalesce(F.sum(c).over(line), F.lit(0)) + F.get(F.lit(known), F.col("piece.r"))
+    starts = stash(pieces.select(F.struct("piece", before("bytes", bytes_ahead).alias("bytes"), before("n", rows_ahead).alias("rows")).alias(y)), "shard-pieces")
 
     def placed(df: DataFrame) -> DataFrame:
-        at = df.withColumn("__piece", piece(_range_of(F.col(f"{x}.key"), splitters), F.col(f"{x}.key")))
-        within = Window.partitionBy("__piece").orderBy(f"{x}.key", f"{x}.id", f"{x}.size")
-        upto = within.rowsBetween(Window.unboundedPreceding, -1)
-        at = at.withColumn("__bytes", F.coalesce(F.sum(f"{x}.size").over(upto), F.lit(0))).withColumn("__row", F.row_number().over(within) - 1)
-        at = at.join(starts.withColumnRenamed("piece", "__piece"), "__piece")
-        return at.withColumn("__row", F.col("__row") + F.col("rows_before")).withColumn("__to", F.expr(f"cast(((__bytes + bytes_before) * {shards}) div {total} as int)"))
-
-    firsts = placed(narrow.select(F.struct("key", "id", "size", "crc").alias(x))).groupBy("__to").agg(F.min("__row").alias("first")).collect()  # a row for each shard
-    first = F.lit([next((r["first"] for r in firsts if r["__to"] == s), 0) for s in range(shards)])
+        """df with x.to, the shard, and x.row, the place among all rows."""
+        key = F.col(f"{x}.key")
+        at = df.withColumn(x, F.col(x).withField("piece", piece(_range_of(key, splitters), key)))
+        within = Window.partitionBy(f"{x}.piece").orderBy(f"{x}.key", f"{x}.id", f"{x}.size")
+        upto = F.coalesce(F.sum(f"{x}.size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = at.withColumn(x, F.struct(f"{x}.*", upto.alias("upto"), (F.row_number().over(within) - 1).alias("row")))
+        at = at.join(starts, F.col(f"{x}.piece") == F.col(f"{y}.piece"))
+        to = F.expr(f"cast((({x}.upto + {y}.bytes) * {shards}) div {total} as int)")
+        return at.withColumn(x, F.struct(f"{x}.size", f"{x}.crc", (F.col(f"{x}.row") + F.col(f"{y}.rows")).alias("row"), to.alias("to")))
+
+    firsts = placed(narrow.select(F.struct("key", "id", "size", "crc").alias(x))).groupBy(f"{x}.to").agg(F.min(f"{x}.row").alias("first")).collect()  # a row for each shard
+    first = F.lit([next((r["first"] for r in firsts if r["to"] == s), 0) for s in range(shards)])
     done = placed(keyed)
-    place = F.struct(F.col(f"{x}.size").alias("size"), F.col(f"{x}.crc").alias("text_crc32"), F.col("__to").alias("shard"), (F.col("__row") - F.get(first, F.col("__to"))).cast("long").alias("slot"))
-    return done.withColumn(name, place).select(*own, name)
+    slot = (F.col(f"{x}.row") - F.get(first, F.col(f"{x}.to"))).cast("long")
+    place = F.struct(F.col(f"{x}.size").alias("size"), F.col(f"{x}.crc").alias("text_crc32"), F.col(f"{x}.to").alias("shard"), slot.alias("slot"))
+    return done.select(*own, place.alias(name))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,8 +13,8 @@ from threadloom.session import ship
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Characters of text that are encoded at once, and beyond which one text is split.
-BATCH_CHARS = 1 << 18
+#: Bytes of text that are encoded at once, and characters beyond which one text is split.
+BATCH_BYTES = 1 << 18
 SPLIT_CHARS = 1 << 16
 #: The pre-tokenizer always breaks here: before a single space that follows a letter, digit or mark and precedes
 #: a letter. No token and no special string crosses such a place.
@@ -36,18 +36,16 @@ def split_safely(text: str, size: int = SPLIT_CHARS) -> list[str]:
     return [*parts, text[start:]]
 
 
-def balanced(texts: list[str], size: int = BATCH_CHARS) -> Iterator[list[int]]:
-    """Indexes of texts in runs of about size characters."""
-    run: list[int] = []
-    total = 0
-    for i, t in enumerate(texts):
-        run.append(i)
-        total += len(t)
-        if total >= size:
-            yield run
-            run, total = [], 0
-    if run:
-        yield run
+def balanced(sizes: Sequence[int], size: int = BATCH_BYTES) -> Iterator[range]:
+    """Runs of indexes of things that have about size bytes together; one that is larger is a run of its own."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > size:
+            yield range(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield range(start, len(sizes))
 
 
 def counter(path: str) -> Callable[[list[str]], list[int]]:
@@ -119,14 +117,14 @@ def _counting(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             _counters[vocabulary] = counter(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary))
         count = _counters[vocabulary]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts, sizes = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2).to_pylist()
             totals = [0] * len(batch)
-            for at in range(0, len(batch), 256):  # as Python strings, few at a time
-                few = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                pieces = [(at + i, p) for i, t in enumerate(few) for p in (split_safely(t) if splits else [t])]
-                for run_ in balanced([p for _, p in pieces]):
-                    for j, n in zip(run_, count([pieces[j][1] for j in run_]), strict=True):
-                        totals[pieces[j][0]] += n
+            for part in balanced(sizes):  # as Python strings, as many as make up a batch
+                few = [t or "" for t in texts.slice(part.start, len(part)).to_pylist()]
+                pieces = [(part.start + i, p) for i, t in enumerate(few) for p in (split_safely(t) if splits else [t])]
+                for run_ in balanced([len(p.encode()) for _, p in pieces]):
+                    for (i, _), n in zip(pieces[run_.start : run_.stop], count([p for _, p in pieces[run_.start : run_.stop]]), strict=True):
+                        totals[i] += n
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return run
@@ -136,7 +134,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
     Reads doc_id and text; other columns don't matter. A null text counts as empty: 0 bytes, 0 tokens. Only
-    lengths leave the Python workers. vocabulary: a file name of the public tokenizers, or a path that all
+    lengths leave the Python workers. A long text is encoded in pieces between which no token can lie; where it has no such
+    place, as a single piece. Repeated rows count alike; an empty table stays empty. vocabulary: a file name of the public tokenizers, or a path that all
     executors have."""
     ship(docs.sparkSession)
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
