@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import stash
+from threadloom.session import discard, stash
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         "cc-edges",
     )
     labels = stash(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "cc-labels")
+    spent = [labels]
     while True:
         parents = labels.select(F.col("id").alias("p_id"), F.col("component").alias("up"))
         raised = stash(labels.join(parents, labels.component == parents.p_id).select("id", "component", "up"), "cc-raised")
@@ -29,6 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         sent = F.array(F.struct("id", "old", F.col("own").alias("label")), F.struct(F.col("old").alias("id"), F.lit(None).alias("old"), F.col("near").alias("label")))
         moved = seen.select(F.inline(sent)).groupBy("id").agg(F.min("old").alias("old"), F.min("label").alias("component"))
         moved = stash(moved, "cc-labels")
+        discard(raised, *spent)
+        spent = [moved]
         labels = moved.select("id", "component")
         if moved.filter(F.col("old") != F.col("component")).limit(1).count() == 0:
+            discard(both)
             return labels
