@@ -582,7 +582,7 @@ def brute_lines(rows, most):
     for _, t, _, src in rows:
         for line in (t or "").split("\n"):
             s = line.strip(" ")
-            if len(s) >= 20 and src is not None:
+            if len(s) >= 1 and src is not None:
                 sites[s].add(src)
     out = Counter()
     for i, t, *_ in rows:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,8 @@ def subword_counts(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """logits = mean of the buckets' rows in table, over temperature; langs names its columns."""
+    """logits = mean of the buckets' rows in table, over temperature; langs names its columns. reject_below is a
+    level of the logarithm of the best language's odds, which tells apart probabilities that are all but 1."""
 
     langs: tuple[str, ...]
     table: np.ndarray
@@ -57,10 +58,24 @@ class LanguageModel:
     temperature: float
     reject_below: float
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        z = (counts @ self.table / max(1, counts.sum()) + self.bias) / self.temperature
-        p = np.exp(z - z.max())
-        return p / p.sum()
+    def logits(self, counts: np.ndarray) -> np.ndarray:
+        counts = counts.astype(np.float64)
+        return (counts @ self.table / max(1, counts.sum()) + self.bias) / self.temperature
+
+    def answer(self, counts: np.ndarray) -> tuple[str, float, bool]:
+        """The best language, its probability, and whether it is rejected."""
+        z = self.logits(counts)
+        best = int(z.argmax())
+        return self.langs[best], float(_softmax(z[None, :])[0, best]), bool(_log_odds(z) < self.reject_below)
+
+
+def _log_odds(z: np.ndarray) -> float:
+    """Logarithm of the best logit's odds against all others together."""
+    best = int(z.argmax())
+    others = np.delete(z, best)
+    if not len(others):
+        return np.inf
+    return float(z[best] - others.max() - np.log(np.exp(others - others.max()).sum()))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -94,13 +109,14 @@ def train(counts: np.ndarray, labels: list[str], seed: int = 7) -> LanguageModel
     z = x[held] @ embed @ out + bias
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-    p = _softmax(z / temperature)
-    best, wrong = p.max(1), p.argmax(1) != y[held]
-    levels = [0.0, *np.sort(best[wrong]) + 1e-9]
-    reject = next((float(t) for t in levels if wrong[best >= t].mean() <= MAX_WRONG), 1.0) if not wrong.all() else 1.0
-    if not wrong.all():
-        reject = max(reject, float(np.quantile(best[~wrong], RIGHT_REJECTED, method="lower")))
-    return LanguageModel(langs, (embed @ out).astype(np.float64), bias.astype(np.float64), float(temperature), reject)
+    model = LanguageModel(langs, (embed @ out).astype(np.float64), bias.astype(np.float64), float(temperature), -np.inf)
+    z = [model.logits(counts[i]) for i in held]
+    odds, wrong = np.array([_log_odds(v) for v in z]), np.array([int(v.argmax()) for v in z]) != y[held]
+    if wrong.all():
+        return replace(model, reject_below=np.inf)
+    levels = [-np.inf, *np.sort(odds[wrong]) + 1e-9]
+    level = next((float(t) for t in levels if (odds >= t).any() and wrong[odds >= t].mean() <= MAX_WRONG), np.inf)
+    return replace(model, reject_below=max(level, float(np.quantile(odds[~wrong], RIGHT_REJECTED, method="lower"))))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +153,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
 
     Reads doc_id, text, and lang for training only; other columns don't matter. A text that is null or has no
     letter gets 'und' with score 0; so does every text if there is nothing to learn from. A null id is not
-    held out (and not learned from). rejected: the calibrated probability of the best language is below the rejection
+    held out (and not learned from). rejected: the calibrated odds of the best language are below the rejection
     level (MAX_WRONG, RIGHT_REJECTED), as it mostly is for noise and for languages never seen; lang_pred is still the
     best guess. Very long texts are read whole, in pieces; repeated rows are answered alike; an empty table stays empty."""
     ship(docs.sparkSession)
@@ -147,21 +163,18 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, low = [], [], []
             texts = batch.column(2)
             for at in range(0, len(batch), 256):
                 for t in texts.slice(at, 256).to_pylist():
                     if m is None or not t or not LETTER.search(t):
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    p = m.scores(subword_counts(t))
-                    best = int(p.argmax())
-                    langs.append(m.langs[best])
-                    scores.append(float(p[best]))
-            s = pa.array(scores, pa.float64())
-            low = pa.array([x < m.reject_below if m else True for x in scores], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), s, low], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                        found = UNKNOWN, 0.0, True
+                    else:
+                        found = m.answer(subword_counts(t))
+                    for column, value in zip((langs, scores, low), found, strict=True):
+                        column.append(value)
+            answers = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *answers], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
