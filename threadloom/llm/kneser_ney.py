@@ -91,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own[0].append(points)
                     own[1].append(fit)
                     own[2].append(len(points) - ORDER + 1)
-                    if sum(own[2]) >= 4 * PIECE:
+                    if sum(own[2]) >= 2 * PIECE:
                         yield flush(lang)
     for lang in list(held):
         yield flush(lang)
@@ -195,15 +195,14 @@ def perplexities(docs: DataFrame, costs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", "hash", "lang", "text").mapInArrow(_document_grams, f"doc_id {kind}, hash long, n_grams long, key long, times long")
     hot, cold = hottest(costs)
-
-    def summed(df: DataFrame) -> DataFrame:
-        x, t = F.col("cost"), F.col("times")
-        return df.groupBy("doc_id", "hash").agg(F.max("n_grams").alias("n_grams"), F.sum(t).alias("t"), F.sum(t * x).alias("s"), F.sum(t * x * x).alias("q"))
-
-    parts = summed(held.join(F.broadcast(hot), "key"))
-    if cold.limit(1).count():
-        rest = summed(held.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold.hint("merge"), "key"))
-        parts = parts.unionByName(rest).groupBy("doc_id", "hash").agg(F.max("n_grams").alias("n_grams"), *[F.sum(c).alias(c) for c in ("t", "s", "q")])
+    # one pass over the texts: what hot grams cost is added up at once, and what is left is a row for each cold gram
+    x, t = F.col("cost"), F.col("times")
+    met = held.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    parts = met.groupBy("doc_id", "hash", F.when(F.col("hot").isNull(), F.col("key")).alias("cold"))
+    parts = stash(parts.agg(F.max("n_grams").alias("n_grams"), F.sum(t).alias("t"), F.sum(t * x).alias("s"), F.sum(t * x * x).alias("q")), "kn-parts")
+    rest = parts.filter("cold is not null").join(cold.hint("merge"), F.col("cold") == F.col("key"))
+    rest = rest.select("doc_id", "hash", "n_grams", "t", (F.col("t") * x).alias("s"), (F.col("t") * x * x).alias("q"))
+    parts = parts.filter("cold is null").drop("cold").unionByName(rest).groupBy("doc_id", "hash").agg(F.max("n_grams").alias("n_grams"), *[F.sum(c).alias(c) for c in ("t", "s", "q")])
     mean = F.col("s") / F.col("t")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("t") - mean * mean) / F.col("n_grams"))
     return parts.select("doc_id", "hash", "n_grams", mean.alias("nll"), spread.alias("spread"))
