@@ -59,9 +59,19 @@ def test_transcripts_and_their_paths(spark, tmp_path):
     )
     put(tmp_path / "proj/S1/subagents/agent-A.jsonl", rec("user", "9", "sub"))
     put(tmp_path / "proj/S1/tool-results/z.jsonl", rec("user", "8", "never"))
+    put(
+        tmp_path / "proj/S2.jsonl",
+        {"type": "ai-title", "aiTitle": "named"}, rec("user", "1", "ask", isMeta=True, promptSource="typed"), rec("user", "2", [{"type": "tool_result", "content": "bad", "tool_use_id": "x", "is_error": True}], isSidechain=True), rec("assistant", "3", "   "), {"type": "attachment", "attachment": {"type": "diff"}}, {},
+    )
+    put(tmp_path / "proj/S1/subagents/workflows/w1/agent-B.jsonl", rec("user", "7", "flow"))
     got = ingest.ingest_transcripts(spark, str(tmp_path))
-    assert {r.id: r.tokens_used for r in got.threads.collect()} == {"S1": 12, "S1:A": 0}
-    assert [tuple(r)[:2] for r in got.edges.collect()] == [("S1", "S1:A")]
+    assert {r.id: (r.tokens_used, r.title, r.agent_role, r.agent_nickname, r.cwd) for r in got.threads.collect()} == {
+        "S1": (12, "hello", "session", "", "/w"), "S1:A": (0, "sub", "subagent", "A", "proj"), "S1:w1:B": (0, "flow", "workflow", "B", "proj"), "S2": (0, "named", "session", "", "proj"),
+    }
+    assert sorted(tuple(r) for r in got.edges.collect()) == [("S1", "S1:A", "subagent"), ("S1", "S1:w1:B", "workflow")]
+    assert [r.data for r in got.blocks.filter("conversation_id = 'S2' and type = 'tool_result'").collect()] == ['{"content":"bad","call_id":"x","is_error":true}']
+    own = {r.kind: r.n for r in got.census.filter("conversation_id = 'S2'").collect()}
+    assert own == {"ai-title": 1, "user": 2, "assistant": 1, "attachment": 1, "(untyped)": 1, "attachment:diff": 1, "sidechain": 1, "tool_result_record": 1, "meta_user": 1, "prompt:typed": 1}
     assert shown(got.blocks.filter("conversation_id = 'S1'")) == [(0, "human", 0, "text", "hello"), (1, "assistant", 0, "text", "hi"), (1, "assistant", 1, "tool_use", ""), (1, "assistant", 2, "tool_result", ""), (1, "assistant", 3, "text", "bye")]
     census = {(r.conversation_id, r.kind): r.n for r in got.census.collect()}
     assert census[("S1", "branch_point")] == 1 and census[("S1", "system")] == 1
@@ -75,12 +85,21 @@ def test_update_streams(spark, tmp_path):
         chunk("user_message_chunk", "do "), chunk("user_message_chunk", "it"), chunk("agent_message_chunk", "sure"), up("mode_change"), chunk("agent_message_chunk", " thing"),
         up("tool_call", toolCallId="c", title="ls", rawInput="i"), chunk("agent_message_chunk", "then"), up("tool_call_update", toolCallId="c", rawOutput="o", status="done"), up("turn_completed"), chunk("agent_message_chunk", "new"),
     )
-    put(tmp_path / "%2Fw/S/subagents/K/meta.json", {"status": "ok"})
-    got = ingest.ingest_update_streams(spark, str(tmp_path))
+    put(tmp_path / "%2Fw/S/subagents/K/meta.json", {"status": "ok", "child_session_id": "K"})
+    put(tmp_path / "%2Fw/S/subagents/L/meta.json", {"status": "lost"})
+    put(tmp_path / "%2Fw/T/updates.jsonl", {**chunk("user_message_chunk", "ask")}, {**chunk("agent_message_chunk", "told")})
+    put(tmp_path / "%2Fw/T/summary.json", {"info": {"id": "T-1", "cwd": "/real"}, "generated_title": "made", "created_at": "2023-12-31T00:00:00Z", "last_active_at": "2024-02-01T00:00:00Z", "session_kind": "main", "agent_name": "g", "current_model_id": "m9"})
+    every = ingest.ingest_update_streams(spark, str(tmp_path))
+    told = every.conversations.filter("thread_id = 'T-1'").first()
+    assert (told.title, told.created_at, told.updated_at, told.model_id) == ("made", "2023-12-31T00:00:00Z", "2024-02-01T00:00:00Z", "m9")
+    t = every.threads.filter("id = 'T-1'").first()
+    assert (t.cwd, t.agent_role, t.agent_nickname) == ("/real", "main", "g") and every.blocks.filter("conversation_id = 'T-1'").count() == 2
+    mine = lambda df, c="conversation_id": df.filter(F.col(c) == "S")
+    got = ingest.Ingested(every.conversations, mine(every.blocks), mine(every.threads, "id"), every.edges, None, mine(every.census))
     assert shown(got.blocks) == [(0, "human", 0, "text", "do it"), (1, "assistant", 0, "text", "sure thing"), (1, "assistant", 1, "tool_use", "ls"), (1, "assistant", 2, "text", "then"), (1, "assistant", 3, "tool_result", ""), (1, "assistant", 4, "text", "new")]
     assert [tuple(r) for r in got.edges.collect()] == [("S", "K", "ok")]
     assert got.threads.first().cwd == "/w"
-    assert {r.kind: r.n for r in got.census.collect()} == {"mode_change": 1, "turn_completed": 1}
+    assert {r.kind: r.n for r in got.census.collect()} == {"mode_change": 1, "turn_completed": 1, "user_message_chunk": 2, "agent_message_chunk": 4, "tool_call": 1, "tool_call_update": 1}
 
 
 def test_chatgpt_export(spark, tmp_path):

@@ -22,7 +22,8 @@ def iso_to_ms(col: Column) -> Column:
 def epoch_to_iso(seconds: Column) -> Column:
     """Epoch seconds to an ISO text in UTC with milliseconds kept only where there are some; null gives ''."""
     stamp = F.timestamp_seconds(seconds)
-    return F.coalesce(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    whole = F.unix_millis(stamp) % 1000 == 0
+    return F.coalesce(F.when(whole, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), F.lit(""))
 
 
 def first_line(col: Column, width: int = 80) -> Column:

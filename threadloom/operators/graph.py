@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.privacy import strip_hidden_chars
 from threadloom.session import stash
 
 
@@ -199,7 +200,7 @@ def thread_view(threads: DataFrame, edges: DataFrame, conversations: DataFrame)
     adapter = conversations.filter("provider <> ''").groupBy(F.col("thread_id").alias("id")).agg(F.min_by("provider", "conversation_id").alias("adapter"))
     return (
         threads.join(adapter, "id", "left").join(fan_out(threads, edges), "id").join(depth(threads, edges), "id", "left")
-        .select("id", "title", F.coalesce("adapter", F.lit("")).alias("adapter"), F.col("model_provider").alias("vendor"), "tokens_used", "created_at_ms", "child_count", "depth", (F.coalesce("rollout_path", F.lit("")) != "").alias("has_rollout"))
+        .select("id", strip_hidden_chars(F.col("title")).alias("title"), F.coalesce("adapter", F.lit("")).alias("adapter"), F.col("model_provider").alias("vendor"), "tokens_used", "created_at_ms", "child_count", "depth", (F.coalesce("rollout_path", F.lit("")) != "").alias("has_rollout"))
     )
 
 
@@ -226,7 +227,8 @@ def floor_lookup(times: DataFrame, events: DataFrame) -> DataFrame:
 def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> tuple[DataFrame, DataFrame]:
     """Runs of nodes with one child and one parent each, min_len or longer, folded into 'chain:<head>'.
 
-    Returns nodes (id, label, tokens, members) and edges (parent, child). A link belongs to a chain if its
+    Returns nodes (id, label, tokens, members, created_at_ms) and edges (parent, child); a chain has the birth of its
+    head. A link belongs to a chain if its
     parent has one child and its child one parent. Heads are found by pointer doubling, so a chain of n nodes
     takes log n rounds; a pure cycle has no head and stays as it is."""
     e = stash(children(edges), "edges")
@@ -244,7 +246,8 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
     members = members.unionByName(heads)
     long_ = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_len).select("head")
     folded = stash(members.join(long_, "head"), "folded")
-    info = threads.groupBy("id").agg(F.max("tokens_used").alias("tokens"), F.min("title").alias("title"))
+    born = F.max("created_at_ms") if "created_at_ms" in threads.columns else F.max(F.lit(None).cast("long"))
+    info = threads.groupBy("id").agg(F.max("tokens_used").alias("tokens"), F.min("title").alias("title"), born.alias("born"))
     all_ = nodes(threads, edges).join(info, "id", "left").join(folded.select("id", "head", "hops"), "id", "left")
     merged = F.when(F.col("head").isNotNull(), F.concat(F.lit("chain:"), "head")).otherwise(F.col("id"))
     grouped = all_.groupBy(merged.alias("node")).agg(
@@ -252,9 +255,10 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
         F.count(F.lit(1)).alias("size"),
         F.max(F.col("head").isNotNull()).alias("is_chain"),
         F.min_by("title", F.coalesce("hops", F.lit(0))).alias("title"),
+        F.min_by("born", F.coalesce("hops", F.lit(0))).alias("created_at_ms"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("hops", F.lit(0).cast("long")).alias("h"), "id"))), lambda m: m.id).alias("members"),
     )
-    out = grouped.select(F.col("node").alias("id"), F.when(F.col("is_chain"), F.concat(F.col("size").cast("string"), F.lit(" in a row"))).otherwise(F.coalesce("title", F.col("node"))).alias("label"), "tokens", "members")
+    out = grouped.select(F.col("node").alias("id"), F.when(F.col("is_chain"), F.concat(F.col("size").cast("string"), F.lit(" in a row"))).otherwise(F.coalesce("title", F.col("node"))).alias("label"), "tokens", "members", "created_at_ms")
     to = lambda c: folded.select(F.col("id").alias(c), F.concat(F.lit("chain:"), "head").alias(f"{c}_to"))
     moved = e.join(to("parent"), "parent", "left").join(to("child"), "child", "left").select(F.coalesce("parent_to", "parent").alias("parent"), F.coalesce("child_to", "child").alias("child"))
     chain_inside = (F.col("parent") == F.col("child")) & F.col("parent").startswith("chain:")
@@ -302,7 +306,7 @@ def drawn_view(threads: DataFrame, edges: DataFrame, aggregated: bool = True, mo
     if not aggregated:
         return cap_fan_out(threads, edges, most)
     n, e = collapse_chains(threads, edges)
-    n = stash(n.select("id", F.col("tokens").alias("tokens_used"), F.lit(None).cast("long").alias("created_at_ms")), "chain-nodes")
+    n = stash(n.select("id", F.col("tokens").alias("tokens_used"), "created_at_ms"), "chain-nodes")
     return cap_fan_out(n, stash(e, "chain-edges"), most)
 
 

@@ -7,11 +7,12 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.scalars import tokenize
+from threadloom.functions.scalars import iso_to_ms, tokenize
 from threadloom.operators.filters import date_filter, provider_filter
+from threadloom.operators.privacy import strip_hidden_chars
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -32,6 +33,18 @@ def write_postings(postings: DataFrame, path: str, partitions: int = 32) -> None
     postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "conversation_id", "field", "pos").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def store_index(index: DataFrame, path: str, partitions: int = 32) -> None:
+    """The index in a folder: heads without bodies, postings sorted by term, and lengths."""
+    index.drop("body").write.mode("overwrite").parquet(f"{path}/heads")
+    write_postings(build_postings(index), f"{path}/postings", partitions)
+    doc_stats(index.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(heads, postings, stats) of a folder that store_index() wrote."""
+    return spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 @dataclass(frozen=True)
 class Clause:
     """Tokens that must stand next to one another (one token: a term), the last one open with prefix."""
@@ -78,10 +91,12 @@ def clause_hits(postings: DataFrame, clause: Clause) -> DataFrame:
         return F.col("term").startswith(t) if clause.prefix and i == last else F.col("term") == t
 
     if clause.near is not None:
-        sides = [clause_starts(postings, c) for c in clause.others]
-        a, b = sides[0].alias("a"), sides[1].alias("b")
+        # starts meet by bins as wide as the farthest that two of them may lie apart, and by the bins beside these
+        width = clause.near + max(len(c.tokens) for c in clause.others)
+        here_, beside = (clause_starts(postings, c).withColumn("bin", F.floor(F.col("start") / width)) for c in clause.others)
+        a, b = here_.alias("a"), beside.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1))).alias("b")
         gap = F.when(F.col("b.start") >= F.col("a.start"), F.col("b.start") - F.col("a.start") - len(clause.others[0].tokens)).otherwise(F.col("a.start") - F.col("b.start") - len(clause.others[1].tokens))
-        both = a.join(b, (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.field") == F.col("b.field")) & (gap <= clause.near))
+        both = a.join(b, (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.bin") == F.col("b.bin")) & (gap <= clause.near))
         return both.groupBy(F.col("a.conversation_id").alias("conversation_id")).agg(F.countDistinct("a.field", "a.start").alias("tf"))
     if last == 0:
         return p.filter(here(0)).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("tf"))
@@ -105,9 +120,13 @@ def near(a: Clause, b: Clause, distance: int) -> Clause:
 
 def match_all(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
     """(conversation_id, clause, tf) of conversations that hold every clause."""
-    hits = reduce(DataFrame.unionByName, [clause_hits(postings, c).withColumn("clause", F.lit(i)) for i, c in enumerate(clauses)])
-    full = hits.groupBy("conversation_id").agg(F.countDistinct("clause").alias("n")).filter(F.col("n") == len(clauses)).select("conversation_id")
-    return hits.join(full, "conversation_id")
+    return complete(match_any(postings, clauses), len(clauses))
+
+
+def complete(hits: DataFrame, n: int) -> DataFrame:
+    """The hits of conversations that have one for each of n clauses."""
+    full = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n).select("conversation_id")
+    return hits.join(full, "conversation_id", "left_semi")
 
 
 def match_any(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
@@ -118,30 +137,40 @@ def match_without(matched: DataFrame, postings: DataFrame, excluded: Clause) ->
     return matched.join(clause_hits(postings, excluded).select("conversation_id"), "conversation_id", "left_anti")
 
 
-def bm25(matched: DataFrame, postings: DataFrame, clauses: list[Clause], stats: DataFrame) -> DataFrame:
-    """(conversation_id, score), more negative is better; a phrase counts as one unit, frequencies over both fields."""
+def bm25(matched: DataFrame, hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """(conversation_id, bm25), more negative is better; a phrase counts as one unit, frequencies over both fields.
+
+    hits (conversation_id, clause, tf): all hits of the clauses, from which their document frequencies come; matched: those of
+    the conversations to rank."""
     size = stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = reduce(DataFrame.unionByName, [clause_hits(postings, c).agg(F.count(F.lit(1)).alias("df")).withColumn("clause", F.lit(i)) for i, c in enumerate(clauses)])
+    df = hits.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weights = F.broadcast(df.crossJoin(size).select("clause", idf.alias("idf"), "avg_len"))  # a row for each clause
     scored = matched.join(weights, "clause").join(stats, "conversation_id")
     tf = F.col("tf")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.groupBy("conversation_id").agg((-F.sum(part)).alias("score"))
+    return scored.groupBy("conversation_id").agg((-F.sum(part)).alias("bm25"))
 
 
 def search(index: DataFrame, postings: DataFrame, stats: DataFrame, text: str, since: str = "", until: str = "", provider: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of hits in the order (score, id), each with the total of all hits. No token in text: no hits."""
+    """A page of hits in the order (bm25, id), each with the total of all hits. No token in text: no hits.
+
+    Columns: conversation_id, snippet (the title without hidden characters), score (1 / place among all hits), provider,
+    thread_id and ts_ms (null where there is none), bm25, total."""
     clauses = parse_query(text)
-    shown = index.select("conversation_id", "title", "provider", "created_at")
+    thread = F.nullif("thread_id", F.lit("")) if "thread_id" in index.columns else F.lit(None).cast("string")
+    shown = ["conversation_id", strip_hidden_chars(F.col("title")).alias("snippet"), "provider", thread.alias("thread_id"), iso_to_ms(F.col("created_at")).alias("ts_ms")]
+    out = ["conversation_id", "snippet", "score", "provider", "thread_id", "ts_ms", "bm25", "total"]
     if not clauses:
-        return shown.limit(0).withColumn("score", F.lit(0.0)).withColumn("total", F.lit(0).cast("long"))
-    hits = hits_of(index, postings, clauses, since, until, provider)
-    ranked = bm25(match_all(postings, clauses), postings, clauses, stats)
-    rows = hits.select(*shown.columns).join(ranked, "conversation_id")
+        return index.limit(0).select(*shown, F.lit(0.0).alias("score"), F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("total")).select(*out)
+    hits = match_any(postings, clauses)
+    ranked = bm25(complete(hits, len(clauses)), hits, stats)
+    rows = provider_filter(date_filter(index, since, until), provider).join(ranked, "conversation_id")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    page = rows.orderBy(F.round("score", 9), "conversation_id").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))  # one row
+    order = [F.round("bm25", 9), F.col("conversation_id")]
+    page = rows.orderBy(*order).offset(offset).limit(limit)  # what follows concerns a page only
+    place = F.row_number().over(Window.orderBy(*order)) + offset
+    return page.select(*shown, "bm25", (1.0 / place).alias("score")).crossJoin(F.broadcast(total)).select(*out)  # one row
 
 
 def hits_of(index: DataFrame, postings: DataFrame, clauses: list[Clause], since: str = "", until: str = "", provider: str = "") -> DataFrame:
@@ -166,5 +195,3 @@ def search_annotations(notes: DataFrame, text: str = "", tag: str = "") -> DataF
     if tag.strip():
         found = found.filter(F.exists("tags", lambda t: F.lower(t) == tag.strip().lower()))
     return found
-
-

@@ -34,11 +34,23 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return index.build_conversation_index(demo.conversations(spark, d), demo.blocks(spark, d))
 
 
+#: Folders of stored indexes by application and input.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> str:
+    """The folder of the search index over conversations, written by the first query that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in STORED:
+        path = f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}"
+        search.store_index(_index(spark, d), path, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        STORED[key] = path
+    return STORED[key]
+
+
 def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Index, postings and lengths; postings are written once, as every clause reads them."""
-    ix = _index(spark, d)
-    p = stash(search.build_postings(ix), "postings")
-    return ix, p, search.doc_stats(p)
+    """Index, postings and lengths, as stored."""
+    return search.open_index(spark, stored_index(spark, d))
 
 
 CONV = "WITH" + demo.CONV_SQL
@@ -132,11 +144,13 @@ def _phrase(ts: list[str], i: int) -> str:
     return f"SELECT p0.conversation_id, {i} AS clause, count(*) AS tf FROM po p0 {joins} WHERE p0.term = '{ts[0]}' GROUP BY 1"
 
 
-PAGE = " SELECT i.conversation_id, i.title, i.provider, i.created_at, round(score, 9) AS score, count(*) OVER () AS total FROM sc JOIN ix i USING (conversation_id) WHERE {where} ORDER BY round(score, 9), 1 LIMIT 50"
+PAGE = """ SELECT i.conversation_id, i.title AS snippet, round(1.0::DOUBLE / row_number() OVER (ORDER BY round(score, 9), i.conversation_id), 9) AS score, i.provider, nullif(i.thread_id, '') AS thread_id,
+  CASE WHEN i.created_at <> '' THEN epoch_ms(CAST(replace(i.created_at, 'Z', '') AS TIMESTAMP)) END AS ts_ms, round(score, 9) AS bm25, count(*) OVER () AS total
+FROM sc JOIN ix i USING (conversation_id) WHERE {where} ORDER BY round(score, 9), 1 LIMIT {limit}"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 9))
+    return df.withColumns({c: F.round(c, 9) for c in ("score", "bm25")})
 
 
 @query(TERMS + " SELECT term, conversation_id, field, CAST(pos AS INTEGER) AS pos FROM po")
@@ -144,25 +158,52 @@ def t2_postings(spark: SparkSession, d: str) -> DataFrame:
     return search.build_postings(_index(spark, d))
 
 
-@query(TERMS + BM25.format(hits=_term("the", 0) + " UNION ALL " + _term("of", 1), n=2) + PAGE.format(where="true"))
+@query(TERMS + BM25.format(hits=_term("the", 0) + " UNION ALL " + _term("of", 1), n=2) + PAGE.format(where="true", limit=50))
 def t6_search_terms(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: both words, ranked, a page of 50 with the total."""
     ix, p, s = _postings(spark, d)
     return _rounded(search.search(ix, p, s, "the of"))
 
 
-@query(TERMS + BM25.format(hits=_phrase(["of", "the"], 0) + " UNION ALL " + _term("and", 1), n=2) + PAGE.format(where="created_at <> '' AND substr(created_at, 1, 7) >= '2024-02' AND provider = 'claude'"))
+@query(TERMS + BM25.format(hits=_phrase(["of", "the"], 0) + " UNION ALL " + _term("and", 1), n=2) + PAGE.format(where="created_at <> '' AND substr(created_at, 1, 7) >= '2024-02' AND provider = 'claude'", limit=50))
 def t6_search_phrase_filtered(spark: SparkSession, d: str) -> DataFrame:
     ix, p, s = _postings(spark, d)
     return _rounded(search.search(ix, p, s, '"of the" and', since="2024-02", provider="claude"))
 
 
-@query(TERMS + BM25.format(hits="SELECT conversation_id, 0 AS clause, count(*) AS tf FROM po WHERE term LIKE 'th%' GROUP BY 1", n=1) + PAGE.format(where="true"))
+@query(TERMS + BM25.format(hits="SELECT conversation_id, 0 AS clause, count(*) AS tf FROM po WHERE term LIKE 'th%' GROUP BY 1", n=1) + PAGE.format(where="true", limit=50))
 def t4_search_prefix(spark: SparkSession, d: str) -> DataFrame:
     ix, p, s = _postings(spark, d)
     return _rounded(search.search(ix, p, s, "th*"))
 
 
+@query(TERMS + BM25.format(hits=_phrase(["in", "the"], 0), n=1) + PAGE.format(where="true", limit="20 OFFSET 5"))
+def t6_search_paged(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of a phrase, with the places of its hits among all."""
+    ix, p, s = _postings(spark, d)
+    return _rounded(search.search(ix, p, s, '"in the"', limit=20, offset=5))
+
+
+@query(TERMS + BM25.format(hits=_term("is", 0) + " UNION ALL " + _term("a", 1) + " UNION ALL " + _term("to", 2), n=3) + PAGE.format(where="created_at <> '' AND substr(created_at, 1, 10) <= '2024-03-15'", limit=50))
+def t6_search_until(spark: SparkSession, d: str) -> DataFrame:
+    ix, p, s = _postings(spark, d)
+    return _rounded(search.search(ix, p, s, "is a to", until="2024-03-15"))
+
+
+@query(TERMS + BM25.format(hits="SELECT p0.conversation_id, 0 AS clause, count(*) AS tf FROM po p0 JOIN po p1 ON p1.conversation_id = p0.conversation_id AND p1.field = p0.field AND p1.pos = p0.pos + 1 AND p1.term LIKE 'th%' WHERE p0.term = 'of' GROUP BY 1", n=1) + " SELECT conversation_id, round(score, 9) AS bm25 FROM sc")
+def t4_phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase that is open at its end: all hits with their rank values."""
+    _, p, s = _postings(spark, d)
+    hits = search.match_any(p, [search.Clause(("of", "th"), prefix=True)])
+    return search.bm25(hits, hits, s).withColumn("bm25", F.round("bm25", 9))
+
+
+@query(TERMS + " SELECT conversation_id, CAST(count(*) AS BIGINT) AS tf FROM po WHERE field = 'title' AND term = 'the' GROUP BY 1")
+def t4_field(spark: SparkSession, d: str) -> DataFrame:
+    _, p, _ = _postings(spark, d)
+    return search.clause_hits(p, search.Clause(("the",), field="title"))
+
+
 @query(TERMS + " SELECT conversation_id, CAST(count(DISTINCT (a.field, a.pos)) AS BIGINT) AS tf FROM po a JOIN po b USING (conversation_id) WHERE a.field = b.field AND a.term = 'the' AND b.term = 'and' AND CASE WHEN b.pos >= a.pos THEN b.pos - a.pos - 1 ELSE a.pos - b.pos - 1 END <= 3 GROUP BY 1")
 def t4_near(spark: SparkSession, d: str) -> DataFrame:
     _, p, _ = _postings(spark, d)

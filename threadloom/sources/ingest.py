@@ -127,38 +127,62 @@ def classify_transcript_path(path: Column) -> Column:
 
 
 def ingest_transcripts(spark: SparkSession, path: str) -> Ingested:
-    """One file per session or subagent. The first non-empty cwd, branch, title and model win; usage is summed per
-    response; a user record of tool results only belongs to the assistant side; the child's path is the edge."""
-    records, errors = read_json_lines(spark, path, "*.jsonl*")
+    """One JSON-lines file per session or subagent; see fold_transcripts()."""
+    return fold_transcripts(*read_json_lines(spark, path, "*.jsonl*"))
+
+
+def fold_transcripts(records: DataFrame, errors: DataFrame | None = None) -> Ingested:
+    """records (path, line, json). The first non-empty generated title, cwd, branch and model win; usage is summed per
+    response; a user record of tool results only belongs to the assistant side; a child's path is its edge.
+
+    census (conversation_id, kind, n) counts record types, and by prefix system subtypes, attachment kinds and prompt
+    sources, and side chains, meta users, tool result records and branch points."""
+    parts_ = F.split("path", "/")
+    sub = F.array_position(parts_, "subagents").cast("int")
+    slug = F.when(sub > 2, F.get(parts_, sub - 3)).when(sub == 0, F.try_element_at(parts_, F.lit(-2)))
     r = records.withColumn("where", classify_transcript_path(F.col("path"))).filter("where.kind <> 'excluded'")
-    r = r.select("path", "line", "json", F.col("where.session_id").alias("sid"), F.col("where.parent_id").alias("parent"), at("type").alias("rtype"), at("timestamp").alias("ts"), at("uuid").alias("uuid"), at("parentUuid").alias("puuid"))
-    first = lambda p: F.min_by(at(p), F.when(at(p) != "", F.col("line")))
-    number = lambda p: F.coalesce(F.expr(f"try_cast(get_json_object(json, '$.message.usage.{p}') as bigint)"), F.lit(0))
+    r = r.select(
+        "path", "line", "json", F.col("where.session_id").alias("sid"), F.col("where.parent_id").alias("parent"), F.col("where.kind").alias("layout"), F.col("where.workflow").alias("workflow"), F.col("where.agent_id").alias("agent_id"), F.coalesce(slug, F.lit("")).alias("slug"),
+        at("type").alias("rtype"), at("timestamp").alias("ts"), at("uuid").alias("uuid"), at("parentUuid").alias("puuid"),
+    )
+    first = lambda p, only=F.lit(True): F.coalesce(F.min_by(at(p), F.when(only & (at(p) != ""), F.col("line"))), F.lit(""))
+    answer, talked = F.col("rtype") == "assistant", F.col("rtype").isin("user", "assistant")
+    number = lambda p: F.when(answer, F.coalesce(F.expr(f"try_cast(get_json_object(json, '$.message.usage.{p}') as bigint)"), F.lit(0))).otherwise(0)
     stamped = F.when(F.col("ts") != "", F.col("line"))
+    spawn = F.when(F.col("layout") == "session", "session").when(F.col("workflow") != "", "workflow").otherwise("subagent")
     docs = r.groupBy("sid").agg(
-        F.first("parent").alias("parent"), F.first("path").alias("path"), first("cwd").alias("cwd"), first("gitBranch").alias("git_branch"), first("summary").alias("summary"), first("message.model").alias("model_id"),
-        F.sum(number("input_tokens") + number("output_tokens")).alias("tokens_used"), F.min_by("ts", stamped).alias("created_at"), F.max_by("ts", stamped).alias("updated_at"),
+        F.first("parent").alias("parent"), F.first("path").alias("path"), F.first(spawn).alias("role"), F.first("agent_id").alias("agent_id"), F.first("slug").alias("slug"), first("cwd").alias("cwd"), first("gitBranch").alias("git_branch"),
+        first("aiTitle", F.col("rtype") == "ai-title").alias("ai_title"), first("message.model", answer).alias("model_id"), F.sum(number("input_tokens") + number("output_tokens")).alias("tokens_used"), F.min_by("ts", stamped).alias("created_at"), F.max_by("ts", stamped).alias("updated_at"),
     )
     content = _raw("json", "message.content")
-    parts = F.from_json(content, "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string,tool_use_id:string>>")
-    as_list = F.when(content.startswith("["), parts).otherwise(F.array(F.struct(F.lit("text").alias("type"), at("message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "name", "input", "content", "tool_use_id")])))
-    talk = r.filter("rtype in ('user', 'assistant')").withColumn("c", as_list).withColumn("results_only", (F.size("c") > 0) & F.forall("c", lambda x: x.type == "tool_result"))
+    item = "struct<type:string,text:string,thinking:string,name:string,input:string,content:string,tool_use_id:string,is_error:boolean>"
+    plain = F.struct(F.lit("text").alias("type"), at("message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "name", "input", "content", "tool_use_id")], F.lit(None).cast("boolean").alias("is_error"))
+    none = F.from_json(F.lit("[]"), f"array<{item}>")
+    as_list = F.when(content.startswith("["), F.from_json(content, f"array<{item}>")).when(content.startswith("{"), F.array(F.from_json(content, item))).when(F.trim(at("message.content")) != "", F.array(plain)).otherwise(none)
+    talk = r.filter(talked).withColumn("c", as_list).withColumn("results_only", (F.size("c") > 0) & F.forall("c", lambda x: x.type == "tool_result"))
     talk = talk.withColumn("user", (F.col("rtype") == "user") & ~F.col("results_only"))
     before = F.lag("user", 1, True).over(Window.partitionBy("sid").orderBy("line"))
-    turned = talk.withColumn("new", F.col("user") | before).withColumn("turn", island(F.col("new"), "sid"))
+    turned = talk.filter(F.size("c") > 0).withColumn("new", F.col("user") | before).withColumn("turn", island(F.col("new"), "sid"))
     each = turned.select("sid", "line", "turn", "ts", "user", "uuid", F.posexplode("c").alias("part", "x"))
-    blk = F.struct(
-        F.coalesce("x.type", F.lit("unknown")).alias("type"), F.coalesce(F.col("x.text"), F.col("x.thinking"), F.lit("")).alias("text"),
-        F.when(F.col("x.type").isin("tool_use", "tool_result"), F.to_json(F.struct(F.col("x.name").alias("name"), F.col("x.input").alias("input"), F.col("x.content").alias("content"), F.col("x.tool_use_id").alias("call_id")))).alias("data"),
-    )
+    called = F.to_json(F.struct(F.col("x.name").alias("name"), F.col("x.input").alias("input"), F.col("x.content").alias("content"), F.col("x.tool_use_id").alias("call_id"), F.col("x.is_error").alias("is_error")))
+    blk = F.struct(F.coalesce("x.type", F.lit("unknown")).alias("type"), F.coalesce(F.col("x.text"), F.col("x.thinking"), F.lit("")).alias("text"), F.when(F.col("x.type").isin("tool_use", "tool_result"), called).alias("data"))
     out = _numbered(each.withColumn("blk", blk), "sid").withColumn("conversation_id", F.col("sid"))
-    ask = each.filter("user and x.text is not null").groupBy("sid").agg(F.min_by("x.text", F.struct("line", "part")).alias("ask"))
-    d = docs.join(ask, "sid", "left").withColumn("title", F.coalesce(F.nullif("summary", F.lit("")), F.nullif(first_line(F.col("ask")), F.lit("")), F.lit("(untitled)")))
-    conv = d.select(F.col("sid").alias("conversation_id"), "title", F.lit("claude-code").alias("provider"), F.lit("").alias("account"), F.col("sid").alias("thread_id"), F.coalesce("created_at", F.lit("")).alias("created_at"), F.coalesce("updated_at", F.lit("")).alias("updated_at"), "path", "model_id")
-    threads = d.select(F.col("sid").alias("id"), "title", F.coalesce("model_id", F.lit("")).alias("model_provider"), "tokens_used", iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), F.coalesce("git_branch", F.lit("")).alias("git_branch"), F.coalesce("cwd", F.lit("")).alias("cwd"), F.lit("").alias("agent_role"), F.lit("").alias("agent_nickname"), preview(F.col("ask")).alias("preview"), F.col("path").alias("rollout_path"))
-    edges = d.filter("parent <> ''").select("parent", F.col("sid").alias("child"), F.lit("subagent").alias("status"))
-    forks = r.filter("puuid <> ''").groupBy("sid", "puuid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    census = r.groupBy("sid", F.col("rtype").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(forks.select("sid", F.lit("branch_point").alias("kind"), "n"))
+    ask = each.filter("user and x.type = 'text' and x.text is not null").groupBy("sid").agg(F.min_by("x.text", F.struct("line", "part")).alias("ask"))
+    d = docs.join(ask, "sid", "left").withColumn("title", F.coalesce(F.nullif("ai_title", F.lit("")), F.nullif(first_line(F.col("ask")), F.lit("")), F.lit("(untitled)")))
+    stamps = [F.coalesce(c, F.lit("")).alias(c) for c in ("created_at", "updated_at")]
+    conv = d.select(F.col("sid").alias("conversation_id"), "title", F.lit("claude-code").alias("provider"), F.lit("").alias("account"), F.col("sid").alias("thread_id"), *stamps, "path", "model_id")
+    threads = d.select(F.col("sid").alias("id"), "title", F.lit("anthropic").alias("model_provider"), "tokens_used", iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), "git_branch", F.coalesce(F.nullif("cwd", F.lit("")), F.col("slug")).alias("cwd"), F.col("role").alias("agent_role"), F.col("agent_id").alias("agent_nickname"), preview(F.col("ask")).alias("preview"), F.col("path").alias("rollout_path"))
+    edges = d.filter("parent <> ''").select("parent", F.col("sid").alias("child"), F.col("role").alias("status"))
+    untyped = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("(untyped)"))
+    speaks = (F.col("rtype") == "user") & ~F.col("results_only")
+    kinds = F.array(
+        untyped(F.col("rtype")), F.when(F.col("rtype") == "system", F.concat(F.lit("system:"), untyped(at("subtype")))), F.when(F.col("rtype") == "attachment", F.concat(F.lit("attachment:"), untyped(at("attachment.type")))),
+        F.when(talked & (at("isSidechain") == "true"), "sidechain"), F.when(F.col("results_only"), "tool_result_record"), F.when(speaks & (at("isMeta") == "true"), "meta_user"), F.when(speaks & (at("promptSource") != ""), F.concat(F.lit("prompt:"), at("promptSource"))),
+    )
+    results_only = F.coalesce((F.col("rtype") == "user") & (F.size(as_list) > 0) & F.forall(as_list, lambda x: x.type == "tool_result"), F.lit(False))
+    counted = r.withColumn("results_only", results_only).select("sid", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")).groupBy("sid", "kind").agg(F.count(F.lit(1)).alias("n"))
+    forks = r.filter(talked & (F.col("puuid") != "")).groupBy("sid", "puuid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    census = counted.unionByName(forks.select("sid", F.lit("branch_point").alias("kind"), "n"))
     return Ingested(conv, _blocks(out), threads, edges, errors, census.withColumnRenamed("sid", "conversation_id"))
 
 
@@ -166,15 +190,26 @@ def ingest_transcripts(spark: SparkSession, path: str) -> Ingested:
 
 
 def ingest_update_streams(spark: SparkSession, path: str) -> Ingested:
-    """<cwd>/<session>/updates.jsonl with subagents/<id>/meta.json below it.
+    """<cwd>/<session>/updates.jsonl with summary.json beside and subagents/<id>/meta.json below it; see fold_update_streams()."""
+
+    def whole(name: str) -> DataFrame:
+        found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
+        return found.select(file_path().alias("path"), F.col("value").alias("json"))
+
+    records, errors = read_json_lines(spark, path, "updates.jsonl*")
+    return fold_update_streams(records, whole("summary.json"), whole("meta.json"), errors)
+
 
-    Chunks of one kind join without a gap until the kind changes or the turn completes; tool updates of a call
+def fold_update_streams(records: DataFrame, summaries: DataFrame, metas: DataFrame, errors: DataFrame | None = None) -> Ingested:
+    """records (path, line, json), summaries and metas (path, json).
+
+    A session is its folder. Its id is the summary's, the stream's or the folder's name; what the summary says of title,
+    times and working directory wins over the stream. Chunks of one kind join without a gap until the kind changes or the turn completes; tool updates of a call
     id fold to one block, each field the last non-empty one; calls without an id never merge; other events are
     counted and break nothing."""
-    records, errors = read_json_lines(spark, path, "updates.jsonl*")
     parts = F.split("path", "/")
     r = records.filter(~F.col("path").contains("/subagents/")).select(
-        "path", "line", "json", F.element_at(parts, -2).alias("sid"), decoded_dir(F.element_at(parts, -3)).alias("cwd"), at("timestamp").alias("ts"), at("params.update.sessionUpdate").alias("kind"),
+        "path", "line", "json", F.element_at(parts, -2).alias("sid"), decoded_dir(F.element_at(parts, -3)).alias("cwd"), at("timestamp").alias("ts"), at("params.sessionId").alias("hint"), at("params.update.sessionUpdate").alias("kind"),
         at("params.update.content.text").alias("text"), at("params.update.toolCallId").alias("call"), at("params.update.title").alias("title"), at("params.update.status").alias("status"), at("params.update.rawInput").alias("input"), at("params.update.rawOutput").alias("output"),
     )
     chunk = F.col("kind").isin("user_message_chunk", "agent_message_chunk", "agent_thought_chunk")
@@ -201,19 +236,24 @@ def ingest_update_streams(spark: SparkSession, path: str) -> Ingested:
     before = F.lag("user", 1, True).over(Window.partitionBy("sid").orderBy("line", "part"))
     rows = rows.withColumn("new", F.col("user") | before)
     rows = rows.withColumn("turn", F.sum(F.col("new").cast("int")).over(Window.partitionBy("sid").orderBy("line", "part").rowsBetween(Window.unboundedPreceding, 0)))
-    out = _numbered(rows, "sid").withColumn("conversation_id", F.col("sid")).withColumn("uuid", F.lit(""))
     stamped = F.when(F.col("ts") != "", F.col("line"))
-    heads = r.groupBy("sid").agg(F.min_by("ts", stamped).alias("created_at"), F.max_by("ts", stamped).alias("updated_at"), F.first("cwd").alias("cwd"), F.first("path").alias("path"))
+    heads = r.groupBy("sid").agg(F.min_by("ts", stamped).alias("first_ts"), F.max_by("ts", stamped).alias("last_ts"), F.first("cwd").alias("dir_cwd"), F.first(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).alias("path"), F.min_by("hint", F.when(F.col("hint") != "", F.col("line"))).alias("hint"))
+    sp = F.split("path", "/")
+    said = summaries.filter(~F.col("path").contains("/subagents/")).select(F.element_at(sp, -2).alias("sid"), *[at(p).alias(c) for c, p in {"s_id": "info.id", "s_cwd": "info.cwd", "s_title": "generated_title", "s_created": "created_at", "s_active": "last_active_at", "s_updated": "updated_at", "s_kind": "session_kind", "s_agent": "agent_name", "s_model": "current_model_id"}.items()])
     ask = main.filter("user").groupBy("sid").agg(F.min_by("blk.text", "line").alias("ask"))
-    d = heads.join(ask, "sid", "left").withColumn("title", F.coalesce(F.nullif(first_line(F.col("ask")), F.lit("")), F.lit("(untitled)")))
-    conv = d.select(F.col("sid").alias("conversation_id"), "title", F.lit("grok").alias("provider"), F.lit("").alias("account"), F.col("sid").alias("thread_id"), F.coalesce("created_at", F.lit("")).alias("created_at"), F.coalesce("updated_at", F.lit("")).alias("updated_at"), "path")
-    threads = d.select(F.col("sid").alias("id"), "title", F.lit("xai").alias("model_provider"), F.lit(0).cast("long").alias("tokens_used"), iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), F.lit("").alias("git_branch"), "cwd", F.lit("").alias("agent_role"), F.lit("").alias("agent_nickname"), preview(F.col("ask")).alias("preview"), F.col("path").alias("rollout_path"))
-    metas = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").text(path, wholetext=True).select(file_path().alias("path"), F.col("value").alias("json"))
-    metas = metas.filter(F.col("path").contains("/subagents/"))
-    mp = F.split("path", "/")
-    child = F.coalesce(F.nullif(at("child_session_id"), F.lit("")), F.nullif(at("session_id"), F.lit("")), F.element_at(mp, -2))
-    edges = metas.select(F.get(mp, F.array_position(mp, "subagents").cast("int") - 2).alias("parent"), child.alias("child"), at("status").alias("status"))
-    census = r.filter(~(chunk | tool)).groupBy("sid", "kind").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("sid", "conversation_id")
+    best = lambda *cs: F.coalesce(*[F.nullif(c if isinstance(c, Column) else F.col(c), F.lit("")) for c in cs], F.lit(""))
+    d = heads.join(said, "sid", "left").join(ask, "sid", "left").select(
+        "sid", best("s_id", "hint", "sid").alias("id"), F.coalesce(F.nullif(best("s_title", first_line(F.col("ask"))), F.lit("")), F.lit("(untitled)")).alias("title"), best("s_cwd", "dir_cwd").alias("cwd"), best("s_created", "first_ts").alias("created_at"),
+        best("s_active", "s_updated", "last_ts").alias("updated_at"), best("s_kind").alias("agent_role"), best("s_agent").alias("agent_nickname"), best("s_model").alias("model_id"), preview(F.col("ask")).alias("preview"), "path",
+    )
+    named = d.select("sid", "id")
+    out = _numbered(rows, "sid").join(named, "sid").withColumn("conversation_id", F.col("id")).withColumn("uuid", F.lit(""))
+    conv = d.select(F.col("id").alias("conversation_id"), "title", F.lit("grok").alias("provider"), F.lit("").alias("account"), F.col("id").alias("thread_id"), "created_at", "updated_at", "path", "model_id")
+    threads = d.select("id", "title", F.lit("xai").alias("model_provider"), F.lit(0).cast("long").alias("tokens_used"), iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), F.lit("").alias("git_branch"), "cwd", "agent_role", "agent_nickname", "preview", F.col("path").alias("rollout_path"))
+    # a meta without a child gives no edge; one without a parent belongs to the session that it lies in
+    below = metas.filter(F.col("path").contains("/subagents/")).select(F.get(sp, F.array_position(sp, "subagents").cast("int") - 2).alias("sid"), at("parent_session_id").alias("given"), at("child_session_id").alias("child"), at("status").alias("status"))
+    edges = below.join(named, "sid", "left").filter("child <> ''").select(best("given", "id", "sid").alias("parent"), "child", "status")
+    census = r.filter("kind <> ''").groupBy("sid", "kind").agg(F.count(F.lit(1)).alias("n")).join(named, "sid").select(F.col("id").alias("conversation_id"), "kind", "n")
     return Ingested(conv, _blocks(out), threads, edges, errors, census)
 
 
@@ -489,16 +529,52 @@ def attach_citations(items: DataFrame) -> DataFrame:
 
 
 def activity_turns(records: DataFrame, doc: str = "doc") -> DataFrame:
-    """records (doc, pos, ts, verb, title, detail, prompt, response): a prompt gives a human and an assistant turn,
-    any other verb one event."""
+    """records (doc, pos, ts, verb, title, detail, prompt, response) and, if there, attachments and media as JSON arrays:
+    a prompt gives a human and an assistant turn, any other verb one event; attached things stand before a prompt and
+    after an event. (conversation_id, turn_idx, role, block_idx, type, text, data, ts)."""
     text = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs], F.lit(""))
-    asked = F.coalesce(F.nullif("verb", F.lit("")), F.lit("Prompted")) == "Prompted"
-    turn = lambda role, kind, t: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("type"), t.alias("text"))
-    both = F.array(turn("human", "text", text("prompt", "title", "detail")), turn("assistant", "text", text("response")))
-    event = F.array(turn("assistant", "event", text("title", "detail", "verb")))
-    each = records.select(doc, "pos", "ts", F.posexplode(F.when(asked, both).otherwise(event)).alias("part", "t"))
-    at_ = F.row_number().over(Window.partitionBy(doc).orderBy("pos", "part")) - 1
-    return each.select(F.col(doc).alias("conversation_id"), at_.alias("turn_idx"), "t.role", F.lit(0).alias("block_idx"), "t.type", "t.text", "ts")
+    verb = F.coalesce(F.nullif("verb", F.lit("")), F.lit("Prompted"))
+    none = F.lit(None).cast("string")
+    blk = lambda kind, t, data=none: F.struct(F.lit(kind).alias("type"), t.alias("text"), data.alias("data"))
+    empty = F.slice(F.array(blk("text", F.lit(""))), 1, 0)
+
+    def each_of(column: str, shown: Callable[[Column, Column], Column]) -> Column:
+        """Blocks of a JSON array's elements; shown gets the element as JSON and, if it is one, its string."""
+        if column not in records.columns:
+            return empty
+        elements = F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")
+        return F.coalesce(F.transform(elements, lambda v: shown(F.to_json(v), F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(""))), empty)
+
+    field = lambda j, *names: F.coalesce(*[F.nullif(F.get_json_object(j, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
+    js = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
+    held = lambda j, s: F.when(
+        j.startswith("{"), blk("attachment", F.coalesce(F.nullif(field(j, "name"), F.lit("")), F.lit("attachment")), js(file_name=field(j, "name"), path=field(j, "on_disk"), resolved=field(j, "resolved") == "true"))
+    ).otherwise(blk("attachment", F.coalesce(F.nullif(s, F.lit("")), F.lit("attachment")), js(file_name=s)))
+    at_path = lambda p: blk("media", p, js(path=p))
+    attached = F.concat(each_of("attachments", held), each_of("media", lambda j, s: F.when(j.startswith("{"), at_path(field(j, "on_disk", "name"))).otherwise(at_path(s))))
+    turn = lambda role, blocks: F.struct(F.lit(role).alias("role"), blocks.alias("blocks"))
+    both = F.array(turn("human", F.concat("attached", F.array(blk("text", text("prompt", "title", "detail"))))), turn("assistant", F.array(blk("text", text("response")))))
+    event = F.array(turn("assistant", F.concat(F.array(blk("event", text("title", "detail", "verb"), js(name=verb, detail=text("detail")))), F.col("attached"))))
+    each = records.withColumn("attached", attached).select(doc, "pos", "ts", F.posexplode(F.when(verb == "Prompted", both).otherwise(event)).alias("part", "t"))
+    numbered = each.withColumn("turn_idx", F.row_number().over(Window.partitionBy(doc).orderBy("pos", "part")) - 1)
+    out = numbered.select(F.col(doc).alias("conversation_id"), "turn_idx", "t.role", F.posexplode("t.blocks").alias("block_idx", "b"), "ts")
+    return out.select("conversation_id", "turn_idx", "role", "block_idx", "b.type", "b.text", "b.data", "ts")
+
+
+def ingest_activity_log(spark: SparkSession, path: str, glob: str = "*.json", gap_ms: int | None = None) -> Ingested:
+    """Activity records as a JSON array: each file one conversation, or one for each run of a gem without a longer gap."""
+    raw = export_records(spark, path, glob)
+    given = lambda *names: F.coalesce(*[F.nullif(at(n), F.lit("")) for n in names], F.lit(""))
+    arrays = lambda n: F.get_json_object("json", f"$.{n}").alias(n)
+    r = raw.select("path", "pos", given("timestamp_iso", "timestamp").alias("ts"), at("verb").alias("verb"), at("gem").alias("gem"), at("prompt").alias("prompt"), at("response_md").alias("response"), at("title").alias("title"), at("detail").alias("detail"), arrays("attachments"), arrays("media"))
+    if gap_ms is None:
+        r = r.withColumn("doc", F.col("path")).withColumn("grp", F.lit("all"))
+    else:
+        r = group_by_gap(r.withColumn("ts_ms", iso_to_ms(F.col("ts"))), "path", gap_ms).withColumn("doc", F.concat_ws("#", "path", "grp"))
+    heads = activity_conversations(r).join(r.select(F.col("doc").alias("conversation_id"), "path").distinct(), "conversation_id")
+    title = F.lit("Gemini activity (ungrouped)") if gap_ms is None else F.lit("(untitled)")
+    conv = heads.select("conversation_id", title.alias("title"), F.lit("gemini").alias("provider"), F.lit("").alias("account"), F.lit("").alias("thread_id"), "created_at", "updated_at", "path", "gems")
+    return Ingested(conv, activity_turns(r).withColumn("uuid", F.lit("")))
 
 
 def activity_conversations(records: DataFrame, doc: str = "doc") -> DataFrame:
@@ -626,10 +702,10 @@ def source_inventory(listing: DataFrame, keep: int = 25) -> DataFrame:
     each provider and kind the newest keep are listed, and truncated says that there are more."""
     parts = F.split("path", "/")
     l = listing.withColumn("name", F.lower(F.element_at(parts, -1))).withColumn("dir", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"))  # noqa: E741
-    beside = F.collect_set("name").over(Window.partitionBy("dir"))
-    l = l.withColumn("beside", beside)  # noqa: E741
-    has = lambda *names: F.arrays_overlap("beside", F.array(*map(F.lit, names)))
-    gpt, cl = has("chat.html"), has("users.json", "memories.json", "projects.json")
+    has = lambda *names: F.max(F.col("name").isin(*names))
+    beside = l.groupBy("dir").agg(has("chat.html").alias("gpt"), has("users.json", "memories.json", "projects.json").alias("cl"))
+    l = l.join(beside, "dir")  # noqa: E741
+    gpt, cl = F.col("gpt"), F.col("cl")
     is_conv = F.col("name") == "conversations.json"
     rule = lambda provider, kind, sure, where: F.struct(F.lit(provider).alias("p"), F.lit(kind).alias("k"), F.lit(sure).alias("c"), where.alias("w"))
     under = lambda folder: F.regexp_extract("dir", f"^(.*/{folder})", 1)
@@ -660,6 +736,7 @@ ADAPTERS: dict[str, Callable[[SparkSession, str], Ingested]] = {
     "claude_export": ingest_claude_export,
     "design_chats": ingest_design_chats,
     "task_export": ingest_task_export,
+    "activity_log": ingest_activity_log,
 }
 
 
