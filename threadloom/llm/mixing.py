@@ -78,6 +78,7 @@ def leaf_budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = N
             w = weights.select(F.col("path"), F.col("weight").cast("long").alias("given_weight"))
             here = here.join(w, "path", "left").withColumn("weight", F.coalesce("given_weight", F.lit(1).cast("long"))).drop("given_weight")
         here = join_checked(here, parents, "parent")
+        here = stash(here, "mix-nodes")
         rates = dry_rates(here)
         here = join_checked(here, rates, "parent", "left")
         budget = F.when(_ratio() < F.col("at"), F.col("cap")).otherwise(F.expr("(cast(weight as decimal(38, 0)) * left) div share"))
