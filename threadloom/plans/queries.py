@@ -582,6 +582,27 @@ def s12_activity_turns(spark: SparkSession, d: str) -> DataFrame:
     return ingest.activity_turns(r).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("turns"))
 
 
+@query("WITH" + EVENTS + """, b AS (SELECT user_id, pos, event_id, gem = 'purchase' AS asked, list_concat(CASE WHEN event_id % 3 = 0 THEN [{'t': 'attachment', 'x': 'f' || event_id || '.pdf'}, {'t': 'attachment', 'x': 'plain'}] ELSE [] END, CASE WHEN event_id % 5 = 0 THEN [{'t': 'media', 'x': 'm' || event_id || '.png'}] ELSE [] END) AS ab FROM ev),
+t AS (SELECT user_id, pos, 0 AS part, 'human' AS role, list_concat(ab, [{'t': 'text', 'x': 'p' || event_id}]) AS bl FROM b WHERE asked UNION ALL SELECT user_id, pos, 1, 'assistant', [{'t': 'text', 'x': 'r' || event_id}] FROM b WHERE asked
+  UNION ALL SELECT user_id, pos, 0, 'assistant', list_concat([{'t': 'event', 'x': 't' || event_id}], ab) FROM b WHERE NOT asked),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos, part) - 1 AS turn_idx FROM t)
+SELECT CAST(user_id AS VARCHAR) AS conversation_id, CAST(turn_idx AS INTEGER) AS turn_idx, role, CAST(i - 1 AS INTEGER) AS block_idx, bl[i].t AS type, bl[i].x AS text FROM (SELECT *, unnest(range(1, len(bl) + 1)) AS i FROM n)""")
+def s12_activity_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts, answers and events with what is attached to them, block by block."""
+    e, i = _events(spark, d), F.col("event_id")
+    files = F.when(i % 3 == 0, F.concat(F.lit('[{"name":"f'), i, F.lit('.pdf","on_disk":"/x","resolved":true},"plain"]')))
+    media = F.when(i % 5 == 0, F.concat(F.lit('[{"on_disk":"m'), i, F.lit('.png"}]')))
+    named = lambda c: F.concat(F.lit(c), i)
+    r = e.select(F.col("user_id").cast("string").alias("doc"), "pos", F.col("ts_ms").cast("string").alias("ts"), F.when(F.col("gem") == "purchase", "Prompted").otherwise(F.col("gem")).alias("verb"), named("t").alias("title"), F.lit("").alias("detail"), named("p").alias("prompt"), named("r").alias("response"), files.alias("attachments"), media.alias("media"))
+    return ingest.activity_turns(r).select("conversation_id", "turn_idx", "role", "block_idx", "type", "text")
+
+
+@query(GRAPH + ", s AS (SELECT 't3' AS id)" + REACH.format(start="s") + """, m AS (SELECT DISTINCT CASE WHEN parent IN (SELECT id FROM cl) THEN 'subtree:t3' ELSE parent END AS parent, CASE WHEN child IN (SELECT id FROM cl) THEN 'subtree:t3' ELSE child END AS child FROM ed)
+SELECT parent, child FROM m WHERE parent <> child""")
+def g14_fold_subtree_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.fold_subtree(demo.threads(spark, d), demo.edges(spark, d), "t3")[1]
+
+
 @query(GRAPH + " SELECT id, 'r' || c_custkey || '.jsonl' AS rollout_path FROM th")
 def p12_redact_paths(spark: SparkSession, d: str) -> DataFrame:
     return filters.redact_paths(demo.threads(spark, d)).select("id", "rollout_path")
