@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,8 +74,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([gram_keys(p, language_seed(lang)) for p in points])
         starts = np.concatenate([np.arange(n) + at for n, at in zip(lengths, np.cumsum([0, *(len(p) for p in points)]), strict=False)])
         flat, fits = np.concatenate(points), np.repeat(np.array(weights, np.int64), lengths)
-        distinct, first, which, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        grams = flat[starts[first][:, None] + np.arange(ORDER)].astype(np.uint32)
+        which, distinct = pd.factorize(keys)
+        n = np.bincount(which)
+        place = np.empty(len(distinct), np.int64)
+        place[which] = starts  # any of a gram's places
+        grams = flat[place[:, None] + np.arange(ORDER)].astype(np.uint32)
         strings = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel()
         c = np.bincount(which, weights=fits, minlength=len(distinct)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
@@ -159,53 +163,58 @@ def hottest(costs: DataFrame, most: int | None = None) -> tuple[DataFrame, DataF
     return costs.filter(step >= cut).select("key", "cost"), costs.filter(step < cut).select("key", "cost")
 
 
+def key_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[head], np.diff(np.append(head, len(keys)))
+
+
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hash, lang, text) -> (doc_id, hash, n_grams, key, times) for each distinct gram of a document."""
+    """(doc_id, hash, lang, text) -> (doc_id, hash, key, times) for each distinct gram of a document."""
 
-    def rows(batch: pa.RecordBatch, index: list[int], sizes: list[int], keys: list[np.ndarray], times: list[np.ndarray], parts: list[int]) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, index: list[int], keys: list[np.ndarray], times: list[np.ndarray], parts: list[int]) -> pa.RecordBatch:
         at = pa.array(np.repeat(np.array(index, np.int64), parts))
-        n = pa.array(np.repeat(np.array(sizes, np.int64), parts))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), n, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))],
-            names=["doc_id", "hash", "n_grams", "key", "times"],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(times).astype(np.int64))],
+            names=["doc_id", "hash", "key", "times"],
         )
 
     for batch in batches:
-        index, sizes, keys, times, parts = [], [], [], [], []
+        index, keys, times, parts = [], [], [], []
         for at in range(0, len(batch), 256):
             for i, (lang, text) in enumerate(zip(batch.column(2).slice(at, 256).to_pylist(), batch.column(3).slice(at, 256).to_pylist(), strict=True)):
                 for points in code_points(text or ""):
-                    k, t = np.unique(gram_keys(points, language_seed(lang)), return_counts=True)
+                    k, t = key_counts(gram_keys(points, language_seed(lang)))
                     index.append(at + i)
-                    sizes.append(len(text))
                     keys.append(k)
                     times.append(t)
                     parts.append(len(k))
                     if sum(parts) >= PIECE:
-                        yield rows(batch, index, sizes, keys, times, parts)
-                        index, sizes, keys, times, parts = [], [], [], [], []
+                        yield rows(batch, index, keys, times, parts)
+                        index, keys, times, parts = [], [], [], []
         if index:
-            yield rows(batch, index, sizes, keys, times, parts)
+            yield rows(batch, index, keys, times, parts)
 
 
 def perplexities(docs: DataFrame, costs: DataFrame) -> DataFrame:
-    """(doc_id, hash, n_grams, nll, spread) of docs (doc_id, hash, lang, text) that have text: the mean cost of a
-    document's characters and the standard error of that mean. Rows equal in id and hash give one row."""
+    """(doc_id, hash, nll, deviation) of docs (doc_id, hash, lang, text) that have text: the mean cost of a document's
+    characters and the standard deviation of their costs. Rows equal in id and hash give one row."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.select("doc_id", "hash", "lang", "text").mapInArrow(_document_grams, f"doc_id {kind}, hash long, n_grams long, key long, times long")
+    held = docs.select("doc_id", "hash", "lang", "text").mapInArrow(_document_grams, f"doc_id {kind}, hash long, key long, times long")
     hot, cold = hottest(costs)
     # one pass over the texts: what hot grams cost is added up at once, and what is left is a row for each cold gram
     x, t = F.col("cost"), F.col("times")
     met = held.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
     parts = met.groupBy("doc_id", "hash", F.when(F.col("hot").isNull(), F.col("key")).alias("cold"))
-    parts = stash(parts.agg(F.max("n_grams").alias("n_grams"), F.sum(t).alias("t"), F.sum(t * x).alias("s"), F.sum(t * x * x).alias("q")), "kn-parts")
+    parts = stash(parts.agg(F.sum(t).alias("t"), F.sum(t * x).alias("s"), F.sum(t * x * x).alias("q")), "kn-parts")
     rest = parts.filter("cold is not null").join(cold.hint("merge"), F.col("cold") == F.col("key"))
-    rest = rest.select("doc_id", "hash", "n_grams", "t", (F.col("t") * x).alias("s"), (F.col("t") * x * x).alias("q"))
-    parts = parts.filter("cold is null").drop("cold").unionByName(rest).groupBy("doc_id", "hash").agg(F.max("n_grams").alias("n_grams"), *[F.sum(c).alias(c) for c in ("t", "s", "q")])
+    rest = rest.select("doc_id", "hash", "t", (F.col("t") * x).alias("s"), (F.col("t") * x * x).alias("q"))
+    parts = parts.filter("cold is null").drop("cold").unionByName(rest).groupBy("doc_id", "hash").agg(*[F.sum(c).alias(c) for c in ("t", "s", "q")])
     mean = F.col("s") / F.col("t")
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("t") - mean * mean) / F.col("n_grams"))
-    return parts.select("doc_id", "hash", "n_grams", mean.alias("nll"), spread.alias("spread"))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("t") - mean * mean))
+    return parts.select("doc_id", "hash", mean.alias("nll"), deviation.alias("deviation"))
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
@@ -239,12 +248,12 @@ def classify_quality(docs: DataFrame, trusted_ids: DataFrame, quantile: float =
     fitting = marked.select("lang", (F.col("trusted") & ~F.col("calibrates")).alias("fits"), "text")
     costs = stash(gram_costs(stash(corpus_grams(fitting), "kn-grams")), "kn-costs")
     found = perplexities(marked.select("doc_id", "hash", "lang", "text"), costs).withColumnsRenamed({"doc_id": "k_id", "hash": "k_hash"})
-    plain = marked.select("doc_id", "hash", "lang", "trusted", "calibrates")
-    step = F.ceil((F.col("nll") - MARGIN * F.col("spread")) * STEPS)
+    plain = marked.select("doc_id", "hash", "lang", "trusted", "calibrates", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_grams"))
+    step = F.ceil((F.col("nll") - MARGIN * F.col("deviation") / F.sqrt("n_grams")) * STEPS)
     scored = stash(plain.join(found, plain.doc_id.eqNullSafe(found.k_id) & (plain.hash == found.k_hash), "left").withColumn("step", step).drop("k_id", "k_hash"), "kn-scored")
     limits = thresholds(scored.filter("trusted and calibrates and step is not null").select("lang", "step"), quantile)
     judged = join_checked(scored, limits, "lang", "left")
     fits = F.coalesce(F.col("step") <= F.col("threshold"), F.lit(True))
-    n = F.coalesce("n_grams", F.lit(0).cast("long"))
+    n = F.col("n_grams")
     named = F.when(F.col("lang") != "-", F.expr("substring(lang, 2)"))
-    return judged.select("doc_id", named.alias("lang"), n.alias("n_grams"), F.exp("nll").alias("perplexity"), F.exp(F.col("threshold") / STEPS).alias("threshold"), ((n > 0) & fits).alias("kept"))
+    return judged.select("doc_id", named.alias("lang"), n, F.exp("nll").alias("perplexity"), F.exp(F.col("threshold") / STEPS).alias("threshold"), ((n > 0) & fits).alias("kept"))
