@@ -327,11 +327,11 @@ def g11_diff(spark: SparkSession, d: str) -> DataFrame:
     return graph.diff((t, e), (t2, graph.induced_edges(e, t2).select("parent", "child", "status")), ["title", "tokens_used"])
 
 
-@query(GRAPH + ", ch AS (SELECT CAST(substr(id, 2) AS BIGINT) AS k, id FROM th) SELECT 'n' AS part, count(*) AS rows_ FROM nd UNION ALL SELECT 'e', count(*) FROM (SELECT DISTINCT parent, child FROM ed)")
+@query(GRAPH + " SELECT id, coalesce(title, id) AS label, coalesce(tokens_used, 0) AS tokens, NULL AS parent, NULL AS child FROM nd LEFT JOIN th USING (id) UNION ALL SELECT DISTINCT NULL, NULL, CAST(NULL AS BIGINT), parent, child FROM ed")
 def g12_collapse_chains(spark: SparkSession, d: str) -> DataFrame:
-    """The derived graph has no chain of three, so folding must keep every node and edge."""
+    """The derived graph has no chain of three, so folding must keep every node and edge as it is."""
     n, e = graph.collapse_chains(demo.threads(spark, d), demo.edges(spark, d))
-    return n.agg(F.lit("n").alias("part"), F.count(F.lit(1)).alias("rows_")).unionByName(e.agg(F.lit("e").alias("part"), F.count(F.lit(1)).alias("rows_")))
+    return n.select("id", "label", "tokens").unionByName(e, allowMissingColumns=True)
 
 
 ORDER_GRAPH = """
@@ -339,27 +339,55 @@ oth AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, CAST(max(l_quanti
 oed AS (SELECT DISTINCT 'l' || a.l_orderkey || '-' || a.l_linenumber AS parent, 'l' || a.l_orderkey || '-' || (a.l_linenumber + 1) AS child FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 
 
-@query("WITH" + ORDER_GRAPH + """, n AS (SELECT id, tokens_used, split_part(id, '-', 1) AS o, CAST(split_part(id, '-', 2) AS INT) AS k FROM oth), i AS (SELECT *, k - row_number() OVER (PARTITION BY o ORDER BY k) AS run FROM n),
-g AS (SELECT o, run, count(*) AS n, min(k) AS lo FROM i GROUP BY 1, 2)
-SELECT CASE WHEN n >= 3 THEN 'chain:' || o || '-' || lo ELSE id END AS id, CAST(sum(tokens_used) AS BIGINT) AS tokens, count(*) AS size FROM i JOIN g USING (o, run) GROUP BY 1""")
-def g12_collapse_order_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive lines of an order form a chain, which folds if it has three lines or more."""
+RUNS = "WITH" + ORDER_GRAPH + """, n AS (SELECT id, tokens_used, split_part(id, '-', 1) AS o, CAST(split_part(id, '-', 2) AS INT) AS k FROM oth), i AS (SELECT *, k - row_number() OVER (PARTITION BY o ORDER BY k) AS run FROM n),
+g AS (SELECT o, run, count(*) AS n, min(k) AS lo FROM i GROUP BY 1, 2)"""
+
+
+def _order_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of orders as threads, each below the line before it."""
     l = demo.read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("tokens_used"))  # noqa: E741
     name = lambda n: F.concat(F.lit("l"), "l_orderkey", F.lit("-"), n)
     t = l.select(name(F.col("l_linenumber")).alias("id"), F.lit("").alias("title"), "tokens_used")
     e = l.join(l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber")), ["l_orderkey", "l_linenumber"]).select(name(F.col("l_linenumber")).alias("parent"), name(F.col("l_linenumber") + 1).alias("child"))
-    return graph.collapse_chains(t, e)[0].select("id", "tokens", F.size("members").cast("long").alias("size"))
+    return t, e
 
 
-@query(GRAPH + """, pe AS (SELECT DISTINCT parent, child FROM ed), w AS (SELECT parent, count(*) AS w FROM pe GROUP BY 1),
+@query(RUNS + " SELECT CASE WHEN n >= 3 THEN 'chain:' || o || '-' || lo ELSE id END AS id, CAST(sum(tokens_used) AS BIGINT) AS tokens, count(*) AS size FROM i JOIN g USING (o, run) GROUP BY 1")
+def g12_collapse_order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Consecutive lines of an order form a chain, which folds if it has three lines or more."""
+    return graph.collapse_chains(*_order_lines(spark, d))[0].select("id", "tokens", F.size("members").cast("long").alias("size"))
+
+
+@query(RUNS + " SELECT o || '-' || lo AS parent, o || '-' || (lo + 1) AS child FROM g WHERE n = 2")
+def g12_collapse_order_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Of the edges between an order's lines only those of runs too short to fold are left."""
+    return graph.collapse_chains(*_order_lines(spark, d))[1]
+
+
+CAPPED = GRAPH + """, pe AS (SELECT DISTINCT parent, child FROM ed), w AS (SELECT parent, count(*) AS w FROM pe GROUP BY 1),
 k AS (SELECT parent, child FROM (SELECT pe.*, w, row_number() OVER (PARTITION BY parent ORDER BY created_at_ms DESC NULLS LAST, child) AS rn FROM pe JOIN w USING (parent) LEFT JOIN th ON th.id = child) WHERE w <= 3 OR rn < 3),
 rt AS (SELECT id FROM nd WHERE id NOT IN (SELECT child FROM ed)),
-af AS (SELECT id FROM rt UNION SELECT k.child FROM af JOIN k ON k.parent = af.id)
-SELECT id, CAST(0 AS BIGINT) AS hidden FROM af UNION ALL SELECT 'more:' || parent, w - 2 FROM w WHERE w > 3 AND parent IN (SELECT id FROM af)""")
+af AS (SELECT id FROM rt UNION SELECT k.child FROM af JOIN k ON k.parent = af.id)"""
+CAPPED_NODES = CAPPED + " SELECT id, CAST(0 AS BIGINT) AS hidden FROM af UNION ALL SELECT 'more:' || parent, w - 2 FROM w WHERE w > 3 AND parent IN (SELECT id FROM af)"
+CAPPED_EDGES = CAPPED + " SELECT parent, child FROM k WHERE parent IN (SELECT id FROM af) AND child IN (SELECT id FROM af) UNION ALL SELECT parent, 'more:' || parent FROM w WHERE w > 3 AND parent IN (SELECT id FROM af)"
+
+
+@query(CAPPED_NODES)
 def g13_cap_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return graph.cap_fan_out(demo.threads(spark, d), demo.edges(spark, d), 3)[0]
 
 
+@query(CAPPED_EDGES)
+def g13_cap_fan_out_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cap_fan_out(demo.threads(spark, d), demo.edges(spark, d), 3)[1]
+
+
+@query(CAPPED_EDGES)
+def g15_drawn_view_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Without chains to fold, what is drawn is what the cap leaves: births must get through the folding."""
+    return graph.drawn_view(demo.threads(spark, d), demo.edges(spark, d), most=3)[1]
+
+
 @query(GRAPH + ", s AS (SELECT 't3' AS id)" + REACH.format(start="s") + " SELECT CASE WHEN nd.id IN (SELECT id FROM cl) THEN 'subtree:t3' ELSE nd.id END AS id, CAST(sum(coalesce(tokens_used, 0)) AS BIGINT) AS tokens, count(*) AS size FROM nd LEFT JOIN th ON th.id = nd.id GROUP BY 1")
 def g14_fold_subtree(spark: SparkSession, d: str) -> DataFrame:
     return graph.fold_subtree(demo.threads(spark, d), demo.edges(spark, d), "t3")[0]
@@ -378,10 +406,11 @@ def j8_floor_lookup(spark: SparkSession, d: str) -> DataFrame:
     return graph.floor_lookup(ev.select(F.col("ms").alias("t")).distinct(), marks)
 
 
-@query("WITH" + demo.CONV_SQL + "," + demo.GRAPH_SQL + ", ad AS (SELECT thread_id AS id, arg_min(provider, conversation_id) AS adapter FROM cv GROUP BY 1), fo AS (SELECT parent AS id, count(DISTINCT child) AS c FROM ed GROUP BY 1) SELECT th.id, coalesce(adapter, '') AS adapter, model_provider AS vendor, CAST(coalesce(c, 0) AS BIGINT) AS child_count, true AS has_rollout FROM th LEFT JOIN ad USING (id) LEFT JOIN fo USING (id)")
+@query("WITH RECURSIVE" + demo.CONV_SQL + "," + demo.GRAPH_SQL + ", rt AS (SELECT id FROM nd WHERE id NOT IN (SELECT child FROM ed))" + REACH.format(start="rt") + """, dp AS (SELECT id, CAST(min(dist) AS INTEGER) AS depth FROM cl GROUP BY 1), ad AS (SELECT thread_id AS id, arg_min(provider, conversation_id) AS adapter FROM cv GROUP BY 1), fo AS (SELECT parent AS id, count(DISTINCT child) AS c FROM ed GROUP BY 1)
+SELECT th.id, title, coalesce(adapter, '') AS adapter, model_provider AS vendor, tokens_used, created_at_ms, CAST(coalesce(c, 0) AS BIGINT) AS child_count, depth, true AS has_rollout FROM th LEFT JOIN ad USING (id) LEFT JOIN fo USING (id) LEFT JOIN dp USING (id)""")
 def p16_thread_view(spark: SparkSession, d: str) -> DataFrame:
-    v = graph.thread_view(demo.threads(spark, d), demo.edges(spark, d), demo.conversations(spark, d))
-    return v.select("id", "adapter", "vendor", "child_count", "has_rollout")
+    t = demo.threads(spark, d).withColumn("title", F.concat("title", F.lit("\u200b")))
+    return graph.thread_view(t, demo.edges(spark, d), demo.conversations(spark, d))
 
 
 # ---- copies, retention ----
@@ -488,10 +517,28 @@ def r5_fidelity_gate(spark: SparkSession, d: str) -> DataFrame:
     return render.fidelity_gate(render.prose_tokens(b), render.html_visible_tokens(pages)).select("conversation_id", "ok", "coverage")
 
 
-@query("SELECT page_id AS id, CAST(len(regexp_extract_all(lower(regexp_replace(regexp_replace(html, '(?is)<(style|head)\\b.*?</(style|head)>', ' ', 'g'), '<[^>]+>', ' ', 'g')), '[a-z]+')) AS BIGINT) > 0 AS any_word FROM pages")
+@query(r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<span class="cp-badge".*?</span>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<head.*?</head>', ' ', 'g') AS h FROM pages),
+v AS (SELECT page_id, regexp_replace(h, '<[^>]+>', ' ', 'g') || ' ' || array_to_string(list_concat(regexp_extract_all(h, '(?i)(?:href|src|alt|title)="([^"]*)"', 1), regexp_extract_all(h, '(?i)class="[^"]*language-([\w+.-]+)', 1)), ' ') AS v FROM h),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS v FROM v),
+t AS (SELECT page_id, unnest(regexp_extract_all(lower(v), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM u)
+SELECT page_id AS id, token, count(*) AS n FROM t GROUP BY 1, 2""")
 def r4_visible_tokens(spark: SparkSession, d: str) -> DataFrame:
-    p = demo.read(spark, d, "pages")
-    return p.select(F.col("page_id").alias("id"), render.html_visible_text(F.col("html")).rlike("[A-Za-z]").alias("any_word"))
+    """The words that a reader of each raw page sees, with their numbers."""
+    p = demo.read(spark, d, "pages").select(F.col("page_id").alias("conversation_id"), "html")
+    return render.html_visible_tokens(p).groupBy(F.col("conversation_id").alias("id"), "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(CONV + r""", wt AS (SELECT conversation_id, unnest(regexp_extract_all(lower(regexp_replace(text, '(?m)^[ \t]{0,3}\d+[.)][ \t]+', ' ', 'g')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM bl),
+gt AS (SELECT conversation_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM (SELECT conversation_id, text FROM bl WHERE role = 'human' UNION ALL SELECT conversation_id, title FROM cv)),
+w AS (SELECT conversation_id, token, count(*) AS w FROM wt GROUP BY 1, 2), g AS (SELECT conversation_id, token, count(*) AS g FROM gt GROUP BY 1, 2),
+b AS (SELECT conversation_id, token, w, greatest(0, w - coalesce(g, 0)) AS lack FROM w LEFT JOIN g USING (conversation_id, token))
+SELECT conversation_id, sum(lack) = 0 AS ok, round(CAST(sum(w) - sum(lack) AS DOUBLE) / CAST(sum(w) AS DOUBLE), 9) AS coverage, CAST(sum(lack) AS INTEGER) AS n_missing, md5(coalesce(string_agg(rtrim(repeat(token || ' ', lack)), ' ' ORDER BY token) FILTER (lack > 0), '')) AS missing FROM b GROUP BY 1""")
+def r5_fidelity_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that leave out the assistant's turns lack its words, as often as the page does not show them elsewhere."""
+    b = demo.blocks(spark, d)
+    pages = render.render_plain_html(demo.conversations(spark, d), b.filter("role = 'human'"))
+    gate = render.fidelity_gate(render.prose_tokens(b), render.html_visible_tokens(pages))
+    return gate.select("conversation_id", "ok", F.round("coverage", 9).alias("coverage"), F.size("missing").alias("n_missing"), F.md5(F.array_join("missing", " ")).alias("missing"))
 
 
 @query("WITH" + demo.GRAPH_SQL + " SELECT (SELECT count(*) FROM th) AS nodes, (SELECT count(*) FROM ed) AS edges, CAST(0 AS BIGINT) AS findings")
@@ -561,12 +608,18 @@ def s17_admit_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT 'c' || conv_id AS conversation_id, turn % 3 AS leg, turn AS turn_idx, 'u' || (turn // 2) AS uuid, coalesce(text, '') AS text FROM conversations),
-g AS (SELECT conversation_id, leg, min(leg) OVER (PARTITION BY conversation_id) AS l0, row_number() OVER (PARTITION BY conversation_id, uuid ORDER BY leg, turn_idx) AS n FROM t)
-SELECT conversation_id, count(*) AS turns FROM g WHERE n = 1 OR leg = l0 GROUP BY 1""")
+g AS (SELECT *, min(leg) OVER (PARTITION BY conversation_id) AS l0, row_number() OVER w AS n, max(length(text)) OVER (PARTITION BY conversation_id, uuid ORDER BY leg, turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM t WINDOW w AS (PARTITION BY conversation_id, uuid ORDER BY leg, turn_idx)),
+r AS (SELECT *, leg > l0 AND coalesce(length(text) > best, false) AS grew FROM g),
+b AS (SELECT conversation_id, uuid, arg_max(text, length(text)) FILTER (grew) AS longest FROM r GROUP BY 1, 2),
+k AS (SELECT r.*, CASE WHEN n = 1 THEN coalesce(longest, text) ELSE text END AS shown FROM r JOIN b USING (conversation_id, uuid) WHERE n = 1 OR leg = l0)
+SELECT k.conversation_id, count(*) AS turns, md5(string_agg(shown, chr(10) ORDER BY leg, turn_idx)) AS body, any_value(v.divergent) AS divergent FROM k JOIN (SELECT conversation_id, count(*) FILTER (grew) AS divergent FROM r GROUP BY 1) v USING (conversation_id) GROUP BY 1""")
 def s18_fold_resumed_legs(spark: SparkSession, d: str) -> DataFrame:
     c = demo.read(spark, d, "conversations")
     legs = c.select(F.concat(F.lit("c"), "conv_id").alias("conversation_id"), (F.col("turn") % 3).alias("leg"), F.col("turn").alias("turn_idx"), F.concat(F.lit("u"), F.floor(F.col("turn") / 2)).alias("uuid"), "role", F.lit("").alias("ts"), F.coalesce("text", F.lit("")).alias("text"))
-    return ingest.fold_resumed_legs(legs)[0].groupBy("conversation_id").agg(F.count(F.lit(1)).alias("turns"))
+    merged, divergent = ingest.fold_resumed_legs(legs)
+    ordered = F.array_sort(F.collect_list(F.struct("turn_idx", "text")))
+    body = F.md5(F.array_join(F.transform(ordered, lambda x: x.text), "\n"))
+    return merged.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("turns"), body.alias("body")).join(divergent, "conversation_id")
 
 
 @query(GRAPH + " SELECT id, CASE WHEN c_custkey % 2 = 0 THEN title ELSE 'state' END AS title FROM th")
@@ -619,12 +672,17 @@ def p7_neutralize(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.md5(privacy.neutralize_text(F.concat(F.lit("​"), "text", F.lit("­")), "ncr")).alias("shown"))
 
 
-@query(GRAPH + " SELECT parent || '>' || child AS key, 'removed' AS mark FROM (SELECT DISTINCT parent, child FROM ed) WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0")
+@query(GRAPH + """ SELECT parent || '>' || child AS key, 'removed' AS mark, '' AS lines FROM (SELECT DISTINCT parent, child FROM ed) WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0
+UNION ALL SELECT id, 'removed', '' FROM nd WHERE id NOT IN (SELECT id FROM th)
+UNION ALL SELECT id, 'changed', 'title: ' || title || ' → renamed' || CASE WHEN c_custkey % 38 = 0 THEN '' ELSE chr(10) || 'tokens_used: ' || tokens_used || ' → ' || (tokens_used + 1) END FROM th WHERE c_custkey % 19 = 0""")
 def g16_diff_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Edges and dangling parents that go, and a line for each changed field, put in order."""
     t, e = demo.threads(spark, d), demo.edges(spark, d)
+    k = F.substring("id", 2, 20).cast("long")
     fewer = e.filter(F.substring("child", 2, 20).cast("long") % 10 != 0)
-    overlay = graph.diff_overlay(graph.diff((t, e), (t, fewer), ["title"]))
-    return overlay.filter(F.col("key").contains(">")).select("key", "mark")
+    other = t.withColumn("title", F.when(k % 19 == 0, "renamed").otherwise(F.col("title")))
+    other = other.withColumn("tokens_used", F.when((k % 19 == 0) & (k % 38 != 0), F.col("tokens_used") + 1).otherwise(F.col("tokens_used")))
+    return graph.diff_overlay(graph.diff((t, e), (other, fewer), ["title", "tokens_used"]))
 
 
 @query(GRAPH + """, tt AS (SELECT id FROM th WHERE created_at_ms IS NULL OR created_at_ms <= 1704100000000), te AS (SELECT DISTINCT parent, child FROM ed WHERE child NOT IN (SELECT id FROM th WHERE created_at_ms > 1704100000000))
@@ -721,9 +779,24 @@ def s22_incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     return incremental.read_table(spark, f"{target}/rows", schema)
 
 
-@query("SELECT page_id, 'chatgpt|claude' AS provider FROM pages WHERE false")
+@query("""WITH l AS (SELECT doc_id AS i, doc_id % 8 AS m FROM documents), f AS (
+SELECT 'codex' AS provider, 'store' AS kind, '/h/.codex/sessions' AS path, 'high' AS confidence, i FROM l WHERE m IN (0, 4)
+UNION ALL SELECT 'claude-code', 'store', '/h/.claude/projects', 'high', i FROM l WHERE m IN (1, 5)
+UNION ALL SELECT CASE WHEN i + 4 IN (SELECT i FROM l) THEN 'chatgpt' ELSE 'chatgpt|claude' END, 'export', '/x/e' || i || '/conversations.json', CASE WHEN i + 4 IN (SELECT i FROM l) THEN 'high' ELSE 'low' END, i FROM l WHERE m = 2
+UNION ALL SELECT 'codex', 'export', '/x/d' || i || '/codex.json', 'high', i FROM l WHERE m = 3
+UNION ALL SELECT 'chatgpt|claude', 'export', '/x/a' || i || '/conversations.json', 'low', i FROM l WHERE m = 7),
+g AS (SELECT provider, kind, path, min(confidence) AS confidence, count(*) AS "count", max(i) AS newest FROM f GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY provider, kind ORDER BY newest DESC, path) AS rn, count(*) OVER (PARTITION BY provider, kind) > 25 AS truncated FROM g)
+SELECT provider, kind, path, confidence, "count", newest, truncated, contains(provider, '|') AS ambiguous FROM r WHERE rn <= 25""")
 def s23_source_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Page addresses as a listing hold no chat source: nothing may be found."""
-    p = demo.read(spark, d, "pages")
-    found = ingest.source_inventory(p.select(F.col("url").alias("path"), F.length("html").alias("bytes"), F.col("page_id").alias("mtime")))
-    return found.select(F.col("newest").alias("page_id"), "provider")
+    """A listing with a file for each document: sessions in two stores, and exports with and without what tells them apart."""
+    i = F.col("doc_id")
+    at = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    m = i % 8
+    path = (
+        F.when(m.isin(0, 4), at("/h/.codex/sessions/", i % 16, "/rollout-", i, ".jsonl"))
+        .when(m.isin(1, 5), at("/h/.claude/projects/p", i % 10, "/", i, ".jsonl"))
+        .when(m == 2, at("/x/e", i, "/conversations.json")).when(m == 6, at("/x/e", i - 4, "/chat.html"))
+        .when(m == 3, at("/x/d", i, "/codex.json")).otherwise(at("/x/a", i, "/conversations.json"))
+    )
+    return ingest.source_inventory(demo.read(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("bytes"), i.alias("mtime")))
