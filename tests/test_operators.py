@@ -309,3 +309,13 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     assert bare.queries() and not any(k.startswith("op") and k[2].isdigit() or k == "pipeline" for k in bare.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_markdown_link_addresses_and_lines(spark):
+    c = spark.createDataFrame([("c", " A \n\n ## B ", "", "", "")], "conversation_id string, title string, provider string, account string, created_at string")
+    b = spark.createDataFrame(
+        [("c", 0, "human", 0, "text", "x", [("a [b]\n c", 'https://h/"[q] (r)\n<s>')])],
+        "conversation_id string, turn_idx int, role string, block_idx int, type string, text string, citations array<struct<title:string,url:string>>",
+    )
+    got = render.render_markdown(c, b).first()["markdown"]
+    assert got == "# A ## B\n\n## Human\n\nx\n\nSources: [a \\[b\\] c](https://h/%22%5Bq%5D%20%28r%29%3Cs%3E)\n\n---\n"

@@ -11,7 +11,7 @@ from threadloom.operators.privacy import escape_html, neutralize_text, strip_hid
 
 def _line(c: Column) -> Column:
     """One line: a value can't forge a heading."""
-    return F.trim(F.regexp_replace(strip_hidden_chars(c), r"[\r\n\x0b\x0c\x{85}\x{2028}\x{2029}]+", " "))
+    return F.regexp_replace(F.regexp_replace(strip_hidden_chars(c), r"(?U)\s*[\r\n\x0b\x0c\x{85}\x{2028}\x{2029}]+\s*", " "), r"(?U)^\s+|\s+$", "")
 
 
 def _inline(c: Column) -> Column:
@@ -22,9 +22,13 @@ def _span(c: Column) -> Column:
     return F.replace(_line(c), F.lit("`"), F.lit("'"))
 
 
+#: Characters that would end a link's address, and what stands for them.
+ADDRESS = (("\t", "%09"), ("\n", ""), ("\r", ""), (" ", "%20"), ('"', "%22"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E"), ("[", "%5B"), ("]", "%5D"))
+
+
 def _url(c: Column) -> Column:
-    for a, b in ((" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"), ("\r", "%0D"), ("\t", "%09")):
-        c = F.replace(c, F.lit(a), F.lit(b))
+    for found, shown in ADDRESS:
+        c = F.replace(c, F.lit(found), F.lit(shown))
     return c
 
 
