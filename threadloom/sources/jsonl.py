@@ -28,6 +28,8 @@ def read_json_lines(spark: SparkSession, paths: str | Iterable[str], glob: str =
     paths = [paths] if isinstance(paths, str) else list(paths)
     walk = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     raw = walk("text").option("wholetext", "true").option("ignoreCorruptFiles", "true").load(paths)
+    # a filter on the size alone is applied to the list of files, so that larger ones are not opened
+    raw = raw.filter(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
     files = raw.select(file_path().alias("path"), "value")
     chosen = prefer_plain(walk("binaryFile").load(paths).select(file_path().alias("path"), F.col("length").alias("bytes")))
     text = files.join(chosen.filter(F.col("bytes") <= MAX_FILE_BYTES).select("path"), "path", "left_semi")
