@@ -224,3 +224,38 @@ def test_incremental_ingest_resumes_and_replays(spark, tmp_path):
     assert files["bad.jsonl"] == "unreadable" and files["a2.jsonl"] is None
 
 
+def test_incremental_ingest_writes_changed_parts_only(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    schema = "conversation_id string, body string"
+
+    def parse(df):
+        return df.select("path", F.get_json_object("value", "$.id").alias("conversation_id"), F.get_json_object("value", "$.body").alias("body"))
+
+    def run():
+        incremental.incremental_ingest(spark, str(src), out, parse, schema, ["conversation_id"]).awaitTermination()
+        return {r.conversation_id: r.body for r in incremental.read_table(spark, f"{out}/rows", schema).collect()}
+
+    parts = lambda v: {p.name for p in (tmp_path / f"out/rows/v={v}").glob("part=*")}
+    for i in range(40):
+        put(src / f"f{i}.jsonl", {"id": f"c{i}", "body": "1"})
+    put(src / "twin.jsonl", {"id": "c1", "body": "1"})  # equal content in one batch: recorded too
+    put(src / "z.jsonl", {"id": "c2", "body": "last path"})
+    want = {f"c{i}": "1" for i in range(40)} | {"c2": "last path"}
+    assert run() == want
+    names = [r.path.rsplit("/", 1)[1] for r in incremental.read_table(spark, f"{out}/files", incremental.FILES).collect()]
+    assert len(names) == 42 and "twin.jsonl" in names
+    put(src / "new.jsonl", {"id": "c3", "body": "2"})
+    want["c3"] = "2"
+    assert run() == want
+    assert len(parts(1)) == 1 < len(parts(0))
+    (tmp_path / "out/rows/v=1/_SUCCESS").rename(tmp_path / "out/rows/v=1/gone")  # a version that is not whole doesn't count
+    assert {r.body for r in incremental.read_table(spark, f"{out}/rows", schema).collect()} == {"1", "last path"}
+    (tmp_path / "out/rows/v=1/gone").rename(tmp_path / "out/rows/v=1/_SUCCESS")
+    monkeypatch.setattr(incremental, "MAX_VERSIONS", 2)
+    put(src / "more.jsonl", {"id": "c3", "body": "3"})
+    want["c3"] = "3"
+    assert run() == want
+    assert parts(2) == parts(0)
+
+

@@ -57,11 +57,33 @@ def test_rollup_of_a_forest_equals_the_closure(spark, monkeypatch):
     assert sorted(map(tuple, graph.rollup(t, e).collect())) == fast
 
 
+def test_walk_deeper_than_its_tables_are_kept_apart(spark):
+    n = 2 * graph.COMPACT + 3
+    steps = [(f"n{i}", f"n{i + 1}") for i in range(n)] + [("n5", "n1"), (f"n{n}", "n0")]  # two ways back
+    t, e = graph_of(spark, steps, [(f"n{i}", 1, None) for i in range(n + 1)])
+    got = graph.closure(t.filter("id in ('n0', 'n4')").select("id"), e).collect()
+    want = {("n0", f"n{i}", i) for i in range(n + 1)} | {("n4", f"n{i}", i - 4) for i in range(4, n + 1)}
+    want |= {("n4", f"n{i}", i + 1) for i in range(1, 4)} | {("n4", "n0", n - 4 + 1)}
+    assert len(got) == len(want) and {(r.root, r.id, r.dist) for r in got} == want
+
+
+def test_floor_lookup_across_minutes_and_days(spark):
+    rng = random.Random(4)
+    day, minute = 86_400_000, 60_000
+    spots = [d * day + m * minute + s for d in (-1, 0, 1, 7) for m in (0, 1, 3, 1439) for s in (0, 1, 59_999)]
+    events = sorted(rng.sample(spots, 12) + [spots[5]])
+    times = [*spots, -9 * day, 40 * day, spots[3]]
+    made = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} long")
+    got = sorted(((r.t, r.event) for r in graph.floor_lookup(made(times, "t"), made(events, "e")).collect()), key=str)
+    assert got == sorted(((t, max((e for e in events if e <= t), default=None)) for t in times), key=str)
+    assert [tuple(r) for r in graph.floor_lookup(made([3], "t"), made([], "e")).collect()] == [(3, None)]
+
+
 def test_roots_and_undated(spark):
     t, e = graph_of(spark, [("a", "b"), ("c", "c")], [("a", 1, 10), ("b", 1, None), ("d", 1, 5)])
     assert {r.id for r in graph.roots(t, e).collect()} == {"a", "d"}
-    line = graph.timeline(t, e).first()
-    assert (line.births, line.first_ms, line.last_ms, line.undated) == ([5, 10], 5, 10, 2)
+    births = graph.timeline(t, e).orderBy("birth_ms").collect()
+    assert [(r.birth_ms, r.nodes, r.first_ms, r.last_ms) for r in births] == [(None, 2, 5, 10), (5, 1, 5, 10), (10, 1, 5, 10)]
     assert [r.id for r in filters.order_roots(t.withColumn("updated_at_ms", F.col("created_at_ms"))).collect()] == ["d", "a", "b"]
     threads, edges = graph.as_of(t, e, 7)
     assert {r.id for r in threads.collect()} == {"b", "d"} and edges.count() == 2

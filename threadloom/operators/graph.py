@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.privacy import strip_hidden_chars
-from threadloom.session import stash
+from threadloom.session import discard, stash
+
+#: Rounds of a walk after which its tables are merged into one.
+COMPACT = 8
 
 
 def nodes(threads: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,7 +38,8 @@ def spread(start: DataFrame, steps: DataFrame, limit: int | None = None) -> Data
     """Breadth-first: start (root, id, dist) followed along steps (parent, child); (root, id, dist), nearest first found.
 
     Each round joins only the new frontier, drops what was reached before and is written out, so lineage stays
-    short; it ends when nothing new is reached, which makes it safe on cycles."""
+    short; the rounds' tables are merged every COMPACT rounds, so that a deep graph reads few files a round. It ends
+    when nothing new is reached, which makes it safe on cycles."""
     reached = stash(start.select("root", "id", F.col("dist").cast("int").alias("dist")), "bfs")
     frontier, seen, rounds = reached, [reached], 0
     while limit is None or rounds < limit:
@@ -46,6 +50,10 @@ def spread(start: DataFrame, steps: DataFrame, limit: int | None = None) -> Data
         if frontier.limit(1).count() == 0:
             break
         seen.append(frontier)
+        if len(seen) > COMPACT:
+            merged = stash(reduce(DataFrame.unionByName, seen), "bfs")
+            discard(*seen[:-1])  # the last one is the frontier
+            seen = [merged]
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -156,10 +164,13 @@ def _forest_sums(own: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def timeline(threads: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: sorted distinct births, first, last, and how many nodes are undated."""
-    births = threads.groupBy("id").agg(F.max("created_at_ms").alias("ms"))
-    all_ = nodes(threads, edges).join(births, "id", "left")
-    return all_.agg(F.array_sort(F.collect_set("ms")).alias("births"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.sum(F.col("ms").isNull().cast("long")).alias("undated"))
+    """A row for each distinct birth, and one with a null birth for undated nodes: (birth_ms, nodes, first_ms, last_ms).
+
+    The births of a large graph are rows and never one list; first and last are those of the whole graph."""
+    born = threads.groupBy("id").agg(F.max("created_at_ms").alias("birth_ms"))
+    births = nodes(threads, edges).join(born, "id", "left").groupBy("birth_ms").agg(F.count(F.lit(1)).alias("nodes"))
+    span = threads.agg(F.min("created_at_ms").alias("first_ms"), F.max("created_at_ms").alias("last_ms"))
+    return births.crossJoin(F.broadcast(span))  # one row
 
 
 def as_of(threads: DataFrame, edges: DataFrame, ms: int) -> tuple[DataFrame, DataFrame]:
@@ -213,15 +224,20 @@ def cross_provider_edges(threads: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def floor_lookup(times: DataFrame, events: DataFrame) -> DataFrame:
-    """(t, event): for each t the greatest event at or before it (as-of), null if none; one sorted pass."""
+    """(t, event): for each t the greatest event at or before it (as-of), null if none; one sorted pass.
+
+    Sorting stays within a minute; what came before is carried along the minutes of a day and then along the days,
+    so that no task holds more than a minute's rows, a day's 1,440 minutes or a row a day."""
     both = times.select(F.col("t"), F.lit(None).cast("long").alias("e")).unionByName(events.select(F.col("e").alias("t"), F.col("e").cast("long").alias("e")))
-    # the day keeps partitions apart; the last event of earlier days is carried in from a small table
-    day = F.floor(F.col("t") / 86_400_000)
-    both = both.withColumn("day", day)
-    last = both.groupBy("day").agg(F.max("e").alias("last"))
-    prior = last.withColumn("carried", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "carried")
-    within = Window.partitionBy("day").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("seen", F.max("e").over(within)).filter("e is null").join(prior, "day").select("t", F.coalesce("seen", "carried").alias("event"))
+    both = both.withColumn("minute", F.floor(F.col("t") / 60_000))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    minutes = both.groupBy("minute").agg(F.max("e").alias("last")).withColumn("day", F.floor(F.col("minute") / 1_440))
+    days = minutes.groupBy("day").agg(F.max("last").alias("last"))
+    days = days.select("day", F.max("last").over(earlier(Window.orderBy("day"))).alias("from_days"))
+    minutes = minutes.withColumn("from_minutes", F.max("last").over(earlier(Window.partitionBy("day").orderBy("minute"))))
+    prior = minutes.join(days, "day").select("minute", F.coalesce("from_minutes", "from_days").alias("carried"))
+    within = Window.partitionBy("minute").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("seen", F.max("e").over(within)).filter("e is null").join(prior, "minute").select("t", F.coalesce("seen", "carried").alias("event"))
 
 
 def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import is_safe_url
 from threadloom.operators.privacy import escape_html, neutralize_text, strip_hidden_chars
+from threadloom.session import stash
 
 
 def _line(c: Column) -> Column:
@@ -174,11 +175,14 @@ def render_report(conversations: DataFrame, blocks: DataFrame, pages: DataFrame,
     )
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     ok = F.coalesce(F.col("ok"), F.lit(True))
-    failed = F.when(~ok, F.col("conversation_id"))
-    return flags.agg(
+    flags = stash(flags, "flags")
+    first = flags.filter(~ok).select("conversation_id").orderBy("conversation_id").limit(sample)
+    failures = first.agg(F.array_sort(F.collect_list("conversation_id")).alias("failures"))
+    counts = flags.agg(
         F.count(F.lit(1)).alias("conversations"), n(F.col("page")).alias("rendered"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), n(F.col("turns").isNull()).alias("empty"),
-        n(ok).alias("gate_ok"), n(F.col("hidden")).alias("hidden"), F.slice(F.array_sort(F.collect_list(failed)), 1, sample).alias("failures"),
+        n(ok).alias("gate_ok"), n(F.col("hidden")).alias("hidden"),
     )
+    return counts.crossJoin(F.broadcast(failures))  # one row
 
 
 def raw_transcript(blocks: DataFrame) -> DataFrame:

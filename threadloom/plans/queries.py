@@ -304,7 +304,7 @@ def g7_rollup(spark: SparkSession, d: str) -> DataFrame:
     return graph.rollup(demo.threads(spark, d), demo.edges(spark, d))
 
 
-@query(GRAPH + " SELECT list_sort(list(DISTINCT created_at_ms) FILTER (created_at_ms IS NOT NULL)) AS births, min(created_at_ms) AS first_ms, max(created_at_ms) AS last_ms, count(*) FILTER (created_at_ms IS NULL) AS undated FROM nd LEFT JOIN th USING (id)")
+@query(GRAPH + " SELECT created_at_ms AS birth_ms, count(*) AS nodes, (SELECT min(created_at_ms) FROM th) AS first_ms, (SELECT max(created_at_ms) FROM th) AS last_ms FROM nd LEFT JOIN th USING (id) GROUP BY 1")
 def g8_timeline(spark: SparkSession, d: str) -> DataFrame:
     return graph.timeline(demo.threads(spark, d), demo.edges(spark, d))
 
@@ -556,13 +556,14 @@ def a6_render_report(spark: SparkSession, d: str) -> DataFrame:
     return render.render_report(c, b, pages, gate, audit).drop("failures")
 
 
-@query(CONV + """, v AS (SELECT *, CAST(substr(conversation_id, 2) AS BIGINT) % 4 AS batch FROM ix), p AS (SELECT batch, provider || '=' || count(*) AS x, provider FROM v GROUP BY batch, provider), a AS (SELECT batch, account || '=' || count(*) AS x, account FROM v GROUP BY batch, account),
+@query(CONV + """, v AS (SELECT *, CAST(substr(conversation_id, 2) AS BIGINT) // 25 AS batch FROM ix), p AS (SELECT batch, provider || '=' || count(*) AS x, provider FROM v GROUP BY batch, provider), a AS (SELECT batch, account || '=' || count(*) AS x, account FROM v GROUP BY batch, account),
 h AS (SELECT batch, string_agg(x, ', ' ORDER BY provider) AS bp FROM p GROUP BY 1), g AS (SELECT batch, string_agg(x, ', ' ORDER BY account) AS ba FROM a GROUP BY 1),
 r AS (SELECT batch, count(*) AS n, sum(turn_count) AS t, sum(length(body)) AS c, string_agg('- conversation_id: ' || conversation_id || chr(10) || '  provider: ' || provider || chr(10) || '  account: ' || account || chr(10) || '  thread_id: ' || thread_id || chr(10) || '  created_at: ' || created_at || chr(10) || '  updated_at: ' || created_at || chr(10) || '  turn_count: ' || turn_count || chr(10) || '  char_count: ' || length(body), chr(10) ORDER BY conversation_id) AS rw FROM v GROUP BY 1)
 SELECT CAST(batch AS INTEGER) AS batch, md5('Summarise.' || chr(10) || chr(10) || 'You are given ONLY structural conversation METADATA: no message bodies, titles or free text. Base your answer on the identifiers, timestamps and counts below.' || chr(10) || chr(10) || '## Aggregate' || chr(10) || 'conversations: ' || n || chr(10) || 'total_turns: ' || t || chr(10) || 'total_chars: ' || c || chr(10) || 'by_provider: ' || bp || chr(10) || 'by_account: ' || ba || chr(10) || chr(10) || '## Conversations' || chr(10) || rw) AS prompt FROM r JOIN h USING (batch) JOIN g USING (batch)""")
 def y2_research_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of 25 conversations each, however many there are."""
     view = filters.metadata_view(_index(spark, d))
-    return export.research_prompt(view, "Summarise.", (F.substring("conversation_id", 2, 20).cast("long") % 4).cast("int")).select("batch", F.md5("prompt").alias("prompt"))
+    return export.research_prompt(view, "Summarise.", F.floor(F.substring("conversation_id", 2, 20).cast("long") / 25).cast("int")).select("batch", F.md5("prompt").alias("prompt"))
 
 
 # ---- ingest, merging ----
