@@ -1,12 +1,12 @@
 """Phrase collocations from a weighted de Bruijn graph of word grams.
 
-The edges are the grams of LONGEST words, the nodes the grams one word shorter. Edges are counted once; how often a shorter
-phrase occurs is the flow through it: what leaves it along longer grams, and the pieces that end in it. Paths
-without branches are compacted into passages of any length.
+An edge is the longest gram that begins at a word, its node the gram without its last word. Edges are counted once; how
+often a shorter phrase occurs is the flow through it: what leaves it along longer grams, and the grams that end with it.
+Paths without branches are compacted into passages of any length.
 
-A phrase can only be frequent if its words and neighbouring pairs are. So pairs are first counted by hash buckets in
-a table of fixed size; where a pair's bucket is too rare a piece is cut in two, which changes the count of no frequent
-phrase. A collision only keeps a pair that could have been cut."""
+A gram ends after LONGEST words, where its piece ends, or where no longer phrase can be frequent, which changes the count
+of no frequent phrase. To know that, grams are first counted by hash buckets, in tables of fixed size: words and
+pairs, then grams of three words and more whose pairs are frequent. A collision only makes an edge longer than it need be."""
 
 from __future__ import annotations
 
@@ -27,51 +27,90 @@ MIN_COUNT = 100
 TOP = 2000
 UNKNOWN = "und"
 WORDS = word_table(b" \t", b".,;:!?\n\x0b\x0c\r")
-#: Hash buckets of words and pairs; each is a byte while counting and a bit in what is sent to the tasks: 2 MB.
+#: Hash buckets of grams, in each of two tables; a bucket is a byte while counting and a bit in what is sent to the tasks: 2 MB.
 BUCKET_BITS = 24
 SLICES = 128
 #: Counts are held to this, which must be at least the least count that matters.
 FULL = 255
+#: Edges that a task gathers before it adds equal ones up, and how many it then keeps to go on with.
+GATHERED = 1 << 20
 #: Rows up to which the frequent phrases are sent to all tasks in joins.
 JOIN_ROWS = 200_000
 
 _ODD, _MIX, _LANG = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def _spots(first: np.ndarray, second: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """The bucket of a pair of words by their hashes; second is 0 for a word alone."""
-    x = (first * _ODD + second) * _MIX + lang * _LANG
-    x ^= x >> np.uint64(32)
-    return ((x * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    return x * _MIX
+
+
+def _there(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bits[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1
 
 
 class _Run:
-    """The words of some texts with their languages, and the buckets of words and pairs."""
+    """The words of some texts with their languages, and the grams that begin at each word."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.words: Words = split_words(batch.column(0), WORDS)
         coded = batch.column(1).dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.words.row]
-        h = word_hashes(self.words.distinct)[self.words.ids]
         of = np.array([zlib.crc32(x.encode()) for x in self.langs], np.uint64)[self.lang]
-        self.single = _spots(h, np.zeros(1, np.uint64), of)
-        self.pair = _spots(h[:-1], h[1:] + np.uint64(1), of[:-1])
-        self.joined = ~self.words.opens[1:]  # word i + 1 follows word i in its piece
-
+        self.hash = word_hashes(self.words.distinct)[self.words.ids]
+        self.gram = _mixed(self.hash * _ODD + of * _LANG)  # the hash of the gram of one word
+        last = np.flatnonzero(np.append(self.words.opens[1:], True)) if len(self.hash) else np.empty(0, np.int64)
+        self.left = np.repeat(last, np.diff(last, prepend=-1)) + 1 - np.arange(len(self.hash))  # words to the end of the piece
+
+    def grams(self, longest: int):
+        """(size, hashes) from one word on: the hash of the gram of so many words that begins at each word, if it does."""
+        gram = self.gram
+        for size in range(1, longest + 1):
+            if size > 1:
+                gram = _mixed(gram[: len(gram) - 1] * _ODD + self.hash[size - 1 :] + np.uint64(size))
+            yield size, gram, (gram >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+    def reach(self, tables: list[np.ndarray], longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """How long the gram at each word gets, as far as tables tell (words and pairs, longer grams), and the spots of the grams that
+        they don't tell: those whose shorter ones are all frequent."""
+        size_of = np.zeros(len(self.hash), np.int64)
+        able, open_ = np.ones(len(self.hash), bool), []
+        for size, _, spots in self.grams(longest):
+            # a gram can be frequent only if both grams of one word less in it are
+            at = able[: len(spots)] & (self.left[: len(spots)] >= size)
+            if size > 1:
+                at &= able[1 : len(spots) + 1]
+            table = int(size > 2)
+            if table < len(tables):
+                at &= _there(tables[table], spots)
+                size_of[: len(spots)][at] = size
+                able = np.append(at, np.zeros(len(self.hash) - len(at), bool))
+            else:
+                open_.append(spots[at])
+                if table == 0:
+                    able = np.append(self.left[: len(spots)] >= size, np.zeros(len(self.hash) - len(spots), bool))
+                    if size == 2:
+                        break
+                else:
+                    able = np.append(at, np.zeros(len(self.hash) - len(at), bool))
+        return size_of, open_
+
+
+def _count_buckets(tables, longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slice, counts): one task's buckets of the grams that tables don't tell, for each slice of them, up to FULL."""
+        total = np.zeros(1 << BUCKET_BITS, np.uint8)
+        for batch in text_runs(batches, 0):
+            for spots in _Run(batch).reach(tables.value, longest)[1]:
+                at, n = np.unique(spots, return_counts=True)
+                total[at] = np.minimum(total[at] + n, FULL).astype(np.uint8)
+        parts = total.reshape(SLICES, -1)
+        some = [i for i in range(SLICES) if parts[i].any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=["slice", "counts"])
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, counts): one task's buckets, for each slice of them, up to FULL."""
-    total = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for batch in text_runs(batches, 0):
-        run = _Run(batch)
-        for spots in (run.single, run.pair[run.joined]):
-            at, n = np.unique(spots, return_counts=True)
-            total[at] = np.minimum(total[at] + n, FULL).astype(np.uint8)
-    parts = total.reshape(SLICES, -1)
-    some = [i for i in range(SLICES) if parts[i].any()]
-    if some:
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=["slice", "counts"])
+    return run
 
 
 def _add_buckets(min_count: int):
@@ -88,9 +127,10 @@ def _add_buckets(min_count: int):
     return run
 
 
-def frequent_buckets(texts: DataFrame, min_count: int) -> np.ndarray:
-    """One bit for each bucket: whether its words and pairs together occur min_count times. Always 2 MB."""
-    counted = texts.mapInArrow(_count_buckets, "slice int, counts binary")
+def frequent_buckets(texts: DataFrame, min_count: int, longest: int = LONGEST, tables: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """One bit for each bucket: whether its grams together occur min_count times. Always 2 MB. tables: what was found before."""
+    sent = texts.sparkSession.sparkContext.broadcast(list(tables))
+    counted = texts.mapInArrow(_count_buckets(sent, longest), "slice int, counts binary")
     bits = counted.repartition(SLICES, "slice").mapInArrow(_add_buckets(min_count), "slice int, bits binary").collect()
     out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES // 8), np.uint8)
     for row in bits:
@@ -98,43 +138,53 @@ def frequent_buckets(texts: DataFrame, min_count: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _grams(words: pa.Array, ids: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
+def _texts_of(words: pa.Array, ids: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
     parts = [words.take(pa.array(ids[starts + k])) for k in range(size)]
     return (parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))).cast(pa.binary()).cast(pa.string())
 
 
-def _emit_edges(buckets, longest: int):
-    """A function from texts to (lang, size, gram, n): edges (size = longest), the ends of pieces (the last words, at
-    most longest - 1), and for each language the number of its words (size 0); added up for each run of texts."""
+def _edges(langs: list[str], size: int, grams: pa.Array, n: np.ndarray) -> pa.Table:
+    columns = [pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))]
+    return pa.table(columns, names=["lang", "size", "gram", "n"])
+
+
+def _emit_edges(tables, longest: int):
+    """A function from texts to (lang, size, gram, n): the edges, and for each language the number of its words (size 0)."""
+
+    def of_run(r: _Run) -> Iterator[pa.Table]:
+        size_of, _ = r.reach(tables.value, longest)
+        for size in range(1, longest + 1):
+            starts = np.flatnonzero(size_of == size)
+            if not len(starts):
+                continue
+            key = r.lang[starts]
+            for k in range(size):  # exact numbers for ever longer grams
+                key = np.unique(key * len(r.words.distinct) + r.words.ids[starts + k], return_inverse=True)[1]
+            _, one, n = np.unique(key, return_index=True, return_counts=True)
+            yield _edges([r.langs[x] for x in r.lang[starts[one]]], size, _texts_of(r.words.distinct, r.words.ids, starts[one], size), n)
+        n = np.bincount(r.lang, minlength=len(r.langs))
+        yield _edges(r.langs, 0, pa.array([""] * len(n)), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = buckets.value
-        there = lambda spots: (bits[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8)) & 1 == 1
+        held: list[pa.Table] = []
+        rows = 0
+
+        def added_up() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "size", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "size", "gram", "n"])
+
         for batch in text_runs(batches, 0):
             r = _Run(batch)
-            ids, total = r.words.ids, len(r.words.ids)
-            if not total:
-                continue
-            joined = r.joined & there(r.pair)
-            opens = np.flatnonzero(np.concatenate([[True], ~joined]))
-            ends = np.append(opens[1:], total)  # the pieces after cutting are opens[i]:ends[i]
-            left = np.repeat(ends, ends - opens) - np.arange(total)  # words from here to the end of the piece
-            tail = np.minimum(ends - opens, longest - 1)
-            known = (ends - opens > 1) | there(r.single[opens])
-            chosen = [(longest, np.flatnonzero(left >= longest))] + [(k, (ends - k)[(tail == k) & known]) for k in range(1, longest)]
-            for size, starts in chosen:
-                if not len(starts):
-                    continue
-                key = r.lang[starts]
-                for k in range(size):  # exact numbers for ever longer grams
-                    key = np.unique(key * len(r.words.distinct) + ids[starts + k], return_inverse=True)[1]
-                _, one, n = np.unique(key, return_index=True, return_counts=True)
-                yield _edges([r.langs[x] for x in r.lang[starts[one]]], size, _grams(r.words.distinct, ids, starts[one], size), n)
-            n = np.bincount(r.lang, minlength=len(r.langs))
-            yield _edges(r.langs, 0, pa.array([""] * len(n)), n)
-
-    def _edges(langs: list[str], size: int, grams: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))], names=["lang", "size", "gram", "n"])
+            if len(r.hash):
+                held += of_run(r)
+                rows = sum(t.num_rows for t in held)
+            if rows > GATHERED:
+                held = [added_up()]
+                rows = held[0].num_rows
+                if rows > GATHERED // 2:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from added_up().to_batches()
 
     return run
 
@@ -148,31 +198,31 @@ def last_words(phrase: Column, k: int | Column) -> Column:
 
 
 def count_edges(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
-    """(lang, size, gram, n): the graph of docs (text, lang), written to the shared folder. size is longest for edges,
-    less for the ends of pieces and 0 for a language's number of words. Grams that hold a word or pair which surely
-    occurs less than min_count times are left out."""
+    """(lang, size, gram, n): the graph of docs (text, lang), written to the shared folder: how often the longest gram that begins at
+    a word is this one. Size 0 is a language's number of words. Words and phrases that surely occur less than min_count times
+    are in no gram."""
     if not 1 <= min_count <= FULL:
         raise ValueError(f"min_count must be from 1 to {FULL}")
     ship(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_buckets(texts, min_count))
-    found = texts.mapInArrow(_emit_edges(bits, longest), "lang string, size int, gram string, n bigint")
+    pairs = frequent_buckets(texts, min_count, longest)
+    longer = frequent_buckets(texts, min_count, longest, (pairs,))
+    tables = docs.sparkSession.sparkContext.broadcast([pairs, longer])
+    found = texts.mapInArrow(_emit_edges(tables, longest), "lang string, size int, gram string, n bigint")
     return stash(found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "gram-edges")
 
 
 def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
-    """(lang, size, phrase, n): every phrase of 1 to longest words with n >= min_count, by the flow through its node.
-
-    A phrase occurs as often as the grams of one word more begin with it, and pieces end in it. A piece that ends in a
-    gram of several words ends in each shorter one too."""
-    flow = edges.filter(F.col("size") == longest).select("lang", F.col("gram").alias("phrase"), "n")
-    levels, spent = [], []
+    """(lang, size, phrase, n): every phrase of 1 to longest words with n >= min_count, by the flow through its node: a phrase
+    occurs as often as the grams of one word more begin with it, and grams end with it."""
+    flow, levels, spent = None, [], []
     for size in range(longest, 0, -1):
-        if size < longest:
-            ends = edges.filter(F.col("size").between(size, longest - 1)).select("lang", last_words(F.col("gram"), size).alias("phrase"), "n")
+        here = edges.filter(F.col("size") == size).select("lang", F.col("gram").alias("phrase"), "n")
+        if flow is not None:
             through = flow.select("lang", first_words(F.col("phrase"), size).alias("phrase"), "n")
-            flow = stash(through.unionByName(ends).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "gram-flow")
-            spent.append(flow)
+            here = stash(through.unionByName(here).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "gram-flow")
+            spent.append(here)
+        flow = here
         levels.append(flow.filter(F.col("n") >= min_count).select("lang", F.lit(size).alias("size"), "phrase", "n"))
     found = levels[0]
     for level in levels[1:]:
