@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from threadloom.llm.text import SPACE_WORD
 from threadloom.session import fresh, join_checked, named, stash
@@ -57,25 +58,32 @@ def dry_rates(children: DataFrame) -> DataFrame:
     return stash(first.select("parent", "r.at", "r.left", "r.share"), "mix-rates")
 
 
+def weight_path(weights: DataFrame) -> Column:
+    """The column path as an array of names; a text is cut at its slashes."""
+    return F.col("path") if isinstance(weights.schema["path"].dataType, ArrayType) else F.split("path", "/")
+
+
 def leaf_budgets(leaves: DataFrame, total: Column, weights: DataFrame | None = None, epochs: int = MAX_EPOCHS) -> DataFrame:
     """leaves (domain, lang, source, tokens) with budget: how many tokens each leaf gives, out of total.
 
     A parent's budget is dealt to its children in proportion to their weights; a child takes no more than its
     subtree can give (tokens * epochs), and what it can't take goes to its siblings. Since a child's limit is
     its subtree's, a shortage leaves a family only when the whole family is exhausted: siblings come before
-    ancestors. weights: (path, weight) with path 'domain', 'domain/lang' or 'domain/lang/source'; integers
-    from 1; 1 where there is none. All integer arithmetic, rounded down."""
-    nodes = leaves.withColumn("cap", F.col("tokens") * epochs).withColumn("root", F.lit(""))
+    ancestors. weights: (path, weight) with path 'domain', 'domain/lang' or 'domain/lang/source', or an array
+    of these names, which it must be where a name holds a slash; integers from 1; 1 where there is none. A node is told by its
+    names one by one, whatever they hold. All integer arithmetic, rounded down."""
+    nodes = leaves.withColumn("cap", F.col("tokens") * epochs)
+    none = F.array().cast("array<string>")
     path: list[str] = []
-    parents = nodes.agg(F.coalesce(F.sum("cap"), F.lit(0)).cast("long").alias("cap")).select(F.lit("").alias("parent"), F.least("cap", total.cast("long")).alias("given"))
+    parents = nodes.agg(F.coalesce(F.sum("cap"), F.lit(0)).cast("long").alias("cap")).select(none.alias("parent"), F.least("cap", total.cast("long")).alias("given"))
     for level in LEVELS:
-        above = F.concat_ws("/", *[F.col(c) for c in path]) if path else F.lit("")
+        above = F.array(*path) if path else none
         path.append(level)
-        here = nodes.groupBy(*path).agg(F.sum("cap").cast("long").alias("cap")).withColumn("parent", above).withColumn("path", F.concat_ws("/", *path))
+        here = nodes.groupBy(*path).agg(F.sum("cap").cast("long").alias("cap")).withColumn("parent", above).withColumn("path", F.array(*path))
         if weights is None:
             here = here.withColumn("weight", F.lit(1).cast("long"))
         else:
-            w = weights.select(F.col("path"), F.col("weight").cast("long").alias("given_weight"))
+            w = weights.select(weight_path(weights).alias("path"), F.col("weight").cast("long").alias("given_weight"))
             here = here.join(w, "path", "left").withColumn("weight", F.coalesce("given_weight", F.lit(1).cast("long"))).drop("given_weight")
         here = join_checked(here, parents, "parent")
         here = stash(here, "mix-nodes")
@@ -102,7 +110,7 @@ def mix_sources(
 
     The total is budget_percent of all tokens (words between white space; a document has one at least, so null
     and empty texts cost one; a very long text costs all its words and is taken whole or not at all). A null lang or
-    source is a leaf named ''. An empty table stays empty. domain: a column of docs; without it all is one domain. In each epoch a leaf's documents stand
+    source is a leaf named '', a null domain is 'other'. An empty table stays empty. domain: a column of docs; without it all is one domain. In each epoch a leaf's documents stand
     in the order of md5(seed:epoch:id:md5 of text); whole epochs are taken while they fit, then the longest prefix
     within the rest. Rows that tie in all of that are repeated rows: they are taken together or not at all.
 
@@ -117,7 +125,7 @@ def mix_sources(
         x,
         F.struct(
             F.struct(
-                (F.lit(OTHER) if domain is None else domain).alias("domain"),
+                F.coalesce(*([] if domain is None else [domain]), F.lit(OTHER)).alias("domain"),
                 F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
                 F.coalesce(F.col("source"), F.lit("")).alias("source"),
             ).alias("leaf"),
