@@ -116,7 +116,7 @@ lv AS (SELECT doc_id, line, s, length(s) > 0 AND (
     length(s) - length(replace(s, '|', '')) >= 3
     OR (length(s) - length(translate(s, '#*$%&|<>', ''))) * 100 > 10 * length(s)
     OR (length(s) - length(replace(s, ' ', '')) + 1 >= 4 AND NOT regexp_matches(s, '\p{Ll}') AND regexp_matches(s, '\p{Lu}'))
-    OR (length(s) - length(replace(s, ' ', '')) + 1 >= 12 AND NOT regexp_matches(s, '[.!?:;,…]'))
+    OR (length(s) - length(replace(s, ' ', '')) + 1 >= 12 AND NOT regexp_matches(s, '[.!?:;,…·؟؛،۔।॥։።፣。！？：；，、]') AND NOT regexp_matches(s, '[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]'))
     OR (length(s) <= 200 AND (contains(lower(s), 'cookie policy') OR contains(lower(s), 'privacy policy') OR contains(lower(s), 'terms of use') OR contains(lower(s), 'terms of service') OR contains(lower(s), 'all rights reserved') OR contains(lower(s), 'click here') OR contains(lower(s), 'sign in') OR contains(lower(s), 'log in') OR contains(lower(s), 'subscribe now') OR contains(lower(s), 'enable javascript') OR contains(lower(s), 'skip to content') OR contains(lower(s), 'skip to main content') OR contains(lower(s), 'share this') OR contains(lower(s), 'read more') OR contains(lower(s), 'alle rechte vorbehalten') OR contains(lower(s), 'datenschutzerklärung') OR contains(lower(s), 'nutzungsbedingungen') OR contains(lower(s), 'hier klicken') OR contains(lower(s), 'weiterlesen') OR contains(lower(s), 'zum inhalt springen') OR contains(lower(s), 'tous droits réservés') OR contains(lower(s), 'politique de confidentialité') OR contains(lower(s), 'conditions d''utilisation') OR contains(lower(s), 'cliquez ici') OR contains(lower(s), 'lire la suite') OR contains(lower(s), 'aller au contenu') OR contains(lower(s), 'todos los derechos reservados') OR contains(lower(s), 'política de privacidad') OR contains(lower(s), 'términos de uso') OR contains(lower(s), 'haga clic aquí') OR contains(lower(s), 'leer más') OR contains(lower(s), 'saltar al contenido')))
   ) AS bad FROM lt),
 la AS (SELECT doc_id, CAST(coalesce(sum(length(line)) FILTER (bad), 0) AS BIGINT) AS lost_chars,
