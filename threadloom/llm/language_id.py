@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -26,7 +25,8 @@ EPOCHS = 30
 #: share of the right ones lies: what scores less than nearly all text of the known languages is none of them.
 MAX_WRONG = 0.01
 RIGHT_REJECTED = 0.005
-LETTER = re.compile(r"[^\W\d_]")
+#: What counts as a letter, here and in training.
+LETTER = r"\p{L}"
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 
@@ -133,7 +133,7 @@ def fit_language_model(docs: DataFrame) -> LanguageModel | None:
     Of each language about SAMPLE_PER_LANG documents are used, and about SAMPLE_ROWS of all, chosen by a hash
     of their ids, whole; every language takes part. The driver gets their bucket counts (16 KB each), not their texts."""
     ship(docs.sparkSession)
-    usable = docs.filter((id_crc(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = docs.filter((id_crc(F.col("doc_id")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
     sizes = stash(usable.groupBy(F.col("lang").alias("of")).count(), "language-sizes")
     langs = sizes.count()
     if not langs:
@@ -164,10 +164,10 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
         m = shared.value
         for batch in batches:
             langs, scores, low = [], [], []
-            texts = batch.column(2)
+            texts, lettered = batch.column(3), batch.column(2).to_pylist()
             for at in range(0, len(batch), 256):
-                for t in texts.slice(at, 256).to_pylist():
-                    if m is None or not t or not LETTER.search(t):
+                for t, has_letter in zip(texts.slice(at, 256).to_pylist(), lettered[at : at + 256], strict=True):
+                    if m is None or not has_letter:
                         found = UNKNOWN, 0.0, True
                     else:
                         found = m.answer(subword_counts(t))
@@ -178,4 +178,5 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    letter = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
+    return docs.select("doc_id", held.alias("held_out"), letter.alias("letter"), "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
