@@ -19,9 +19,6 @@ SPLIT_CHARS = 1 << 16
 #: The pre-tokenizer always breaks here: before a single space that follows a letter, digit or mark and precedes
 #: a letter. No token and no special string crosses such a place.
 SAFE = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[A-Za-z])")
-#: Texts of these characters alone are counted with the rank file of the same vocabulary, which gives the same
-#: tokens in a quarter of the time; classes of rarer characters could differ between the libraries' Unicode tables.
-RARE = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ž]")
 
 
 def split_safely(text: str, size: int = SPLIT_CHARS) -> list[str]:
@@ -56,50 +53,22 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     if path.endswith(".tiktoken"):
-        return lambda texts, f=_ranked(path): [f(t) for t in texts]
+        import base64
 
-    from pathlib import Path
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(x) for x in own.encode_ordinary_batch(texts, num_threads=1)]
 
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    exact = lambda texts: [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-    ranks = Path(path).with_suffix(".tiktoken")
-    if not ranks.exists():
-        return exact
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
-    cut = re.compile("|".join(map(re.escape, special))) if special else None
-    plain = _ranked(str(ranks))
-
-    def count(texts: list[str]) -> list[int]:
-        out, hard = [0] * len(texts), []
-        for i, t in enumerate(texts):
-            if RARE.search(t):
-                hard.append(i)
-            elif cut is None or not cut.search(t):
-                out[i] = plain(t)
-            else:
-                pieces = cut.split(t)
-                out[i] = sum(map(plain, pieces)) + len(pieces) - 1
-        for i, n in zip(hard, exact([texts[i] for i in hard]), strict=True):
-            out[i] = n
-        return out
-
-    return count
-
-
-def _ranked(path: str) -> Callable[[str], int]:
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda t: len(own.encode_ordinary(t))
+    return lambda texts: [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _counters: dict[str, Callable[[list[str]], list[int]]] = {}
