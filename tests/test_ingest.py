@@ -128,13 +128,7 @@ def test_design_and_task_exports(spark, tmp_path):
     put(tmp_path / "d/chat.json", {"id": "D", "title": "t", "messages": [{"role": "user", "content": "plain"}, {"role": "assistant", "content": {"blocks": [{"type": "text", "text": "b"}, {"type": "tool_call", "name": "draw", "input": "i", "output": "o"}]}}]})
     assert shown(ingest.ingest_design_chats(spark, str(tmp_path / "d")).blocks) == [(0, "human", 0, "text", "plain"), (1, "assistant", 0, "text", "b"), (1, "assistant", 1, "tool_use", "draw"), (1, "assistant", 2, "tool_result", "")]
     put(tmp_path / "t/codex.json", [{"id": "K", "title": "t", "turns": [{"role": "user", "input_items": [{"type": "message", "content": [{"content_type": "text", "text": "go"}]}]}, {"role": "assistant", "turn_status": "FAILED", "output_items": []}]}])
-    assert shown(ingest.ingest_task_export(spark, str(tmp_path / "t")).blocks) == [(0, "human", 0, "text", "go"), (1, "assistant", 0, "event", "status: FAILED")]
-
-
-def test_citations_attach_to_the_text_before(spark):
-    df = spark.createDataFrame([("d", 0, "citation", "", "u0", "t0"), ("d", 1, "text", "a", "", ""), ("d", 2, "citation", "", "u1", "t1"), ("d", 3, "other", "", "", ""), ("d", 4, "citation", "", "u2", "t2"), ("d", 5, "text", "b", "", "")], "doc string, pos int, kind string, text string, url string, title string")
-    got = {r.text: [c.url for c in r.citations or []] for r in ingest.attach_citations(df).collect()}
-    assert got == {"a": ["u1", "u2"], "b": []}
+    assert shown(ingest.ingest_task_export(spark, str(tmp_path / "t")).blocks) == [(0, "human", 0, "text", "go"), (1, "assistant", 0, "tool_result", "")]
 
 
 def test_activity_log_and_grouping(spark):

@@ -131,6 +131,7 @@ def is_safe_url(col: Column) -> Column:
 
 
 def is_local_media_path(col: Column) -> Column:
-    """A relative path without scheme, drive, root or step upwards."""
+    """A relative path without scheme, drive, root or step upwards: no colon in its first part, of whatever kind."""
     p = F.replace(F.coalesce(col, F.lit("")), F.lit("\\"), F.lit("/"))
-    return (p != "") & ~p.contains("://") & ~p.startswith("/") & ~p.rlike(r"^[A-Za-z]:") & ~F.array_contains(F.split(p, "/"), "..")
+    steps = F.split(p, "/")
+    return (p != "") & ~p.contains("://") & ~p.startswith("/") & ~steps[0].contains(":") & ~F.array_contains(steps, "..")

@@ -281,25 +281,43 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
     return out, moved.filter(~chain_inside).distinct()
 
 
+MORE = "more:"
+
+
 def cap_fan_out(threads: DataFrame, edges: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
     """A parent with more than most children keeps the newest most - 1 (undated last, ties by id) and gets
-    'more:<parent>' with the number hidden. Nodes that were reachable from a root and no longer are drop out.
-
-    Returns nodes (id, hidden) and edges (parent, child)."""
-    e = stash(children(edges), "edges")
-    born = threads.groupBy(F.col("id").alias("child")).agg(F.max("created_at_ms").alias("ms"))
-    rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.col("ms").desc_nulls_last(), "child"))
-    width = e.groupBy("parent").agg(F.count(F.lit(1)).alias("width"))
-    ranked = e.join(width, "parent").join(born, "child", "left").withColumn("rank", rank)
+    'more:<parent>' with the number hidden. Nodes that were reachable from a root and no longer are drop out; those of
+    components without a root stay. Self-loops are no children and take no root away.
+
+    Returns nodes (id, hidden, title, created_at_ms) and edges (parent, child); a placeholder is titled '+n more' and has its
+    parent's birth. A placeholder of an earlier pass is no child either: if threads has a column hidden, its number is added
+    to this pass's, so that a second pass changes nothing and a tighter one deepens it."""
+    drawn = stash(children(edges).filter("parent <> child"), "edges")
+    plain, carried = drawn.filter(~F.col("child").startswith(MORE)), drawn.filter(F.col("child").startswith(MORE))
+    born = F.max("created_at_ms") if "created_at_ms" in threads.columns else F.max(F.lit(None).cast("long"))
+    title = F.min("title") if "title" in threads.columns else F.lit(None).cast("string")
+    number = F.max("hidden") if "hidden" in threads.columns else F.lit(None).cast("long")
+    info = threads.groupBy("id").agg(born.cast("long").alias("created_at_ms"), title.alias("title"), number.cast("long").alias("prior"))
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.col("created_at_ms").desc_nulls_last(), "child"))
+    width = plain.groupBy("parent").agg(F.count(F.lit(1)).alias("width"))
+    ranked = plain.join(width, "parent").join(info.select(F.col("id").alias("child"), "created_at_ms"), "child", "left").withColumn("rank", rank)
     kept = stash(ranked.filter((F.col("width") <= most) | (F.col("rank") < most)).select("parent", "child"), "kept")
-    more = width.filter(F.col("width") > most).select("parent", F.concat(F.lit("more:"), "parent").alias("child"), (F.col("width") - (most - 1)).alias("hidden"))
-    top = roots(threads, edges).select(F.lit("").alias("root"), "id", F.lit(0).alias("dist"))
-    before, after = spread(top, e).select("id"), spread(top, kept).select("id")
-    lost = before.join(after, "id", "left_anti")
-    stay = nodes(threads, edges).join(lost, "id", "left_anti").withColumn("hidden", F.lit(0).cast("long"))
+    cut = width.filter(F.col("width") > most).select("parent", (F.col("width") - max(0, most - 1)).alias("n"))
+    earlier = carried.join(info.select(F.col("id").alias("child"), F.col("prior").alias("n")), "child").filter("n > 0").select("parent", "n")
+    more = cut.unionByName(earlier).groupBy("parent").agg(F.sum("n").cast("long").alias("hidden"))
+
+    everyone = stash(nodes(threads, edges), "nodes")
+    start = lambda ids: ids.select(F.lit("").alias("root"), "id", F.lit(0).alias("dist"))
+    top = everyone.join(drawn.select(F.col("child").alias("id")), "id", "left_anti")
+    before = stash(spread(start(top), drawn).select("id"), "reached")
+    rootless = everyone.join(before, "id", "left_anti")
+    stay = stash(spread(start(top.unionByName(rootless)), kept).select("id").filter(~F.col("id").startswith(MORE)), "visible")
     more = more.join(stay.select(F.col("id").alias("parent")), "parent", "left_semi")
-    kept_edges = induced_edges(kept, stay).select("parent", "child").unionByName(more.select("parent", "child"))
-    return stay.unionByName(more.select(F.col("child").alias("id"), "hidden")), kept_edges
+    own = stay.join(info, "id", "left").select("id", F.lit(0).cast("long").alias("hidden"), F.coalesce("title", F.lit("")).alias("title"), "created_at_ms")
+    signs = more.join(info.select(F.col("id").alias("parent"), "created_at_ms"), "parent", "left")
+    signs = signs.select(F.concat(F.lit(MORE), "parent").alias("id"), "hidden", F.concat(F.lit("+"), F.col("hidden").cast("string"), F.lit(" more")).alias("title"), "created_at_ms")
+    kept_edges = induced_edges(kept, stay).select("parent", "child").unionByName(more.select("parent", F.concat(F.lit(MORE), "parent").alias("child")))
+    return own.unionByName(signs), kept_edges
 
 
 def fold_subtree(threads: DataFrame, edges: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:

@@ -60,21 +60,26 @@ def _fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
+#: A quoted part, which a missing quote leaves open to the end, with a star right after it; or what lies between such parts.
+_PARTS = re.compile(r'"([^"]*)(?:"(\*?)|\Z)|([^"]+)')
+
+
 def parse_query(text: str) -> list[Clause]:
-    """User text to clauses that are all required: words, "phrases" (an open quote closes at the end), word* .
+    """User text to clauses that are all required: words, "phrases" (an open quote closes at the end), word*, "phrases"* .
 
-    Total: any input gives a list, an empty one where there is no token."""
+    A word that holds several tokens (file.py) asks for each of them, anywhere; a star opens the last one. Total: any
+    input gives a list, an empty one where there is no token."""
+    tokens = lambda part: tuple(re.findall(r"[^\W_]+", _fold_text(part)))
     clauses: list[Clause] = []
-    for i, part in enumerate((text or "").split('"')):
-        if i % 2:
-            tokens = tuple(re.findall(r"[^\W_]+", _fold_text(part)))
-            if tokens:
-                clauses.append(Clause(tokens))
+    for m in _PARTS.finditer(text or ""):
+        quoted, star, plain = m.groups()
+        if plain is None:
+            if found := tokens(quoted):
+                clauses.append(Clause(found, prefix=bool(star)))
             continue
-        for word in part.split():
-            tokens = tuple(re.findall(r"[^\W_]+", _fold_text(word)))
-            if tokens:
-                clauses.append(Clause(tokens, prefix=word.endswith("*")))
+        for word in plain.split():
+            found = tokens(word)
+            clauses += [Clause((t,), prefix=word.endswith("*") and i == len(found) - 1) for i, t in enumerate(found)]
     return clauses
 
 

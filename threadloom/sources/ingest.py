@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import account_of, basename, decoded_dir, epoch_to_iso, first_line, flatten_content, iso_to_ms, normalise_prompt, preview, uuid_in
 from threadloom.session import ship
-from threadloom.sources.jsonl import at, file_path, island, read_json_lines
+from threadloom.sources.jsonl import at, island, read_json_lines
+from threadloom.sources.lines import array_elements, file_path, number_runs, number_turns
+from threadloom.sources.task_export import task_tables
 
 BLOCK = "conversation_id string, turn_idx int, role string, block_idx int, type string, text string, data string, uuid string, ts string"
 
@@ -75,9 +77,8 @@ def ingest_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl
         .otherwise(one("unknown", F.lit(""), js(orig_type=F.col("ptype"), x_raw=F.col("payload"))))
     )
     shown = items.withColumn("user", is_user).withColumn("b", F.coalesce(blocks, F.slice(one("text", F.lit(""), none), 1, 0))).filter(F.col("user") | (F.size("b") > 0))
-    before = F.lag("user", 1, True).over(Window.partitionBy("path").orderBy("line"))
-    turned = shown.withColumn("new", F.col("user") | before).withColumn("turn", island(F.col("new"), "path"))
-    parts = turned.select("path", "line", "turn", "ts", "user", p("id").alias("uuid"), F.posexplode_outer("b").alias("part", "blk"))
+    turns = number_turns(shown.select("path", "line", "user", F.size("b").alias("parts")), "path")
+    parts = shown.select("path", "line", "ts", "user", p("id").alias("uuid"), F.posexplode_outer("b").alias("part", "blk"))
     head = per_file.join(meta, "path", "left")
     m = lambda n: F.coalesce(F.get_json_object("meta", f"$.payload.{n}"), F.lit(""))
     ask = parts.filter("user and blk is not null").groupBy("path").agg(F.min_by("blk.text", F.struct("line", "part")).alias("ask"))
@@ -92,7 +93,8 @@ def ingest_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl
     conv = docs.select(F.col("id").alias("conversation_id"), "title", F.lit("codex").alias("provider"), F.lit("").alias("account"), F.col("id").alias("thread_id"), "created_at", "updated_at", "path", "developer_messages")
     threads = docs.select("id", "title", "model_provider", "tokens_used", iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), "git_branch", "cwd", "agent_role", "agent_nickname", "preview", F.col("path").alias("rollout_path"))
     edges = docs.filter("parent <> '' and id <> ''").select("parent", F.col("id").alias("child"), "status")
-    out = _numbered(parts, "path").join(docs.select("path", F.col("id").alias("conversation_id")), "path").filter("blk is not null")
+    placed = parts.filter("blk is not null").join(turns, ["path", "line"]).withColumn("block_idx", F.col("block_at") + F.col("part"))
+    out = placed.join(docs.select("path", F.col("id").alias("conversation_id")), "path")
     return Ingested(conv, _blocks(out), threads, edges, errors)
 
 
@@ -161,12 +163,12 @@ def fold_transcripts(records: DataFrame, errors: DataFrame | None = None) -> Ing
     as_list = F.when(content.startswith("["), F.from_json(content, f"array<{item}>")).when(content.startswith("{"), F.array(F.from_json(content, item))).when(F.trim(at("message.content")) != "", F.array(plain)).otherwise(none)
     talk = r.filter(talked).withColumn("c", as_list).withColumn("results_only", (F.size("c") > 0) & F.forall("c", lambda x: x.type == "tool_result"))
     talk = talk.withColumn("user", (F.col("rtype") == "user") & ~F.col("results_only"))
-    before = F.lag("user", 1, True).over(Window.partitionBy("sid").orderBy("line"))
-    turned = talk.filter(F.size("c") > 0).withColumn("new", F.col("user") | before).withColumn("turn", island(F.col("new"), "sid"))
-    each = turned.select("sid", "line", "turn", "ts", "user", "uuid", F.posexplode("c").alias("part", "x"))
+    talk = talk.filter(F.size("c") > 0)
+    turns = number_turns(talk.select("sid", "line", "user", F.size("c").alias("parts")), "sid")
+    each = talk.select("sid", "line", "ts", "user", "uuid", F.posexplode("c").alias("part", "x"))
     called = F.to_json(F.struct(F.col("x.name").alias("name"), F.col("x.input").alias("input"), F.col("x.content").alias("content"), F.col("x.tool_use_id").alias("call_id"), F.col("x.is_error").alias("is_error")))
     blk = F.struct(F.coalesce("x.type", F.lit("unknown")).alias("type"), F.coalesce(F.col("x.text"), F.col("x.thinking"), F.lit("")).alias("text"), F.when(F.col("x.type").isin("tool_use", "tool_result"), called).alias("data"))
-    out = _numbered(each.withColumn("blk", blk), "sid").withColumn("conversation_id", F.col("sid"))
+    out = each.withColumn("blk", blk).join(turns, ["sid", "line"]).withColumn("block_idx", F.col("block_at") + F.col("part")).withColumn("conversation_id", F.col("sid"))
     ask = each.filter("user and x.type = 'text' and x.text is not null").groupBy("sid").agg(F.min_by("x.text", F.struct("line", "part")).alias("ask"))
     d = docs.join(ask, "sid", "left").withColumn("title", F.coalesce(F.nullif("ai_title", F.lit("")), F.nullif(first_line(F.col("ask")), F.lit("")), F.lit("(untitled)")))
     stamps = [F.coalesce(c, F.lit("")).alias(c) for c in ("created_at", "updated_at")]
@@ -217,12 +219,12 @@ def fold_update_streams(records: DataFrame, summaries: DataFrame, metas: DataFra
     flow = r.filter(chunk | tool | (F.col("kind") == "turn_completed"))
     group = F.when(chunk, F.col("kind")).when(tool & (F.col("call") != ""), F.concat(F.lit("call:"), "call")).when(tool, F.concat(F.lit("line:"), "line")).otherwise("end")
     flow = flow.withColumn("g", group)
-    prior = F.lag("g").over(Window.partitionBy("sid").orderBy("line"))
-    flow = flow.withColumn("run", island((F.col("g") != F.coalesce(prior, F.lit(""))), "sid"))
-    # a call keeps the place of its first record wherever its updates come
-    place = F.when(F.col("g").startswith("call:"), F.min("line").over(Window.partitionBy("sid", "g"))).otherwise(F.min("line").over(Window.partitionBy("sid", "run")))
+    runs = number_runs(flow, "g", "sid")
+    # a call keeps the place of its first record wherever its updates come; of the rest each run is a block
+    one = F.when(~F.col("g").startswith("call:"), F.col("run"))
     last = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("line")))
-    folded = flow.filter("g <> 'end'").withColumn("place", place).groupBy("sid", "place", "g").agg(
+    folded = flow.filter("g <> 'end'").join(runs, ["sid", "line"]).groupBy("sid", "g", one.alias("one")).agg(
+        F.min("line").alias("place"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "").alias("text"), F.min_by("ts", "line").alias("ts"), last("title").alias("name"), last("status").alias("status"), last("input").alias("input"), last("output").alias("output"),
         F.min(F.when(F.col("output") != "", F.col("line"))).alias("out_line"),
     )
@@ -233,9 +235,8 @@ def fold_update_streams(records: DataFrame, summaries: DataFrame, metas: DataFra
         F.when(is_tool, data(name=F.coalesce("name", F.lit("tool")), input=F.col("input"), status=F.col("status"))).alias("data")).alias("blk"))
     results = folded.filter(is_tool & F.col("out_line").isNotNull()).select("sid", F.col("out_line").alias("line"), "ts", F.lit(False).alias("user"), F.struct(F.lit("tool_result").alias("type"), F.lit("").alias("text"), data(name=F.coalesce("name", F.lit("tool")), content=F.col("output")).alias("data")).alias("blk"))
     rows = main.withColumn("part", F.lit(0)).unionByName(results.withColumn("part", F.lit(1)))
-    before = F.lag("user", 1, True).over(Window.partitionBy("sid").orderBy("line", "part"))
-    rows = rows.withColumn("new", F.col("user") | before)
-    rows = rows.withColumn("turn", F.sum(F.col("new").cast("int")).over(Window.partitionBy("sid").orderBy("line", "part").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("place", F.col("line") * 2 + F.col("part")).drop("line", "part")
+    turns = number_turns(rows.select("sid", "place", "user", F.lit(1).alias("parts")), "sid", "place")
     stamped = F.when(F.col("ts") != "", F.col("line"))
     heads = r.groupBy("sid").agg(F.min_by("ts", stamped).alias("first_ts"), F.max_by("ts", stamped).alias("last_ts"), F.first("cwd").alias("dir_cwd"), F.first(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).alias("path"), F.min_by("hint", F.when(F.col("hint") != "", F.col("line"))).alias("hint"))
     sp = F.split("path", "/")
@@ -247,7 +248,7 @@ def fold_update_streams(records: DataFrame, summaries: DataFrame, metas: DataFra
         best("s_active", "s_updated", "last_ts").alias("updated_at"), best("s_kind").alias("agent_role"), best("s_agent").alias("agent_nickname"), best("s_model").alias("model_id"), preview(F.col("ask")).alias("preview"), "path",
     )
     named = d.select("sid", "id")
-    out = _numbered(rows, "sid").join(named, "sid").withColumn("conversation_id", F.col("id")).withColumn("uuid", F.lit(""))
+    out = rows.join(turns, ["sid", "place"]).withColumn("block_idx", F.col("block_at")).join(named, "sid").withColumn("conversation_id", F.col("id")).withColumn("uuid", F.lit(""))
     conv = d.select(F.col("id").alias("conversation_id"), "title", F.lit("grok").alias("provider"), F.lit("").alias("account"), F.col("id").alias("thread_id"), "created_at", "updated_at", "path", "model_id")
     threads = d.select("id", "title", F.lit("xai").alias("model_provider"), F.lit(0).cast("long").alias("tokens_used"), iso_to_ms(F.col("created_at")).alias("created_at_ms"), iso_to_ms(F.col("updated_at")).alias("updated_at_ms"), F.lit("").alias("git_branch"), "cwd", "agent_role", "agent_nickname", "preview", F.col("path").alias("rollout_path"))
     # a meta without a child gives no edge; one without a parent belongs to the session that it lies in
@@ -286,12 +287,8 @@ def ingest_state_graph(threads: DataFrame, edges: DataFrame | None = None) -> tu
 
 
 def export_records(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, pos, json): the elements of JSON array files; an object file is one element."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(file_path().alias("path"), "value")
-    parsed = F.try_parse_json("value")
-    many = F.try_variant_get(parsed, "$", "array<variant>")
-    each = F.when(F.ltrim("value").startswith("["), many).otherwise(F.array(parsed))
-    return raw.select("path", F.posexplode(each).alias("pos", "v")).select("path", "pos", F.to_json("v").alias("json"))
+    """(path, pos, json): the elements of JSON array files, read by many tasks; an object file is one element."""
+    return array_elements(spark, path, glob)
 
 
 def _walk_up(nodes: dict[str, dict], tip: str | None) -> list[str]:
@@ -455,74 +452,10 @@ def ingest_design_chats(spark: SparkSession, path: str) -> Ingested:
 
 
 def ingest_task_export(spark: SparkSession, path: str) -> Ingested:
-    """Threads of turns with input or output items: messages, pull requests, diffs, snapshots; a status block unless
-    completed; an assistant turn stays even without blocks; citations attach to the text run before them."""
-    docs = export_records(spark, path, "codex.json")
-    turns = docs.select(at("id").alias("conversation_id"), at("title").alias("title"), at("created_at").alias("created_at"), F.posexplode(F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.turns")), "$", "array<variant>")).alias("turn_idx", "v")).withColumn("json", F.to_json("v")).drop("v")
-    items = F.coalesce(F.try_variant_get(F.try_parse_json(F.coalesce(F.get_json_object("json", "$.input_items"), F.get_json_object("json", "$.output_items"))), "$", "array<variant>"), F.array().cast("array<variant>"))
-    user = at("role") == "user"
-    cites = "array<struct<title:string,url:string>>"
-    one = lambda kind, text, data, c=None: F.struct(F.lit(kind).alias("type"), F.coalesce(text, F.lit("")).alias("text"), data.alias("data"), (F.lit(None) if c is None else c).cast(cites).alias("citations"))
-    none = F.lit(None).cast("string")
-
-    def part_blocks(raw: Column) -> Column:
-        """Blocks of a message's parts (array<variant>): a citation goes to the last text before it, or stays as a
-        file where there is none; blank texts are left out, what is not known is kept whole."""
-        fields = "struct<content_type:string,text:string,path:string,line_range_start:string,line_range_end:string,terminal_chunk_id:string,asset_pointer:string,width:long,height:long,size_bytes:long>"
-        bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-        parts = F.transform(F.filter(F.transform(raw, lambda v: F.to_json(v)), lambda j: j.startswith("{")), lambda j: F.struct(F.from_json(j, fields).alias("f"), j.alias("j")))
-        is_text = lambda x: F.coalesce(x.f.content_type == "text", F.lit(False))
-        is_said = lambda x: is_text(x) & F.coalesce(x.f.text.rlike(r"\S"), F.lit(False))
-        span = lambda x: F.concat(F.lit(":L"), F.coalesce(x.f.line_range_start, F.lit("None")), F.lit("-L"), F.coalesce(x.f.line_range_end, F.lit("None")))
-        label = lambda x: F.when(x.f.content_type == "repo_file_citation", F.concat(F.coalesce(x.f.path, F.lit("")), span(x))).when(x.f.content_type == "terminal_chunk_citation", F.concat(F.lit("terminal "), F.coalesce(x.f.terminal_chunk_id, F.lit("")), span(x)))
-        media = lambda x: F.to_json(F.struct(x.f.asset_pointer.alias("path"), x.f.width.alias("width"), x.f.height.alias("height"), x.f.size_bytes.alias("size_bytes")))
-
-        def marked(ps: Column) -> Column:
-            said = F.filter(F.transform(ps, lambda x, i: F.when(is_said(x), i)), lambda i: i.isNotNull())
-            return bind(said, lambda at_: F.transform(ps, lambda x, i: F.struct(x.f.alias("f"), x.j.alias("j"), label(x).alias("label"), F.array_max(F.filter(at_, lambda t: t < i)).alias("to"))))
-
-        def block(ps: Column) -> Column:
-            own = lambda i: F.transform(F.filter(ps, lambda c: c.label.isNotNull() & (c.to == i)), lambda c: F.struct(c.label.alias("title"), F.lit(None).cast("string").alias("url")))
-            each = F.transform(ps, lambda x, i: (
-                F.when(is_said(x), one("text", x.f.text, none, own(i)))
-                .when(is_text(x) | (x.label.isNotNull() & x.to.isNotNull()), F.lit(None))
-                .when(x.label.isNotNull(), one("file", x.label, F.to_json(F.struct(x.label.alias("file_name")))))
-                .when(x.f.content_type == "image_asset_pointer_citation", one("media", x.f.asset_pointer, media(x)))
-                .otherwise(one("unknown", F.lit(""), F.to_json(F.struct(x.f.content_type.alias("orig_type"), x.j.alias("x_raw")))))
-            ))
-            return F.filter(each, lambda y: y.isNotNull())
-
-        return bind(bind(parts, marked), block)
-
-    def item(v: Column) -> Column:
-        j = F.to_json(v)
-        t = F.get_json_object(j, "$.type")
-        raw = F.try_variant_get(F.try_parse_json(F.get_json_object(j, "$.content")), "$", "array<variant>")
-        text = F.coalesce(F.get_json_object(j, "$.text"), F.get_json_object(j, "$.content"))
-        rest = (
-            F.when(t == "message", one("text", text, none))
-            .when(t == "pr", one("event", F.get_json_object(j, "$.pr_title"), F.to_json(F.struct(F.lit("pull request").alias("name"), F.get_json_object(j, "$.pr_message").alias("detail")))))
-            .when(t.contains("diff"), one("code", F.coalesce(F.get_json_object(j, "$.output_diff.diff"), F.get_json_object(j, "$.diff")), F.to_json(F.struct(F.lit("diff").alias("language")))))
-            .otherwise(one("unknown", F.lit(""), F.to_json(F.struct(t.alias("orig_type"), j.alias("x_raw")))))
-        )
-        return F.when((t == "message") & raw.isNotNull(), part_blocks(raw)).otherwise(F.array(rest))
-
-    status = at("turn_status")
-    flag = F.when(~user & (status != "") & (F.upper(status) != "COMPLETED"), F.array(one("event", F.concat(F.lit("status: "), status), none))).otherwise(F.slice(F.array(one("event", F.lit(""), none)), 1, 0))
-    each = turns.select("conversation_id", "turn_idx", user.alias("user"), at("created_at").alias("ts"), at("id").alias("uuid"), F.posexplode_outer(F.concat(F.flatten(F.transform(items, item)), flag)).alias("block_idx", "blk")).filter("blk is not null or not user")
-    full = each.withColumn("block_idx", F.coalesce("block_idx", F.lit(0))).withColumn("blk", F.coalesce("blk", one("text", F.lit(""), none)))
-    role = F.when(F.col("user"), "human").otherwise("assistant")
-    blocks = full.select("conversation_id", "turn_idx", role.alias("role"), "block_idx", "blk.type", "blk.text", "blk.data", "uuid", "ts", "blk.citations")
-    conv = turns.groupBy("conversation_id").agg(F.first("title").alias("title"), F.first("created_at").alias("created_at")).select("conversation_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")).alias("title"), F.lit("codex-tasks").alias("provider"), F.lit("").alias("account"), F.lit("").alias("thread_id"), "created_at", F.col("created_at").alias("updated_at"))
-    return Ingested(conv, blocks)
-
-
-def attach_citations(items: DataFrame) -> DataFrame:
-    """items (doc, pos, kind, text, url, title): each citation goes to the last text before it; (doc, pos, text, citations)."""
-    to = F.last(F.when(F.col("kind") == "text", F.col("pos")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    keyed = items.withColumn("to", to)
-    cited = keyed.filter("kind = 'citation' and to is not null").groupBy("doc", F.col("to").alias("pos")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title", "url"))), lambda c: F.struct(c.title.alias("title"), c.url.alias("url"))).alias("citations"))
-    return items.filter("kind = 'text'").select("doc", "pos", "text").join(cited, ["doc", "pos"], "left")
+    """Threads of turns with input or output items: messages, pull requests, diffs, snapshots; an unfinished turn begins with its
+    status; citations attach to the text run before them. What is known of the turns is in the census."""
+    conversations, blocks, census = task_tables(export_records(spark, path, "codex.json"))
+    return Ingested(conversations, blocks, census=census)
 
 
 # ---- activity logs ----

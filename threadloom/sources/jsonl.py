@@ -7,10 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.scalars import basename, decoded_dir
-
-#: Files beyond this are reported instead of read: one file is one task.
-MAX_FILE_BYTES = 512 * 1024 * 1024
+from threadloom.sources.lines import file_path, numbered_lines, walk
 
 
 def prefer_plain(files: DataFrame, path: str = "path") -> DataFrame:
@@ -24,31 +21,20 @@ def read_json_lines(spark: SparkSession, paths: str | Iterable[str], glob: str =
     """(records (path, line, json), errors (path, line, reason)).
 
     Walks folders; a blank line is skipped, one that is not a JSON object becomes an error with its 1-based
-    number. Nothing aborts the read. Line order within a file is kept, which turn folding needs."""
+    number. Nothing aborts the read, and no file is too large: plain files are read by as many tasks as they have blocks,
+    compressed ones by one each."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    walk = lambda kind: spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    raw = walk("text").option("wholetext", "true").option("ignoreCorruptFiles", "true").load(paths)
-    # a filter on the size alone is applied to the list of files, so that larger ones are not opened
-    raw = raw.filter(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
-    files = raw.select(file_path().alias("path"), "value")
-    chosen = prefer_plain(walk("binaryFile").load(paths).select(file_path().alias("path"), F.col("length").alias("bytes")))
-    text = files.join(chosen.filter(F.col("bytes") <= MAX_FILE_BYTES).select("path"), "path", "left_semi")
-    lines = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("i", "json")).select("path", (F.col("i") + 1).alias("line"), "json").filter(F.trim("json") != "")
-    kind = F.schema_of_variant(F.try_parse_json("json"))
-    judged = lines.withColumn("kind", kind)
+    chosen = prefer_plain(walk(spark, "binaryFile", glob).load(paths).select(file_path().alias("path"), F.col("length").alias("bytes")))
+    text = numbered_lines(spark, paths, glob, files=chosen)
+    lines = text.select("path", "line", F.regexp_replace("value", "\r$", "").alias("json")).filter(F.trim("json") != "")
+    judged = lines.withColumn("kind", F.schema_of_variant(F.try_parse_json("json")))
     ok = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))
     reason = F.when(F.col("kind").isNull(), "invalid JSON").otherwise("not an object")
-    unread = chosen.join(text.select("path"), "path", "left_anti")
-    why = F.when(F.col("bytes") > MAX_FILE_BYTES, "file too large").otherwise("unreadable file")
-    bad_files = unread.select("path", F.lit(0).alias("line"), why.alias("reason"))
+    unread = chosen.filter("bytes > 0").join(text.filter("line = 1").select("path"), "path", "left_anti")
+    bad_files = unread.select("path", F.lit(0).cast("long").alias("line"), F.lit("unreadable file").alias("reason"))
     return judged.filter(ok).drop("kind"), judged.filter(~ok).select("path", "line", reason.alias("reason")).unionByName(bad_files)
 
 
-def file_path() -> Column:
-    """The path of the file a row comes from, as it is on disk: Spark gives it as an encoded URI."""
-    return decoded_dir(F.col("_metadata.file_path"))
-
-
 def at(path: str, json: str = "json") -> Column:
     """A field of the JSON text as a string, '' where there is none."""
     return F.coalesce(F.get_json_object(json, f"$.{path}"), F.lit(""))
@@ -57,11 +43,3 @@ def at(path: str, json: str = "json") -> Column:
 def island(starts: Column, *by: str, order: str = "line") -> Column:
     """Running number of the runs that begin where starts is true."""
     return F.sum(starts.cast("int")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def last_known(value: Column, *by: str, order: str = "line") -> Column:
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-
-
-def file_name(path: str = "path") -> Column:
-    return basename(F.col(path))
