@@ -28,11 +28,12 @@ TOP = 2000
 UNKNOWN = "und"
 WORDS = word_table(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Hash buckets of grams, in each of two tables; a bucket is a byte while counting and a bit in what is sent to the tasks: 2 MB.
+#: SLICES is also the number of shards of the edges.
 BUCKET_BITS = 24
 SLICES = 128
 #: Counts are held to this, which must be at least the least count that matters.
 FULL = 255
-#: Edges that a task gathers before it adds equal ones up, and how many it then keeps to go on with.
+#: Edges that a task gathers before it adds equal ones up; if more than half are left, it hands them on.
 GATHERED = 1 << 20
 #: Rows up to which the frequent phrases are sent to all tasks in joins.
 JOIN_ROWS = 200_000
@@ -71,30 +72,39 @@ class _Run:
                 gram = _mixed(gram[: len(gram) - 1] * _ODD + self.hash[size - 1 :] + np.uint64(size))
             yield size, gram, (gram >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
-    def reach(self, tables: list[np.ndarray], longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """How long the gram at each word gets, as far as tables tell (words and pairs, longer grams), and the spots of the grams that
-        they don't tell: those whose shorter ones are all frequent."""
-        size_of = np.zeros(len(self.hash), np.int64)
-        able, open_ = np.ones(len(self.hash), bool), []
-        for size, _, spots in self.grams(longest):
-            # a gram can be frequent only if both grams of one word less in it are
-            at = able[: len(spots)] & (self.left[: len(spots)] >= size)
-            if size > 1:
-                at &= able[1 : len(spots) + 1]
-            table = int(size > 2)
-            if table < len(tables):
-                at &= _there(tables[table], spots)
-                size_of[: len(spots)][at] = size
-                able = np.append(at, np.zeros(len(self.hash) - len(at), bool))
+    def reach(self, tables: list[np.ndarray], longest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """How long the gram at each word gets, as far as tables tell (words and pairs, longer grams); its hash; the spots of
+        the grams that they don't tell, whose shorter ones are all frequent; and the spots of the words in frequent pairs.
+
+        A word alone is told by the second table, which has only such words: others are in no phrase."""
+        n = len(self.hash)
+        size_of, hash_of, open_, paired = np.zeros(n, np.int64), np.zeros(n, np.uint64), [], np.empty(0, np.int64)
+        able = np.ones(n, bool)
+        for size, hashes, spots in self.grams(longest):
+            at = self.left[: len(spots)] >= size
+            if size > 1 and tables:
+                at &= able[: len(spots)] & able[1 : len(spots) + 1]
+            if size > 2 or not tables:
+                told = len(tables) > 1
+            else:
+                at &= _there(tables[0], spots)
+                told = True
+            if size == 1:
+                single = spots
+            elif size == 2 and tables:
+                paired = np.concatenate([single[:-1][at], single[1:][at]])
+            if told:
+                if size > 2:
+                    at &= _there(tables[1], spots)
+                size_of[: len(spots)][at], hash_of[: len(spots)][at] = size, hashes[at]
             else:
                 open_.append(spots[at])
-                if table == 0:
-                    able = np.append(self.left[: len(spots)] >= size, np.zeros(len(self.hash) - len(spots), bool))
-                    if size == 2:
-                        break
-                else:
-                    able = np.append(at, np.zeros(len(self.hash) - len(at), bool))
-        return size_of, open_
+            if not tables and size == 2:
+                break
+            able = np.append(at, np.zeros(n - len(at), bool))
+        if len(tables) > 1 and n:
+            size_of[(size_of == 1) & ~_there(tables[1], single)] = 0
+        return size_of, hash_of, open_, paired
 
 
 def _count_buckets(tables, longest: int):
@@ -102,9 +112,11 @@ def _count_buckets(tables, longest: int):
         """(slice, counts): one task's buckets of the grams that tables don't tell, for each slice of them, up to FULL."""
         total = np.zeros(1 << BUCKET_BITS, np.uint8)
         for batch in text_runs(batches, 0):
-            for spots in _Run(batch).reach(tables.value, longest)[1]:
+            _, _, open_, paired = _Run(batch).reach(tables.value, longest)
+            for spots in open_:
                 at, n = np.unique(spots, return_counts=True)
                 total[at] = np.minimum(total[at] + n, FULL).astype(np.uint8)
+            total[paired] = FULL
         parts = total.reshape(SLICES, -1)
         some = [i for i in range(SLICES) if parts[i].any()]
         if some:
@@ -143,16 +155,26 @@ def _texts_of(words: pa.Array, ids: np.ndarray, starts: np.ndarray, size: int) -
     return (parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))).cast(pa.binary()).cast(pa.string())
 
 
-def _edges(langs: list[str], size: int, grams: pa.Array, n: np.ndarray) -> pa.Table:
-    columns = [pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))]
-    return pa.table(columns, names=["lang", "size", "gram", "n"])
+EDGE = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())])
+
+
+def _added_up(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "size", "gram"]).aggregate([("n", "sum")]).rename_columns(EDGE.names)
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _emit_edges(tables, longest: int):
-    """A function from texts to (lang, size, gram, n): the edges, and for each language the number of its words (size 0)."""
+    """A function from texts to (shard, edges): a task's edges, equal ones added up, in one packed table a shard; among them for
+    each language the number of its words (size 0)."""
 
-    def of_run(r: _Run) -> Iterator[pa.Table]:
-        size_of, _ = r.reach(tables.value, longest)
+    def of_run(r: _Run) -> Iterator[tuple[np.ndarray, pa.Table]]:
+        size_of, hash_of, _, _ = r.reach(tables.value, longest)
         for size in range(1, longest + 1):
             starts = np.flatnonzero(size_of == size)
             if not len(starts):
@@ -161,34 +183,61 @@ def _emit_edges(tables, longest: int):
             for k in range(size):  # exact numbers for ever longer grams
                 key = np.unique(key * len(r.words.distinct) + r.words.ids[starts + k], return_inverse=True)[1]
             _, one, n = np.unique(key, return_index=True, return_counts=True)
-            yield _edges([r.langs[x] for x in r.lang[starts[one]]], size, _texts_of(r.words.distinct, r.words.ids, starts[one], size), n)
+            at = starts[one]
+            langs = pa.DictionaryArray.from_arrays(pa.array(r.lang[at]), pa.array(r.langs)).cast(pa.string())
+            columns = [langs, pa.array(np.full(len(n), size, np.int32)), _texts_of(r.words.distinct, r.words.ids, at, size), pa.array(n)]
+            yield (hash_of[at] % np.uint64(SLICES)).astype(np.int64), pa.table(columns, schema=EDGE)
         n = np.bincount(r.lang, minlength=len(r.langs))
-        yield _edges(r.langs, 0, pa.array([""] * len(n)), n)
+        yield np.zeros(len(n), np.int64), pa.table([pa.array(r.langs, pa.string()), pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n)), pa.array(n.astype(np.int64))], schema=EDGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
 
-        def added_up() -> pa.Table:
-            return pa.concat_tables(held).group_by(["lang", "size", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "size", "gram", "n"])
+        def out() -> pa.RecordBatch:
+            whole = pa.concat_tables(held)
+            shard = whole["shard"].to_numpy()
+            order = np.argsort(shard, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+            parts = [_packed(whole.take(pa.array(order[a:b])).select(EDGE.names)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[order[cuts[:-1]]], pa.int32()), pa.array(parts, pa.binary())], names=["shard", "edges"])
+
+        def merged() -> list[pa.Table]:
+            return [pa.concat_tables(held).group_by(["shard", "lang", "size", "gram"]).aggregate([("n", "sum")]).rename_columns(["shard", *EDGE.names])]
 
         for batch in text_runs(batches, 0):
             r = _Run(batch)
-            if len(r.hash):
-                held += of_run(r)
-                rows = sum(t.num_rows for t in held)
+            if not len(r.hash):
+                continue
+            for shard, table in of_run(r):
+                held.append(table.add_column(0, "shard", pa.array(shard)))
+                rows += table.num_rows
             if rows > GATHERED:
-                held = [added_up()]
+                held = merged()
                 rows = held[0].num_rows
                 if rows > GATHERED // 2:
-                    yield from held[0].to_batches()
+                    yield out()
                     held, rows = [], 0
         if held:
-            yield from added_up().to_batches()
+            held = merged()
+            yield out()
 
     return run
 
 
+def _merge_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, size, gram, n) of whole shards; a shard has a share of the distinct edges, however often they occur."""
+    held: dict[int, list[pa.Table]] = {}
+    for batch in batches:
+        for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts = held.setdefault(shard, [])
+            parts.append(pa.ipc.open_stream(packed.as_buffer()).read_all())
+            if len(parts) > 16:
+                held[shard] = [_added_up(parts)]
+    for shard in sorted(held):
+        yield from _added_up(held.pop(shard)).cast(EDGE).to_batches(max_chunksize=1 << 16)
+
+
 def first_words(phrase: Column, k: int | Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), F.lit(k) if isinstance(k, int) else k)
 
@@ -208,8 +257,8 @@ def count_edges(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONG
     pairs = frequent_buckets(texts, min_count, longest)
     longer = frequent_buckets(texts, min_count, longest, (pairs,))
     tables = docs.sparkSession.sparkContext.broadcast([pairs, longer])
-    found = texts.mapInArrow(_emit_edges(tables, longest), "lang string, size int, gram string, n bigint")
-    return stash(found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "gram-edges")
+    found = texts.mapInArrow(_emit_edges(tables, longest), "shard int, edges binary")
+    return stash(found.repartition(SLICES, "shard").mapInArrow(_merge_edges, "lang string, size int, gram string, n bigint"), "gram-edges")
 
 
 def phrase_counts(edges: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> DataFrame:
