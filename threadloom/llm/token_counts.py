@@ -18,7 +18,7 @@ BATCH_BYTES = 1 << 18
 SPLIT_CHARS = 1 << 16
 #: The pre-tokenizer always breaks here: before a single space that follows a letter, digit or mark and precedes
 #: a letter. No token and no special string crosses such a place.
-SAFE = re.compile(r"(?<=[^\s\x00-\x1f]) (?=[A-Za-z])")
+SAFE = re.compile(r"(?<=[^\s\x00-\x1f])(?= [A-Za-z])")
 
 
 def split_safely(text: str, size: int = SPLIT_CHARS) -> list[str]:
@@ -71,7 +71,26 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-_counters: dict[str, Callable[[list[str]], list[int]]] = {}
+#: Words whose numbers of tokens a worker remembers, none longer than so many characters; forgotten together beyond that.
+KNOWN_WORDS, KNOWN_CHARS = 500_000, 80
+_counters: dict[str, tuple[Callable[[list[str]], list[int]], dict[str, int]]] = {}
+
+
+def count_texts(texts: list[str], count: Callable[[list[str]], list[int]], known: dict[str, int]) -> list[int]:
+    """The numbers of tokens of texts whose tokens never cross a safe place: each distinct word is encoded once, many in a batch.
+
+    known remembers words from call to call."""
+    words = [SAFE.split(t) for t in texts]
+    new = list({w for ws in words for w in ws if w not in known})
+    own = {}
+    for run in balanced([len(w.encode("utf-8", "surrogatepass")) for w in new]):
+        part = new[run.start : run.stop]
+        own.update(zip(part, count(part), strict=True))
+    if len(known) > KNOWN_WORDS:
+        own.update((w, known[w]) for ws in words for w in ws if w in known)
+        known.clear()
+    known.update((w, n) for w, n in own.items() if len(w) <= KNOWN_CHARS)
+    return [sum(known[w] if w in known else own[w] for w in ws) for ws in words]
 
 
 def _counting(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -83,16 +102,17 @@ def _counting(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
         splits = not vocabulary.endswith(".model")  # that library's pieces can cross the places that are safe elsewhere
         if vocabulary not in _counters:
-            _counters[vocabulary] = counter(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary))
-        count = _counters[vocabulary]
+            _counters[vocabulary] = counter(vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary)), {}
+        count, known = _counters[vocabulary]
         for batch in batches:
             texts, sizes = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2).to_pylist()
             totals = [0] * len(batch)
             for part in balanced(sizes):  # as Python strings, as many as make up a batch
                 few = [t or "" for t in texts.slice(part.start, len(part)).to_pylist()]
                 pieces = [(part.start + i, p) for i, t in enumerate(few) for p in (split_safely(t) if splits else [t])]
-                for run_ in balanced([len(p.encode()) for _, p in pieces]):
-                    for (i, _), n in zip(pieces[run_.start : run_.stop], count([p for _, p in pieces[run_.start : run_.stop]]), strict=True):
+                for run_ in balanced([len(p) for _, p in pieces]):
+                    own = [p for _, p in pieces[run_.start : run_.stop]]
+                    for (i, _), n in zip(pieces[run_.start : run_.stop], count_texts(own, count, known) if splits else count(own), strict=True):
                         totals[i] += n
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(totals, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
