@@ -48,15 +48,6 @@ def test_rollup_counts_diamonds_once_and_ends_cycles(spark):
     assert got["a"] == (4, 5, 2, 3) and got["x"] == (2, 2, 1, 1) and got["ghost"] == (0, 1, 0, 0)
 
 
-def test_rollup_of_a_forest_equals_the_closure(spark, monkeypatch):
-    rng = random.Random(1)
-    t, e = graph_of(spark, [(f"n{rng.randrange(i)}", f"n{i}") for i in range(1, 40)], [(f"n{i}", i, None) for i in range(40)])
-    assert graph.is_forest(e)
-    fast = sorted(map(tuple, graph.rollup(t, e).collect()))
-    monkeypatch.setattr(graph, "is_forest", lambda _: False)
-    assert sorted(map(tuple, graph.rollup(t, e).collect())) == fast
-
-
 def test_walk_deeper_than_its_tables_are_kept_apart(spark):
     n = 2 * graph.COMPACT + 3
     steps = [(f"n{i}", f"n{i + 1}") for i in range(n)] + [("n5", "n1"), (f"n{n}", "n0")]  # two ways back

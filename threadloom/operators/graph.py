@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators import contraction
 from threadloom.operators.privacy import strip_hidden_chars
 from threadloom.session import discard, stash
 
@@ -66,36 +67,35 @@ def closure(ids: DataFrame, edges: DataFrame, limit: int | None = None) -> DataF
     return spread(_self(ids), children(edges), limit)
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """The edges left after nodes without incoming or without outgoing edges are peeled off again and again."""
-    left = stash(children(edges), "core")
-    n = left.count()
-    while n:
-        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        kept = stash(kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"), "core")
-        m = kept.count()
-        if m == n:
-            break
-        left, n = kept, m
-    return left
-
-
 def depth(threads: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): steps from the nearest root; where cycles lie above, the least of that and of the distance from
-    a node on a cycle plus the length of its shortest cycle (the walk ends where it meets itself)."""
-    top = roots(threads, edges).select(F.lit("").alias("root"), "id", F.lit(0).alias("dist"))
-    steps = stash(children(edges), "steps")
-    from_roots = spread(top, steps).select("id", F.col("dist").alias("depth"))
-    core = cyclic_core(edges)
-    if core.limit(1).count() == 0:
-        return from_roots
-    ids = core.select(F.col("parent").alias("id")).distinct()
-    inside = closure(ids, core)
+    a node on a cycle plus the length of its shortest cycle (the walk ends where it meets itself).
+
+    Nodes with one parent take the depth of the top that they hang on and their steps to it; only nodes with several
+    parents, and those on cycles, are searched round by round."""
+    e = stash(children(edges), "steps")
+    plain = e.filter("parent <> child")
+    everyone, fed = stash(nodes(threads, edges), "nodes"), e.select(F.col("child").alias("id")).distinct()
+    zero = F.lit(0).cast("long")
+    own = everyone.select("id", zero.alias("value"))
+    starts = everyone.join(fed, "id", "left_anti").select("id", zero.alias("d"))
+    up = contraction.climb(contraction.single_links(plain), own)
+    hops = stash(contraction.jumps(plain, up).groupBy("parent", "child").agg(F.min("w").alias("w")), "jumps")
+    if contraction.has_cycles(e, up, hops):
+        starts = stash(starts.unionByName(_girths(e, stash(contraction.strong_components(e), "cyclic"))), "starts")
+        up = contraction.climb(contraction.single_links(plain, starts), own)
+        hops = stash(contraction.jumps(plain, up).groupBy("parent", "child").agg(F.min("w").alias("w")), "jumps")
+    best = contraction.relax(starts, hops)
+    return up.join(best.select(F.col("id").alias("top"), "d"), "top").select("id", (F.col("d") + F.col("steps")).cast("int").alias("depth"))
+
+
+def _girths(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """(id, d): for the nodes on cycles (id, component) the length of the shortest one through each."""
+    a, b = cyclic.select(F.col("id").alias("parent"), F.col("component").alias("cp")), cyclic.select(F.col("id").alias("child"), F.col("component").alias("cc"))
+    core = stash(edges.join(a, "parent").join(b, "child").filter("cp = cc").select("parent", "child"), "core")
+    inside = closure(cyclic.select("id"), core)
     back = inside.alias("r").join(core.alias("e"), (F.col("r.id") == F.col("e.parent")) & (F.col("r.root") == F.col("e.child")))
-    girth = back.groupBy(F.col("r.root").alias("id")).agg((F.min("r.dist") + 1).cast("int").alias("girth"))
-    below = closure(girth.select("id"), edges)
-    from_cycles = below.join(girth.select(F.col("id").alias("root"), "girth"), "root").groupBy("id").agg(F.min(F.col("dist") + F.col("girth")).alias("depth"))
-    return from_roots.unionByName(from_cycles).groupBy("id").agg(F.min("depth").alias("depth"))
+    return back.groupBy(F.col("r.root").alias("id")).agg((F.min("r.dist") + 1).cast("long").alias("d"))
 
 
 def ancestors(edges: DataFrame, node: str) -> DataFrame:
@@ -116,51 +116,71 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").join(ids.select(F.col("id").alias("child")), "child", "left_semi")
 
 
-def is_forest(edges: DataFrame) -> bool:
-    """Whether each child has one parent and there is no cycle, in which case bottom-up levels do for a roll-up."""
-    e = children(edges)
-    if e.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
-        return False
-    return cyclic_core(e).limit(1).count() == 0
-
-
 def rollup(threads: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, self_tokens, subtree_tokens, subtree_count, max_depth, child_count) of every node.
 
-    Diamonds count once, cycles end. A forest is summed level by level from the bottom, with as many rows as
-    nodes; otherwise the closure (root, node, distance) is built and grouped."""
+    Diamonds count once, cycles end. What hangs on single parents is summed by doubling. Below that lie the trees of nodes
+    with several parents: for each node the set of those that it reaches, with distances, and the sums of their trees; where
+    there are none, as in a forest, nothing is left to do. A graph with cycles is walked from every node."""
     tokens = threads.groupBy("id").agg(F.max("tokens_used").alias("tokens"))
-    own = nodes(threads, edges).join(tokens, "id", "left").select("id", F.coalesce("tokens", F.lit(0)).cast("long").alias("self_tokens"))
-    counts = fan_out(threads, edges)
-    if is_forest(edges):
-        sums = _forest_sums(own, edges)
-    else:
-        below = closure(own.select("id"), edges)
+    own = stash(nodes(threads, edges).join(tokens, "id", "left").select("id", F.coalesce("tokens", F.lit(0)).cast("long").alias("self_tokens")), "own")
+    plain = stash(children(edges).filter("parent <> child"), "steps")
+    links = stash(contraction.single_links(plain), "links")
+    trees = contraction.climb(links, own.select("id", F.col("self_tokens").alias("value")))
+    over = stash(contraction.jumps(plain, trees), "jumps")
+    if contraction.has_cycles(plain, trees, over):
+        below = closure(own.select("id"), plain)
         sums = below.join(own, "id").groupBy("root").agg(F.sum("self_tokens").alias("subtree_tokens"), F.count(F.lit(1)).alias("subtree_count"), F.max("dist").alias("max_depth")).withColumnRenamed("root", "id")
-    return own.join(sums, "id").join(counts, "id").select("id", "self_tokens", "subtree_tokens", "subtree_count", F.col("max_depth").cast("int").alias("max_depth"), "child_count")
-
-
-def _forest_sums(own: DataFrame, edges: DataFrame) -> DataFrame:
-    up = stash(children(edges), "up")
-    top = own.select("id").join(up.select(F.col("child").alias("id")), "id", "left_anti").select(F.lit("").alias("root"), "id", F.lit(0).alias("dist"))
-    levels = stash(spread(top, up).join(own, "id").join(up.select(F.col("child").alias("id"), "parent"), "id", "left").select("id", "parent", "dist", "self_tokens"), "levels")
-    deepest = levels.agg(F.max("dist").alias("d")).first()["d"] or 0
-    done, carry = [], None
-    for d in range(deepest, -1, -1):
-        here = levels.filter(F.col("dist") == d)
-        if carry is None:
-            full = here.select("id", "parent", F.col("self_tokens").alias("subtree_tokens"), F.lit(1).cast("long").alias("subtree_count"), F.lit(0).alias("max_depth"))
-        else:
-            full = here.join(carry, "id", "left").select(
-                "id", "parent",
-                (F.col("self_tokens") + F.coalesce("t", F.lit(0))).alias("subtree_tokens"),
-                (F.lit(1) + F.coalesce("c", F.lit(0))).cast("long").alias("subtree_count"),
-                F.coalesce(F.col("m") + 1, F.lit(0)).alias("max_depth"),
-            )
-        full = stash(full, "level")
-        done.append(full.drop("parent"))
-        carry = full.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("subtree_tokens").alias("t"), F.sum("subtree_count").alias("c"), F.max("max_depth").alias("m"))
-    return reduce(DataFrame.unionByName, done)
+    elif over.isEmpty():
+        sums = trees.select("id", F.col("total").alias("subtree_tokens"), F.col("size").alias("subtree_count"), F.col("height").alias("max_depth"))
+    else:
+        sums = _sums_over_trees(trees, links, over)
+    return own.join(sums, "id").join(fan_out(threads, edges), "id").select("id", "self_tokens", "subtree_tokens", "subtree_count", F.col("max_depth").cast("int").alias("max_depth"), "child_count")
+
+
+def _sums_over_trees(trees: DataFrame, links: DataFrame, over: DataFrame) -> DataFrame:
+    """(id, subtree_tokens, subtree_count, max_depth) where edges lead from one tree to the top of another.
+
+    A top is reached by the nodes above an edge that leads to it, in the tree that the edge comes out of, and by whatever
+    reaches that tree's top. Every way into a tree leads through its top, so its sums are taken whole and once."""
+    hop = over.groupBy("parent", "child").agg(F.min("w").alias("w"))
+    tops = over.select(F.col("child").alias("id")).distinct()
+    among = stash(_distances(tops, stash(hop.join(tops.select(F.col("id").alias("parent")), "parent", "left_semi"), "hops")), "tops")
+    above = _lineages(over.select(F.col("through").alias("id")).distinct(), links)
+    first = over.select("through", "child").join(above.select(F.col("id").alias("through"), "root", "dist"), "through").groupBy("root", F.col("child").alias("id")).agg((F.min("dist") + 1).alias("dist"))
+    first = stash(first, "first-tops")
+    onward = first.select("root", F.col("id").alias("at"), "dist").join(among.select(F.col("root").alias("at"), "id", F.col("dist").alias("more")), "at").groupBy("root", "id").agg(F.min(F.col("dist") + F.col("more")).alias("dist"))
+    sums = trees.select("id", "total", "size", "height")
+    far = onward.join(sums, "id").groupBy(F.col("root").alias("id")).agg(F.sum("total").alias("f_total"), F.sum("size").alias("f_size"), F.max(F.col("dist") + F.col("height")).alias("f_height"))
+    none = F.lit(0)
+    return sums.join(far, "id", "left").select("id", (F.col("total") + F.coalesce("f_total", none)).alias("subtree_tokens"), (F.col("size") + F.coalesce("f_size", none)).alias("subtree_count"), F.greatest("height", "f_height").alias("max_depth"))
+
+
+def _distances(ids: DataFrame, steps: DataFrame) -> DataFrame:
+    """(root, id, dist) from each of ids along weighted steps (parent, child, w), itself included: the shortest ways."""
+    best = stash(ids.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("dist")), "distances")
+    frontier = best
+    while True:
+        reached = frontier.join(steps, frontier.id == steps.parent).groupBy("root", F.col("child").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        had = best.select("root", "id", F.col("dist").alias("had"))
+        better = stash(reached.join(had, ["root", "id"], "left").filter("had is null or dist < had").select("root", "id", "dist"), "distances")
+        if not better.limit(1).count():
+            return best
+        best = stash(best.unionByName(better).groupBy("root", "id").agg(F.min("dist").alias("dist")), "distances")
+        frontier = better
+
+
+def _lineages(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root, dist): each of ids with itself and all nodes above it along links (id, up), in rounds that double."""
+    known = stash(ids.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("dist")), "lineages")
+    jump, reach = stash(links.select(F.col("id").alias("root"), "up"), "jump"), 1
+    while True:
+        more = stash(known.join(jump, "root").select("id", F.col("up").alias("root"), (F.col("dist") + reach).alias("dist")), "lineages")
+        if not more.limit(1).count():
+            return known
+        known = stash(known.unionByName(more), "lineages")
+        up = jump.select(F.col("root").alias("up"), F.col("up").alias("up_up"))
+        jump, reach = stash(jump.join(up, "up").select("root", F.col("up_up").alias("up")), "jump"), reach * 2
 
 
 def timeline(threads: DataFrame, edges: DataFrame) -> DataFrame:

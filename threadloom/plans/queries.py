@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import annotations as notes
-from threadloom.operators import copies, export, filters, graph, index, privacy, render, retention, search, stats
+from threadloom.operators import contraction, copies, export, filters, graph, index, privacy, render, retention, search, stats
 from threadloom.session import shared_dir, stash
-from threadloom.functions.scalars import is_safe_url
+from threadloom.functions.scalars import is_local_media_path, is_safe_url
 from threadloom.sources import demo, ingest
 from threadloom.streaming import incremental
 
@@ -198,6 +198,20 @@ def t4_phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(hits, hits, s).withColumn("bm25", F.round("bm25", 9))
 
 
+@query(TERMS + BM25.format(hits=_term("of", 0) + " UNION ALL " + _term("the", 1), n=2) + PAGE.format(where="true", limit=50))
+def t3_words_apart(spark: SparkSession, d: str) -> DataFrame:
+    """A word of several tokens, as in a file name: each of them, anywhere."""
+    ix, p, s = _postings(spark, d)
+    return _rounded(search.search(ix, p, s, "of.the"))
+
+
+@query(TERMS + BM25.format(hits="SELECT p0.conversation_id, 0 AS clause, count(*) AS tf FROM po p0 JOIN po p1 ON p1.conversation_id = p0.conversation_id AND p1.field = p0.field AND p1.pos = p0.pos + 1 AND p1.term LIKE 'th%' WHERE p0.term = 'of' GROUP BY 1", n=1) + PAGE.format(where="true", limit=50))
+def t3_phrase_star(spark: SparkSession, d: str) -> DataFrame:
+    """A star after a closing quote opens the phrase's last word."""
+    ix, p, s = _postings(spark, d)
+    return _rounded(search.search(ix, p, s, '"of th"*'))
+
+
 @query(TERMS + " SELECT conversation_id, CAST(count(*) AS BIGINT) AS tf FROM po WHERE field = 'title' AND term = 'the' GROUP BY 1")
 def t4_field(spark: SparkSession, d: str) -> DataFrame:
     _, p, _ = _postings(spark, d)
@@ -364,6 +378,45 @@ def g12_collapse_order_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.collapse_chains(*_order_lines(spark, d))[1]
 
 
+@query(RUNS + """, d AS (SELECT *, count(*) OVER w AS below, sum(tokens_used) OVER w AS t FROM i WINDOW w AS (PARTITION BY o, run ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT id, tokens_used AS self_tokens, CAST(t AS BIGINT) AS subtree_tokens, below AS subtree_count, CAST(below - 1 AS INTEGER) AS max_depth, CAST(CASE WHEN below > 1 THEN 1 ELSE 0 END AS BIGINT) AS child_count FROM d""")
+def g7_rollup_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders are chains, so everything is summed by doubling."""
+    return graph.rollup(*_order_lines(spark, d))
+
+
+RINGS = """WITH s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS g FROM supplier), n AS (SELECT g, count(*) AS n, min(k) AS lo, max(k) AS hi FROM s GROUP BY 1)"""
+
+
+def _rings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in rings of five, the last of them perhaps fewer; each part hangs on a supplier, and on the part before it if that divides by 10."""
+    s = demo.read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 5).alias("g"))
+    ends = s.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    name = lambda c, x: F.concat(F.lit(c), x)
+    ring = s.join(ends, "g").select(name("s", "k").alias("parent"), name("s", F.when(F.col("k") == F.col("hi"), F.col("lo")).otherwise(F.col("k") + 1)).alias("child"))
+    p = demo.read(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    on = p.join(s.select(F.col("k").alias("r")), F.col("k") % s.count() == F.col("r")).select(name("s", F.col("r")).alias("parent"), name("p", "k").alias("child"))
+    after = p.filter("k % 10 = 1").select(name("p", F.col("k") - 1).alias("parent"), name("p", "k").alias("child"))
+    e = ring.unionByName(on).unionByName(after).withColumn("status", F.lit(""))
+    t = s.select(name("s", "k").alias("id")).unionByName(p.select(name("p", "k").alias("id")))
+    return t.select("id", F.lit("").alias("title"), F.lit(1).cast("long").alias("tokens_used")), e
+
+
+@query(RINGS + """, r AS (SELECT k, CAST(n AS INTEGER) AS d FROM s JOIN n USING (g)), t AS (SELECT count(*) AS c FROM s),
+h AS (SELECT p_partkey AS k, r.d + 1 AS d FROM part, t JOIN r ON r.k = p_partkey % t.c)
+SELECT 's' || k AS id, d AS depth FROM r UNION ALL SELECT 'p' || h.k, least(h.d, coalesce(b.d + 1, h.d)) FROM h LEFT JOIN h b ON b.k = h.k - 1 AND h.k % 10 = 1""")
+def g4_depth_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Nothing lies below a root here: depths are counted from rings, once around."""
+    return graph.depth(*_rings(spark, d))
+
+
+@query(RINGS + " SELECT 's' || k AS id, 's' || lo AS component FROM s JOIN n USING (g)")
+def g4_strong_components(spark: SparkSession, d: str) -> DataFrame:
+    found = contraction.strong_components(_rings(spark, d)[1])
+    first = found.groupBy("component").agg(F.min(F.substring("id", 2, 20).cast("long")).alias("lo"))
+    return found.join(first, "component").select("id", F.concat(F.lit("s"), "lo").alias("component"))
+
+
 CAPPED = GRAPH + """, pe AS (SELECT DISTINCT parent, child FROM ed), w AS (SELECT parent, count(*) AS w FROM pe GROUP BY 1),
 k AS (SELECT parent, child FROM (SELECT pe.*, w, row_number() OVER (PARTITION BY parent ORDER BY created_at_ms DESC NULLS LAST, child) AS rn FROM pe JOIN w USING (parent) LEFT JOIN th ON th.id = child) WHERE w <= 3 OR rn < 3),
 rt AS (SELECT id FROM nd WHERE id NOT IN (SELECT child FROM ed)),
@@ -374,7 +427,21 @@ CAPPED_EDGES = CAPPED + " SELECT parent, child FROM k WHERE parent IN (SELECT id
 
 @query(CAPPED_NODES)
 def g13_cap_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cap_fan_out(demo.threads(spark, d), demo.edges(spark, d), 3)[0]
+    return graph.cap_fan_out(demo.threads(spark, d), demo.edges(spark, d), 3)[0].select("id", "hidden")
+
+
+TWICE = CAPPED.replace("WHERE w <= 3 OR rn < 3", "WHERE w <= 2 OR rn < CASE WHEN w = 3 THEN 2 ELSE 3 END")
+
+
+@query(TWICE + """ SELECT af.id, CAST(0 AS BIGINT) AS hidden, coalesce(title, '') AS title, created_at_ms FROM af LEFT JOIN th USING (id)
+UNION ALL SELECT 'more:' || parent, w - k, '+' || (w - k) || ' more', created_at_ms FROM (SELECT parent, w, CASE WHEN w = 3 THEN 1 ELSE 2 END AS k FROM w WHERE w > 2) LEFT JOIN th ON th.id = parent WHERE parent IN (SELECT id FROM af)""")
+def g13_cap_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Self-loops change nothing; a second, tighter pass counts the first one's placeholders in and leaves what is narrow enough."""
+    t, e = demo.threads(spark, d), demo.edges(spark, d)
+    loops = t.filter(F.substring("id", 2, 20).cast("long") % 7 == 1).select(F.col("id").alias("parent"), F.col("id").alias("child"), F.lit("loop").alias("status"))
+    n, kept = graph.cap_fan_out(t, e.unionByName(loops), 3)
+    n = stash(n, "capped")
+    return graph.cap_fan_out(n, stash(kept.withColumn("status", F.lit("")), "capped-edges"), 2)[0]
 
 
 @query(CAPPED_EDGES)
@@ -667,6 +734,15 @@ def p13_safe_urls(spark: SparkSession, d: str) -> DataFrame:
     return demo.read(spark, d, "pages").select("page_id", is_safe_url(F.col("url")).alias("safe"))
 
 
+@query("""SELECT page_id, page_id % 8 IN (0, 1) AS local FROM pages""")
+def p13_local_media(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of eight kinds, of which a plain one and one with a colon further in are local."""
+    i = F.col("page_id").cast("string")
+    kinds = [("media/", ".png"), ("media/", ":a.png"), ("data:text/html,", ""), ("javascript:alert(", ")"), ("..\\\\", "/x"), ("C:", ""), ("/\\\\host/", ""), ("https://h/", "")]
+    path = F.element_at(F.array(*[F.concat(F.lit(a), i, F.lit(b)) for a, b in kinds]), (F.col("page_id") % 8 + 1).cast("int"))
+    return demo.read(spark, d, "pages").select("page_id", is_local_media_path(path).alias("local"))
+
+
 @query("SELECT doc_id, md5('&#x200B;' || text || '&#x00AD;') AS shown FROM documents")
 def p7_neutralize(spark: SparkSession, d: str) -> DataFrame:
     docs = demo.read(spark, d, "documents")
