@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import graph, privacy
 from threadloom.operators.filters import VIEW_COLUMNS, metadata_view
 from threadloom.operators.stats import aggregate_stats
+from threadloom.sources.versions import announce, newest, remove
 
 TEXT_COLUMNS = ["title", "model_provider", "git_branch", "cwd", "agent_role", "agent_nickname", "preview", "rollout_path"]
 MODES = ("full", "shareable")
@@ -49,12 +51,41 @@ def read_graph_artifact(spark: SparkSession, path: str, nodes_like: DataFrame, e
     return spark.read.schema(nodes_like.schema).json(f"{path}/nodes").select(*nodes_like.columns), spark.read.schema(edges_like.schema).json(f"{path}/edges").select(*edges_like.columns)
 
 
+#: Buckets of digests by which what was written is compared with what was meant.
+GATE_BUCKETS = 4096
+
+
 def graph_gate(nodes: DataFrame, edges: DataFrame, staging: str, mode: str) -> bool:
     """Write to staging, read back and compare; true, to publish, only if the diff is empty."""
     write_graph_artifact(nodes, edges, staging, mode)
     back = read_graph_artifact(nodes.sparkSession, staging, nodes, edges)
     fields = [c for c in nodes.columns if c != "id"]
-    return graph.diff((nodes, edges), back, fields).limit(1).count() == 0
+    return graph.diff((nodes, edges), back, fields, GATE_BUCKETS).isEmpty()
+
+
+def publish_graph(nodes: DataFrame, edges: DataFrame, root: str, mode: str, pages_gate: DataFrame | None = None, findings: DataFrame | None = None) -> dict:
+    """Publish a graph in two steps: write it as a version of its own, then name it in a new manifest, if all gates pass.
+
+    The gates: the written graph read back has no diff, and no page of pages_gate (conversation_id, ok, missing), as the
+    fidelity gate gives it, lacks a word. Until the manifest is whole, and whenever a gate fails, readers see the version before; a version
+    that failed is removed. Findings are counted, and stop nothing. Returns the report: ok, version, graph_ok, pages_failed,
+    findings; what is missing stays a table."""
+    spark = nodes.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    graph_ok = graph_gate(nodes, edges, f"{root}/{version}", mode)
+    failed = 0 if pages_gate is None else pages_gate.filter(~F.col("ok")).count()
+    report = {"ok": graph_ok and not failed, "version": version, "graph_ok": graph_ok, "pages_failed": failed, "findings": 0 if findings is None else findings.count()}
+    if not report["ok"]:
+        remove(spark, f"{root}/{version}")
+        return report
+    announce(spark, root, version)
+    return report
+
+
+def read_published(spark: SparkSession, root: str, nodes_like: DataFrame, edges_like: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes, edges) of the published version."""
+    version = newest(spark, root)
+    return None if version is None else read_graph_artifact(spark, f"{root}/{version}", nodes_like, edges_like)
 
 
 def research_payload(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +107,7 @@ def research_prompt(view: DataFrame, instruction: str, batch: Column | None = No
         counts = v.groupBy("batch", text(facet).alias("k")).agg(F.count(F.lit(1)).alias("k_n"))
         hist = counts.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "k_n"))), lambda x: F.concat(x.k, F.lit("="), x.k_n.cast("string"))), ", ").alias(f"by_{facet}"))
         base = base.join(hist, "batch")
-    intro = "You are given ONLY structural conversation METADATA: no message bodies, titles or free text. Base your answer on the identifiers, timestamps and counts below."
+    intro = "Below are figures about conversations, one entry each: ids, dates, sizes. Nothing that was written in them is included, so rely on these figures and on nothing else."
     prompt = F.concat(F.lit(f"{instruction}\n\n{intro}\n\n## Aggregate\nconversations: "), "n", F.lit("\ntotal_turns: "), "t", F.lit("\ntotal_chars: "), "c", F.lit("\nby_provider: "), "by_provider", F.lit("\nby_account: "), "by_account", F.lit("\n\n## Conversations\n"), "rows")
     return base.select("batch", prompt.alias("prompt"))
 

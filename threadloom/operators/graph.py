@@ -200,18 +200,45 @@ def as_of(threads: DataFrame, edges: DataFrame, ms: int) -> tuple[DataFrame, Dat
     return then, edges.join(late, "child", "left_anti").select(*edges.columns)
 
 
-def diff(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], fields: list[str]) -> DataFrame:
+def digests(rows: DataFrame, key: list[str], columns: list[str], buckets: int) -> DataFrame:
+    """(bucket, n, digest): rows in buckets by their key, with a digest of all their columns in which order plays no part."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns], *[F.col(c).isNull() for c in columns])
+    cut = F.pmod(F.xxhash64(*key), F.lit(buckets))
+    return rows.groupBy(cut.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("digest"), F.bit_xor(h).alias("mixed"))
+
+
+def unequal(old: DataFrame, new: DataFrame, key: list[str], columns: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides in those buckets by key whose digests differ; all others are the same on both sides."""
+    a, b = digests(old, key, columns, buckets), digests(new, key, columns, buckets).toDF("b_bucket", "b_n", "b_digest", "b_mixed")
+    same = (F.col("n") == F.col("b_n")) & (F.col("digest") == F.col("b_digest")) & (F.col("mixed") == F.col("b_mixed"))
+    both = a.join(b, a.bucket == b.b_bucket, "full_outer")
+    open_ = stash(both.filter(~F.coalesce(same, F.lit(False))).select(F.coalesce("bucket", "b_bucket").alias("bucket")), "unequal")  # at most buckets rows
+    keep = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).join(F.broadcast(open_), "bucket", "left_semi").drop("bucket")
+    return keep(old), keep(new)
+
+
+def diff(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], fields: list[str], buckets: int = 0) -> DataFrame:
     """(kind, id, parent, child, field, old, new): nodes and edges added or removed, and changed fields of threads
-    on both sides. An edge is its pair; status takes no part."""
+    on both sides. An edge is its pair; status takes no part.
+
+    buckets: if given, both sides are first compared by the digests of so many buckets, and only the rows of unequal ones are
+    shuffled and joined: for graphs that are nearly the same."""
     blank = F.lit(None).cast("string")
     o, n = nodes(*old), nodes(*new)
+    text = lambda c: F.col(c).cast("string")
+    a = old[0].select("id", *[text(f).alias(f) for f in fields])
+    b = new[0].select("id", *[text(f).alias(f) for f in fields])
+    eo, en = children(old[1]), children(new[1])
+    if buckets:
+        # digests of the edges as they stand may repeat pairs: equal ones are equal either way
+        lo, ln = unequal(old[0].select("id").unionByName(old[1].select(F.col("parent").alias("id"))).unionByName(old[1].select(F.col("child").alias("id"))), new[0].select("id").unionByName(new[1].select(F.col("parent").alias("id"))).unionByName(new[1].select(F.col("child").alias("id"))), ["id"], ["id"], buckets)
+        o, n = lo.distinct(), ln.distinct()
+        eo, en = (x.distinct() for x in unequal(old[1].select("parent", "child"), new[1].select("parent", "child"), ["parent", "child"], ["parent", "child"], buckets))
+        a, b = unequal(a, b, ["id"], ["id", *fields], buckets)
+    a, b = a.toDF("id", *[f"o_{f}" for f in fields]), b.toDF("id", *[f"n_{f}" for f in fields])
     made = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", blank.alias("parent"), blank.alias("child"), blank.alias("field"), blank.alias("old"), blank.alias("new"))
     drawn = lambda df, kind: df.select(F.lit(kind).alias("kind"), blank.alias("id"), "parent", "child", blank.alias("field"), blank.alias("old"), blank.alias("new"))
-    eo, en = children(old[1]), children(new[1])
     parts = [made(n.exceptAll(o), "node_added"), made(o.exceptAll(n), "node_removed"), drawn(en.exceptAll(eo), "edge_added"), drawn(eo.exceptAll(en), "edge_removed")]
-    text = lambda c: F.col(c).cast("string")
-    a = old[0].select("id", *[text(f).alias(f"o_{f}") for f in fields])
-    b = new[0].select("id", *[text(f).alias(f"n_{f}") for f in fields])
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"o_{f}").alias("old"), F.col(f"n_{f}").alias("new")) for f in fields]))
     changed = a.join(b, "id").select("id", pairs.alias("x")).filter(~F.col("x.old").eqNullSafe(F.col("x.new")))
     parts.append(changed.select(F.lit("changed").alias("kind"), "id", blank.alias("parent"), blank.alias("child"), "x.field", "x.old", "x.new"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def shareable_threads(threads: DataFrame, home: str) -> DataFrame:
 
 # ---- hidden characters -------------------------------------------------------------------------------------
 
-#: Characters that are flagged wherever they stand: control (but tab, LF, CR), format, private use, unassigned,
+#: Characters that are flagged wherever they stand: control (but tab, LF, CR), format, private use, unassigned,
 #: surrogates, variation selectors, tags, and four fillers that are letters by category. Zero-width joiner and
 #: variation selector 16 depend on their neighbours.
 FLAGGED = r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Cs}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{E0000}-\x{E007F}\x{115F}\x{1160}\x{3164}\x{FFA0}&&[^\t\n\r]]"
@@ -98,12 +100,27 @@ def escape_html(col: Column, quotes: bool = False) -> Column:
     return col
 
 
+@cache
+def _hidden_names() -> dict[str, str]:
+    """The names of all flagged characters that have one, by their U+ code: format characters, selectors, tags, fillers."""
+    fillers = (0x115F, 0x1160, 0x3164, 0xFFA0)
+    planes = (*range(0x1E000), *range(0xE0000, 0xE01F0))
+    named = {c: unicodedata.name(chr(c), "") for c in planes if c in fillers or unicodedata.category(chr(c)) == "Cf" or 0xFE00 <= c <= 0xFE0F or c >= 0xE0000}
+    return {f"U+{c:04X}": n for c, n in named.items() if n}
+
+
+def character_name(code: Column) -> Column:
+    """The name of a flagged character by its code; 'unnamed' for control, private and unassigned ones."""
+    table = F.create_map(*[F.lit(x) for pair in _hidden_names().items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), F.lit("unnamed"))
+
+
 def neutralize_text(col: Column, mode: str = "ncr", html: bool = False) -> Column:
-    """Flagged characters made visible: ncr gives &#xHHHH; , badge a span that names the code point."""
+    """Flagged characters made visible: ncr gives &#xHHHH; , badge a span with the code and the character's name."""
     code = lambda c: F.substring(_code(c), 3, 8)
     show = {
         "ncr": lambda c: F.concat(F.lit("&#x"), code(c), F.lit(";")),
-        "badge": lambda c: F.concat(F.lit('<span class="cp-badge" data-cp="'), _code(c), F.lit('" title="'), _code(c), F.lit(' (hidden)">⚑</span>')),
+        "badge": lambda c: F.concat(F.lit('<span class="cp-badge" data-cp="'), _code(c), F.lit('" title="'), character_name(_code(c)), F.lit(' (hidden)">⚑</span>')),
     }[mode]
     plain = (lambda c: escape_html(c)) if html else (lambda c: c)
     full = let(_chars(col), lambda a: F.array_join(F.transform(a, lambda c, i: F.when(_flagged(a, c, i), show(c)).otherwise(plain(c))), ""))
@@ -115,6 +132,26 @@ def sanitize_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: strip_hidden_chars(F.col(c)) for c in columns})
 
 
+#: Fixed names of the fields of a block's data that hold text, and of those that may hold text or any structure.
+DATA_TEXTS, DATA_BLOBS = ("extracted_content", "file_name", "name", "integration_name"), ("input", "content")
+
+
+def text_surfaces(conversations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(conversation_id, surface, text): every text in which a hidden character could stand, not only what is said: title,
+    account, block texts, names, file contents, what goes in and out of tools, citations. Blocks may lack data or citations."""
+    kind = "array<struct<surface:string,text:string>>"
+    one = lambda surface, text: F.struct(F.lit(surface).alias("surface"), text.cast("string").alias("text"))
+    heads = conversations.select("conversation_id", F.explode(F.array(one("title", F.col("title")), one("account", F.col("account")))).alias("s"))
+    found = [F.array(one("text", F.col("text")))]
+    if "data" in blocks.columns:
+        found.append(F.array(*[one(k, F.get_json_object("data", f"$.{k}")) for k in DATA_TEXTS + DATA_BLOBS]))
+    if "citations" in blocks.columns:
+        each = F.transform("citations", lambda c: F.array(one("citation", c.title), one("citation", c.url)))
+        found.append(F.coalesce(F.flatten(each), F.array().cast(kind)))
+    bodies = blocks.select("conversation_id", F.explode(F.concat(*[f.cast(kind) for f in found])).alias("s"))
+    return heads.unionByName(bodies).select("conversation_id", "s.surface", "s.text").filter("text is not null and text <> ''")
+
+
 def hidden_char_audit(surfaces: DataFrame) -> DataFrame:
     """surfaces (conversation_id, text), every text a reader may meet: (conversation_id, n, codes), those with any."""
     hits = surfaces.select("conversation_id", F.explode(scan_hidden_chars(F.col("text"))).alias("h"))

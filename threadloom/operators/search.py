@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.scalars import iso_to_ms, tokenize
 from threadloom.operators.filters import date_filter, provider_filter
 from threadloom.operators.privacy import strip_hidden_chars
+from threadloom.session import stash
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -135,7 +136,15 @@ def complete(hits: DataFrame, n: int) -> DataFrame:
 
 
 def match_any(postings: DataFrame, clauses: list[Clause]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [clause_hits(postings, c).withColumn("clause", F.lit(i)) for i, c in enumerate(clauses)])
+    """(conversation_id, clause, tf): the hits of all clauses. Those of one token each are counted in a single pass."""
+    single = {i: c for i, c in enumerate(clauses) if len(c.tokens) == 1 and c.near is None and c.field is None}
+    parts = [clause_hits(postings, c).select("conversation_id", F.lit(i).alias("clause"), "tf") for i, c in enumerate(clauses) if i not in single]
+    if single:
+        tests = {i: F.col("term").startswith(c.tokens[0]) if c.prefix else F.col("term") == c.tokens[0] for i, c in single.items()}
+        marks = F.filter(F.array(*[F.when(t, F.lit(i)) for i, t in tests.items()]), lambda x: x.isNotNull())
+        at = postings.filter(reduce(lambda x, y: x | y, tests.values())).select("conversation_id", F.explode(marks).alias("clause"))
+        parts.append(at.groupBy("conversation_id", "clause").agg(F.count(F.lit(1)).alias("tf")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_without(matched: DataFrame, postings: DataFrame, excluded: Clause) -> DataFrame:
@@ -168,9 +177,9 @@ def search(index: DataFrame, postings: DataFrame, stats: DataFrame, text: str, s
     out = ["conversation_id", "snippet", "score", "provider", "thread_id", "ts_ms", "bm25", "total"]
     if not clauses:
         return index.limit(0).select(*shown, F.lit(0.0).alias("score"), F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("total")).select(*out)
-    hits = match_any(postings, clauses)
+    hits = stash(match_any(postings, clauses), "hits")  # read three times from here on
     ranked = bm25(complete(hits, len(clauses)), hits, stats)
-    rows = provider_filter(date_filter(index, since, until), provider).join(ranked, "conversation_id")
+    rows = stash(provider_filter(date_filter(index, since, until), provider).join(ranked, "conversation_id"), "ranked")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     order = [F.round("bm25", 9), F.col("conversation_id")]
     page = rows.orderBy(*order).offset(offset).limit(limit)  # what follows concerns a page only

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import annotations as notes
-from threadloom.operators import contraction, copies, export, filters, graph, index, privacy, render, retention, search, stats
+from threadloom.operators import contraction, copies, export, filters, graph, index, privacy, render, retention, search, segments, stats
 from threadloom.session import shared_dir, stash
 from threadloom.functions.scalars import is_local_media_path, is_safe_url
 from threadloom.sources import demo, ingest
@@ -34,13 +34,14 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return index.build_conversation_index(demo.conversations(spark, d), demo.blocks(spark, d))
 
 
-#: Folders of stored indexes by application and input.
-STORED: dict[tuple[str, str], str] = {}
+#: Folders of stored indexes by application and the files of the input, so that a table that is written anew is indexed anew.
+STORED: dict[tuple[str, tuple[str, ...]], str] = {}
 
 
 def stored_index(spark: SparkSession, d: str) -> str:
     """The folder of the search index over conversations, written by the first query that asks for it."""
-    key = (spark.sparkContext.applicationId, d)
+    files = demo.read(spark, d, "conversations").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, tuple(sorted(f"{f[0]} {f[1]} {f[2]}" for f in files)))
     if key not in STORED:
         path = f"{shared_dir(spark)}/search-index-{uuid.uuid4().hex}"
         search.store_index(_index(spark, d), path, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -212,6 +213,22 @@ def t3_phrase_star(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.search(ix, p, s, '"of th"*'))
 
 
+UPSERTED = TERMS.replace("coalesce(text, '') AS text FROM conversations)", "CASE WHEN conv_id % 3 = 0 THEN 'the fresh words of the day' ELSE coalesce(text, '') END AS text FROM conversations WHERE conv_id % 10 <> 4)", 1).replace("GROUP BY conv_id),", "GROUP BY conv_id HAVING conv_id % 10 <> 4),", 1)
+
+
+@query(UPSERTED + BM25.format(hits=_term("the", 0) + " UNION ALL " + _term("day", 1), n=2) + PAGE.format(where="true", limit=50))
+def s21_search_after_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Every third conversation says something else, every tenth is gone: three segments answer like an index made anew."""
+    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    segments.create_index(_index(spark, d), path, 4)
+    n = F.substring("conversation_id", 2, 20).cast("long")
+    c, b = demo.conversations(spark, d), demo.blocks(spark, d)
+    third = lambda text: index.build_conversation_index(c.filter(n % 3 == 0), b.filter(n % 3 == 0).withColumn("text", F.lit(text)))
+    segments.upsert_index(third("an earlier draft"), path, partitions=2)
+    segments.upsert_index(third("the fresh words of the day"), path, c.filter(n % 10 == 4), partitions=2)
+    return _rounded(search.search(*segments.open_segments(spark, path), "the day"))
+
+
 @query(TERMS + " SELECT conversation_id, CAST(count(*) AS BIGINT) AS tf FROM po WHERE field = 'title' AND term = 'the' GROUP BY 1")
 def t4_field(spark: SparkSession, d: str) -> DataFrame:
     _, p, _ = _postings(spark, d)
@@ -328,17 +345,30 @@ def g9_as_of_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.as_of(demo.threads(spark, d), demo.edges(spark, d), 1704100000000)[1]
 
 
-@query(GRAPH + """, t2 AS (SELECT id, CASE WHEN c_custkey % 19 = 0 THEN 'renamed' ELSE title END AS title FROM th WHERE c_custkey % 17 <> 0), e2 AS (SELECT * FROM ed WHERE child IN (SELECT id FROM t2) AND parent IN (SELECT id FROM t2)),
+DIFFED = GRAPH + """, t2 AS (SELECT id, CASE WHEN c_custkey % 19 = 0 THEN 'renamed' ELSE title END AS title FROM th WHERE c_custkey % 17 <> 0), e2 AS (SELECT * FROM ed WHERE child IN (SELECT id FROM t2) AND parent IN (SELECT id FROM t2)),
 n2 AS (SELECT id FROM t2 UNION SELECT parent FROM e2 UNION SELECT child FROM e2), p1 AS (SELECT DISTINCT parent, child FROM ed), p2 AS (SELECT DISTINCT parent, child FROM e2)
 SELECT 'node_removed' AS kind, id, NULL AS parent, NULL AS child, NULL AS field, NULL AS old, NULL AS new FROM (SELECT id FROM nd EXCEPT SELECT id FROM n2)
 UNION ALL SELECT 'node_added', id, NULL, NULL, NULL, NULL, NULL FROM (SELECT id FROM n2 EXCEPT SELECT id FROM nd)
 UNION ALL SELECT 'edge_removed', NULL, parent, child, NULL, NULL, NULL FROM (SELECT * FROM p1 EXCEPT SELECT * FROM p2)
-UNION ALL SELECT 'changed', id, NULL, NULL, 'title', th.title, t2.title FROM th JOIN t2 USING (id) WHERE th.title <> t2.title""")
-def g11_diff(spark: SparkSession, d: str) -> DataFrame:
+UNION ALL SELECT 'changed', id, NULL, NULL, 'title', th.title, t2.title FROM th JOIN t2 USING (id) WHERE th.title <> t2.title"""
+
+
+def _two_graphs(spark: SparkSession, d: str):
     t, e = demo.threads(spark, d), demo.edges(spark, d)
     k = F.substring("id", 2, 20).cast("long")
     t2 = t.filter(k % 17 != 0).withColumn("title", F.when(k % 19 == 0, "renamed").otherwise(F.col("title")))
-    return graph.diff((t, e), (t2, graph.induced_edges(e, t2).select("parent", "child", "status")), ["title", "tokens_used"])
+    return (t, e), (t2, graph.induced_edges(e, t2).select("parent", "child", "status"))
+
+
+@query(DIFFED)
+def g11_diff(spark: SparkSession, d: str) -> DataFrame:
+    return graph.diff(*_two_graphs(spark, d), ["title", "tokens_used"])
+
+
+@query(DIFFED)
+def g11_diff_by_digests(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, from the buckets alone whose digests differ."""
+    return graph.diff(*_two_graphs(spark, d), ["title", "tokens_used"], buckets=512)
 
 
 @query(GRAPH + " SELECT id, coalesce(title, id) AS label, coalesce(tokens_used, 0) AS tokens, NULL AS parent, NULL AS child FROM nd LEFT JOIN th USING (id) UNION ALL SELECT DISTINCT NULL, NULL, CAST(NULL AS BIGINT), parent, child FROM ed")
@@ -614,19 +644,68 @@ def a9_export_plan(spark: SparkSession, d: str) -> DataFrame:
     return export.export_plan(n, e, f).select("nodes", "edges", "findings")
 
 
-@query(CONV + " SELECT count(*) AS conversations, count(*) AS rendered, CAST(sum(turn_count) AS BIGINT) AS turns, CAST(0 AS BIGINT) AS empty, count(*) AS gate_ok, CAST(0 AS BIGINT) AS hidden FROM ix")
+A6 = CONV + r""", tok AS (SELECT conversation_id, role, unnest(regexp_extract_all(lower(regexp_replace(text, '(?m)^[ \t]{0,3}\d+[.)][ \t]+', ' ', 'g')), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM bl),
+gt AS (SELECT conversation_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS token FROM (SELECT conversation_id, text FROM bl WHERE role = 'human' OR CAST(substr(conversation_id, 2) AS BIGINT) % 4 <> 0 UNION ALL SELECT conversation_id, title FROM cv)),
+w AS (SELECT conversation_id, token, count(*) AS w FROM tok GROUP BY 1, 2), g AS (SELECT conversation_id, token, count(*) AS g FROM gt GROUP BY 1, 2),
+bad AS (SELECT DISTINCT conversation_id FROM w LEFT JOIN g USING (conversation_id, token) WHERE w > coalesce(g, 0)), first AS (SELECT conversation_id FROM bad ORDER BY 1 LIMIT 20)
+SELECT count(*) AS conversations, count(*) AS rendered, CAST(sum(turn_count) AS BIGINT) AS turns, CAST(0 AS BIGINT) AS empty, count(*) - (SELECT count(*) FROM bad) AS gate_ok, count(*) FILTER (CAST(substr(conversation_id, 2) AS BIGINT) % 3 = 0) AS hidden,
+(SELECT string_agg(conversation_id, ',' ORDER BY conversation_id) FROM first) AS failures FROM ix"""
+
+
+@query(A6)
 def a6_render_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of every fourth conversation leave out the assistant's turns; every third account hides a character."""
     c, b = demo.conversations(spark, d), demo.blocks(spark, d)
-    pages = stash(render.render_plain_html(c, b), "pages")
+    n = lambda: F.substring("conversation_id", 2, 20).cast("long")
+    pages = stash(render.render_plain_html(c, b.filter((n() % 4 != 0) | (F.col("role") == "human"))), "pages")
     gate = render.fidelity_gate(render.prose_tokens(b), render.html_visible_tokens(pages))
-    audit = privacy.hidden_char_audit(b.select("conversation_id", "text"))
-    return render.render_report(c, b, pages, gate, audit).drop("failures")
+    marked = c.withColumn("account", F.when(n() % 3 == 0, F.concat("account", F.lit("\u200b"))).otherwise(F.col("account")))
+    audit = privacy.hidden_char_audit(privacy.text_surfaces(marked, b))
+    return render.render_report(c, b, pages, gate, audit).withColumn("failures", F.array_join("failures", ","))
+
+
+@query(CONV + " SELECT conversation_id, CAST(CASE conv_id % 9 WHEN 8 THEN 2 ELSE 1 END AS BIGINT) AS n, CASE conv_id % 9 WHEN 8 THEN ['U+200B', 'U+202E'] ELSE ['U+200B'] END AS codes FROM cv WHERE conv_id % 10 <> 3")
+def p8_every_surface(spark: SparkSession, d: str) -> DataFrame:
+    """A hidden character on one surface of each conversation, by its number: title, account, text, data of three kinds, citations."""
+    k = F.substring("conversation_id", 2, 20).cast("long")
+    mark = lambda i, on: F.when((k % 9 == i) & (k % 10 != 3), F.concat(on, F.lit("\u200b"))).otherwise(on)
+    c = demo.conversations(spark, d)
+    c = c.withColumn("title", mark(0, F.col("title"))).withColumn("account", mark(1, F.col("account")))
+    b = demo.blocks(spark, d)
+    first = b.groupBy("conversation_id").agg(F.min("turn_idx").alias("turn_idx"))
+    one = b.join(first, ["conversation_id", "turn_idx"])
+    data = F.to_json(F.struct(mark(3, F.lit("body")).alias("extracted_content"), mark(4, F.lit("tool")).alias("name"), F.struct(mark(5, F.lit("deep")).alias("a")).alias("input"), mark(6, F.lit("out")).alias("content")))
+    wide = F.when((k % 9 == 8) & (k % 10 != 3), F.lit("u\u202e\u200b")).otherwise("u")
+    cites = F.array(F.struct(mark(7, F.lit("t")).alias("title"), wide.alias("url")))
+    return privacy.hidden_char_audit(privacy.text_surfaces(c, one.withColumns({"text": mark(2, F.col("text")), "data": data, "citations": cites})))
+
+
+@query("SELECT doc_id, md5('<span class=\"cp-badge\" data-cp=\"' || CASE doc_id % 4 WHEN 0 THEN 'U+200B\" title=\"ZERO WIDTH SPACE' WHEN 1 THEN 'U+E0041\" title=\"TAG LATIN CAPITAL LETTER A' WHEN 2 THEN 'U+0007\" title=\"unnamed' ELSE 'U+3164\" title=\"HANGUL FILLER' END || ' (hidden)\">⚑</span>' || text) AS shown FROM documents")
+def p7_badges(spark: SparkSession, d: str) -> DataFrame:
+    """Hidden characters of four kinds as badges that name them."""
+    docs = demo.read(spark, d, "documents")
+    kind = F.element_at(F.array(*map(F.lit, ("\u200b", "\U000e0041", "\x07", "\u3164"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs.select("doc_id", F.md5(privacy.neutralize_text(F.concat(kind, "text"), "badge")).alias("shown"))
+
+
+@query("WITH" + demo.GRAPH_SQL + """, p AS (SELECT id, '~/p' || (c_custkey % 7) AS cwd, '~/logs/r' || c_custkey || '.jsonl' AS rollout_path FROM th)
+SELECT id, cwd, rollout_path, 'true false 1 true' AS passed FROM p""")
+def x3_publish(spark: SparkSession, d: str) -> DataFrame:
+    """A first version that passes, a second whose page gate fails and which nobody sees, a third; what readers get is the third."""
+    root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    n, e, found = export.export_graph(demo.threads(spark, d), demo.edges(spark, d), "shareable", "/home/ana")
+    n, e = stash(n, "export-nodes"), stash(e, "export-edges")
+    gate = lambda ok: spark.range(1).select(F.lit("c1").alias("conversation_id"), F.lit(ok).alias("ok"))
+    bad = n.withColumn("cwd", F.lit("never seen"))
+    reports = [export.publish_graph(n.limit(10), e.limit(0), root, "shareable", gate(True)), export.publish_graph(bad, e, root, "shareable", gate(False)), export.publish_graph(n, e, root, "shareable", gate(True), found)]
+    passed = " ".join([str(reports[0]["ok"]).lower(), str(reports[1]["ok"]).lower(), str(reports[1]["pages_failed"]), str(reports[2]["ok"]).lower()])
+    return export.read_published(spark, root, n, e)[0].select("id", "cwd", "rollout_path", F.lit(passed).alias("passed"))
 
 
 @query(CONV + """, v AS (SELECT *, CAST(substr(conversation_id, 2) AS BIGINT) // 25 AS batch FROM ix), p AS (SELECT batch, provider || '=' || count(*) AS x, provider FROM v GROUP BY batch, provider), a AS (SELECT batch, account || '=' || count(*) AS x, account FROM v GROUP BY batch, account),
 h AS (SELECT batch, string_agg(x, ', ' ORDER BY provider) AS bp FROM p GROUP BY 1), g AS (SELECT batch, string_agg(x, ', ' ORDER BY account) AS ba FROM a GROUP BY 1),
 r AS (SELECT batch, count(*) AS n, sum(turn_count) AS t, sum(length(body)) AS c, string_agg('- conversation_id: ' || conversation_id || chr(10) || '  provider: ' || provider || chr(10) || '  account: ' || account || chr(10) || '  thread_id: ' || thread_id || chr(10) || '  created_at: ' || created_at || chr(10) || '  updated_at: ' || created_at || chr(10) || '  turn_count: ' || turn_count || chr(10) || '  char_count: ' || length(body), chr(10) ORDER BY conversation_id) AS rw FROM v GROUP BY 1)
-SELECT CAST(batch AS INTEGER) AS batch, md5('Summarise.' || chr(10) || chr(10) || 'You are given ONLY structural conversation METADATA: no message bodies, titles or free text. Base your answer on the identifiers, timestamps and counts below.' || chr(10) || chr(10) || '## Aggregate' || chr(10) || 'conversations: ' || n || chr(10) || 'total_turns: ' || t || chr(10) || 'total_chars: ' || c || chr(10) || 'by_provider: ' || bp || chr(10) || 'by_account: ' || ba || chr(10) || chr(10) || '## Conversations' || chr(10) || rw) AS prompt FROM r JOIN h USING (batch) JOIN g USING (batch)""")
+SELECT CAST(batch AS INTEGER) AS batch, md5('Summarise.' || chr(10) || chr(10) || 'Below are figures about conversations, one entry each: ids, dates, sizes. Nothing that was written in them is included, so rely on these figures and on nothing else.' || chr(10) || chr(10) || '## Aggregate' || chr(10) || 'conversations: ' || n || chr(10) || 'total_turns: ' || t || chr(10) || 'total_chars: ' || c || chr(10) || 'by_provider: ' || bp || chr(10) || 'by_account: ' || ba || chr(10) || chr(10) || '## Conversations' || chr(10) || rw) AS prompt FROM r JOIN h USING (batch) JOIN g USING (batch)""")
 def y2_research_prompt(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of 25 conversations each, however many there are."""
     view = filters.metadata_view(_index(spark, d))
