@@ -236,32 +236,53 @@ class Grammar:
     lists: tuple[WordLists, ...] = tuple(WORD_LISTS.values())
     _machine: Transducer | None = field(default=None, repr=False)
     _classes: dict[str, str] = field(default_factory=dict, repr=False)
+    _hot: set[str] = field(default_factory=set, repr=False)
+    _tables: tuple | None = field(default=None, repr=False)
 
     #: Words whose class is remembered; forgotten together beyond that.
     KNOWN_WORDS = 200_000
 
+    def tables(self) -> tuple[dict[int, frozenset[str]], dict[int, dict[str, float]], dict[str, str]]:
+        """Endings by length, beginnings by length, and the class of each listed word: the first kind that any language has it as."""
+        if self._tables is None:
+            endings, begins, kinds = {}, {}, {}
+            for e in {e for w in self.lists for e in w.endings}:
+                endings[len(e)] = endings.get(len(e), frozenset()) | {e}
+            for entry, weight in self.entries.items():
+                if entry.endswith("*"):
+                    begins.setdefault(len(entry) - 1, {})[entry[:-1]] = weight
+            for kind, name in (("targets", TARGET), ("objects", OBJECT), ("reports", REPORT), ("negations", NEGATION)):
+                kinds.update((x, name) for w in self.lists for x in getattr(w, kind))
+            for late in (False, True):
+                kinds.update((x, THREAT_LATE if late else THREAT) for w in self.lists if w.object_first == late for x in w.threats)
+            self._tables = endings, begins, kinds
+        return self._tables
+
     def insult(self, word: str) -> float:
         """The greatest weight of an entry that fits the word, itself, without an ending or by its beginning; 0 if none does."""
-        stems = [word, *(word[: -len(e)] for w in self.lists for e in w.endings if word.endswith(e) and len(word) - len(e) >= STEM)]
-        return max([0.0, *(self.entries.get(x, 0.0) for x in stems), *(self.entries.get(word[:n] + "*", 0.0) for n in PREFIXES if n < len(word))])
+        endings, begins, _ = self.tables()
+        best = self.entries.get(word, 0.0)
+        for n, some in endings.items():
+            if len(word) - n >= STEM and word[-n:] in some:
+                best = max(best, self.entries.get(word[:-n], 0.0))
+        for n, some in begins.items():
+            if n < len(word):
+                best = max(best, some.get(word[:n], 0.0))
+        return best
 
     def classify(self, word: str) -> str:
         known = self._classes.get(word)
         if known is None:
-            has = lambda kind: any(word in getattr(w, kind) for w in self.lists)
             if w := self.insult(word):
                 known = insult_symbol(w)
-            elif has("threats"):
-                known = THREAT_LATE if any(word in x.threats and x.object_first for x in self.lists) else THREAT
-            elif has("negations") or word.endswith("n't"):
-                known = NEGATION
-            elif has("reports"):
-                known = REPORT
             else:
-                known = OBJECT if has("objects") else TARGET if has("targets") else OTHER
+                known = self.tables()[2].get(word) or (NEGATION if word.endswith("n't") else OTHER)
             if len(self._classes) >= self.KNOWN_WORDS:
                 self._classes.clear()
+                self._hot.clear()
             self._classes[word] = known
+            if known.startswith(("insult", THREAT)):
+                self._hot.add(word)
         return known
 
     def machine(self) -> Transducer:
@@ -276,7 +297,10 @@ class Grammar:
         """The clauses with a possible match, as classes, and the number of all words."""
         low = plain(text or "")
         words = tokens(low)
-        bites = {w for w in set(words) if self.classify(w) in (THREAT, THREAT_LATE) or self.classify(w).startswith("insult")}
+        distinct = set(words)
+        for w in distinct.difference(self._classes):
+            self.classify(w)
+        bites = distinct & self._hot if self._classes.keys() >= distinct else {w for w in distinct if self.classify(w).startswith(("insult", THREAT))}
         found = []
         if bites:
             for part in CLAUSE.split(low):
@@ -475,7 +499,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     ship(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_crc(F.col("doc_id")) % 3 == 1, F.lit(False))
-    run = _measured(replace(grammar, _machine=None, _classes={}), spark.sparkContext.broadcast)
+    run = _measured(replace(grammar, _machine=None, _classes={}, _hot=set(), _tables=None), spark.sparkContext.broadcast)
     weighed = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, top double, total double, words long, setting int")
     a, b, c, d = grammar.coefficients
     z = F.col("top") * a + F.log1p("total") * b - F.when(F.col("total") > 0, F.log1p("words")).otherwise(0.0) * c + d
