@@ -432,10 +432,10 @@ def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversati
     return Ingested(conv.drop("doc"), blocks)
 
 
-def ingest_design_chats(spark: SparkSession, path: str) -> Ingested:
+def ingest_design_chats(spark: SparkSession, path: str, glob: str = "*.json") -> Ingested:
     """The second shape: messages with role and a content object of blocks, or flat text; a tool call gives its use
     and its result."""
-    docs = export_records(spark, path, "*.json").filter(F.get_json_object("json", "$.messages").isNotNull())
+    docs = export_records(spark, path, glob).filter(F.get_json_object("json", "$.messages").isNotNull())
     part = "array<struct<type:string,text:string,name:string,input:string,output:string>>"
     msgs = docs.select(at("id").alias("id"), at("uuid").alias("uuid"), at("title").alias("title"), at("name").alias("name"), at("created_at").alias("created_at"), F.posexplode(F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.messages")), "$", "array<variant>")).alias("line", "v"))
     cid = F.coalesce(F.nullif("id", F.lit("")), F.col("uuid"))
