@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, MapT
 #: Rows, and bytes of their values, up to which a side may be broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Rows of one key beyond which join_split() spreads them over several tasks.
+HOT_ROWS = 4096
 
 
 def local_session(cpus: int = 8, app: str = "threadloom", **conf: str) -> SparkSession:
@@ -99,6 +101,34 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", rows
     return left.join(F.broadcast(right) if small(right, rows) else right, on, how)
 
 
+def hot_keys(left: DataFrame, on: list[str], each: int | None = None) -> DataFrame:
+    """(on..., blocks): the keys that more than so many rows (HOT_ROWS) have, and how many blocks of so many rows these fill.
+
+    At most one row for that many rows of left; counted with a map-side combine."""
+    each = each or HOT_ROWS
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n__")).filter(F.col("n__") > each)
+    return sizes.select(*on, F.ceil(F.col("n__") / each).cast("int").alias("blocks__"))
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left.join(right, on, how) in which no task gets all rows of a hot key.
+
+    The left rows of a hot key go to as many blocks as they fill, by a hash of the columns spread (which should tell them
+    apart), and right's rows of that key are repeated in each block: for a key of r left rows that is r / HOT_ROWS times.
+    how: inner, left, left_semi or left_anti, where a left row has to meet all right rows of its key and no other left row.
+    hot: hot_keys() of left where the caller has it already; left is counted first if not. Null keys match nothing."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"join_split can't do a {how} join")
+    hot = stash(hot_keys(left, on), "hot") if hot is None else hot
+    if hot.limit(1).count() == 0:
+        return left.join(right, on, how)
+    block = fresh(left.join(right.limit(0), on, "left"), "block__") if how in ("inner", "left") else fresh(left, "block__")
+    blocks = F.coalesce("blocks__", F.lit(1))
+    cut = join_checked(left, hot, on, "left").withColumn(block, F.pmod(F.xxhash64(*spread), blocks).cast("int")).drop("blocks__")
+    copies = join_checked(right, hot, on, "left").withColumn(block, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks__")
+    return cut.join(copies, [*on, block], how).drop(block)
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """left.k <=> right.k for all keys."""
     cond = F.lit(True)
