@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import session
 from threadloom.llm import decontamination, kneser_ney, language_id, line_dedup, mixing, near_dup, quality_rules, sharding, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,10 +91,12 @@ def test_contamination_equals_brute_force(spark):
     assert kept.count() == sum(n for k, n in found.items() if not k[5])
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
-def test_contamination_by_repeating_and_long_items(spark, monkeypatch, broadcast):
-    """Items that repeat themselves or are very long, in bounded time; also when fingerprints are too many to broadcast."""
+@pytest.mark.parametrize("broadcast,hot_rows", [(1_000_000, 4096), (0, 4096), (0, 5)])
+def test_contamination_by_repeating_and_long_items(spark, monkeypatch, broadcast, hot_rows):
+    """Items that repeat themselves or are very long, in bounded time; also when fingerprints are too many to broadcast,
+    and with fingerprints of very many chunks, which are spread over tasks."""
     monkeypatch.setattr(decontamination, "FINGERPRINT_ROWS", broadcast)
+    monkeypatch.setattr(session, "HOT_ROWS", hot_rows)
     rng = random.Random(51)
     own = [rng.choice(VOCAB) + str(rng.randrange(400)) for _ in range(20_000)]
     items = [(1, "ha " * 1_000), (2, " ".join(own)), (3, "short one"), (4, "ha " * 9 + "ho")]
@@ -346,9 +349,11 @@ def edited(rng, words, share):
     return [rng.choice(VOCAB) + str(rng.randint(0, 40)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_duplicates_equal_brute_force(spark, seed):
-    """Groups of copies, of near copies with edits of all sizes, and chains in which only neighbours are linked."""
+@pytest.mark.parametrize("seed,hot_rows", [(0, 4096), (1, 4096), (2, 4096), (0, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, hot_rows):
+    """Groups of copies, of near copies with edits of all sizes, and chains in which only neighbours are linked; also with
+    centers whose members fill several blocks."""
+    monkeypatch.setattr(session, "HOT_ROWS", hot_rows)
     rng = random.Random(seed)
     rows, n = [], 0
     for size, share in ((12, 0.0), (60, 0.1), (40, 0.06), (25, 0.2)):

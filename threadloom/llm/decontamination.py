@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import fresh, join_checked, small, stash
+from threadloom.session import fresh, hot_keys, join_checked, join_split, small, stash
 from threadloom.llm.text import LETTER_WORD, LETTER_WORD_ANY_CASE, ascii_lower, gram_hashes, let, words
 
 WINDOW = 10
@@ -92,16 +92,24 @@ def contaminated_spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
         ).alias("c"),
     ).select(*keys, "c.at", F.col("c.t").alias("t"))
     prints_of = F.explode(F.concat(*[prints(F.col("t"), m) for m in lengths])).alias("p")
+    hot = None
     if not small(item_prints, FINGERPRINT_ROWS):
-        # too many to broadcast: first find, by fingerprints alone, the few chunks that have any; only these are shuffled with their words
-        met = chunks.select(*keys, "at", prints_of).select(*keys, "at", "p.m", "p.h").join(item_prints.select("m", "h").distinct(), ["m", "h"], "left_semi").select(*keys, "at").distinct()
+        # too many to broadcast: first find, by fingerprints alone, the few chunks that have any; only these are shuffled with their
+        # words. What very many chunks have, a passage that all copy or a word that is an item, is spread over several tasks
+        seen = chunks.select(*keys, "at", prints_of).select(*keys, "at", "p.m", "p.h")
+        sought = stash(item_prints.select("m", "h").distinct(), "sought")
+        hot = stash(hot_keys(seen, ["m", "h"]).join(sought, ["m", "h"], "left_semi"), "hot")
+        met = join_split(seen, sought, ["m", "h"], [*keys, "at"], "left_semi", hot).select(*keys, "at").distinct()
         met = stash(met.select(F.struct(*keys, "at").alias("met")), "met-chunks")
         same = F.lit(True)
         for c in (*keys, "at"):
             same = same & F.col(c).eqNullSafe(F.col(f"met.{c}"))
         chunks = join_checked(chunks, met, same, "left_semi")
-    doc_prints = chunks.select(*keys, "at", F.array_join("t", " ").alias("chunk"), prints_of)
-    met = join_checked(doc_prints.select(*keys, "at", "chunk", "p.m", "p.h"), item_prints, ["m", "h"], rows=FINGERPRINT_ROWS)
+    doc_prints = chunks.select(*keys, "at", F.array_join("t", " ").alias("chunk"), prints_of).select(*keys, "at", "chunk", "p.m", "p.h")
+    if hot is None:
+        met = doc_prints.join(F.broadcast(item_prints), ["m", "h"])  # its rows and bytes were checked above
+    else:
+        met = join_split(doc_prints, item_prints, ["m", "h"], [*keys, "at"], hot=hot)
 
     t, iw = F.col("t"), F.col("item_words")
     grams = met.withColumn("t", F.split("chunk", " ")).withColumn("g", F.slice(iw, F.col("q") + 1, F.col("k")))

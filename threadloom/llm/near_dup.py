@@ -19,7 +19,7 @@ from pyspark.sql.types import MapType
 
 from threadloom.llm.text import SPACE_WORD, ascii_lower, let, no_longs, words
 from threadloom.plans.components import connected_components
-from threadloom.session import discard, fresh, join_checked, named, ship, stash
+from threadloom.session import discard, fresh, hot_keys, join_checked, join_split, named, ship, stash
 
 CHUNKS, CHUNK_SLOTS = 8, 4
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -100,10 +100,12 @@ def signatures(docs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their full sets and of what these share."""
+    """The pairs (a, b), a stashed table, with the sizes of their full sets and of what these share.
+
+    A document that has very many pairs meets them in blocks."""
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.select("a", "b").join(sa, "a").join(sb, "b")
+    both = join_split(pairs.select("a", "b"), sa, ["a"], ["b"]).join(sb, "b")
     return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
 
 
@@ -125,11 +127,12 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     per = round(1 / slack)
     assert abs(per * slack - 1) < 1e-9
     c = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    marked = tried.join(c, "b", "left").join(c.select(F.col("b").alias("a"), F.col("cb").alias("ca")), "a", "left")
+    hot = stash(hot_keys(tried, ["a"]), "hot")  # centers whose members are spread over several tasks in all that follows
+    marked = join_split(tried.join(c, "b", "left"), c.select(F.col("b").alias("a"), F.col("cb").alias("ca")), ["a"], ["b"], "left", hot)
     marked = stash(marked.withColumn("cb", F.coalesce("cb", "b")).withColumn("ca", F.coalesce("ca", "a")), "marked")
     centers = marked.groupBy("a").agg(F.min(F.least("ca", "cb")).alias("lo"), F.max(F.greatest("ca", "cb")).alias("hi")).filter("lo <> hi").select("a")
     apart_by = F.col("na") + F.col("nb") - 2 * F.col("shared")
-    open_ = marked.join(centers, "a").select("a", "b", "cb", _linked().alias("linked"), (per * apart_by - F.col("nb")).cast("long").alias("g"), (per * apart_by + F.col("nb")).cast("long").alias("h"), "na")
+    open_ = join_split(marked, centers, ["a"], ["b"], hot=hot).select("a", "b", "cb", _linked().alias("linked"), (per * apart_by - F.col("nb")).cast("long").alias("g"), (per * apart_by + F.col("nb")).cast("long").alias("h"), "na")
     # linked sets have |D| so near one another that their ranges g to h overlap: only members that share a stretch
     # of such ranges with one of another component, one of both not linked to the center, can still matter
     ranged = open_.withColumn("bin", F.explode(F.sequence(F.floor(F.col("g") / F.col("na")), F.floor(F.col("h") / F.col("na")))))
@@ -137,11 +140,11 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     open_ = stash(ranged.join(mixed, ["a", "bin"]).select("a", "b", "cb", "linked", "g").distinct(), "ranges")
     bounds = open_.groupBy("a").agg(F.min("g").alias("g_any"), F.min(F.when(~F.col("linked"), F.col("g"))).alias("g_out")).filter("g_out is not null")
     ranged = open_
-    open_ = stash(open_.join(bounds, "a").select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
+    open_ = stash(join_split(open_, bounds, ["a"], ["b"], hot=hot).select("a", "b", "cb", "g", "linked", "g_any", "g_out"), "open")
     discard(marked, ranged)
     sa = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    split = open_.join(sa, "a").join(sb, "b").withColumn("own", F.array_except("sb", "sa")).withColumn("lack", F.array_except("sa", "sb")).drop("sa", "sb")
+    split = join_split(open_, sa, ["a"], ["b"], hot=hot).join(sb, "b").withColumn("own", F.array_except("sb", "sa")).withColumn("lack", F.array_except("sa", "sb")).drop("sa", "sb")
     split = stash(split, "differing")
     # the order: what few members have, what many have by how many, what the members lack. What many have is a
     # short list for each center, as each entry takes a fair share of its members
@@ -149,7 +152,7 @@ def unsettled_pairs(tried: DataFrame, parts: DataFrame, sets: DataFrame) -> Data
     often = split.select("a", F.explode("own").alias("item")).groupBy("a", "item").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= MANY)
     often = often.join(n, "a").filter(F.col("df") * MANY_SHARE >= F.col("members"))
     often = often.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x.item).alias("often"))
-    listed = split.join(often, "a", "left").withColumn("often", F.coalesce("often", no_longs()))
+    listed = join_split(split, often, ["a"], ["b"], "left", hot).withColumn("often", F.coalesce("often", no_longs()))
     ordered = F.concat(F.sort_array(F.array_except("own", "often")), F.array_intersect("often", "own"), F.sort_array("lack"))
     differing = stash(listed.withColumn("d", ordered).drop("own", "lack", "often").withColumn("nd", F.size("d")), "differing")
     discard(open_, split)
@@ -195,9 +198,11 @@ def near_duplicates(docs: DataFrame, n: int = 2) -> DataFrame:
     sets = stash(wanted.select("id", shingle_set(F.col("text"), n).alias("s")), "sets")
 
     pivots = live.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("light"), "rep")).alias("p")).select("key", F.col("p.rep").alias("a"))
-    pairs = live.join(pivots, "key").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
-    tried = stash(compared(pairs, sets), "tried")
+    met = join_split(live, pivots, ["key"], ["rep"])
+    pairs = stash(met.filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct(), "pairs")
     discard(live)
+    tried = stash(compared(pairs, sets), "tried")
+    discard(pairs)
     links = tried.filter(_linked()).select("a", "b")
     parts = connected_components(links)
     maybe = stash(unsettled_pairs(tried, parts, sets), "unsettled")
