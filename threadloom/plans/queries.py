@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import annotations as notes
-from threadloom.operators import contraction, copies, export, filters, graph, index, privacy, render, retention, search, segments, stats
+from threadloom.operators import block_max, contraction, copies, export, filters, graph, index, privacy, render, retention, search, segments, stats
 from threadloom.session import shared_dir, stash
 from threadloom.functions.scalars import is_local_media_path, is_safe_url
 from threadloom.sources import demo, ingest
@@ -54,6 +54,19 @@ def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     return search.open_index(spark, stored_index(spark, d))
 
 
+#: Folders of stored indexes that have blocks too.
+BLOCKED: set[str] = set()
+
+
+def blocked_index(spark: SparkSession, d: str) -> str:
+    """The folder of the search index, with its postings in blocks, which the first query that asks for them writes."""
+    path = stored_index(spark, d)
+    if path not in BLOCKED:
+        block_max.store_blocks(spark, path, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        BLOCKED.add(path)
+    return path
+
+
 CONV = "WITH" + demo.CONV_SQL
 TERMS = CONV + """,
 po AS (SELECT conversation_id, 'title' AS field, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM (SELECT conversation_id, regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+') AS t FROM ix)
@@ -191,6 +204,18 @@ def t6_search_until(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.search(ix, p, s, "is a to", until="2024-03-15"))
 
 
+@query(TERMS + BM25.format(hits=_term("the", 0) + " UNION ALL " + _term("of", 1), n=2) + PAGE.format(where="true", limit=50))
+def t6_block_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Two words by blocks of postings: only blocks that can reach the page are scored."""
+    return _rounded(block_max.search_blocks(spark, blocked_index(spark, d), "the of"))
+
+
+@query(TERMS + BM25.format(hits=_term("is", 0) + " UNION ALL SELECT conversation_id, 1 AS clause, count(*) AS tf FROM po WHERE term LIKE 'to%' GROUP BY 1", n=2) + PAGE.format(where="created_at <> '' AND substr(created_at, 1, 10) <= '2024-03-15'", limit="10 OFFSET 5"))
+def t6_block_prefix_until(spark: SparkSession, d: str) -> DataFrame:
+    """A word and a beginning by blocks, up to a day, the second page of a few rows."""
+    return _rounded(block_max.search_blocks(spark, blocked_index(spark, d), "is to*", until="2024-03-15", limit=10, offset=5))
+
+
 @query(TERMS + BM25.format(hits="SELECT p0.conversation_id, 0 AS clause, count(*) AS tf FROM po p0 JOIN po p1 ON p1.conversation_id = p0.conversation_id AND p1.field = p0.field AND p1.pos = p0.pos + 1 AND p1.term LIKE 'th%' WHERE p0.term = 'of' GROUP BY 1", n=1) + " SELECT conversation_id, round(score, 9) AS bm25 FROM sc")
 def t4_phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
     """A phrase that is open at its end: all hits with their rank values."""
