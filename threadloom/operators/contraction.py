@@ -6,41 +6,71 @@ graphs; searches step from one to the next over whole stretches of tree."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import discard, stash
+from threadloom.session import discard, meet, stash
+
 
+def climb(links: DataFrame, own: DataFrame | None = None, sums: bool = True) -> DataFrame:
+    """(id, up, top, steps, total, size, height) for links (id, up), one a node, and own (id, value); see climb_from()."""
+    nobody, nothing = F.lit(None).cast(links.schema["up"].dataType), F.lit(None).cast("long")
+    rows = links.select("id", "up", nothing.alias("value")).unionByName(links.select(F.col("up").alias("id"), nobody.alias("up"), nothing.alias("value")))
+    if own is not None:
+        rows = rows.unionByName(own.select("id", nobody.alias("up"), F.col("value").cast("long").alias("value")))
+    return climb_from(stash(rows.groupBy("id").agg(F.max("up").alias("up"), F.max("value").alias("value")), "climb"), sums)
 
-def climb(links: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    """(id, up, top, steps, total, size, height) for links (id, up), one a node, and own (id, value).
 
-    top is the last node upwards and steps the way to it; total, size and height are over the node and all that hangs below it.
-    Tops have rows too. up is null, but for nodes that hang on a ring, which have no top: there it lies on the ring.
+def climb_from(start: DataFrame, sums: bool = True) -> DataFrame:
+    """(id, up, top, steps, total, size, height) of all nodes (id, up, value), one row each; up is null for those without a single parent.
 
-    Round k knows what lies within 2^k steps. A node's sums for twice as far are its own and those of the nodes exactly
-    2^k below it."""
-    names = links.select("id").unionByName(links.select(F.col("up").alias("id")))
-    values = own.select("id", "value") if own is not None else names.select("id", F.lit(0).cast("long").alias("value")).limit(0)
-    everyone = names.unionByName(values.select("id")).distinct()
-    start = everyone.join(links.select("id", "up"), "id", "left").join(values, "id", "left")
-    zero = F.lit(0).cast("long")
-    now = stash(start.select("id", "up", F.coalesce("up", "id").alias("top"), F.col("up").isNotNull().cast("long").alias("steps"), F.coalesce("value", zero).alias("total"), F.lit(1).cast("long").alias("size"), zero.alias("height")), "climb")
-    reach, rounds = 1, max(1, now.count()).bit_length() + 1
-    for _ in range(rounds):
-        if not now.filter("up is not null").limit(1).count():
+    top is the last node upwards and steps the way to it; total, size and height are over the node and all that hangs below it,
+    and are left out without sums. up is null, but for nodes that hang on a ring, which have no top: there it lies on the ring,
+    and the other columns say nothing. start is read several times.
+
+    Round k knows what lies within 2^k steps, and works on nodes with an ancestor that far up alone. A node's sums for twice as
+    far are its own and those of the nodes exactly 2^k below it: the latter are sent to it, and what all rounds sent is summed at
+    the end. Each round leaves nodes behind as long as one hangs on a top; when none is, what is left hangs on rings, and
+    the rounds end once all pointers lie on these."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    carried = [F.coalesce("value", zero).alias("total"), one.alias("size"), zero.alias("height")] if sums else []
+    names = ["total", "size", "height"] if sums else []
+    now = start.filter("up is not null").select("id", "up", one.alias("steps"), *carried)
+    done, sent, reach, left = [], [], 1, None
+    while True:
+        n = now.count()
+        if not n or n == left and _all_on_rings(now):
             break
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up_up"), F.col("top").alias("up_top"), F.col("steps").alias("up_steps"))
-        below = now.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("b_total"), F.sum("size").alias("b_size"), F.max("height").alias("b_height"))
-        joined = now.join(above, "up", "left").join(below, "id", "left")
-        after = joined.select(
-            "id", F.col("up_up").alias("up"), F.coalesce("up_top", "top").alias("top"), (F.col("steps") + F.coalesce("up_steps", zero)).alias("steps"),
-            (F.col("total") + F.coalesce("b_total", zero)).alias("total"), (F.col("size") + F.coalesce("b_size", zero)).alias("size"), F.greatest("height", F.col("b_height") + reach).alias("height"),
-        )
+        left = n
+        way = lambda df: df.select(F.col("id").alias("up"), F.col("up").alias("up_up"), F.col("steps").alias("up_steps"))
+        above = reduce(DataFrame.unionByName, [way(now), *map(way, done)])
+        after = meet(now, above, "up", "left").select("id", F.coalesce("up_up", "up").alias("up"), (F.col("steps") + F.coalesce("up_steps", zero)).alias("steps"), *names)
+        if sums:
+            below = now.groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("b_total"), F.sum("size").alias("b_size"), (F.max("height") + reach).alias("b_height"))
+            sent.append(stash(below, "climb-sums"))
+            after = meet(after, sent[-1], "id", "left").select("id", "up", "steps", (F.col("total") + F.coalesce("b_total", zero)).alias("total"), (F.col("size") + F.coalesce("b_size", zero)).alias("size"), F.greatest("height", "b_height").alias("height"))
+        reach *= 2
         after = stash(after, "climb")
-        discard(now)
-        now, reach = after, reach * 2
-    return now
+        done.append(after.filter(F.col("steps") < reach).select("id", "up", "steps"))
+        now = after.filter(F.col("steps") == reach)
+    nobody = F.lit(None).cast(start.schema["up"].dataType)
+    ways = [d.select("id", nobody.alias("up"), F.col("up").alias("top"), "steps") for d in done]
+    ways += [start.filter("up is null").select("id", nobody.alias("up"), F.col("id").alias("top"), zero.alias("steps")), now.select("id", "up", F.col("up").alias("top"), "steps")]
+    found = reduce(DataFrame.unionByName, ways)
+    if not sums:
+        return stash(found, "climbed")
+    parts = [found.select("*", zero.alias("total"), zero.alias("size"), zero.alias("height")), start.select("id", *[nobody.alias(c) for c in ("up", "top")], zero.alias("steps"), *carried)]
+    parts += [b.select("id", *[nobody.alias(c) for c in ("up", "top")], zero.alias("steps"), F.col("b_total").alias("total"), F.col("b_size").alias("size"), F.col("b_height").alias("height")) for b in sent]
+    totals = [F.sum("total").alias("total"), F.sum("size").alias("size"), F.max("height").alias("height")]
+    return stash(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.max("up").alias("up"), F.max("top").alias("top"), F.max("steps").alias("steps"), *totals), "climbed")
+
+
+def _all_on_rings(now: DataFrame) -> bool:
+    """Whether the pointers (id, up) of nodes that hang on rings all lie on these: then following them again loses none of their ends."""
+    ends = stash(now.select(F.col("up").alias("id")).distinct(), "ends")
+    return meet(now, ends, "id", "left_semi").select("up").distinct().count() == ends.count()
 
 
 def _apart(edges: DataFrame) -> DataFrame:
@@ -50,7 +80,7 @@ def _apart(edges: DataFrame) -> DataFrame:
 def single_links(edges: DataFrame, without: DataFrame | None = None) -> DataFrame:
     """(id, up) of the nodes with exactly one parent, apart from those in without (id)."""
     one = edges.groupBy(F.col("child").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("up")).filter("n = 1").select("id", "up")
-    return one if without is None else one.join(without.select("id"), "id", "left_anti")
+    return one if without is None else meet(one, without.select("id"), "id", "left_anti")
 
 
 def jumps(edges: DataFrame, climbed: DataFrame) -> DataFrame:
@@ -59,7 +89,7 @@ def jumps(edges: DataFrame, climbed: DataFrame) -> DataFrame:
     through is the edge's own parent, w the way from the top through it."""
     tops = climbed.select(F.col("id").alias("through"), "top", "steps")
     landing = climbed.filter("steps = 0").select(F.col("id").alias("child"))
-    return edges.select(F.col("parent").alias("through"), "child").join(landing, "child", "left_semi").join(tops, "through").select(F.col("top").alias("parent"), "child", "through", (F.col("steps") + 1).alias("w"))
+    return meet(meet(edges.select(F.col("parent").alias("through"), "child"), landing, "child", "left_semi"), tops, "through").select(F.col("top").alias("parent"), "child", "through", (F.col("steps") + 1).alias("w"))
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -67,8 +97,8 @@ def trim(edges: DataFrame) -> DataFrame:
     left = stash(edges.select("parent", "child").distinct(), "core")
     n = left.count()
     while n:
-        kept = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        kept = stash(kept.join(kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"), "core")
+        kept = meet(left, left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        kept = stash(meet(kept, kept.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"), "core")
         m = kept.count()
         discard(left)
         left = kept
@@ -90,9 +120,9 @@ def relax(starts: DataFrame, steps: DataFrame) -> DataFrame:
     best = stash(starts.groupBy("id").agg(F.min("d").alias("d")), "relax")
     frontier = best
     while True:
-        reached = frontier.join(steps, frontier.id == steps.parent).groupBy(F.col("child").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        reached = meet(frontier, steps, frontier.id == steps.parent).groupBy(F.col("child").alias("id")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
         had = best.select("id", F.col("d").alias("had"))
-        better = stash(reached.join(had, "id", "left").filter("had is null or d < had").select("id", "d"), "relax")
+        better = stash(meet(reached, had, "id", "left").filter("had is null or d < had").select("id", "d"), "relax")
         if not better.limit(1).count():
             return best
         merged = stash(best.unionByName(better).groupBy("id").agg(F.min("d").alias("d")), "relax")
@@ -112,23 +142,23 @@ def _colour_components(edges: DataFrame) -> DataFrame:
         colour = stash(ids.select("id", F.col("id").alias("c")), "colours")
         frontier = colour
         while True:
-            told = frontier.join(left, frontier.id == left.parent).groupBy(F.col("child").alias("id")).agg(F.min("c").alias("new"))
-            frontier = stash(told.join(colour, "id").filter("new < c").select("id", F.col("new").alias("c")), "colours")
+            told = meet(frontier, left, frontier.id == left.parent).groupBy(F.col("child").alias("id")).agg(F.min("c").alias("new"))
+            frontier = stash(meet(told, colour, "id").filter("new < c").select("id", F.col("new").alias("c")), "colours")
             if not frontier.limit(1).count():
                 break
             colour = stash(colour.unionByName(frontier).groupBy("id").agg(F.min("c").alias("c")), "colours")
         a, b = colour.select(F.col("id").alias("parent"), F.col("c").alias("cp")), colour.select(F.col("id").alias("child"), F.col("c").alias("cc"))
-        inside = stash(left.join(a, "parent").join(b, "child").filter("cp = cc").select("parent", "child", F.col("cp").alias("c")), "coloured")
+        inside = stash(meet(meet(left, a, "parent"), b, "child").filter("cp = cc").select("parent", "child", F.col("cp").alias("c")), "coloured")
         back = stash(inside.filter("child = c").select(F.col("parent").alias("id"), "c").distinct(), "back")
         whole, frontier = back, back
         while frontier.limit(1).count():
-            more = inside.join(frontier.select(F.col("id").alias("child")), "child").select(F.col("parent").alias("id"), "c").distinct()
-            frontier = stash(more.join(whole, "id", "left_anti"), "back")
+            more = meet(inside, frontier.select(F.col("id").alias("child")), "child").select(F.col("parent").alias("id"), "c").distinct()
+            frontier = stash(meet(more, whole, "id", "left_anti"), "back")
             whole = stash(whole.unionByName(frontier), "back")
         found = stash(found.unionByName(whole.select("id", F.col("c").alias("component"))), "components")
         # the first node of each colour is settled, be it on a cycle or not
         done = whole.select("id").unionByName(colour.filter("id = c").select("id")).distinct()
-        rest = left.join(done.select(F.col("id").alias("parent")), "parent", "left_anti").join(done.select(F.col("id").alias("child")), "child", "left_anti")
+        rest = meet(meet(left, done.select(F.col("id").alias("parent")), "parent", "left_anti"), done.select(F.col("id").alias("child")), "child", "left_anti")
         left = trim(rest)
     return found
 
@@ -140,35 +170,39 @@ def strong_components(edges: DataFrame) -> DataFrame:
     way between them, are searched. A cycle through them takes in the stretches of tree that it runs along."""
     e = stash(_apart(edges), "edges")
     all_ = e.select(F.col("parent").alias("id")).unionByName(e.select(F.col("child").alias("id"))).distinct().withColumn("value", F.lit(0).cast("long"))
-    up = climb(single_links(e), all_)
+    up = climb(single_links(e), all_, sums=False)
     ring = stash(up.filter("up is not null").select(F.col("up").alias("id")).distinct(), "ring")
     if ring.limit(1).count():
         # a ring's nodes are a component; its least node names it
-        own = e.join(ring.select(F.col("id").alias("child")), "child", "left_semi").join(ring.select(F.col("id").alias("parent")), "parent", "left_semi")
+        own = meet(meet(e, ring.select(F.col("id").alias("child")), "child", "left_semi"), ring.select(F.col("id").alias("parent")), "parent", "left_semi")
         rings = _ring_names(own)
-        up = climb(single_links(e, ring), all_)
+        up = climb(single_links(e, ring), all_, sums=False)
     else:
         rings = ring.select("id", F.col("id").alias("component"))
     # rings have no other way in, so no cycle leads through them and on
-    over = stash(jumps(e.join(ring.select(F.col("id").alias("child")), "child", "left_anti"), up), "jumps")
+    over = stash(jumps(meet(e, ring.select(F.col("id").alias("child")), "child", "left_anti"), up), "jumps")
     heads = _colour_components(over)
     at = heads.select(F.col("id").alias("parent"), F.col("component").alias("cp"))
     bt = heads.select(F.col("id").alias("child"), F.col("component").alias("cc"))
-    within = stash(over.join(at, "parent").join(bt, "child").filter("cp = cc").select(F.col("through").alias("id"), F.lit(1).cast("long").alias("value")).distinct(), "within")
+    within = stash(meet(meet(over, at, "parent"), bt, "child").filter("cp = cc").select(F.col("through").alias("id"), F.lit(1).cast("long").alias("value")).distinct(), "within")
     found = rings.unionByName(heads)
     if within.limit(1).count():
         marked = climb(single_links(e, ring), within)
-        trees = marked.filter("total > 0").join(heads.select(F.col("id").alias("top"), "component"), "top").select("id", "component")
+        trees = meet(marked.filter("total > 0"), heads.select(F.col("id").alias("top"), "component"), "top").select("id", "component")
         found = found.unionByName(trees)
     loops = edges.filter("parent = child").select(F.col("parent").alias("id")).distinct()
     found = stash(found.groupBy("id").agg(F.min("component").alias("component")), "components")
-    return found.unionByName(loops.join(found, "id", "left_anti").select("id", F.col("id").alias("component")))
+    return found.unionByName(meet(loops, found, "id", "left_anti").select("id", F.col("id").alias("component")))
 
 
 def _ring_names(edges: DataFrame) -> DataFrame:
-    """(id, component) for edges that are rings: by doubling, each node sees ever more of its ring."""
+    """(id, component) for edges that are rings: by doubling, each node sees ever more of its ring, until none sees a lesser name."""
     now = stash(edges.select(F.col("child").alias("id"), F.col("parent").alias("up"), F.least("child", "parent").alias("component")), "rings")
-    for _ in range(max(1, now.count()).bit_length()):
+    while True:
         above = now.select(F.col("id").alias("up"), F.col("up").alias("up_up"), F.col("component").alias("c"))
-        now = stash(now.join(above, "up").select("id", F.col("up_up").alias("up"), F.least("component", "c").alias("component")), "rings")
-    return now.select("id", "component")
+        after = stash(meet(now, above, "up").select("id", F.col("up_up").alias("up"), F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("bettered")), "rings")
+        discard(now)
+        now = after.select("id", "up", "component")
+        now._stashed_at = after._stashed_at
+        if not after.filter("bettered").limit(1).count():
+            return now.select("id", "component")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import contraction
 from threadloom.operators.privacy import strip_hidden_chars
-from threadloom.session import discard, stash
+from threadloom.session import discard, meet, stash
 
 #: Rounds of a walk after which its tables are merged into one.
 COMPACT = 8
@@ -29,6 +29,20 @@ def children(edges: DataFrame) -> DataFrame:
     return edges.select("parent", "child").distinct()
 
 
+def degrees(threads: DataFrame, steps: DataFrame, *more: Column) -> DataFrame:
+    """(id, out, fed, above, up, ...) of every node, in one pass over threads and distinct steps (parent, child).
+
+    out and fed count its children and parents, above those parents that it is not itself; up is one of these. more: aggregates
+    of the columns of threads, which may not be named like those above."""
+    none, zero, one = F.lit(None), F.lit(0).cast("long"), F.lit(1).cast("long")
+    kind = steps.schema["parent"].dataType
+    own = threads.select("*", zero.alias("out"), zero.alias("fed"), zero.alias("above"), none.cast(kind).alias("up"))
+    apart = F.col("parent") != F.col("child")
+    ends = steps.select(F.col("parent").alias("id"), one.alias("out"), zero.alias("fed"), zero.alias("above"), none.cast(kind).alias("up"))
+    ends = ends.unionByName(steps.select(F.col("child").alias("id"), zero.alias("out"), one.alias("fed"), apart.cast("long").alias("above"), F.when(apart, F.col("parent")).alias("up")))
+    return own.unionByName(ends, allowMissingColumns=True).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("out", "fed", "above")], F.max("up").alias("up"), *more)
+
+
 def fan_out(threads: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, child_count) of every node, by distinct children."""
     n = children(edges).groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("child_count"))
@@ -45,9 +59,9 @@ def spread(start: DataFrame, steps: DataFrame, limit: int | None = None) -> Data
     frontier, seen, rounds = reached, [reached], 0
     while limit is None or rounds < limit:
         rounds += 1
-        found = frontier.join(steps, frontier.id == steps.parent).select("root", F.col("child").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
+        found = meet(frontier, steps, frontier.id == steps.parent).select("root", F.col("child").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
         old = reduce(DataFrame.unionByName, seen).select("root", "id")
-        frontier = stash(found.join(old, ["root", "id"], "left_anti"), "bfs")
+        frontier = stash(meet(found, old, ["root", "id"], "left_anti"), "bfs")
         if frontier.limit(1).count() == 0:
             break
         seen.append(frontier)
@@ -75,27 +89,41 @@ def depth(threads: DataFrame, edges: DataFrame) -> DataFrame:
     parents, and those on cycles, are searched round by round."""
     e = stash(children(edges), "steps")
     plain = e.filter("parent <> child")
-    everyone, fed = stash(nodes(threads, edges), "nodes"), e.select(F.col("child").alias("id")).distinct()
     zero = F.lit(0).cast("long")
-    own = everyone.select("id", zero.alias("value"))
-    starts = everyone.join(fed, "id", "left_anti").select("id", zero.alias("d"))
-    up = contraction.climb(contraction.single_links(plain), own)
-    hops = stash(contraction.jumps(plain, up).groupBy("parent", "child").agg(F.min("w").alias("w")), "jumps")
+    everyone = stash(degrees(threads.select("id"), e), "nodes")
+    single = everyone.select("id", F.when(F.col("above") == 1, F.col("up")).alias("up"), zero.alias("value"))
+    starts = everyone.filter("fed = 0").select("id", zero.alias("d"))
+    up = contraction.climb_from(single, sums=False)
+    hops = _hops(plain, up)
     if contraction.has_cycles(e, up, hops):
         starts = stash(starts.unionByName(_girths(e, stash(contraction.strong_components(e), "cyclic"))), "starts")
-        up = contraction.climb(contraction.single_links(plain, starts), own)
-        hops = stash(contraction.jumps(plain, up).groupBy("parent", "child").agg(F.min("w").alias("w")), "jumps")
+        free = meet(single, starts.select("id", F.lit(True).alias("start")), "id", "left").select("id", F.when(F.col("start").isNull(), F.col("up")).alias("up"), "value")
+        up = contraction.climb_from(stash(free, "climb"), sums=False)
+        hops = _hops(plain, up)
     best = contraction.relax(starts, hops)
-    return up.join(best.select(F.col("id").alias("top"), "d"), "top").select("id", (F.col("d") + F.col("steps")).cast("int").alias("depth"))
+    return meet(up, best.select(F.col("id").alias("top"), "d"), "top").select("id", (F.col("d") + F.col("steps")).cast("int").alias("depth"))
+
+
+def _hops(edges: DataFrame, climbed: DataFrame) -> DataFrame:
+    """(parent, child, w): of the jumps from top to top the shortest."""
+    return stash(contraction.jumps(edges, climbed).groupBy("parent", "child").agg(F.min("w").alias("w")), "jumps")
 
 
 def _girths(edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(id, d): for the nodes on cycles (id, component) the length of the shortest one through each."""
     a, b = cyclic.select(F.col("id").alias("parent"), F.col("component").alias("cp")), cyclic.select(F.col("id").alias("child"), F.col("component").alias("cc"))
-    core = stash(edges.join(a, "parent").join(b, "child").filter("cp = cc").select("parent", "child"), "core")
-    inside = closure(cyclic.select("id"), core)
+    core = stash(meet(meet(edges, a, "parent"), b, "child").filter("cp = cc").select("parent", "child", F.col("cp").alias("component")), "core")
+    nodes_ = cyclic.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stash(meet(core.groupBy("component").agg(F.count(F.lit(1)).alias("m")), nodes_, "component"), "sizes")
+    # with as many edges as nodes a component is one cycle and nothing else
+    plain = meet(cyclic, sizes.filter("m = n"), "component").select("id", F.col("n").cast("long").alias("d"))
+    woven = sizes.filter("m <> n").select("component")
+    if woven.isEmpty():
+        return plain
+    core = stash(meet(core, woven, "component", "left_semi").select("parent", "child"), "core")
+    inside = closure(meet(cyclic, woven, "component", "left_semi").select("id"), core)
     back = inside.alias("r").join(core.alias("e"), (F.col("r.id") == F.col("e.parent")) & (F.col("r.root") == F.col("e.child")))
-    return back.groupBy(F.col("r.root").alias("id")).agg((F.min("r.dist") + 1).cast("long").alias("d"))
+    return plain.unionByName(back.groupBy(F.col("r.root").alias("id")).agg((F.min("r.dist") + 1).cast("long").alias("d")))
 
 
 def ancestors(edges: DataFrame, node: str) -> DataFrame:
