@@ -37,3 +37,19 @@ def test_stashed_tables_are_not_broadcast(spark):
     a, b = stash(spark.range(1000).selectExpr("id", "id as x")), stash(spark.range(1000).selectExpr("id", "id as y"))
     plain = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plain(a.join(b, "id")) and "Broadcast" not in plain(meet(a, b, "id"))
+
+
+def chains(spark, n):
+    """n chains of four, each beside a lone pair."""
+    e = spark.range(3 * n).selectExpr("concat('c', id div 3, '-', id % 3) as parent", "concat('c', id div 3, '-', id % 3 + 1) as child")
+    return e.unionByName(spark.range(n).selectExpr("concat('p', id, '-0') as parent", "concat('p', id, '-1') as child"))
+
+
+def test_short_chains_fold_in_few_rounds(spark, monkeypatch):
+    e = stash(chains(spark, 300))
+    t = e.selectExpr("parent as id").unionByName(e.selectExpr("child as id")).distinct().selectExpr("id", "id as title", "1L as tokens_used")
+    made = counted(monkeypatch)
+    n, kept = graph.collapse_chains(t, e)
+    assert len(made) < 12
+    assert n.filter("id like 'chain:%-0' and tokens = 4 and size(members) = 4").count() == 300 and n.count() == 900
+    assert kept.count() == kept.filter("parent like 'p%'").count() == 300

@@ -323,23 +323,16 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
     parent has one child and its child one parent. Heads are found by pointer doubling, so a chain of n nodes
     takes log n rounds; a pure cycle has no head and stays as it is."""
     e = stash(children(edges), "edges")
-    single_out = e.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("parent")
-    single_in = e.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("child")
-    links = stash(e.filter("parent <> child").join(single_out, "parent", "left_semi").join(single_in, "child", "left_semi").select("parent", "child"), "links")
-    pointer = stash(links.select(F.col("child").alias("id"), F.col("parent").alias("head"), F.lit(1).cast("long").alias("hops")), "pointers")
-    n = pointer.count()
-    for _ in range(max(1, n.bit_length())):
-        up = pointer.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("hops").alias("more"))
-        pointer = stash(pointer.join(up, "head", "left").select("id", F.coalesce("next", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "pointers")
-    cyclic = pointer.join(pointer.select(F.col("id").alias("head")), "head", "left_semi").select("id")  # its head has a head: no end
-    members = pointer.join(cyclic, "id", "left_anti")
-    heads = members.select(F.col("head").alias("id"), "head", F.lit(0).cast("long").alias("hops")).distinct()
-    members = members.unionByName(heads)
-    long_ = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_len).select("head")
-    folded = stash(members.join(long_, "head"), "folded")
     born = F.max("created_at_ms") if "created_at_ms" in threads.columns else F.max(F.lit(None).cast("long"))
-    info = threads.groupBy("id").agg(F.max("tokens_used").alias("tokens"), F.min("title").alias("title"), born.alias("born"))
-    all_ = nodes(threads, edges).join(info, "id", "left").join(folded.select("id", "head", "hops"), "id", "left")
+    known = threads.select("id", *[c for c in ("tokens_used", "title", "created_at_ms") if c in threads.columns])
+    info = stash(degrees(known, e, F.max("tokens_used").alias("tokens"), F.min("title").alias("title"), born.alias("born")), "nodes")
+    # a node on a link's lower end has one parent, and it is not itself; that parent has no other child
+    single = meet(info.filter("fed = 1 and up is not null").select("id", "up"), info.filter("out = 1").select(F.col("id").alias("up")), "up", "left_semi")
+    climbed = contraction.climb(stash(single.select("id", "up"), "links"), sums=False)
+    members = climbed.filter("up is null").select("id", F.col("top").alias("head"), F.col("steps").alias("hops"))  # the others lie on rings
+    long_ = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_len).select("head")
+    folded = stash(meet(members, long_, "head"), "folded")
+    all_ = meet(info.select("id", "tokens", "title", "born"), folded.select("id", "head", "hops"), "id", "left")
     merged = F.when(F.col("head").isNotNull(), F.concat(F.lit("chain:"), "head")).otherwise(F.col("id"))
     grouped = all_.groupBy(merged.alias("node")).agg(
         F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"),
@@ -351,7 +344,7 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
     )
     out = grouped.select(F.col("node").alias("id"), F.when(F.col("is_chain"), F.concat(F.col("size").cast("string"), F.lit(" in a row"))).otherwise(F.coalesce("title", F.col("node"))).alias("label"), "tokens", "members", "created_at_ms")
     to = lambda c: folded.select(F.col("id").alias(c), F.concat(F.lit("chain:"), "head").alias(f"{c}_to"))
-    moved = e.join(to("parent"), "parent", "left").join(to("child"), "child", "left").select(F.coalesce("parent_to", "parent").alias("parent"), F.coalesce("child_to", "child").alias("child"))
+    moved = meet(meet(e, to("parent"), "parent", "left"), to("child"), "child", "left").select(F.coalesce("parent_to", "parent").alias("parent"), F.coalesce("child_to", "child").alias("child"))
     chain_inside = (F.col("parent") == F.col("child")) & F.col("parent").startswith("chain:")
     return out, moved.filter(~chain_inside).distinct()
 
