@@ -53,3 +53,12 @@ def test_short_chains_fold_in_few_rounds(spark, monkeypatch):
     assert len(made) < 12
     assert n.filter("id like 'chain:%-0' and tokens = 4 and size(members) = 4").count() == 300 and n.count() == 900
     assert kept.count() == kept.filter("parent like 'p%'").count() == 300
+
+
+def test_a_forest_is_rolled_up_in_one_pass_over_its_edges(spark, monkeypatch):
+    e = stash(chains(spark, 300))
+    t = e.selectExpr("parent as id").unionByName(e.selectExpr("child as id")).distinct().selectExpr("id", "1L as tokens_used")
+    made = counted(monkeypatch)
+    r = graph.rollup(t, e)
+    assert made.count("jumps") == 0 and len(made) < 10
+    assert r.count() == 1800 and r.filter("id like '%-0' and subtree_tokens = if(id like 'c%', 4, 2) and max_depth = subtree_tokens - 1").count() == 600

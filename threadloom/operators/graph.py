@@ -150,20 +150,23 @@ def rollup(threads: DataFrame, edges: DataFrame) -> DataFrame:
     Diamonds count once, cycles end. What hangs on single parents is summed by doubling. Below that lie the trees of nodes
     with several parents: for each node the set of those that it reaches, with distances, and the sums of their trees; where
     there are none, as in a forest, nothing is left to do. A graph with cycles is walked from every node."""
-    tokens = threads.groupBy("id").agg(F.max("tokens_used").alias("tokens"))
-    own = stash(nodes(threads, edges).join(tokens, "id", "left").select("id", F.coalesce("tokens", F.lit(0)).cast("long").alias("self_tokens")), "own")
-    plain = stash(children(edges).filter("parent <> child"), "steps")
-    links = stash(contraction.single_links(plain), "links")
-    trees = contraction.climb(links, own.select("id", F.col("self_tokens").alias("value")))
-    over = stash(contraction.jumps(plain, trees), "jumps")
-    if contraction.has_cycles(plain, trees, over):
-        below = closure(own.select("id"), plain)
-        sums = below.join(own, "id").groupBy("root").agg(F.sum("self_tokens").alias("subtree_tokens"), F.count(F.lit(1)).alias("subtree_count"), F.max("dist").alias("max_depth")).withColumnRenamed("root", "id")
-    elif over.isEmpty():
-        sums = trees.select("id", F.col("total").alias("subtree_tokens"), F.col("size").alias("subtree_count"), F.col("height").alias("max_depth"))
+    e = stash(children(edges), "steps")
+    plain = e.filter("parent <> child")
+    info = stash(degrees(threads.select("id", "tokens_used"), e, F.coalesce(F.max("tokens_used"), F.lit(0)).cast("long").alias("self_tokens")), "own")
+    own = info.select("id", "self_tokens", F.col("out").alias("child_count"))
+    trees = contraction.climb_from(info.select("id", F.when(F.col("above") == 1, F.col("up")).alias("up"), F.col("self_tokens").alias("value")))
+    rings = not trees.filter("up is not null").isEmpty()
+    whole = trees.select("id", F.col("total").alias("subtree_tokens"), F.col("size").alias("subtree_count"), F.col("height").alias("max_depth"))
+    if not rings and info.filter("above > 1").isEmpty():
+        sums = whole  # a forest
     else:
-        sums = _sums_over_trees(trees, links, over)
-    return own.join(sums, "id").join(fan_out(threads, edges), "id").select("id", "self_tokens", "subtree_tokens", "subtree_count", F.col("max_depth").cast("int").alias("max_depth"), "child_count")
+        over = stash(contraction.jumps(plain, trees), "jumps")
+        if rings or contraction.has_cycles(plain, trees, over):
+            below = closure(own.select("id"), plain)
+            sums = meet(below, own, "id").groupBy("root").agg(F.sum("self_tokens").alias("subtree_tokens"), F.count(F.lit(1)).alias("subtree_count"), F.max("dist").alias("max_depth")).withColumnRenamed("root", "id")
+        else:
+            sums = _sums_over_trees(trees, info.filter("above = 1").select("id", "up"), over)
+    return meet(own, sums, "id").select("id", "self_tokens", "subtree_tokens", "subtree_count", F.col("max_depth").cast("int").alias("max_depth"), "child_count")
 
 
 def _sums_over_trees(trees: DataFrame, links: DataFrame, over: DataFrame) -> DataFrame:
