@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.plans.queries import FOLDED, _folded, _talk, _written, query
+from threadloom.plans.queries import FOLDED, _exported, _folded, _talk, _written, query
 from threadloom.sources import demo, ingest, jsonl, task_export
 
 
@@ -111,7 +111,7 @@ def s10_design_chats(spark: SparkSession, d: str) -> DataFrame:
     said = F.struct(F.col("turn").alias("n"), F.when(F.col("role") == "user", _json(role=F.col("role"), content=F.col("text"))).otherwise(_json(role=F.col("role"), content=F.struct(call.alias("blocks")))).alias("j"))
     doc = _talk(spark, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.j), ",").alias("m"))
     text = F.concat(F.lit('{"id":"d'), "conv_id", F.lit('","title":"t","messages":['), "m", F.lit("]}"))
-    found = ingest.ingest_design_chats(spark, _written(doc.select(F.col("conv_id").alias("c"), F.lit(0).alias("n"), text.alias("value")), "design-chats"), "*.txt").blocks
+    found = ingest.ingest_design_chats(spark, _exported(doc.select("conv_id", text.alias("value")), "design-chats"), "*.txt").blocks
     return found.select("conversation_id", F.col("turn_idx").cast("int").alias("turn_idx"), "role", F.col("block_idx").cast("int").alias("block_idx"), "type", F.md5("text").alias("text"))
 
 
@@ -155,6 +155,6 @@ def s9_branches(spark: SparkSession, d: str) -> DataFrame:
     said = lambda uuid, when: F.struct(uuid.alias("uuid"), name("up").alias("parent_message_uuid"), F.lit("human").alias("sender"), when.alias("created_at"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
     both = F.array(said(name("turn"), F.format_string("2%09d", "turn")), said(F.format_string("x%09d", "turn"), F.format_string("1%09d", "turn")))
     doc = t.select("conv_id", F.explode(F.when(F.col("i") % 2 == 1, both).otherwise(F.slice(both, 1, 1))).alias("m")).groupBy("conv_id").agg(F.collect_list("m").alias("chat_messages"))
-    lines = doc.select(F.col("conv_id").alias("c"), F.lit(0).alias("n"), _json(uuid=F.concat(F.lit("b"), "conv_id"), chat_messages=F.col("chat_messages")).alias("value"))
-    b = ingest.ingest_claude_export(spark, _written(lines, "branches"), "*.txt").blocks
+    lines = doc.select("conv_id", _json(uuid=F.concat(F.lit("b"), "conv_id"), chat_messages=F.col("chat_messages")).alias("value"))
+    b = ingest.ingest_claude_export(spark, _exported(lines, "branches"), "*.txt").blocks
     return b.select("conversation_id", F.col("turn_idx").cast("int").alias("turn_idx"), "uuid", "branch.index", "branch.total")

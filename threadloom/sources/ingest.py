@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import account_of, basename, decoded_dir, epoch_to_iso, first_line, flatten_content, iso_to_ms, normalise_prompt, preview, uuid_in
-from threadloom.session import ship
+from threadloom.session import ship, stash
 from threadloom.sources.jsonl import at, island, read_json_lines
 from threadloom.sources.lines import array_elements, file_path, number_runs, number_turns
 from threadloom.sources.task_export import task_tables
@@ -317,7 +317,7 @@ def ingest_chatgpt_export(spark: SparkSession, path: str, glob: str = "conversat
     """Message trees: the path that ends at current_node; hidden and system messages drop; assistant messages that
     follow one another are one turn; epoch times become ISO texts."""
     ship(spark)
-    docs = export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos"))
+    docs = stash(export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos")), "export-docs")
     mapping = F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.mapping")), "$", "map<string,variant>")
     node = docs.select("doc", F.get_json_object("json", "$.current_node").alias("current"), F.explode(F.map_entries(mapping)).alias("e")).select("doc", "current", F.col("e.key").alias("node"), F.to_json("e.value").alias("j"))
     info = node.select("doc", "current", "node", "j", F.get_json_object("j", "$.parent").alias("parent"), F.coalesce(F.get_json_object("j", "$.message").startswith("{"), F.lit(False)).alias("has_message"), F.expr("try_cast(get_json_object(j, '$.message.create_time') as double)").alias("time"), (F.coalesce(F.get_json_object("j", "$.children"), F.lit("[]")) == "[]").alias("leaf"))
@@ -402,7 +402,7 @@ def _live_path(pdf: pd.DataFrame) -> pd.DataFrame:
 def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
     """Messages linked by parent; blocks also carry branch {index, total} where a message has siblings."""
     ship(spark)
-    docs = export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos"))
+    docs = stash(export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos")), "export-docs")
     content = "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string,display_content:string,is_error:boolean,citations:array<struct<title:string,url:string>>>>"
     message = f"array<struct<uuid:string,parent_message_uuid:string,sender:string,created_at:string,content:{content},attachments:array<struct<file_name:string,file_type:string,file_size:string,extracted_content:string>>,files:array<struct<file_name:string,file_uuid:string>>>>"
     msgs = docs.select("doc", F.posexplode(F.from_json(F.get_json_object("json", "$.chat_messages"), message)).alias("pos", "m"))
