@@ -14,3 +14,11 @@ def test_exports_hold_many_conversations_a_file(spark):
     assert files_of(spark, path) == queries.EXPORT_FILES
     found = {(r.conversation_id, r.text) for r in ingest.ingest_claude_export(spark, path, "*.txt").blocks.collect()}
     assert found == {(f"k{i}", f"a }} ] b{i}") for i in range(100)}
+
+
+def test_rollouts_fold_from_lines_of_one_file(spark):
+    said = lambda n, role: f'{{"type":"response_item","payload":{{"type":"message","role":"{role}","content":[{{"type":"input_text","text":"x{n}"}}]}}}}'
+    rows = [(f"s{f}", 10 * f + i, said(i, role)) for f in range(3) for i, role in enumerate(("user", "assistant", "user"))]
+    rows += [(f"s{f}", 10 * f - 1, f'{{"type":"session_meta","payload":{{"id":"id{f}"}}}}') for f in range(3)]
+    blocks = ingest.fold_rollouts(spark.createDataFrame(rows, "path string, line long, json string")).blocks
+    assert {(r.conversation_id, r.turn_idx, r.text) for r in blocks.collect()} == {(f"id{f}", i, f"x{i}") for f in range(3) for i in range(3)}

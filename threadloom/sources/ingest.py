@@ -45,12 +45,19 @@ def _numbered(rows: DataFrame, doc: str) -> DataFrame:
 
 
 def ingest_rollouts(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl*") -> Ingested:
-    """A user message is a turn of its own; what the assistant side does up to the next one is one turn.
+    """One JSON-lines file per session; see fold_rollouts()."""
+    return fold_rollouts(*read_json_lines(spark, path, glob))
+
+
+def fold_rollouts(records: DataFrame, errors: DataFrame | None = None) -> Ingested:
+    """records (path, line, json); lines rise along a path, which is a session. They are parsed once and kept.
+
+    A user message is a turn of its own; what the assistant side does up to the next one is one turn.
 
     Developer messages are counted only; reasoning shows its visible summaries; the last cumulative token total
     counts; the id is session_id, id, the UUID in the file name or ''. A parent id is an edge."""
-    records, errors = read_json_lines(spark, path, glob)
     r = records.select("path", "line", "json", at("type").alias("rtype"), at("timestamp").alias("ts"), at("payload.type").alias("ptype"), at("payload.role").alias("prole"), F.get_json_object("json", "$.payload").alias("payload"))
+    r = stash(r, "rollout-records")
     meta = r.filter("rtype = 'session_meta'").groupBy("path").agg(F.min_by("json", "line").alias("meta"))
     tokens = F.when((F.col("rtype") == "event_msg") & (F.col("ptype") == "token_count"), F.expr("try_cast(get_json_object(json, '$.payload.info.total_token_usage.total_tokens') as bigint)"))
     stamped = F.when(F.col("ts") != "", F.col("line"))
