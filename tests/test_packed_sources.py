@@ -22,3 +22,9 @@ def test_rollouts_fold_from_lines_of_one_file(spark):
     rows += [(f"s{f}", 10 * f - 1, f'{{"type":"session_meta","payload":{{"id":"id{f}"}}}}') for f in range(3)]
     blocks = ingest.fold_rollouts(spark.createDataFrame(rows, "path string, line long, json string")).blocks
     assert {(r.conversation_id, r.turn_idx, r.text) for r in blocks.collect()} == {(f"id{f}", i, f"x{i}") for f in range(3) for i in range(3)}
+
+
+def test_live_path_of_rows_without_messages():
+    assert ingest._live_path(None) == []
+    row = lambda u, p, t: {"uuid": u, "parent": p, "ts": t}
+    assert ingest._live_path([row("a", None, "1"), row("x", "a", "2"), row("b", "a", "3")]) == [("a", 0, None, None), ("b", 1, 2, 2)]

@@ -1,7 +1,7 @@
 """Ingest of agent logs and chat exports into conversations, blocks, threads and edges.
 
 Each reader returns an Ingested. Folding records into turns is by running islands over line order; only the
-walks of message trees, which stay inside one conversation, are grouped pandas functions.
+walks of message trees, which stay inside one conversation, are functions of its row.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.scalars import account_of, basename, decoded_dir, epoch_to_iso, first_line, flatten_content, iso_to_ms, normalise_prompt, preview, uuid_in
@@ -308,16 +307,16 @@ def _walk_up(nodes: dict[str, dict], tip: str | None) -> list[str]:
     return chain[::-1]
 
 
-def _active_nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+def _active_nodes(rows: list[Row], current: str | None) -> list[tuple]:
     """Of one conversation's nodes those on the path to the current one, or to the best leaf, numbered."""
-    nodes = {r["node"]: r for r in pdf.to_dict("records")}
-    chain = _walk_up(nodes, pdf["current"].iloc[0])
+    nodes = {r["node"]: r for r in rows}
+    chain = _walk_up(nodes, current)
     if not chain:
         able = [r for r in nodes.values() if r["has_message"]]
-        when = lambda r: -1.0 if pd.isna(r["time"]) else r["time"]
+        when = lambda r: -1.0 if r["time"] is None or r["time"] != r["time"] else r["time"]
         best = max(able, key=lambda r: (r["leaf"], when(r)), default=None)
         chain = _walk_up(nodes, best["node"] if best else None)
-    return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(chain), "node": chain, "place": list(range(len(chain)))})
+    return [(node, place) for place, node in enumerate(chain)]
 
 
 def ingest_chatgpt_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
@@ -328,7 +327,8 @@ def ingest_chatgpt_export(spark: SparkSession, path: str, glob: str = "conversat
     mapping = F.try_variant_get(F.try_parse_json(F.get_json_object("json", "$.mapping")), "$", "map<string,variant>")
     node = docs.select("doc", F.get_json_object("json", "$.current_node").alias("current"), F.explode(F.map_entries(mapping)).alias("e")).select("doc", "current", F.col("e.key").alias("node"), F.to_json("e.value").alias("j"))
     info = node.select("doc", "current", "node", "j", F.get_json_object("j", "$.parent").alias("parent"), F.coalesce(F.get_json_object("j", "$.message").startswith("{"), F.lit(False)).alias("has_message"), F.expr("try_cast(get_json_object(j, '$.message.create_time') as double)").alias("time"), (F.coalesce(F.get_json_object("j", "$.children"), F.lit("[]")) == "[]").alias("leaf"))
-    active = info.drop("j").groupBy("doc").applyInPandas(_active_nodes, "doc string, node string, place int")
+    listed = info.groupBy("doc").agg(F.first("current").alias("current"), F.collect_list(F.struct("node", "parent", "has_message", "time", "leaf")).alias("rows"))
+    active = listed.select("doc", F.inline(F.udf(_active_nodes, "array<struct<node:string,place:int>>")("rows", "current")))
     m = lambda p: F.coalesce(F.get_json_object("j", f"$.message.{p}"), F.lit(""))
     said = info.join(active, ["doc", "node"]).withColumn("r", F.lower(m("author.role"))).filter((F.col("r") != "system") & (m("metadata.is_visually_hidden_from_conversation") != "true"))
     ctype = m("content.content_type")
@@ -369,12 +369,12 @@ def ingest_chatgpt_export(spark: SparkSession, path: str, glob: str = "conversat
     return Ingested(conv.drop("doc"), _blocks(out))
 
 
-def _live_path(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Messages of one conversation in reading order with their place among siblings.
+def _live_path(rows: list[Row] | None) -> list[tuple]:
+    """(uuid, place, index, total): messages of one conversation in reading order with their place among siblings.
 
     From every root, oldest first, down to the child whose subtree holds the newest message; what only cycles
     reach comes last; abandoned siblings stay out."""
-    rows = pdf.sort_values("pos").to_dict("records")
+    rows = rows or []
     by = {r["uuid"]: r for r in rows}
     kids: dict[str | None, list[dict]] = {}
     for r in rows:
@@ -402,8 +402,7 @@ def _live_path(pdf: pd.DataFrame) -> pd.DataFrame:
             reach.add(u)
             todo += [k["uuid"] for k in kids.get(u, [])]
     path += [(r["uuid"], None, None) for r in sorted(rows, key=lambda r: r["ts"]) if r["uuid"] not in reach]
-    out = pd.DataFrame(path, columns=["uuid", "index", "total"])
-    return out.assign(doc=pdf["doc"].iloc[0], place=range(len(out)))[["doc", "uuid", "place", "index", "total"]].astype({"index": "Int32", "total": "Int32"})
+    return [(uuid, place, index, total) for place, (uuid, index, total) in enumerate(path)]
 
 
 def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
@@ -412,9 +411,10 @@ def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversati
     docs = stash(export_records(spark, path, glob).withColumn("doc", F.concat_ws("#", "path", "pos")), "export-docs")
     content = "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string,display_content:string,is_error:boolean,citations:array<struct<title:string,url:string>>>>"
     message = f"array<struct<uuid:string,parent_message_uuid:string,sender:string,created_at:string,content:{content},attachments:array<struct<file_name:string,file_type:string,file_size:string,extracted_content:string>>,files:array<struct<file_name:string,file_uuid:string>>>>"
-    msgs = docs.select("doc", F.posexplode(F.from_json(F.get_json_object("json", "$.chat_messages"), message)).alias("pos", "m"))
-    tree = msgs.select("doc", "pos", F.col("m.uuid").alias("uuid"), F.col("m.parent_message_uuid").alias("parent"), F.coalesce("m.created_at", F.lit("")).alias("ts"))
-    placed = tree.groupBy("doc").applyInPandas(_live_path, "doc string, uuid string, place int, index int, total int")
+    said = F.from_json(F.get_json_object("json", "$.chat_messages"), message)
+    msgs = docs.select("doc", F.posexplode(said).alias("pos", "m"))
+    tree = docs.select("doc", F.transform(said, lambda m: F.struct(m.uuid.alias("uuid"), m.parent_message_uuid.alias("parent"), F.coalesce(m.created_at, F.lit("")).alias("ts"))).alias("rows"))
+    placed = tree.select("doc", F.inline(F.udf(_live_path, "array<struct<uuid:string,place:int,index:int,total:int>>")("rows")))
     none = F.lit(None).cast("string")
     cites = "array<struct<title:string,url:string>>"
     blk = lambda kind, text, data=none, c=None: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.coalesce(text, F.lit("")).alias("text"), data.alias("data"), (F.lit(None).cast(cites) if c is None else c).alias("citations"))
