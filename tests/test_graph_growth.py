@@ -62,3 +62,14 @@ def test_a_forest_is_rolled_up_in_one_pass_over_its_edges(spark, monkeypatch):
     r = graph.rollup(t, e)
     assert made.count("jumps") == 0 and len(made) < 10
     assert r.count() == 1800 and r.filter("id like '%-0' and subtree_tokens = if(id like 'c%', 4, 2) and max_depth = subtree_tokens - 1").count() == 600
+
+
+def test_edges_of_a_folded_graph_need_no_pass_over_its_nodes(spark, monkeypatch):
+    e = stash(chains(spark, 300).unionByName(spark.range(5).selectExpr("concat('o', id) as parent", "concat('o', (id + 1) % 5) as child")))
+    e = e.unionByName(spark.sql("select 'p0-1' as parent, 'p0-1' as child"))
+    t = e.selectExpr("child as id", "child as title", "1L as tokens_used").distinct()
+    made = counted(monkeypatch)
+    n, kept = graph.collapse_chains(t, e)
+    assert "nodes" not in made and made.count("folded") == 1
+    assert kept.count() == 306 and kept.filter("parent like 'p%'").count() == 301 and kept.filter("parent like 'o%'").count() == 5
+    assert n.filter("id like 'chain:c%-0' and size(members) = 4 and members[0] like 'c%-0' and members[3] like 'c%-3'").count() == 300 and n.count() == 905

@@ -328,13 +328,16 @@ def collapse_chains(threads: DataFrame, edges: DataFrame, min_len: int = 3) -> t
     e = stash(children(edges), "edges")
     born = F.max("created_at_ms") if "created_at_ms" in threads.columns else F.max(F.lit(None).cast("long"))
     known = threads.select("id", *[c for c in ("tokens_used", "title", "created_at_ms") if c in threads.columns])
-    info = stash(degrees(known, e, F.max("tokens_used").alias("tokens"), F.min("title").alias("title"), born.alias("born")), "nodes")
-    # a node on a link's lower end has one parent, and it is not itself; that parent has no other child
-    single = meet(info.filter("fed = 1 and up is not null").select("id", "up"), info.filter("out = 1").select(F.col("id").alias("up")), "up", "left_semi")
-    climbed = contraction.climb(stash(single.select("id", "up"), "links"), sums=False)
+    info = degrees(known, e, F.max("tokens_used").alias("tokens"), F.min("title").alias("title"), born.alias("born"))  # for the nodes alone
+    # numbers alone are counted, so that rows are combined before they move without being sorted; names would be sorted
+    once = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(c)
+    single = meet(meet(e.filter("parent <> child"), once("parent"), "parent", "left_semi"), once("child"), "child", "left_semi")
+    climbed = contraction.climb_from(stash(single.select(F.col("child").alias("id"), F.col("parent").alias("up")), "links"), sums=False)
     members = climbed.filter("up is null").select("id", F.col("top").alias("head"), F.col("steps").alias("hops"))  # the others lie on rings
-    long_ = members.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_len).select("head")
-    folded = stash(meet(members, long_, "head"), "folded")
+    long_ = stash(members.groupBy("head").agg((F.count(F.lit(1)) + 1).alias("n")).filter(F.col("n") >= min_len).select("head"), "heads")
+    # a head has no link of its own
+    folded = meet(members, long_, "head").select("id", "head", "hops").unionByName(long_.select(F.col("head").alias("id"), "head", F.lit(0).cast("long").alias("hops")))
+    folded = stash(folded, "folded")
     all_ = meet(info.select("id", "tokens", "title", "born"), folded.select("id", "head", "hops"), "id", "left")
     merged = F.when(F.col("head").isNotNull(), F.concat(F.lit("chain:"), "head")).otherwise(F.col("id"))
     grouped = all_.groupBy(merged.alias("node")).agg(
