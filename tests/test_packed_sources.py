@@ -28,3 +28,14 @@ def test_live_path_of_rows_without_messages():
     assert ingest._live_path(None) == []
     row = lambda u, p, t: {"uuid": u, "parent": p, "ts": t}
     assert ingest._live_path([row("a", None, "1"), row("x", "a", "2"), row("b", "a", "3")]) == [("a", 0, None, None), ("b", 1, 2, 2)]
+
+
+def test_messages_are_placed_in_their_conversations_row(spark):
+    said = lambda uuid, up, ts: f'{{"uuid":"{uuid}","parent_message_uuid":"{up}","sender":"human","created_at":"{ts}","content":[{{"type":"text","text":"t{uuid}{ts}"}}]}}'
+    chat = ",".join([said("b", "a", 3), said("a", "", 1), said("x", "a", 2), said("a", "", 1), '{"sender":"human","created_at":"4","content":[{"type":"text","text":"nameless"}]}'])
+    docs = spark.createDataFrame([(i, f'{{"uuid":"k{i}","chat_messages":[{chat}]}}') for i in range(3)], "conv_id long, value string")
+    blocks = ingest.ingest_claude_export(spark, queries._exported(docs, "placed"), "*.txt").blocks
+    assert "Join" not in blocks._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r.conversation_id, r.turn_idx, r.uuid, r.text, r.branch and (r.branch["index"], r.branch["total"])) for r in blocks.collect())
+    # two messages of one name share its place; one without a name has none
+    assert found == [(f"k{i}", *m) for i in range(3) for m in ((0, "a", "ta1", (1, 2)), (0, "a", "ta1", (1, 2)), (1, "b", "tb3", (2, 2)))]

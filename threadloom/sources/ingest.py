@@ -405,6 +405,14 @@ def _live_path(rows: list[Row] | None) -> list[tuple]:
     return [(uuid, place, index, total) for place, (uuid, index, total) in enumerate(path)]
 
 
+def _placed(rows: list[Row] | None) -> list[tuple]:
+    """(at, place, index, total): what _live_path() says of each row, by the row's own place in rows; rows without a name have none."""
+    at: dict[str, list[int]] = {}
+    for i, r in enumerate(rows or []):
+        at.setdefault(r["uuid"], []).append(i)
+    return [(i, place, index, total) for uuid, place, index, total in _live_path(rows) if uuid is not None for i in at[uuid]]
+
+
 def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversations*.json") -> Ingested:
     """Messages linked by parent; blocks also carry branch {index, total} where a message has siblings."""
     ship(spark)
@@ -412,9 +420,13 @@ def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversati
     content = "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string,display_content:string,is_error:boolean,citations:array<struct<title:string,url:string>>>>"
     message = f"array<struct<uuid:string,parent_message_uuid:string,sender:string,created_at:string,content:{content},attachments:array<struct<file_name:string,file_type:string,file_size:string,extracted_content:string>>,files:array<struct<file_name:string,file_uuid:string>>>>"
     said = F.from_json(F.get_json_object("json", "$.chat_messages"), message)
-    msgs = docs.select("doc", F.posexplode(said).alias("pos", "m"))
-    tree = docs.select("doc", F.transform(said, lambda m: F.struct(m.uuid.alias("uuid"), m.parent_message_uuid.alias("parent"), F.coalesce(m.created_at, F.lit("")).alias("ts"))).alias("rows"))
-    placed = tree.select("doc", F.inline(F.udf(_live_path, "array<struct<uuid:string,place:int,index:int,total:int>>")("rows")))
+    top = lambda p: F.coalesce(F.get_json_object("json", f"$.{p}"), F.lit(""))
+    # a conversation's messages are placed in its row, and leave it with their places: nothing is joined, no text moves
+    told = docs.select(top("uuid").alias("conversation_id"), said.alias("said"))
+    tree = F.transform("said", lambda m: F.struct(m.uuid.alias("uuid"), m.parent_message_uuid.alias("parent"), F.coalesce(m.created_at, F.lit("")).alias("ts")))
+    told = told.withColumn("placed", F.udf(_placed, "array<struct<at:int,place:int,index:int,total:int>>")(tree))
+    placed = told.select("conversation_id", F.explode(F.transform("placed", lambda p: F.struct(F.get("said", p["at"]).alias("m"), p.place.alias("place"), p["index"].alias("index"), p.total.alias("total")))).alias("p"))
+    msgs = placed.select("conversation_id", "p.*")
     none = F.lit(None).cast("string")
     cites = "array<struct<title:string,url:string>>"
     blk = lambda kind, text, data=none, c=None: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.coalesce(text, F.lit("")).alias("text"), data.alias("data"), (F.lit(None).cast(cites) if c is None else c).alias("citations"))
@@ -428,15 +440,13 @@ def ingest_claude_export(spark: SparkSession, path: str, glob: str = "conversati
         F.coalesce(F.transform("m.files", lambda f: blk("file", f.file_name, data(file_name=f.file_name, file_uuid=f.file_uuid))), empty),
         F.coalesce(F.transform(F.filter("m.content", lambda x: ~x.type.isin(*hidden)), item), empty),
     )
-    rows = msgs.select("doc", F.col("m.uuid").alias("uuid"), (F.col("m.sender") == "human").alias("user"), F.coalesce("m.created_at", F.lit("")).alias("ts"), b.alias("b")).join(placed, ["doc", "uuid"])
     branch = F.when(F.col("index").isNotNull(), F.struct("index", "total"))
-    top = lambda p: F.coalesce(F.get_json_object("json", f"$.{p}"), F.lit(""))
     account = F.coalesce(account_of(F.get_json_object("json", "$.account")), F.lit(""))
-    conv = docs.select("doc", top("uuid").alias("conversation_id"), F.coalesce(F.nullif(top("name"), F.lit("")), F.lit("(untitled)")).alias("title"), F.lit("claude").alias("provider"), account.alias("account"), F.lit("").alias("thread_id"), top("created_at").alias("created_at"), top("updated_at").alias("updated_at"), "path", "pos", F.nullif(top("project_uuid"), F.lit("")).alias("project"))
-    each = rows.select("doc", "uuid", "user", "ts", F.col("place").alias("turn_idx"), branch.alias("branch"), F.posexplode("b").alias("block_idx", "blk")).join(conv.select("doc", "conversation_id"), "doc")
+    conv = docs.select(top("uuid").alias("conversation_id"), F.coalesce(F.nullif(top("name"), F.lit("")), F.lit("(untitled)")).alias("title"), F.lit("claude").alias("provider"), account.alias("account"), F.lit("").alias("thread_id"), top("created_at").alias("created_at"), top("updated_at").alias("updated_at"), "path", "pos", F.nullif(top("project_uuid"), F.lit("")).alias("project"))
+    each = msgs.select("conversation_id", F.col("m.uuid").alias("uuid"), (F.col("m.sender") == "human").alias("user"), F.coalesce("m.created_at", F.lit("")).alias("ts"), F.col("place").alias("turn_idx"), branch.alias("branch"), F.posexplode(b).alias("block_idx", "blk"))
     role = F.when(F.col("user"), "human").otherwise("assistant")
     blocks = each.select("conversation_id", "turn_idx", role.alias("role"), "block_idx", "blk.type", "blk.text", "blk.data", "uuid", "ts", "branch", "blk.citations")
-    return Ingested(conv.drop("doc"), blocks)
+    return Ingested(conv, blocks)
 
 
 def ingest_design_chats(spark: SparkSession, path: str, glob: str = "*.json") -> Ingested:
