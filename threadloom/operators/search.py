@@ -17,6 +17,8 @@ from threadloom.session import stash
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Postings that a task sorts, some 100 bytes each, and the characters of a text that one takes, about.
+FILE_POSTINGS, TOKEN_CHARS = 1 << 20, 4
 
 
 def build_postings(index: DataFrame) -> DataFrame:
@@ -29,16 +31,24 @@ def doc_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("len"))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int = 32) -> None:
-    """Postings sorted by term within range partitions, so that min-max statistics prune files by term."""
-    postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "conversation_id", "field", "pos").write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_postings(postings: DataFrame, path: str, partitions: int = 32, rows: int = 0) -> None:
+    """Postings sorted by term within range partitions, so that min-max statistics prune files by term.
+
+    rows: about how many there are; beyond FILE_POSTINGS a partition there are more of these. A frequent term fills several."""
+    order = ["term", "conversation_id", "field", "pos"]
+    ranged = postings.repartitionByRange(max(partitions, -(-rows // FILE_POSTINGS)), *order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def store_index(index: DataFrame, path: str, partitions: int = 32) -> None:
-    """The index in a folder: heads without bodies, postings sorted by term, and lengths."""
+    """The index in a folder: heads without bodies, postings sorted by term, and lengths; partitions: files of postings at least."""
+    spark = index.sparkSession
     index.drop("body").write.mode("overwrite").parquet(f"{path}/heads")
-    write_postings(build_postings(index), f"{path}/postings", partitions)
-    doc_stats(index.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/stats")
+    heads = spark.read.parquet(f"{path}/heads")
+    texts, length = (heads, F.col("char_count")) if "char_count" in heads.columns else (index, F.length("body"))
+    chars = texts.agg(F.sum(F.coalesce(length, F.lit(0)) + F.coalesce(F.length("title"), F.lit(0)))).first()[0] or 0
+    write_postings(build_postings(index), f"{path}/postings", partitions, chars // TOKEN_CHARS)
+    doc_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -73,7 +73,8 @@ def merge_segments(spark: SparkSession, path: str, partitions: int = 32) -> None
     name = f"segment-{uuid.uuid4().hex}"
     heads, postings, stats = open_segments(spark, path)
     heads.write.parquet(f"{path}/{name}/heads")
-    search.write_postings(postings, f"{path}/{name}/postings", partitions)
+    rows = stats.agg(F.sum("len")).first()[0] or 0
+    search.write_postings(postings, f"{path}/{name}/postings", partitions, rows)
     stats.write.parquet(f"{path}/{name}/stats")
     heads.select("conversation_id").limit(0).write.parquet(f"{path}/{name}/gone")
     announce(spark, path, name)
