@@ -163,6 +163,17 @@ def test_large_numbers_are_exact(spark):
     assert nearest(spark, rows, 3) == nearest_by_hand(rows, 3)
 
 
+def test_copies_of_queries_do_not_pass_through_the_driver(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("GROUPS", 4)):
+        monkeypatch.setattr(vector_search, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in v.astype(np.float32)]) for i, v in enumerate(rng.normal(size=(400, 8)) / 3)]
+    found = vector_search.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == nearest_by_hand(rows, 5)
+
+
 def test_segment_bounds_hold_and_spare_work():
     rng = np.random.default_rng(6)
     for width in (1, 7, 64):

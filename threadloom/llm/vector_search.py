@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.session import ship, stash
+from threadloom.session import meet, ship, stash
 
 SCALE = 64
 EVERY = 20
@@ -24,6 +24,8 @@ LEVELS = (4, 16, 32)
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 #: Bytes of numbers that a block holds at most, for vectors of very many components.
 BLOCK_BYTES = 4 << 20
+#: Groups of candidate blocks at most, or as many as a shuffle has partitions, if these are more. Each gets a copy of all queries.
+GROUPS = 256
 #: Query blocks whose best rows a task keeps before it hands them on.
 KEPT_BLOCKS = 64
 #: Doubles hold integers exactly up to here.
@@ -190,7 +192,9 @@ def top_products(vectors: DataFrame, is_query: Column | None = None, k: int = TO
     their own, each with ranks from 1. An empty table gives no rows.
 
     Candidates are packed into blocks where they lie, queries into blocks by a hash, and each pair of blocks is
-    one joined row, so that no task needs all queries; a task carries a query block's best rows from one candidate block to the next."""
+    one joined row, so that no task needs all queries; a task carries a query block's best rows from one candidate block to the next.
+    Both sides shuffle: by the size of the files of queries, Spark would send their copies through the driver. The queries
+    stream, and only the candidate blocks of one group are held."""
     spark = vectors.sparkSession
     ship(spark)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -201,9 +205,9 @@ def top_products(vectors: DataFrame, is_query: Column | None = None, k: int = TO
     n = asked.count()
     spread = asked.repartition(max(1, -(-n // QUERY_ROWS)), F.xxhash64("vec_id", "embedding"))
     queries = stash(spread.mapInArrow(_pack_blocks(scale, QUERY_ROWS), BLOCK), "query-blocks")
-    groups = max(1, min(blocks.count(), 1 << 16))
-    left = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    right = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns if c != "n"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    found = left.join(right, "g").select("ids", "width", "kind", "numbers", "q_block", "q_ids", "q_width", "q_kind", "q_numbers").mapInArrow(_search(k, levels), "block long, place long, query_id long, vec_id long, score long")
+    groups = max(1, min(blocks.count(), max(GROUPS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    candidates = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    copies = queries.select(*[F.col(c).alias("q_" + c) for c in queries.columns if c != "n"], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    found = meet(copies, candidates, "g").select("ids", "width", "kind", "numbers", "q_block", "q_ids", "q_width", "q_kind", "q_numbers").mapInArrow(_search(k, levels), "block long, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
